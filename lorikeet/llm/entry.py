@@ -6,23 +6,35 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lorikeet.llm.chat import op5_chat
 from lorikeet.llm.common import read
+from lorikeet.llm.embedding_dedup import op8_embeddings
 from lorikeet.llm.mixing import OP2_SQL, op2_mix
 from lorikeet.llm.multiset_hash import op4_fingerprint
+from lorikeet.llm.packing import op3_pack
 from lorikeet.llm.sharding import op6_shard
 from lorikeet.llm.simhash import op1_simhash
+from lorikeet.llm.toxicity import op7_toxicity
 
 
 def _over(table: str, op: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: op(read(spark, sf_dir, table))
 
 
+def _op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op7_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": _over("documents", op1_simhash),
         "op2_mix": _over("documents", op2_mix),
+        "op3_pack": _over("documents", op3_pack),
         "op4_fingerprint": _over("documents", op4_fingerprint),
+        "op5_chat": _over("conversations", op5_chat),
         "op6_shard": _over("documents", op6_shard),
+        "op7_toxicity": _op7,
+        "op8_embeddings": _over("embeddings", op8_embeddings),
     }
 
 

@@ -40,8 +40,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     are ignored; an empty table gives an empty table.
     """
     spark = edges.sparkSession
-    current = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct()
-    before, old = None, None
+    old = scratch_path(spark, "components")  # written first, or the edges would be made again at each use
+    edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct().write.parquet(old)
+    current, before = spark.read.parquet(old), None
     while True:
         path = scratch_path(spark, "components")
         _small_star(_large_star(current)).write.parquet(path)
@@ -49,8 +50,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         state = current.agg(
             F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.sum(F.hash("v", "u").cast("long"))
         ).first()
-        if old:
-            drop_path(spark, old)
+        drop_path(spark, old)
         if state == before:
             break
         before, old = state, path
