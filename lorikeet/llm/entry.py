@@ -12,9 +12,11 @@ from lorikeet.llm.embedding_dedup import op8_embeddings
 from lorikeet.llm.mixing import OP2_SQL, op2_mix
 from lorikeet.llm.multiset_hash import op4_fingerprint
 from lorikeet.llm.packing import op3_pack
+from lorikeet.llm.pii import op10_pii
 from lorikeet.llm.sharding import op6_shard
 from lorikeet.llm.simhash import op1_simhash
 from lorikeet.llm.toxicity import op7_toxicity
+from lorikeet.llm.warc import OP9_SQL, op9_warc
 
 
 def _over(table: str, op: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -35,8 +37,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_shard": _over("documents", op6_shard),
         "op7_toxicity": _op7,
         "op8_embeddings": _over("embeddings", op8_embeddings),
+        "op9_warc": _over("pages", op9_warc),
+        "op10_pii": _over("documents", op10_pii),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mix": OP2_SQL}
+    return {"op2_mix": OP2_SQL, "op9_warc": OP9_SQL}
