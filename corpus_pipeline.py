@@ -1 +1,65 @@
-STAGES = []
+"""The corpus pipeline: toxicity, near-duplicates, PII, mixing, packing.
+
+Every stage takes (spark, docs, sf_dir), works on all rows its predecessor kept
+and returns a DataFrame, which is written as Parquet and read again as the docs
+of the next one. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from lorikeet.llm.common import read, written
+from lorikeet.llm.mixing import mixed_documents
+from lorikeet.llm.packing import pack_documents
+from lorikeet.llm.pii import pseudonymise
+from lorikeet.llm.simhash import drop_near_duplicates
+from lorikeet.llm.toxicity import drop_toxic
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the factorization machine scores as toxic go."""
+    return drop_toxic(docs, read(spark, sf_dir, "labels"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays: five-word shingles,
+    a likeness of 0.8 or more."""
+    return drop_near_duplicates(docs)
+
+
+def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data become pseudonyms."""
+    out = pseudonymise(docs).drop("n_replaced")
+    return out.select(*docs.columns)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are taken, repeated or left out until each source has its target."""
+    return mixed_documents(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document's tokens, placed in as few sequences as can be."""
+    return pack_documents(docs)
+
+
+STAGES = [
+    ("toxicity", toxicity),
+    ("near_duplicates", near_duplicates),
+    ("pii", pii),
+    ("mixing", mixing),
+    ("packing", packing),
+]
+
+#: SQL expresses neither the trained scores nor the packing search: the stages are
+#: tested against brute-force versions instead.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages applied to documents one after another."""
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from lorikeet.llm.chat import op5_chat
 from lorikeet.llm.common import read
 from lorikeet.llm.embedding_dedup import op8_embeddings
@@ -39,6 +40,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_embeddings": _over("embeddings", op8_embeddings),
         "op9_warc": _over("pages", op9_warc),
         "op10_pii": _over("documents", op10_pii),
+        "pipeline": corpus_pipeline.run,
     }
 
 

@@ -8,10 +8,16 @@ is. Every fingerprint is replicated to all anchors within the radius plus its
 share of the threshold, which are 17 for a half, and is compared only within
 an anchor. The anchor that covers the point between a pair holds both, so no
 pair is missed; an exact comparison of the 64 bits follows.
+
+``similar`` finds documents by the likeness of their shingle sets instead. The
+same covering takes six halves of fingerprints of the word sets, which few edits
+leave within 2 bits somewhere, and the comparison is of wide fingerprints of the
+shingle sets, whose differing bits measure the likeness.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,30 +37,64 @@ SHINGLE = 5
 CELL = 2048
 SEED = 42
 
+#: Likeness of two shingle sets from which documents are near-duplicates.
+SIMILARITY = 0.8
+#: 64-bit words of the fingerprint of the word set and of that of the shingle set.
+WORD_PRINTS, SHINGLE_PRINTS = 3, 8
+
 _BYTE_BITS = ((np.arange(256)[:, None] >> np.arange(7, -1, -1)) & 1).astype(np.int64)
-_OFFSETS = (np.arange(8) * 256)[None, :]
 
 
-def simhash(text: str | None, shingle: int = SHINGLE) -> int:
-    """The fingerprint of a text as a signed 64-bit integer; 0 without words."""
+def _majority(hashes: np.ndarray) -> np.ndarray:
+    """The words of big-endian 64-bit hashes, a row each, voted bit by bit: 1 if
+    set in over half the rows; as signed integers."""
+    n, width = len(hashes), hashes.shape[1] * 8
+    cells = (hashes.view(np.uint8).reshape(n, width) + (np.arange(width) * 256)[None, :]).ravel()
+    counts = np.bincount(cells, minlength=width * 256).reshape(width, 256)
+    return np.packbits((counts @ _BYTE_BITS * 2 > n).ravel()).view(">i8").astype(np.int64)
+
+
+def _shingle_digests(words: list[bytes], shingle: int) -> list[bytes]:
     from xxhash import xxh64_digest
 
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
     joined = b" ".join(words)
     if len(words) <= shingle:
-        digests, n = xxh64_digest(joined, SEED), 1
-    else:
-        lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
-        ends = np.cumsum(lengths) - 1
-        starts = (ends - lengths + 1).tolist()
-        n = len(words) - shingle + 1
-        digests = b"".join([xxh64_digest(joined[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :].tolist())])
-    cells = (np.frombuffer(digests, np.uint8).reshape(n, 8) + _OFFSETS).ravel()
-    ones = np.einsum("pv,vb->pb", np.bincount(cells, minlength=2048).reshape(8, 256), _BYTE_BITS)
-    bits = (ones * 2 > n).astype(np.uint8)
-    return int.from_bytes(np.packbits(bits.ravel()).tobytes(), "big", signed=True)
+        return [xxh64_digest(joined, SEED)] if words else []
+    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
+    ends = np.cumsum(lengths) - 1
+    starts = (ends - lengths + 1).tolist()
+    return [xxh64_digest(joined[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :].tolist())]
+
+
+def _words(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def simhash(text: str | None, shingle: int = SHINGLE) -> int:
+    """The fingerprint of a text as a signed 64-bit integer; 0 without words."""
+    digests = _shingle_digests(_words(text), shingle)
+    return int(_majority(np.frombuffer(b"".join(digests), ">u8")[:, None])[0]) if digests else 0
+
+
+def _spread(hashes: np.ndarray, n: int) -> np.ndarray:
+    """n well-mixed hashes of each, side by side."""
+    x = hashes[:, None] + np.arange(1, n + 1, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return np.ascontiguousarray((x ^ (x >> np.uint64(31))).astype(">u8"))
+
+
+def set_prints(text: str | None, shingle: int = SHINGLE) -> tuple[list[int], list[int]]:
+    """Fingerprints of the sets of words and of shingles of a text; zeros without words."""
+    from xxhash import xxh64_intdigest
+
+    words = _words(text)
+    if not words:
+        return [0] * WORD_PRINTS, [0] * SHINGLE_PRINTS
+    each = np.array([xxh64_intdigest(w, SEED) for w in set(words)], np.uint64)
+    digests = _shingle_digests(words, shingle)
+    shingles = np.unique(np.frombuffer(b"".join(digests), "<u8"))
+    return _majority(_spread(each, WORD_PRINTS)).tolist(), _majority(_spread(shingles, SHINGLE_PRINTS)).tolist()
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -74,16 +114,18 @@ def _parity(half: Column, mask: int) -> Column:
     return F.bit_count(half.bitwiseAND(F.lit(mask))) % 2
 
 
-def _anchors(fps: DataFrame) -> DataFrame:
-    """Rows of ``fps`` at every anchor within covering radius plus threshold share.
+def _anchors(points: DataFrame) -> DataFrame:
+    """(rep, anchor): the rows of ``points`` (rep, keys) at every anchor within
+    covering radius plus threshold share, for both halves of each of the keys.
 
     The bits 1..31 of a half are positions of the Hamming code. With syndrome s,
     the nearest codeword flips position s; those at distance 2 flip the pairs of
     positions p, q with p xor q = s. ``step`` -1 is the nearest codeword with the
     carried bit flipped, 0 the nearest, and p the pair (p, p xor s).
     """
-    halves = fps.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("half")).withColumn(
-        "h", F.when(F.col("half") == 1, F.shiftrightunsigned("fp", 32)).otherwise(F.col("fp").bitwiseAND(0xFFFFFFFF))
+    keys = points.select("rep", F.posexplode("keys").alias("k", "fp"))
+    halves = keys.select("rep", "fp", F.explode(F.expr("array(2 * k, 2 * k + 1)")).alias("half")).withColumn(
+        "h", F.expr("if(half % 2 = 1, shiftrightunsigned(fp, 32), fp & 4294967295L)")
     )
     masks = [sum(1 << (p - 1) for p in range(1, 32) if p >> j & 1) for j in range(5)]
     syndrome = sum(
@@ -99,20 +141,20 @@ def _anchors(fps: DataFrame) -> DataFrame:
         f" ELSE h ^ {flip.format('step')} ^ {flip.format('(step ^ s)')} END"
     )
     return steps.where("step <= 0 OR step < (step ^ s)").select(
-        "fp", "rep", (F.shiftleft(F.col("half").cast("long"), 32).bitwiseOR(anchor)).alias("anchor")
+        "rep", F.shiftleft(F.col("half").cast("long"), 32).bitwiseOR(anchor).alias("anchor")
     )
 
 
 def _cells(replicas: DataFrame, cell: int) -> DataFrame:
-    """Anchors with one fingerprint go; one with more than ``cell`` is split into
-    g parts by hash and compared part against part, in g (g + 1) / 2 cells."""
+    """Anchors with one point go; one with more than ``cell`` is split into g
+    parts by hash and compared part against part, in g (g + 1) / 2 cells."""
     counted = replicas.withColumn("n", F.count("*").over(Window.partitionBy("anchor"))).where("n > 1")
     parted = counted.withColumn("g", F.ceil(F.col("n") / cell).cast("int")).withColumn(
-        "part", F.expr("cast(pmod(xxhash64(fp), g) as int)")
+        "part", F.expr("cast(pmod(xxhash64(rep), g) as int)")
+    )
+    return parted.select("rep", "anchor", "part", F.explode(F.expr("sequence(0, g - 1)")).alias("other")).select(
+        "rep", "anchor", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j")
     )
-    return parted.select(
-        "fp", "rep", "anchor", "part", F.explode(F.expr("sequence(0, g - 1)")).alias("other")
-    ).select("fp", "rep", "anchor", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
 
 
 class _Forest:
@@ -140,13 +182,14 @@ def _compare(part: pd.DataFrame, threshold: int) -> pd.DataFrame:
     """Edges that join what links within each cell: at most one for each row."""
     key = part[["anchor", "i", "j"]].to_numpy()
     cell = np.concatenate([[0], np.cumsum((key[1:] != key[:-1]).any(axis=1))])
-    fp, rep = part["fp"].to_numpy().view(np.uint64), part["rep"].to_numpy()
+    prints, rep = np.stack(part["sketch"].tolist()).view(np.uint64), part["rep"].to_numpy()
     forest, at, gap = _Forest(len(part)), np.arange(len(part)), 0
     while len(at):
         gap += 1
         at = at[at + gap < len(part)]
         at = at[cell[at] == cell[at + gap]]
-        near = at[np.bitwise_count(fp[at] ^ fp[at + gap]) <= threshold]
+        at_work = at if gap < 64 else at[forest.root[at] != forest.root[at + gap]]
+        near = at_work[np.bitwise_count(prints[at_work] ^ prints[at_work + gap]).sum(axis=1, dtype=int) <= threshold]
         if len(near):
             forest.unite(near, near + gap)
     moved = np.flatnonzero(forest.root != np.arange(len(part)))
@@ -171,16 +214,15 @@ def _link(threshold: int):
     return each
 
 
-def link_edges(fps: DataFrame, threshold: int = THRESHOLD, cell: int = CELL) -> DataFrame:
-    """Edges (a, b) between the representatives of linked fingerprints: a spanning
-    forest of the links of every comparison cell, whose components are those of
-    all links. ``fps``: distinct (fp, rep)."""
-    if not 0 <= threshold <= 4:
-        raise ValueError("the covering holds for thresholds from 0 to 4")
-    cells = _cells(_anchors(fps), cell)
+def link_edges(points: DataFrame, threshold: int = THRESHOLD, cell: int = CELL) -> DataFrame:
+    """Edges (a, b) between points that share an anchor by one of their ``keys``
+    and whose ``sketch`` differs in at most ``threshold`` bits: a spanning forest
+    of the links of every comparison cell, whose components are those of all
+    links. ``points``: distinct rep, keys array<bigint>, sketch array<bigint>."""
+    cells = _cells(_anchors(points), cell).join(points.select("rep", "sketch"), "rep")
     return (
         cells.repartition("anchor", "i", "j")
-        .sortWithinPartitions("anchor", "i", "j", "fp")
+        .sortWithinPartitions("anchor", "i", "j", "rep")
         .mapInPandas(_link(threshold), "a long, b long")
         .distinct()
     )
@@ -198,9 +240,12 @@ def near_duplicates(
     its fingerprint if another row has it, else null, and adds no link. Rows that
     share a doc_id are one document. Other columns are ignored.
     """
+    if not 0 <= threshold <= 4:
+        raise ValueError("the covering holds for thresholds from 0 to 4")
     fps = written(fingerprints(docs, shingle), "simhash")
     reps = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    edges = link_edges(reps.where("rep IS NOT NULL"), threshold, cell)
+    points = reps.where("rep IS NOT NULL").select("rep", F.array("fp").alias("keys"), F.array("fp").alias("sketch"))
+    edges = link_edges(points, threshold, cell)
     parts = connected_components(edges)
     # a fingerprint that several doc_ids have, or a doc_id with several, joins its components
     classes = reps.join(parts, F.col("rep") == F.col("node"), "left").select(
@@ -209,11 +254,47 @@ def near_duplicates(
     return fps.join(classes, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
-    """``docs`` with one document of each component: the one with the smallest
-    doc_id. Rows with a null doc_id stay. All columns are kept as they are."""
+def _bits(similarity: float) -> int:
+    """Differing bits of two shingle fingerprints up to which their sets count as
+    alike: what sets of that Jaccard likeness j, whose cosine is 2 j / (1 + j),
+    differ in on average and one and a half standard deviations more."""
+    width = 64 * SHINGLE_PRINTS
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return int(width * p + 1.5 * math.sqrt(width * p * (1 - p)))
+
+
+def similar(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, cell: int = CELL) -> DataFrame:
+    """(doc_id, component_id) for every row of ``docs`` (doc_id, text, ...), where
+    documents link whose shingle sets have a Jaccard likeness of ``similarity`` or
+    more as their fingerprints measure it.
+
+    Texts with equal fingerprints of 704 bits are one class from the start. Null
+    and empty texts are alike. Null doc_ids, repeated doc_ids and other columns
+    are treated as in ``near_duplicates``.
+    """
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.list_(pa.int64())] * 2
+        for batch in batches:
+            prints = [set_prints(x.as_py(), shingle) for x in batch.column(1)]
+            columns = [pa.array([p[i] for p in prints], kinds[i]) for i in range(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "keys", "sketch"])
+
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    prints = written(rows.mapInArrow(each, "doc_id long, keys array<bigint>, sketch array<bigint>"), "simhash-sets")
+    reps = prints.groupBy("keys", "sketch").agg(F.min("doc_id").alias("rep"))
+    parts = connected_components(link_edges(reps.where("rep IS NOT NULL"), _bits(similarity), cell))
+    classes = reps.join(parts, F.col("rep") == F.col("node"), "left").select(
+        "keys", "sketch", F.coalesce("component", "rep").alias("component_id")
+    )
+    return prints.join(classes, ["keys", "sketch"], "left").select("doc_id", "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """``docs`` with one document of each component of ``similar``: the one with
+    the smallest doc_id. Rows with a null doc_id stay. Columns stay as they are."""
     gone = (
-        near_duplicates(docs.select("doc_id", "text"), shingle, threshold)
+        similar(docs.select("doc_id", "text"), shingle, similarity)
         .where("doc_id <> component_id")
         .select(F.col("doc_id").alias("__gone"))
         .distinct()
