@@ -12,6 +12,7 @@ pieces are joined.
 from __future__ import annotations
 
 import functools
+import re
 import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
@@ -27,7 +28,7 @@ from lorikeet.llm.common import sum_before, written
 CAPACITY = 4096
 #: The id that ends every document.
 END_ID = 1
-#: Distinct words whose ids a Python worker keeps; others are looked up again.
+#: Distinct words, and words with what adjoins them, whose ids a Python worker keeps.
 KEPT_WORDS = 1_000_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -38,12 +39,16 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: What sends an ASCII text through the library whole: Python splits at these, the file doesn't.
+_ODD = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
+
+
 class WordTokenizer:
     """The ids that ``tokenizers`` gives a text without special tokens, for a
     lower-casing BPE file with word ends; ids of frequent words are kept.
 
     Texts are normalised and cut at white space as the file's normaliser and
-    pre-tokeniser do; chunks not met before go through the library together.
+    pre-tokeniser do; words not met before go through the library together.
     Texts outside Latin script, and those that hold control characters or a
     special token, go through the library whole.
     """
@@ -52,27 +57,42 @@ class WordTokenizer:
 
     def __init__(self, path: str):
         import regex
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.model = Tokenizer.from_file(path)
         self.words = regex.compile(self._WORD).findall
-        self.other = regex.compile(r"[^\u0000-\u024F\u2010-\u2044]|[\x1c-\x1f]|<\|").search
+        self.other = re.compile(r"[^\u0000-\u024F\u2010-\u2044]|[\x1c-\x1f]|<\|").search
         ends = [i for t, i in self.model.get_vocab(with_added_tokens=False).items() if t.endswith("</w>")]
         self.is_end = np.zeros(self.model.get_vocab_size() + 1, bool)
         self.is_end[ends] = True
+        # the same vocabulary for words that are already normalised and cut
+        self.bare = Tokenizer.from_file(path)
+        self.bare.normalizer = normalizers.Sequence([])
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        )
         self.kept: dict[str, bytes] = {}
-
-    def _look_up(self, chunks: list[str]) -> dict[str, bytes]:
-        words = [self.words(c) for c in chunks]
-        joined = " ".join([w for ws in words for w in ws])
-        ids = np.array(self.model.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
-        ends = np.concatenate([[0], np.flatnonzero(self.is_end[ids]) + 1])
-        last = np.cumsum([len(ws) for ws in words])
-        if len(ends) != last[-1] + 1:  # a word that is cut otherwise alone
-            each = self.model.encode_batch_fast(chunks, add_special_tokens=False)
-            return {c: np.array(e.ids, "<u4").tobytes() for c, e in zip(chunks, each)}
-        raw, at = ids.tobytes(), [0, *(ends[last] * 4).tolist()]
-        return {c: raw[at[i] : at[i + 1]] for i, c in enumerate(chunks)}
+        self.kept_words: dict[str, bytes] = {}
+
+    def _encode_words(self, words: list[str]) -> dict[str, bytes]:
+        ids = np.array(self.bare.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(self.is_end[ids]) + 1
+        if len(ends) != len(words):
+            raise ValueError("the vocabulary does not mark every word's end")
+        raw, at = ids.tobytes(), [0, *(ends * 4).tolist()]
+        return {w: raw[at[i] : at[i + 1]] for i, w in enumerate(words)}
+
+    def _look_up(self, chunks: set[str]) -> dict[str, bytes]:
+        cut = [(c, self.words(c)) for c in chunks]
+        known = self.kept_words
+        new = {w for _, words in cut for w in words}.difference(known)
+        if new:
+            found = self._encode_words(list(new))
+            if len(known) < KEPT_WORDS:
+                known.update(found)
+            else:
+                known = _Either(found, known)
+        return {c: known[words[0]] if len(words) == 1 else b"".join([known[w] for w in words]) for c, words in cut}
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
@@ -80,21 +100,23 @@ class WordTokenizer:
         cut: list[list[str] | None] = []
         new: set[str] = set()
         for text in texts:
-            if text and self.other(text):
+            text = text or ""
+            plain = text.isascii()
+            if any(c in text for c in _ODD) if plain else self.other(text):
                 cut.append(None)
                 continue
-            chunks = unicodedata.normalize("NFC", text).lower().split() if text else []
+            chunks = (text if plain else unicodedata.normalize("NFC", text)).lower().split()
             new.update(chunks)
             cut.append(chunks)
-        new = {c for c in new if c not in kept}
-        found = self._look_up(list(new)) if new else {}
+        new = new.difference(kept)
+        found = self._look_up(new) if new else {}
         if len(kept) < KEPT_WORDS:
             kept.update(found)
-            found = kept
+            get = kept.__getitem__
         else:
-            found = _Either(found, kept)
+            get = _Either(found, kept).__getitem__
         return [
-            b"".join([found[c] for c in chunks])
+            b"".join(map(get, chunks))
             if chunks is not None
             else np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
             for text, chunks in zip(texts, cut)
