@@ -76,11 +76,10 @@ def fan_out(replies: DataFrame, joined: DataFrame) -> DataFrame:
     """D-05: a copy of each session reply for every member, the sender included;
     personal replies go to their connection. Both sides are batches, as in
     ``foreachBatch``."""
-    to_all = replies.where("scope = 'session'").alias("r").join(
-        joined.alias("m"), F.col("r.session_id") == F.col("m.session_id")
-    ).select(F.col("m.connection_id").alias("recipient"), "r.*")
+    to = joined.select(F.col("session_id").alias("__session"), F.col("connection_id").alias("recipient"))
+    to_all = replies.where("scope = 'session'").join(to, F.col("session_id") == F.col("__session")).drop("__session")
     personal = replies.where("scope = 'personal'").select(F.col("connection_id").alias("recipient"), *replies.columns)
-    return to_all.unionByName(personal)
+    return to_all.select("recipient", *replies.columns).unionByName(personal)
 
 
 def event_rates(events: DataFrame, late: str = "1 hour", window: str = "1 day") -> DataFrame:
