@@ -1,0 +1,543 @@
+"""The ten operators against brute force, round trips and held-out labels."""
+
+import collections
+import hashlib
+import math
+import random
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lorikeet.llm import chat, embedding_dedup, entry, graph, mixing, multiset_hash, packing, pii, sharding, simhash, toxicity, warc
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+LONG = "word " * 30_000
+
+
+def doc_rows(texts, source=lambda i: f"s{i % 3}"):
+    return [(i, t, "en", source(i), len(t or "")) for i, t in enumerate(texts)]
+
+
+@pytest.fixture()
+def odd_docs(spark):
+    """Nulls in any column, empty and very long texts, repeated rows, clashing extra columns."""
+    rows = doc_rows(["a b c d e f", None, "", LONG, "a b c d e f", "\n\n x é"]) + [
+        (None, None, None, None, None), (None, "a b c d e f", "en", None, 3), (4, "a b c d e f", "en", "s1", 11),
+        (4, "other words here", "en", "s1", 11),
+    ]
+    df = spark.createDataFrame(rows, DOCS)
+    clashing = ["size", "target", "taken", "fp", "rep", "component_id", "node", "shard", "slot", "score", "n_replaced", "length", "piece", "u", "v", "key"]
+    return df.select("*", *[F.lit("x").alias(c) for c in clashing])
+
+
+@pytest.fixture()
+def no_docs(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def components(ids, linked):
+    root = {i: i for i in ids}
+    for a in ids:
+        for b in ids:
+            if a < b and linked(a, b):
+                x, y = a, b
+                while root[x] != x:
+                    x = root[x]
+                while root[y] != y:
+                    y = root[y]
+                root[max(x, y)] = min(x, y)
+    out = {}
+    for i in ids:
+        x = i
+        while root[x] != x:
+            x = root[x]
+        out[i] = x
+    return out
+
+
+# 1: SimHash
+
+
+def slow_simhash(text, k=4):
+    from xxhash import xxh64_intdigest
+
+    words = (text or "").encode().lower().split()
+    shingles = [b" ".join(words[i : i + k]) for i in range(len(words) - k + 1)] or ([b" ".join(words)] if words else [])
+    hashes = [xxh64_intdigest(s, 42) for s in shingles]
+    return sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hashes) * 2 > len(hashes))
+
+
+def test_simhash_matches_definition():
+    for text in ["", None, "One", "a b c", "a b c d", "A b C d e a b c d", "x " * 500, "Été \x1c y\x0bz q r s"]:
+        assert simhash.simhash(text, 4) % (1 << 64) == slow_simhash(text)
+
+
+def test_op1_against_all_pairs(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    got = {r["doc_id"]: r for r in simhash.op1_simhash(docs).collect()}
+    fps = {r["doc_id"]: slow_simhash(r["text"]) for r in docs.collect()}
+    assert {i: int(r["fingerprint"], 16) for i, r in got.items()} == fps
+    want = components(sorted(fps), lambda a, b: bin(fps[a] ^ fps[b]).count("1") <= 4)
+    assert {i: r["component_id"] for i, r in got.items()} == want
+
+
+def test_covering_finds_every_close_pair(spark):
+    """Random fingerprints with planted neighbours at each distance, in small cells."""
+    rng = random.Random(1)
+    fps = {}
+    for _ in range(40):
+        base = rng.getrandbits(64)
+        for distance in (0, 1, 2, 3, 4, 5, 6):
+            fps[len(fps)] = base ^ sum(1 << b for b in rng.sample(range(64), distance))
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    reps = {}
+    for i, x in fps.items():
+        reps.setdefault(x, i)
+    points = spark.createDataFrame([(i, [signed(x)], [signed(x)]) for x, i in reps.items()], "rep long, keys array<bigint>, sketch array<bigint>")
+    want = components(sorted(reps.values()), lambda a, b: bin(fps[a] ^ fps[b]).count("1") <= 4)
+    for cell in (2048, 2):
+        parts = {r["node"]: r["component"] for r in graph.connected_components(simhash.link_edges(points, 4, cell)).collect()}
+        assert {i: parts.get(i, i) for i in want} == want
+
+
+def test_chain_components(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (7, 7), (None, 3)], "a long, b long")
+    got = {r["node"]: r["component"] for r in graph.connected_components(edges).collect()}
+    assert got == {i: 0 for i in range(61)} | {100: 100, 101: 100}
+    assert graph.connected_components(edges.where("a < 0")).count() == 0
+
+
+def test_simhash_odd_rows(spark, odd_docs, no_docs):
+    got = [tuple(r) for r in simhash.near_duplicates(odd_docs, 4).collect()]
+    assert len(got) == odd_docs.count()
+    by = collections.defaultdict(set)
+    for doc_id, fp, comp in got:
+        by[doc_id].add((fp, comp))
+    assert {c for f, c in by[1] | by[2]} == {1} and {f for f, c in by[1]} == {0}
+    assert {c for _, c in by[0]} == {0} and 0 in {c for _, c in by[4]}
+    assert simhash.op1_simhash(no_docs).count() == 0 and simhash.drop_near_duplicates(no_docs).count() == 0
+    kept = simhash.drop_near_duplicates(odd_docs)
+    assert kept.columns == odd_docs.columns and {r["doc_id"] for r in kept.collect()} >= {0, 1, 3, None}
+
+
+def edited(rng, words, share):
+    return [rng.choice(words) + "x" if rng.random() < share else w for w in words]
+
+
+def test_likeness_of_shingle_sets(spark):
+    """Copies with few edited words are joined, unrelated texts and half-changed ones aren't."""
+    rng = random.Random(3)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 6))) for _ in range(800)]
+    texts, group = [], []
+    for g in range(30):
+        base = [rng.choice(vocabulary) for _ in range(rng.randint(150, 400))]
+        for share in (0.0, 0.0, 0.01, 0.01, 0.5):
+            texts.append(" ".join(edited(rng, base, share) if share else base))
+            group.append((g, share))
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar(spark.createDataFrame(doc_rows(texts), DOCS)).collect()}
+
+    def jaccard(a, b):
+        s = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (texts[a].split(), texts[b].split())]
+        return len(s[0] & s[1]) / len(s[0] | s[1])
+
+    near = [(a, b) for a in got for b in got if a < b and group[a][0] == group[b][0] and jaccard(a, b) >= 0.8]
+    far = [(a, b) for a in got for b in got if a < b and (group[a][0] != group[b][0] or 0.5 in (group[a][1], group[b][1]))]
+    assert len(near) > 60 and sum(got[a] == got[b] for a, b in near) >= 0.97 * len(near)
+    assert not any(got[a] == got[b] for a, b in far)
+
+
+# 2: mixing
+
+
+def test_targets_by_rounds(spark):
+    rng = random.Random(5)
+    for n in (1, 2, 5, 12):
+        sizes = {f"s{i:02d}": rng.choice([0, 1, 10, 1000, 50_000]) for i in range(n)}
+        names = sorted(sizes)
+        weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
+        total, fixed = sum(sizes.values()), {}
+        while True:  # share by weight, stop what is above, share the rest again
+            open_ = [s for s in names if s not in fixed]
+            rest = total - sum(fixed.values())
+            share = {s: rest * weight[s] / sum(weight[x] for x in open_) for s in open_}
+            over = [s for s in open_ if share[s] > 3 * sizes[s] + 1e-9]
+            if not over:
+                break
+            fixed |= {s: 3 * sizes[s] for s in over}
+        want = fixed | share
+        rows = spark.createDataFrame([(s, s, v) for s, v in sizes.items()], "skey string, source string, source_size long")
+        got = {r["skey"]: r["target"] for r in mixing.targets(rows).collect()}
+        assert got == pytest.approx(want)
+
+
+def test_mix_takes_each_budget(spark, sf_dir, odd_docs, no_docs):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("source", F.expr("if(doc_id % 4 = 0, null, source)"))
+    rows = mixing.op2_mix(docs).join(docs.select("doc_id", "source", "text"), "doc_id").collect()
+    by = collections.defaultdict(list)
+    for r in rows:
+        assert r["size"] == len((r["text"] or "").split()) and 0 <= r["taken"] <= 3 * r["size"]
+        by[r["source"]].append(r)
+    for rs in by.values():
+        assert sum(r["taken"] for r in rs) == pytest.approx(rs[0]["target"], abs=1)
+        assert sum(r["size"] for r in rs) == rs[0]["source_size"]
+    again = {r["doc_id"]: r["taken"] for r in mixing.op2_mix(docs.repartition(7)).collect()}
+    assert again == {r["doc_id"]: r["taken"] for r in rows}
+    copies = mixing.mixed_documents(docs).groupBy("doc_id").agg(F.sum(mixing.n_words("text")).alias("n"))
+    assert {r["doc_id"]: r["n"] for r in copies.collect()} == {r["doc_id"]: r["taken"] for r in rows if r["taken"]}
+    odd = mixing.mix(odd_docs)
+    assert odd.count() == odd_docs.count() and odd.where("text IS NULL").agg(F.sum("taken")).first()[0] == 0
+    assert mixing.mixed_documents(odd_docs).columns == odd_docs.columns
+    assert mixing.op2_mix(no_docs).count() == 0
+
+
+# 3: packing
+
+
+def check_packing(spark, docs):
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(packing.default_tokenizer())
+    pieces = packing.op3_pack(docs).collect()
+    ids = {}
+    for r in docs.collect():
+        ids.setdefault(r["doc_id"], []).append(model.encode(r["text"] or "", add_special_tokens=False).ids + [1])
+    want = collections.Counter()
+    for doc_id, copies in ids.items():
+        for x in copies:
+            for k, a in enumerate(range(0, len(x), 4096)):
+                part = np.array(x[a : a + 4096], "<u4")
+                want[doc_id, k, a, len(part), zlib.crc32(part.tobytes())] += 1
+    assert collections.Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in pieces) == want
+    bins = collections.defaultdict(list)
+    for r in pieces:
+        bins[r["sequence_id"]].append((r["offset"], r["length"]))
+    for members in bins.values():
+        at = 0
+        for offset, length in sorted(members):
+            assert offset == at
+            at += length
+        assert at <= 4096
+    return len(bins), -(-sum(r["length"] for r in pieces) // 4096)
+
+
+def test_op3(spark, sf_dir, odd_docs, no_docs):
+    used, least = check_packing(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    assert used <= least + 1
+    check_packing(spark, odd_docs)
+    assert packing.op3_pack(no_docs).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_fullest_is_the_fullest(seed):
+    rng = random.Random(seed)
+    counts = {rng.randint(1, 40): rng.randint(1, 3) for _ in range(6)}
+    got = packing.fullest(counts, 50)
+    pieces = [k for k, n in counts.items() for _ in range(n)]
+    longest = max(counts)
+    pieces.remove(longest)
+    sums = {longest}
+    for p in pieces:
+        sums |= {s + p for s in sums if s + p <= 50}
+    assert sum(k * n for k, n in got.items()) == max(sums)
+    assert all(n <= counts[k] for k, n in got.items()) and got[longest] >= 1
+
+
+def test_pack_counts_uses_every_piece():
+    rng = random.Random(9)
+    counts = {rng.randint(1, 4096): rng.randint(1, 50) for _ in range(300)}
+    used = collections.Counter()
+    for repeats, chosen in packing.pack_counts(counts):
+        assert sum(k * n for k, n in chosen.items()) <= 4096
+        for k, n in chosen.items():
+            used[k] += n * repeats
+    assert used == counts
+
+
+def test_word_tokenizer_equals_the_library():
+    words = packing.WordTokenizer(packing.default_tokenizer())
+    texts = ["it's 'SA ''t don't ÀÉ 12½", "<|endoftext|> x", "\x1c\x85  q", "ΣΑΣ İ", "é --'s a'll", None, "", "中文 \U0001f600"]
+    for text, got in zip(texts, words.encode_all(texts)):
+        assert np.frombuffer(got, "<u4").tolist() == words.model.encode(text or "", add_special_tokens=False).ids
+
+
+# 4: multiset fingerprints
+
+
+def test_op4(spark, sf_dir, odd_docs, no_docs):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    got = {r["doc_id"]: r for r in multiset_hash.op4_fingerprint(docs).collect()}
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    order = sorted(texts, reverse=True)
+    for i, doc_id in enumerate(order):
+        t, after = texts[doc_id], texts[order[(i + 1) % len(order)]]
+        k = len(t) // 3
+        r = got[doc_id]
+        assert r["n_chars"] == len(t)
+        assert r["edited_sha256"] == hashlib.sha256((t[: len(t) - k] + after[:k]).encode()).hexdigest()
+        assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
+    prints = collections.defaultdict(set)
+    for i, r in got.items():
+        prints[texts[i]].add(r["fingerprint"])
+    assert all(len(p) == 1 for p in prints.values()) and len({next(iter(p)) for p in prints.values()}) == len(prints)
+    long = [r for r in got.values() if r["n_chars"] > 600]
+    assert np.mean([r["near_edited"] for r in long]) > np.mean([r["near_next"] for r in long]) + 0.3
+    odd = multiset_hash.op4_fingerprint(odd_docs)
+    assert odd.count() == odd_docs.count() and multiset_hash.op4_fingerprint(no_docs).count() == 0
+
+
+def test_fingerprints_are_homomorphic(spark):
+    df = spark.createDataFrame([("one two\nthree four five\nsix", "three four five", "six\none two", "three four five\nsix\none two")], "a string, b string, c string, d string")
+    f = {c: multiset_hash.fingerprint(c) for c in "abcd"}
+    row = df.select(
+        (f["a"] == f["d"]).alias("order"),
+        (multiset_hash.combine(f["b"], f["c"]) == f["a"]).alias("insert"),
+        (multiset_hash.combine(f["a"], f["b"], -1) == f["c"]).alias("delete"),
+        multiset_hash.likeness(f["a"], f["d"]).alias("same"),
+        (f["a"] == f["c"]).alias("other"),
+    ).first()
+    assert row.asDict() == {"order": True, "insert": True, "delete": True, "same": 1.0, "other": False}
+
+
+# 5: chat
+
+
+def test_op5(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    more = spark.createDataFrame(
+        [(1000, 0, "us\ner\\", "a\\n <|turn|> </s>[INST]\n<|end|>\n<"), (1000, 1, "assistant", "[/INST]\\</s>\\\\"),
+         (1000, 1, "assistant", None), (None, 0, "assistant", "x"), (2000, None, None, "t"), (2000, 5, "user", LONG)],
+        "conv_id long, turn long, role string, text string",
+    )
+    every = rows.unionByName(more)
+    turns = collections.defaultdict(list)
+    said = "</s>[INST] ok [/INST]"
+    for c, t, role, text in [tuple(r) for r in every.collect()] + [(-7, 0, "user", said), (-7, 1, "assistant", said)]:
+        turns[c].append((t is None, t or 0, role or "", text or ""))
+    got = {r["conv_id"]: r for r in chat.op5_chat(every.withColumn("place", F.lit(1))).collect()}
+    assert set(got) == set(turns)
+    for c, v in turns.items():
+        v.sort()
+        loss = "".join(x for *_, role, x in v if role == "assistant")
+        r = got[c]
+        assert r["n_turns"] == len(v) and r["loss_chars"] == len(loss)
+        assert r["turns_sha256"] == hashlib.sha256("".join(f"{a}\n{b}\n" for *_, a, b in v).encode()).hexdigest()
+        assert r["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest()
+        assert r["formatted_chars"] > sum(len(x) for *_, x in v)
+    assert {r["conv_id"] for r in chat.op5_chat(more.limit(0)).collect()} == {-7}
+
+
+def test_examples_have_their_prefixes(spark):
+    rows = spark.createDataFrame([(1, i, "assistant" if i % 2 else "user", f"t{i} <s>") for i in range(6)], "conv_id long, turn long, role string, text string")
+    formatted = chat.format_turns(rows)
+    stream = "".join(r["formatted"] for r in formatted.orderBy("place").collect())
+    spans = {r["example"]: r for r in formatted.where("example IS NOT NULL").collect()}
+    examples = chat.example_texts(formatted).orderBy("example").collect()
+    assert len(examples) == 3
+    for r in examples:
+        s = spans[r["example"]]
+        assert r["context"] == stream[: s["context_end"]]
+        assert chat.unescape(r["reply"]) == f"t{2 * r['example'] + 1} <s>" and "<s>" not in r["reply"]
+        assert r["reply"] == stream[s["loss_start"] : s["loss_end"]]
+
+
+# 6: sharding
+
+
+def test_op6(spark, sf_dir, odd_docs, no_docs):
+    for docs in (spark.read.parquet(f"{sf_dir}/documents.parquet"), odd_docs):
+        texts = collections.Counter((r["doc_id"], len((r["text"] or "").encode()) + 16, zlib.crc32((r["text"] or "").encode())) for r in docs.collect())
+        got = sharding.op6_shard(docs).collect()
+        assert collections.Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == texts
+        slots = collections.defaultdict(list)
+        for r in got:
+            slots[r["shard"]].append(r["slot"])
+            assert 0 <= r["shard"] < 40 and r["grown_shard"] in (r["shard"], 40) and r["law"] == "key"
+        assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+    assert sharding.op6_shard(no_docs).count() == 0
+
+
+def test_shares_follow_weights_and_moves_are_confined(spark):
+    keys = spark.range(40_000).withColumnRenamed("id", "k")
+    old = sharding.ShardTree([[[1, 1], [2]], [[1, 3]]])
+    new = sharding.ShardTree([[[1, 1], [2]], [[1, 5]]])
+    grown = sharding.ShardTree(old.weights, [2.0])
+    rows = sharding.place(sharding.place(sharding.place(keys, "k", old, "a"), "k", new, "b"), "k", grown, "c").collect()
+    share = collections.Counter(r["a"] for r in rows)
+    for shard, weight in enumerate((1, 1, 2, 1, 3)):
+        assert share[shard] == pytest.approx(40_000 * weight / 8, rel=0.06)
+    assert all(r["b"] >= 3 for r in rows if r["a"] != r["b"])  # only into the region that grew, or within it
+    assert all(r["c"] == 5 for r in rows if r["a"] != r["c"])
+    assert sum(r["c"] == 5 for r in rows) == pytest.approx(40_000 * 2 / 10, rel=0.06)
+
+
+# 7: toxicity
+
+
+def test_op7_on_held_out_rows(spark, no_docs, odd_docs):
+    rng = random.Random(2)
+    plain = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(300)]
+    texts, labels = [], []
+    for i in range(1600):
+        words = [rng.choice(plain) for _ in range(40)]
+        toxic = i % 4 == 0
+        if toxic:
+            words[3] = words[20] = rng.choice(["insultox", "insultary", "grumblefoo"])
+        texts.append(" ".join(words))
+        labels.append((i, int(toxic)))
+    docs = spark.createDataFrame(doc_rows(texts), DOCS)
+    known = spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = toxicity.op7_toxicity(docs, known).collect()
+    held = [r for r in got if r["held_out"]]
+    assert {r["doc_id"] for r in held} == {i for i in range(1600) if zlib.crc32(str(i).encode()) % 4 == 2}
+    right = [r["predicted"] == dict(labels)[r["doc_id"]] for r in held]
+    assert len(held) > 300 and np.mean(right) > 0.97
+    # labels of held-out rows change nothing
+    flipped = known.withColumn("toxic", F.when(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    assert {tuple(r) for r in toxicity.op7_toxicity(docs, flipped).collect()} == {tuple(r) for r in got}
+    kept = toxicity.drop_toxic(odd_docs, known)
+    assert kept.columns == odd_docs.columns and kept.count() == odd_docs.count()
+    assert toxicity.op7_toxicity(no_docs, known).count() == 0
+    none = toxicity.op7_toxicity(odd_docs, known.limit(0)).collect()
+    assert len(none) == odd_docs.count() and all(0 <= r["score"] < 0.01 and r["predicted"] == 0 for r in none)
+
+
+def test_pairs_weigh_more_than_their_parts():
+    rng = np.random.default_rng(0)
+    x = (rng.random((3000, 6)) < 0.5).astype(np.float32)
+    y = ((x[:, 0] > 0) & (x[:, 1] > 0)).astype(np.float32)
+    bias, w, v = toxicity.fit(x, y, float(y.mean()))
+    machine = toxicity.Machine(np.arange(6), bias, w, v)
+    assert machine.score(np.array([0, 1])) > 0.8 > 0.2 > max(machine.score(np.array([0, 2])), machine.score(np.array([1, 3])))
+
+
+# 8: embeddings
+
+
+def test_op8_against_all_pairs(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(240):
+        base = rng.normal(size=16)
+        for j in range(3):
+            noise = (0.0, 0.1, 0.24)[j] * rng.normal(size=16)
+            rows.append((len(rows), (base + noise).astype(np.float32).tolist(), int(i % 2)))
+    rows += [(9000, rows[0][1], 0), (9001, rows[0][1], 1), (9002, rows[0][1], None), (9003, [2 * x for x in rows[0][1]], 0)]
+    rows += [(9004, None, 0), (9005, [0.0] * 16, 0), (9006, [float("nan")] * 16, 0), (9007, [None] * 16, 0), (9008, [], 0), (9009, [1.0], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumn("node", F.lit(1))
+    usable = {i: np.array(e, np.float64) for i, e, lab in rows if e and len(e) == 16 and None not in e and np.isfinite(e).all() and any(e) and lab is not None}
+    label = {i: lab for i, _, lab in rows}
+
+    def linked(a, b):
+        if a not in usable or b not in usable or label[a] != label[b]:
+            return False
+        x, y = usable[a], usable[b]
+        return x @ y / (np.linalg.norm(x) * np.linalg.norm(y)) >= 0.98
+
+    ids = [r[0] for r in rows]
+    links = {a: sum(linked(a, b) for b in ids if a != b) for a in ids}
+    parts = components(ids, linked)
+    for tile in (2048, 50):
+        got = {r["vec_id"]: r for r in embedding_dedup.near_duplicates(df, tile=tile).collect()}
+        assert {i: r["n_links"] for i, r in got.items()} == links
+        assert {i: r["component_id"] for i, r in got.items()} == parts
+        assert all(r["kept"] == (i == parts[i]) for i, r in got.items())
+    assert sum(links.values()) > 200
+    assert embedding_dedup.op8_embeddings(df.limit(0)).count() == 0
+
+
+def test_error_bound_is_rigorous():
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(300, 24)) * rng.choice([1e-3, 1, 50], size=(300, 24))
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    codes, scale, stands, lost = embedding_dedup.quantise(unit)
+    approx = (codes.astype(float) @ codes.T.astype(float)) * scale[:, None] * scale
+    bound = lost[:, None] * (stands + lost) + stands[:, None] * lost
+    assert (np.abs(unit @ unit.T - approx) <= bound + 1e-12).all() and bound.max() < 0.2
+
+
+# 9: WARC
+
+
+def test_op9(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    big = "z" * 1500
+    more = spark.createDataFrame(
+        [(900, "http://A.example.org:80/x?q=1#f", big), (901, "https://b.example.org/", big), (902, None, None),
+         (903, "not a url\r\nX: y", "small"), (904, "http://a.example.org/x?q=1", "small"), (905, "http://[bad", big), (905, "http://[bad", big)],
+        "page_id long, url string, html string",
+    )
+    every = pages.unionByName(more).withColumn("key", F.lit(1))
+    payload = [(r["page_id"], (r["html"] or "").encode()) for r in every.collect()]
+    last = {}
+    for i, p in payload:
+        if len(p) >= 1000:
+            last[p] = max(i, last.get(p, i))
+    want = collections.Counter(
+        (i, len(p), hashlib.sha1(p).hexdigest(), "response" if last.get(p, i) == i else "revisit", None if last.get(p, i) == i else last[p])
+        for i, p in payload
+    )
+    assert collections.Counter(tuple(r) for r in warc.op9_warc(every).collect()) == want
+    archive = warc.write_archive(every, block=3)
+    urls = spark.createDataFrame([("HTTP://a.example.org/x?q=1",), ("http://nowhere.example/",), (None,)], "url string")
+    found = warc.lookup(archive, urls)
+    assert sorted(r["page_id"] for r in found.collect()) == [900, 902, 904]
+    assert {r["page_id"] for r in warc.read_records(archive, found).collect()} == {900, 902, 904}
+    assert warc.op9_warc(every.limit(0)).count() == 0
+
+
+def test_url_keys():
+    assert warc.url_key("http://www.B.org:80/x?y#z") == "org,b,www)/x?y"
+    assert warc.url_key("https://b.org:8443") == "org,b:8443)/"
+    assert warc.url_key("") == "" and warc.url_key("http://[bad") == "http://[bad"
+
+
+# 10: PII
+
+
+def test_pseudonyms_keep_format_and_links():
+    names = pii.Pseudonyms(b"key")
+    text = (
+        "card 4111 1111 1111 1111, bad 9807915762804490, call +1 (017) 555-7713 or 555-123-4567, mail Ab.c-7@mail7.example.com,"
+        " ip 97.51.17.173 not 999.1.1.1, born 2024-02-29 or 31.12.1999 not 2023-02-30, ssn 123-45-6789,"
+        ' iban DE89 3704 0044 0532 0130 00, token = "2abc3ff2ca8fb1e4c565a0eb63815530a948bdde", version 3.0, again 97.51.17.173'
+    )
+    masked, n = names.mask(text)
+    assert n == 12 and names.mask(masked, back=True)[0] == text
+    for value in ("4111 1111 1111 1111", "9807915762804490", "555-7713", "555-123-4567", "Ab.c-7@", "97.51.17.173", "2024-02-29", "123-45-6789", "3704 0044", "2abc3ff2"):
+        assert value not in masked
+    for value in ("999.1.1.1", "2023-02-30", "version 3.0", "@mail7.example.com", "+1 ("):
+        assert value in masked
+    ips = [w.strip(",") for w in masked.split() if w.count(".") == 3 and w[0].isdigit() and not w.startswith("999")]
+    assert len(ips) == 2 and len(set(ips)) == 1
+    card = "".join(masked.split("card ")[1].split(",")[0].split())
+    assert pii.luhn(card[:-1]) == int(card[-1])
+    assert names.mask("x" * 200_000 + " a@b.co" + "y.z" * 20_000)[1] == 1
+
+
+@pytest.mark.parametrize("size", [1, 2, 10, 97, 1000])
+def test_feistel_is_a_permutation(size):
+    f = pii.Feistel(b"k", "t", size)
+    images = [f.apply(x) for x in range(size)]
+    assert sorted(images) == list(range(size)) and [f.apply(y, back=True) for y in images] == list(range(size))
+    even = lambda x: x % 2 == 0
+    assert sorted(f.apply(x, valid=even) for x in range(0, size, 2)) == list(range(0, size, 2))
+
+
+def test_op10(spark, sf_dir, odd_docs, no_docs):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    names = pii.Pseudonyms()
+    got = {r["doc_id"]: r for r in pii.op10_pii(docs).collect()}
+    for r in docs.collect():
+        assert (got[r["doc_id"]]["text"], got[r["doc_id"]]["n_replaced"]) == names.mask(r["text"])
+    assert sum(r["n_replaced"] for r in got.values()) > 5
+    back = {r["doc_id"]: r["text"] for r in pii.pseudonymise(pii.op10_pii(docs), back=True).collect()}
+    assert back == {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert pii.pseudonymise(odd_docs).count() == odd_docs.count() and pii.op10_pii(no_docs).count() == 0
+
+
+def test_every_query_is_registered():
+    names = entry.queries()
+    assert {int(n[2:].split("_")[0]) for n in names if n.startswith("op")} == set(range(1, 11)) and "pipeline" in names
+    assert math.isfinite(len(entry.oracle_sql())) and set(entry.oracle_sql()) <= set(names)
