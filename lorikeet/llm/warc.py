@@ -1,10 +1,11 @@
 """WARC archives with a two-level capture index.
 
 Pages are written as gzip members of WARC records, an archive file for each
-task. The captures are sorted by reversed-host URL key and cut into compressed
-blocks in index files; a sparse directory keeps the first key of each block. A
-lookup binary-searches the directory, reads the ranges of the blocks it needs,
-and then the ranges of the records they name.
+task. The captures are range-sorted by reversed-host URL key and cut into
+compressed blocks, an index file for each range; beside it, a sparse directory
+keeps the first and last key of each block. A lookup finds the index file of a
+key, binary-searches its directory, reads the ranges of the blocks it needs, and
+then the ranges of the records they name.
 
 Tasks write and read these files through pyarrow's file systems, so the folder
 may lie in any store that these and Spark both reach. A file's name is unique to
@@ -40,13 +41,13 @@ _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 @dataclass(frozen=True)
 class Archive:
-    """Folder of an archive: warc/ and index/ hold the files, directory.parquet a
-    row for each index block (first_key, file, offset, length)."""
+    """Folder of an archive: warc/ and index/ hold the files, index.parquet a row
+    for each index file (file, first_key, last_key)."""
 
     path: str
 
-    def directory(self, spark: SparkSession) -> DataFrame:
-        return spark.read.parquet(f"{self.path}/directory.parquet")
+    def index(self, spark: SparkSession) -> DataFrame:
+        return spark.read.parquet(f"{self.path}/index.parquet")
 
 
 def url_key(url: str) -> str:
@@ -159,44 +160,56 @@ def write_archive(pages: DataFrame, path: str | None = None, block: int = BLOCK)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, root = _files(path)
-        name, at, out, held = f"index/{uuid.uuid4().hex}.gz", 0, None, []
+        name, at, out, held, directory = f"index/{uuid.uuid4().hex}", 0, None, [], []
 
-        def flush() -> tuple:
+        def flush() -> None:
             nonlocal at, out
             if out is None:
                 files.create_dir(f"{root}/index", recursive=True)
-                out = files.open_output_stream(f"{root}/{name}", compression=None)
-            table = pa.Table.from_batches([_batch(held, _CAPTURES)])
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, table.schema) as writer:
-                writer.write_table(table)
-            member = gzip.compress(sink.getvalue(), 6, mtime=0)
+                out = files.open_output_stream(f"{root}/{name}.gz", compression=None)
+            member = _packed(held, _CAPTURES)
             out.write(member)
-            row = (held[0][0], held[-1][0], name, at, len(member))
+            directory.append((held[0][0], held[-1][0], at, len(member)))
             at += len(member)
             held.clear()
-            return row
 
         try:
             for batch in batches:
-                done = []
                 for row in zip(*(c.to_pylist() for c in batch.columns)):
                     held.append(row)
                     if len(held) == block:
-                        done.append(flush())
-                yield _batch(done, _DIRECTORY)
+                        flush()
             if held:
-                yield _batch([flush()], _DIRECTORY)
+                flush()
         finally:
             if out is not None:
                 out.close()
+        if directory:
+            with files.open_output_stream(f"{root}/{name}.directory", compression=None) as sink:
+                sink.write(_packed(directory, _DIRECTORY))
+            yield _batch([(name, directory[0][0], directory[-1][1])], _INDEX)
 
     ranged = captures.repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id")
-    ranged.mapInArrow(index, _DIRECTORY).write.parquet(f"{path}/directory.parquet")
+    ranged.mapInArrow(index, _INDEX).write.parquet(f"{path}/index.parquet")
     return Archive(path)
 
 
-_DIRECTORY = "first_key string, last_key string, file string, offset long, length long"
+def _packed(rows: list[tuple], schema: str) -> bytes:
+    """A gzip member that holds the rows as an Arrow stream."""
+    table = pa.Table.from_batches([_batch(rows, schema)])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as writer:
+        writer.write_table(table)
+    return gzip.compress(sink.getvalue(), 6, mtime=0)
+
+
+def _unpacked(member: bytes) -> Iterator[tuple]:
+    columns = pa.ipc.open_stream(gzip.decompress(member)).read_all().columns
+    return zip(*(c.to_pylist() for c in columns))
+
+
+_INDEX = "file string, first_key string, last_key string"
+_DIRECTORY = "first_key string, last_key string, offset long, length long"
 _TYPES = {"string": pa.string(), "long": pa.int64()}
 
 
@@ -206,64 +219,67 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, _TYPES[k]) for c, k in zip(columns, kinds)], names=list(names))
 
 
-_BLOCKS = "key string, file string, offset long, length long"
+def _reaching(firsts: list[bytes], lasts: list[bytes], key: bytes) -> Iterator[int]:
+    """Places of the ranges, in key order, that may hold a key, by binary search."""
+    at = bisect.bisect_right(firsts, key) - 1  # the last that starts at or before it
+    while at >= 0 and lasts[at] >= key:
+        yield at
+        at -= 1
 
 
-def find_blocks(archive: Archive, keys: DataFrame) -> DataFrame:
-    """(key, file, offset, length): the index blocks that may hold each key of
-    ``keys``, by binary search in the directory. A task holds the directory, which
-    has one row for each block of captures; ``keys`` may be any table."""
-    path = f"{archive.path}/directory.parquet"
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow.dataset as ds
-
-        firsts = None
-        for batch in batches:
-            if firsts is None:
-                files, root = _files(path)
-                listed = ds.dataset(root, filesystem=files, format="parquet").to_table().to_pylist()
-                listed.sort(key=lambda r: (r["first_key"].encode("utf-8", "surrogatepass"), r["last_key"], r["file"], r["offset"]))
-                firsts = [r["first_key"].encode("utf-8", "surrogatepass") for r in listed]
-            rows = []
-            for key in batch.column(0).to_pylist():
-                coded = key.encode("utf-8", "surrogatepass")
-                at = bisect.bisect_right(firsts, coded) - 1  # the last block that starts at or before it
-                while at >= 0 and listed[at]["last_key"].encode("utf-8", "surrogatepass") >= coded:
-                    rows.append((key, listed[at]["file"], listed[at]["offset"], listed[at]["length"]))
-                    at -= 1
-            yield _batch(rows, _BLOCKS)
-
-    return keys.mapInArrow(search, _BLOCKS)
+def _coded(key: str) -> bytes:
+    return key.encode("utf-8", "surrogatepass")
 
 
 def lookup(archive: Archive, urls: DataFrame) -> DataFrame:
     """Captures (key, page_id, file, offset, length) of every distinct key of
-    ``urls`` (url): directory, then block ranges, each block read once."""
+    ``urls`` (url).
+
+    A key is sent to the index files whose range holds it; of those there are at
+    most as many as the index had partitions, so their ranges go with the task.
+    The task of an index file binary-searches the file's directory of blocks for
+    its keys, which come sorted, and reads the range of each block once.
+    """
+    listed = [tuple(r) for r in archive.index(urls.sparkSession).select("file", "first_key", "last_key").collect()]
+    listed.sort(key=lambda r: (_coded(r[1]), _coded(r[2]), r[0]))
+    firsts, lasts = [_coded(r[1]) for r in listed], [_coded(r[2]) for r in listed]
+    names = [r[0] for r in listed]
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield _batch([(url_key(u or ""),) for u in batch.column(0).to_pylist()], "key string")
 
-    wanted = urls.select("url").mapInArrow(keys, "key string").distinct()
-    blocks = find_blocks(archive, wanted).repartition("file", "offset").sortWithinPartitions("file", "offset", "key")
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(k, names[i]) for k in batch.column(0).to_pylist() for i in _reaching(firsts, lasts, _coded(k))]
+            yield _batch(rows, "key string, file string")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, root = _files(archive.path)
-        now, held = None, {}
+        now, blocks, starts, ends, source, held = None, [], [], [], None, (None, {})
         for batch in batches:
             rows = []
-            for key, file, offset, length in zip(*(c.to_pylist() for c in batch.columns)):
-                if now != (file, offset):
-                    now, held = (file, offset), {}
-                    with files.open_input_file(f"{root}/{file}") as source:
-                        raw = gzip.decompress(source.read_at(length, offset))
-                    for row in zip(*(c.to_pylist() for c in pa.ipc.open_stream(raw).read_all().columns)):
-                        held.setdefault(row[0], []).append(row)
-                rows += held.get(key, [])
+            for key, file in zip(*(c.to_pylist() for c in batch.columns)):
+                if now != file:
+                    if source is not None:
+                        source.close()
+                    with files.open_input_stream(f"{root}/{file}.directory", compression=None) as d:
+                        blocks = list(_unpacked(d.read()))
+                    starts, ends = [_coded(b[0]) for b in blocks], [_coded(b[1]) for b in blocks]
+                    now, source, held = file, files.open_input_file(f"{root}/{file}.gz"), (None, {})
+                for i in _reaching(starts, ends, _coded(key)):
+                    if held[0] != i:
+                        found: dict[str, list[tuple]] = {}
+                        for row in _unpacked(source.read_at(blocks[i][3], blocks[i][2])):
+                            found.setdefault(row[0], []).append(row)
+                        held = (i, found)
+                    rows += held[1].get(key, [])
             yield _batch(rows, _CAPTURES)
+        if source is not None:
+            source.close()
 
-    return blocks.mapInArrow(read, _CAPTURES)
+    wanted = urls.select("url").mapInArrow(keys, "key string").distinct().mapInArrow(send, "key string, file string")
+    return wanted.repartition("file").sortWithinPartitions("file", "key").mapInArrow(read, _CAPTURES)
 
 
 _READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
