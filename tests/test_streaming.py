@@ -55,3 +55,15 @@ def test_event_rates_as_stream(spark, sf_dir, tmp_path):
     q.awaitTermination(120)
     key = lambda df: sorted((r["window_start"], r["event_type"], r["n_events"]) for r in df.collect())
     assert key(spark.table("rates")) == key(M.event_rates(table))
+
+
+def test_scoring_a_stream(spark, tmp_path):
+    from lorikeet.operators.scoring import score_words
+
+    source = tmp_path / "said"
+    source.mkdir()
+    send(source, "1.json", [{"expected": "rabbit", "actual": "wabbit"}, {"expected": "cat", "actual": "zzzzz"}])
+    rows = spark.readStream.schema("expected string, actual string").json(str(source))
+    q = score_words(rows).writeStream.format("memory").queryName("scores").option("checkpointLocation", str(tmp_path / "c3")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert {r["expected"]: r["is_correct"] for r in spark.table("scores").collect()} == {"rabbit": True, "cat": False}
