@@ -38,7 +38,7 @@ def listed(column: str | Column) -> Column:
 
 
 def _performance(d: Domain) -> DataFrame:
-    return P.performance_rollup(d.session_activities, d.therapy_sessions)
+    return P.performance_rollup(d.answers, d.therapy_sessions)
 
 
 def performance_rollup(d: Domain) -> DataFrame:
@@ -46,7 +46,7 @@ def performance_rollup(d: Domain) -> DataFrame:
 
 
 def item_performance(d: Domain) -> DataFrame:
-    return rounded(P.item_performance(d.session_activities, d.therapy_sessions))
+    return rounded(P.item_performance(d.answers, d.therapy_sessions))
 
 
 def skill_vectors(d: Domain) -> DataFrame:
@@ -69,12 +69,12 @@ def child_profiles(d: Domain) -> DataFrame:
 
 
 def session_overview(d: Domain) -> DataFrame:
-    rows = S.session_overview(d.therapy_sessions, d.session_activities, d.activity_items, d.children, d.activity_categories)
+    rows = S.session_overview(d.therapy_sessions, d.answers, d.activity_items, d.children, d.activity_categories)
     return rounded(rows.withColumn("strengths", listed("strengths")).withColumn("areas_for_improvement", listed("areas_for_improvement")))
 
 
 def session_history(d: Domain) -> DataFrame:
-    return rounded(S.session_history(d.therapy_sessions, d.session_activities, d.caregiver_feedback, d.activity_categories))
+    return rounded(S.session_history(d.therapy_sessions, d.answers, d.caregiver_feedback, d.activity_categories))
 
 
 def performance_details(d: Domain) -> DataFrame:
@@ -90,7 +90,7 @@ def attempt_numbers(d: Domain) -> DataFrame:
 
 
 def session_rates(d: Domain) -> DataFrame:
-    so_far = S.success_so_far(d.session_activities)
+    so_far = S.success_so_far(d.answers)
     return rounded(so_far.join(S.recent_rate(d.session_activities), "session_id"))
 
 
@@ -107,15 +107,15 @@ def _stats(kind: str) -> Callable[[Domain], DataFrame]:
 
 
 def _trend(days: int) -> Callable[[Domain], DataFrame]:
-    return lambda d: rounded(G.progress_trend(d.children, d.therapy_sessions, d.session_activities, AS_OF, days))
+    return lambda d: rounded(G.progress_trend(d.children, d.therapy_sessions, d.answers, AS_OF, days))
 
 
 def session_scores(d: Domain) -> DataFrame:
-    return rounded(G.session_scores(d.therapy_sessions, d.session_activities))
+    return rounded(G.session_scores(d.therapy_sessions, d.answers))
 
 
 def improvement_areas(d: Domain) -> DataFrame:
-    return G.improvement_areas(d.children, d.therapy_sessions, d.session_activities, d.activity_categories, AS_OF, 90, 365)
+    return G.improvement_areas(d.children, d.therapy_sessions, d.answers, d.activity_categories, AS_OF, 90, 365)
 
 
 def category_recommendations(d: Domain) -> DataFrame:
@@ -126,7 +126,7 @@ def _item_recommendations(d: Domain) -> DataFrame:
     pairs = d.therapy_sessions.select("child_id", "category_id").distinct()
     perf = _performance(d)
     return R.item_recommendations(
-        pairs, d.activity_items, d.activity_categories, perf, P.item_performance(d.session_activities, d.therapy_sessions)
+        pairs, d.activity_items, d.activity_categories, perf, P.item_performance(d.answers, d.therapy_sessions)
     )
 
 
@@ -150,17 +150,17 @@ def session_plans(d: Domain) -> DataFrame:
 
 
 def session_adjustments(d: Domain) -> DataFrame:
-    return R.session_adjustment(d.therapy_sessions, d.session_activities, d.activity_items, _item_recommendations(d))
+    return R.session_adjustment(d.therapy_sessions, d.answers, d.activity_items, _item_recommendations(d))
 
 
 def next_items(d: Domain) -> DataFrame:
-    return R.next_item(d.therapy_sessions, d.session_activities, d.activity_items)
+    return R.next_item(d.therapy_sessions, d.answers, d.activity_items)
 
 
 def next_activities(d: Domain) -> DataFrame:
     perf = _performance(d)
     return R.next_activity(
-        d.therapy_sessions, d.session_activities, d.activity_items, d.activity_categories, perf, P.child_profile(d.children, perf)
+        d.therapy_sessions, d.answers, d.activity_items, d.activity_categories, perf, P.child_profile(d.children, perf)
     )
 
 
@@ -262,12 +262,12 @@ def word_comparisons(d: Domain) -> DataFrame:
 def upserted_rollup(d: Domain) -> DataFrame:
     """The roll-up of finished sessions, brought up to date by that of all."""
     done = d.therapy_sessions.where("is_completed")
-    old = P.performance_rollup(d.session_activities, done)
+    old = P.performance_rollup(d.answers, done)
     return rounded(W.upserted(old, _performance(d), ["child_id", "category_id"]))
 
 
 def deletable_items(d: Domain) -> DataFrame:
-    return W.deletable(d.activity_items, d.session_activities, "item_id").select("item_id", "name")
+    return W.deletable(d.activity_items, d.answers, "item_id").select("item_id", "name")
 
 
 def replaced_interests(d: Domain) -> DataFrame:

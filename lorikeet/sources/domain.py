@@ -92,12 +92,8 @@ class Domain:
             )
         )
 
-    @cached_property
-    def session_activities(self) -> DataFrame:
-        lines = self._read("lineitem")
-        each = Window.partitionBy("l_orderkey").orderBy(*lines.columns)
-        rows = lines.withColumn("seq", F.row_number().over(each)).select(
-            (F.col("l_orderkey") * 1000 + F.col("seq")).alias("activity_id"),
+    def _lines(self, lines: DataFrame, *more: str) -> DataFrame:
+        return lines.select(
             F.col("l_orderkey").alias("session_id"),
             F.col("l_partkey").alias("item_id"),
             F.when(F.col("l_returnflag") == "N", True).when(F.col("l_returnflag") == "R", False).alias("is_correct"),
@@ -107,11 +103,26 @@ class Domain:
             .alias("response_type"),
             F.when(F.col("l_tax") != 0, F.col("l_discount") * 10).alias("pronunciation_score"),
             F.col("l_quantity").alias("response_time_seconds"),
-            "seq",
+            *more,
         )
+
+    @cached_property
+    def answers(self) -> DataFrame:
+        """The attempts without their ids and times, which need an order among the
+        lines of a session; for operators that count or sum."""
+        return self._lines(self._read("lineitem"))
+
+    @cached_property
+    def session_activities(self) -> DataFrame:
+        lines = self._read("lineitem")
+        each = Window.partitionBy("l_orderkey").orderBy(*lines.columns)
+        rows = self._lines(lines.withColumn("seq", F.row_number().over(each)), "seq")
         starts = self.therapy_sessions.select("session_id", "start_time")
-        at = F.expr("start_time + make_dt_interval(0, 0, seq)")
-        return rows.join(starts, "session_id").withColumn("created_at", at).drop("start_time", "seq")
+        return rows.join(starts, "session_id").select(
+            (F.col("session_id") * 1000 + F.col("seq")).alias("activity_id"),
+            *[c for c in rows.columns if c != "seq"],
+            F.expr("start_time + make_dt_interval(0, 0, seq)").alias("created_at"),
+        )
 
     @cached_property
     def caregiver_feedback(self) -> DataFrame:
