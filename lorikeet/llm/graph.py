@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorikeet.llm.common import drop_path, scratch_path
+from lorikeet.llm.common import drop_path, scratch_path, written
 
 
 def _min_neighbour(both: DataFrame) -> DataFrame:
-    return both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
+    """(w, m): of each node the least of itself and its neighbours. Written, so that
+    the join with the edges shuffles both sides and adaptive execution can split
+    the rows of a hub; behind an aggregate they would stay in one task."""
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
+    return written(least, "stars")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ CAPACITY = 4096
 #: The id that ends every document.
 END_ID = 1
 #: Distinct words, and words with what adjoins them, whose ids a Python worker keeps.
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 400_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 

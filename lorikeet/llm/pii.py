@@ -251,7 +251,7 @@ def pseudonymise(docs: DataFrame, key: bytes = KEY, back: bool = False) -> DataF
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = Pseudonyms(key)
-        for batch in batches:
+        for batch in (b.slice(lo, 1000) for b in batches for lo in range(0, b.num_rows, 1000)):
             done = [(None, 0) if x is None else names.mask(x, back) for x in batch.column(at).to_pylist()]
             columns = list(batch.columns)
             columns[at] = pa.array([t for t, _ in done], pa.string())

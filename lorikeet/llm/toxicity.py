@@ -36,7 +36,7 @@ RANK = 4
 #: Score from which a document is called toxic.
 CUT = 0.3
 #: Words whose buckets a Python worker keeps.
-KEPT_WORDS = 500_000
+KEPT_WORDS = 150_000
 
 _words = re.compile(r"[^\W\d_]+").findall
 
@@ -179,7 +179,7 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
                 kept[word] = found
             return found
 
-        for batch in batches:
+        for batch in (b.slice(lo, 1000) for b in batches for lo in range(0, b.num_rows, 1000)):
             scores = []
             for x in batch.column(batch.schema.get_field_index("text")):
                 at: set[int] = set()
