@@ -21,6 +21,7 @@ from lorikeet.operators import sessions as S
 from lorikeet.operators.categories import category_stats
 from lorikeet.operators.similarity import similar_children
 from lorikeet.plans.oracle import ORACLES
+from lorikeet.session import ship
 from lorikeet.sources import tables as W
 from lorikeet.sources.domain import AS_OF, Domain, with_views
 from lorikeet.streaming import messages as M
@@ -298,7 +299,7 @@ def gaze_summary(d: Domain) -> DataFrame:
 
 
 def _of(query: Callable[[Domain], DataFrame]) -> Query:
-    return lambda spark, sf_dir: query(Domain(spark, sf_dir))
+    return lambda spark, sf_dir: query(Domain(ship(spark), sf_dir))
 
 
 CATALOG: dict[str, Callable[[Domain], DataFrame]] = {

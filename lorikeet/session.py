@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 #: UTC and ANSI semantics; the rest is left to adaptive execution.
@@ -17,4 +24,20 @@ def get_session(app: str = "lorikeet", **settings: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     for key, value in (SETTINGS | settings).items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return ship(builder.getOrCreate())
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send the package to the Python workers, once a session, so that functions
+    run on executors which have no copy of it; Spark serves the archive."""
+    context = spark.sparkContext
+    if not getattr(context, "_lorikeet_shipped", False):
+        root, folder = Path(__file__).parent, tempfile.mkdtemp(prefix="lorikeet-")
+        archive = os.path.join(folder, "lorikeet.zip")
+        with zipfile.ZipFile(archive, "w") as z:
+            for file in sorted(root.rglob("*.py")):
+                z.write(file, os.path.join("lorikeet", file.relative_to(root)))
+        atexit.register(shutil.rmtree, folder, True)  # executors that start later fetch it too
+        context.addPyFile(archive)
+        context._lorikeet_shipped = True
+    return spark
