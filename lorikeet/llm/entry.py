@@ -18,14 +18,15 @@ from lorikeet.llm.sharding import op6_shard
 from lorikeet.llm.simhash import op1_simhash
 from lorikeet.llm.toxicity import op7_toxicity
 from lorikeet.llm.warc import OP9_SQL, op9_warc
+from lorikeet.session import ship
 
 
 def _over(table: str, op: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: op(read(spark, sf_dir, table))
+    return lambda spark, sf_dir: op(read(ship(spark), sf_dir, table))
 
 
 def _op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op7_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return op7_toxicity(read(ship(spark), sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -40,7 +41,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_embeddings": _over("embeddings", op8_embeddings),
         "op9_warc": _over("pages", op9_warc),
         "op10_pii": _over("documents", op10_pii),
-        "pipeline": corpus_pipeline.run,
+        "pipeline": lambda spark, sf_dir: corpus_pipeline.run(ship(spark), sf_dir),
     }
 
 
