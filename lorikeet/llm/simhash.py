@@ -18,7 +18,7 @@ shingle sets, whose differing bits measure the likeness.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -40,7 +40,9 @@ SEED = 42
 #: Likeness of two shingle sets from which documents are near-duplicates.
 SIMILARITY = 0.8
 #: 64-bit words of the fingerprint of the word set and of that of the shingle set.
-WORD_PRINTS, SHINGLE_PRINTS = 3, 8
+WORD_PRINTS, SHINGLE_PRINTS = 3, 16
+#: Differing bits of 192 beyond which word sets are too unlike to compare their shingles.
+UNLIKE_WORDS = 48
 
 _BYTE_BITS = ((np.arange(256)[:, None] >> np.arange(7, -1, -1)) & 1).astype(np.int64)
 
@@ -178,54 +180,81 @@ class _Forest:
                 self.root = up
 
 
-def _compare(part: pd.DataFrame, threshold: int) -> pd.DataFrame:
-    """Edges that join what links within each cell: at most one for each row."""
-    key = part[["anchor", "i", "j"]].to_numpy()
-    cell = np.concatenate([[0], np.cumsum((key[1:] != key[:-1]).any(axis=1))])
-    prints, rep = np.stack(part["sketch"].tolist()).view(np.uint64), part["rep"].to_numpy()
-    forest, at, gap = _Forest(len(part)), np.arange(len(part)), 0
+def _cell_of(part: pd.DataFrame) -> np.ndarray:
+    key = part[_CELL_KEY].to_numpy()
+    return np.concatenate([[0], np.cumsum((key[1:] != key[:-1]).any(axis=1))])
+
+
+def _near_pairs(part: pd.DataFrame, threshold: int, skip: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Iterator[tuple]:
+    """Index arrays (a, b) of the rows of one cell whose prints differ in at most
+    ``threshold`` bits, gap by gap. ``skip`` says which pairs needn't be looked at."""
+    cell, prints = _cell_of(part), np.stack(part["prints"].tolist()).view(np.uint64)
+    at, gap = np.arange(len(part)), 0
     while len(at):
         gap += 1
         at = at[at + gap < len(part)]
         at = at[cell[at] == cell[at + gap]]
-        at_work = at if gap < 64 else at[forest.root[at] != forest.root[at + gap]]
-        near = at_work[np.bitwise_count(prints[at_work] ^ prints[at_work + gap]).sum(axis=1, dtype=int) <= threshold]
+        open_ = at[~skip(at, at + gap)]
+        near = open_[np.bitwise_count(prints[open_] ^ prints[open_ + gap]).sum(axis=1, dtype=int) <= threshold]
         if len(near):
-            forest.unite(near, near + gap)
+            yield near, near + gap
+
+
+def _forest(part: pd.DataFrame, threshold: int) -> pd.DataFrame:
+    """Edges that join what links within each cell: at most one for each row."""
+    forest, rep = _Forest(len(part)), part["rep"].to_numpy()
+    for a, b in _near_pairs(part, threshold, lambda a, b: forest.root[a] == forest.root[b]):
+        forest.unite(a, b)
     moved = np.flatnonzero(forest.root != np.arange(len(part)))
     return pd.DataFrame({"a": rep[moved], "b": rep[forest.root[moved]]})
 
 
-def _link(threshold: int):
+def _with_neighbour(part: pd.DataFrame, threshold: int) -> pd.DataFrame:
+    """The rows that have another within the threshold in their cell."""
+    found = np.zeros(len(part), bool)
+    for a, b in _near_pairs(part, threshold, lambda a, b: found[a] & found[b]):
+        found[a] = found[b] = True
+    return part.loc[found, ["rep", *_CELL_KEY]]
+
+
+_CELL_KEY = ["anchor", "i", "j"]
+
+
+def _by_cell(cells: DataFrame, treat: Callable[[pd.DataFrame, int], pd.DataFrame], threshold: int, schema: str) -> DataFrame:
+    """``treat`` applied to batches of whole cells; a cell has a bounded number of rows."""
+
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
         for batch in batches:
             if batch.empty:
                 continue
             held = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            last = held[["anchor", "i", "j"]].iloc[-1].to_numpy()
-            whole = (held[["anchor", "i", "j"]].to_numpy() != last).any(axis=1)
+            last = held[_CELL_KEY].iloc[-1].to_numpy()
+            whole = (held[_CELL_KEY].to_numpy() != last).any(axis=1)
             if whole.any():  # the last cell may go on in the next batch
-                yield _compare(held[whole].reset_index(drop=True), threshold)
+                yield treat(held[whole].reset_index(drop=True), threshold)
                 held = held[~whole].reset_index(drop=True)
         if held is not None:
-            yield _compare(held, threshold)
+            yield treat(held, threshold)
 
-    return each
+    return cells.repartition(*_CELL_KEY).sortWithinPartitions(*_CELL_KEY, "rep").mapInPandas(each, schema)
 
 
-def link_edges(points: DataFrame, threshold: int = THRESHOLD, cell: int = CELL) -> DataFrame:
+def link_edges(points: DataFrame, threshold: int = THRESHOLD, cell: int = CELL, unlike: int | None = None) -> DataFrame:
     """Edges (a, b) between points that share an anchor by one of their ``keys``
     and whose ``sketch`` differs in at most ``threshold`` bits: a spanning forest
     of the links of every comparison cell, whose components are those of all
-    links. ``points``: distinct rep, keys array<bigint>, sketch array<bigint>."""
-    cells = _cells(_anchors(points), cell).join(points.select("rep", "sketch"), "rep")
-    return (
-        cells.repartition("anchor", "i", "j")
-        .sortWithinPartitions("anchor", "i", "j", "rep")
-        .mapInPandas(_link(threshold), "a long, b long")
-        .distinct()
-    )
+    links. ``points``: distinct rep, keys array<bigint>, sketch array<bigint>.
+
+    With ``unlike``, points meet first by their keys, which are short, and only
+    those with another within that many differing bits bring their sketches.
+    """
+    cells = _cells(_anchors(points), cell)
+    if unlike is not None:
+        keyed = cells.join(points.select("rep", F.col("keys").alias("prints")), "rep")
+        cells = _by_cell(keyed, _with_neighbour, unlike, "rep long, anchor long, i int, j int")
+    sketched = cells.join(points.select("rep", F.col("sketch").alias("prints")), "rep")
+    return _by_cell(sketched, _forest, threshold, "a long, b long").distinct()
 
 
 def near_duplicates(
@@ -268,7 +297,7 @@ def similar(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILAR
     documents link whose shingle sets have a Jaccard likeness of ``similarity`` or
     more as their fingerprints measure it.
 
-    Texts with equal fingerprints of 704 bits are one class from the start. Null
+    Texts with equal fingerprints of 1,216 bits are one class from the start. Null
     and empty texts are alike. Null doc_ids, repeated doc_ids and other columns
     are treated as in ``near_duplicates``.
     """
@@ -283,7 +312,7 @@ def similar(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILAR
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     prints = written(rows.mapInArrow(each, "doc_id long, keys array<bigint>, sketch array<bigint>"), "simhash-sets")
     reps = prints.groupBy("keys", "sketch").agg(F.min("doc_id").alias("rep"))
-    parts = connected_components(link_edges(reps.where("rep IS NOT NULL"), _bits(similarity), cell))
+    parts = connected_components(link_edges(reps.where("rep IS NOT NULL"), _bits(similarity), cell, UNLIKE_WORDS))
     classes = reps.join(parts, F.col("rep") == F.col("node"), "left").select(
         "keys", "sketch", F.coalesce("component", "rep").alias("component_id")
     )
