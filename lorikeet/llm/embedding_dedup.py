@@ -149,3 +149,24 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile: int
 
 def op8_embeddings(vectors: DataFrame) -> DataFrame:
     return near_duplicates(vectors)
+
+
+OP8_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), n AS (
+  SELECT *, sqrt(list_dot_product(e, e)) AS norm FROM v
+), l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b
+    ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+  WHERE list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.98
+), r(vec_id, reached) AS (
+  SELECT vec_id, vec_id FROM embeddings UNION SELECT r.vec_id, l.b FROM r JOIN l ON l.a = r.reached
+), c AS (
+  SELECT vec_id, min(reached) AS component_id FROM r GROUP BY vec_id
+)
+SELECT e.vec_id, coalesce(k, 0) AS n_links, component_id, e.vec_id = component_id AS kept
+FROM embeddings e JOIN c USING (vec_id) LEFT JOIN (SELECT a AS vec_id, count(*) AS k FROM l GROUP BY a) USING (vec_id)
+"""

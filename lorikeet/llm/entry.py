@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from lorikeet.llm.chat import op5_chat
+from lorikeet.llm.chat import OP5_SQL, op5_chat
 from lorikeet.llm.common import read
-from lorikeet.llm.embedding_dedup import op8_embeddings
+from lorikeet.llm.embedding_dedup import OP8_SQL, op8_embeddings
 from lorikeet.llm.mixing import OP2_SQL, op2_mix
 from lorikeet.llm.multiset_hash import op4_fingerprint
 from lorikeet.llm.packing import op3_pack
@@ -46,4 +46,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mix": OP2_SQL, "op9_warc": OP9_SQL}
+    return {"op2_mix": OP2_SQL, "op5_chat": OP5_SQL, "op8_embeddings": OP8_SQL, "op9_warc": OP9_SQL}
