@@ -79,16 +79,26 @@ def item_recommendations(
     # a child may have tried some of the first ones: as many more are kept as it tried
     counts = tried.groupBy("child_id", "category_id").agg(F.count("*").alias("n_tried"))
     place = Window.partitionBy("category_id", "level", "exact").orderBy("item_id")
+    ranked = leveled.withColumn("place", F.row_number().over(place))
     any_place = Window.partitionBy("category_id", "level").orderBy("item_id")
-    ranked = leveled.withColumn("place", F.row_number().over(place)).withColumn("any_place", F.row_number().over(any_place))
-    most = F.coalesce("n_tried", F.lit(0)) + n
+    first = leveled.withColumn("place", F.row_number().over(any_place)).where(F.col("place") <= n)
+    asked = wanted.join(counts, ["child_id", "category_id"], "left").withColumn("most", F.coalesce("n_tried", F.lit(0)) + n)
+    # places are spelt out, so that the join is an equality on many keys
+    known = (
+        asked.where("known")
+        .withColumn("exact", F.explode(F.array(F.lit(False), F.lit(True))))
+        .withColumn("place", F.explode(F.expr("sequence(1, cast(most as int))")))
+        .join(ranked, ["category_id", "level", "exact", "place"])
+    )
+    unknown = asked.where("NOT known").withColumn("place", F.explode(F.sequence(F.lit(1), F.lit(n)))).join(
+        first, ["category_id", "level", "place"]
+    )
+    cols = ["child_id", "category_id", "item_id", "name", "level", "exact", "known"]
     fresh = (
-        wanted.join(counts, ["child_id", "category_id"], "left")
-        .withColumn("most", most)
-        .join(ranked, ["category_id", "level"])
-        .where(F.when(F.col("known"), F.col("place")).otherwise(F.col("any_place")) <= F.col("most"))
+        known.select(*cols)
+        .unionByName(unknown.select(*cols))
         .join(tried.select("child_id", "category_id", "item_id"), ["child_id", "category_id", "item_id"], "left_anti")
-        .select("child_id", "category_id", "item_id", "name", "level", "exact", F.lit(1.0).alias("success_rate"), "known")
+        .withColumn("success_rate", F.lit(1.0))
     )
     # without a roll-up nothing is sorted: items stay in id order
     order = Window.partitionBy("child_id", "category_id").orderBy(
@@ -198,8 +208,8 @@ def next_item(sessions: DataFrame, activities: DataFrame, items: DataFrame) -> D
     """C-14: of each session the first item of its category and level, by id,
     that it hasn't tried; without one the session is complete.
 
-    A session's attempts are few, so it meets only one more item than it tried of
-    each category and level.
+    A session meets one more item than it tried, by their places among the items
+    of its category and level, so the rows are as many as the attempts.
     """
     order = Window.partitionBy("category_id", "difficulty_level").orderBy("item_id")
     ranked = items.where("difficulty_level IS NOT NULL").select(
@@ -210,8 +220,8 @@ def next_item(sessions: DataFrame, activities: DataFrame, items: DataFrame) -> D
     free = (
         sessions.select("session_id", "category_id", "current_level")
         .join(n_tried, "session_id", "left")
-        .join(ranked, ["category_id", "current_level"])
-        .where(F.col("place") <= F.coalesce("n_tried", F.lit(0)) + 1)
+        .withColumn("place", F.explode(F.expr("sequence(1, cast(coalesce(n_tried, 0) + 1 as int))")))
+        .join(ranked, ["category_id", "current_level", "place"])
         .join(tried, ["session_id", "item_id"], "left_anti")
         .groupBy("session_id")
         .agg(F.min("item_id").alias("next_item_id"))
@@ -284,8 +294,8 @@ def next_activity(
     n_tried = tried.groupBy("session_id").agg(F.count("*").alias("n_tried"))
     met = (
         asked.join(n_tried, "session_id", "left")
-        .join(ranked, ["category_id", "band", "mode"])
-        .where(F.col("place") <= F.coalesce("n_tried", F.lit(0)) + 1)
+        .withColumn("place", F.explode(F.expr("sequence(1, cast(coalesce(n_tried, 0) + 1 as int))")))
+        .join(ranked, ["category_id", "band", "mode", "place"])
         .join(tried, ["session_id", "item_id"], "left")
     )
     avoid = F.coalesce("tried", F.lit(False)) & (F.col("band") != "new")
