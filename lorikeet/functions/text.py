@@ -7,6 +7,8 @@ are compatible when the first sound groups that hold them share a sound.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -39,6 +41,11 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often it stands there."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def words_of(text: Column | str) -> Column:
     """The words between white space."""
     return F.filter(F.split(_col(text), r"\s+"), lambda w: w != "")
@@ -58,13 +65,15 @@ def normalize_word(text: Column | str) -> Column:
     out = F.regexp_replace(out, r"[^a-z\s-]", "")
     out = F.regexp_replace(out, r"(\w)[- ]+\1(?:\1[- ]+)*", "$1")
     out = F.regexp_replace(out, r"(\w{1,3})[- ]+\1(?:[- ]+\1)*", "$1")
-    words = words_of(F.replace(out, F.lit("-"), F.lit("")))
-    n = F.size(words)
-    last_two = F.array_join(F.slice(words, F.greatest(n - 1, F.lit(1)), 2), " ")
-    joined = F.lit(None).cast("string")
-    for one, two in LAST_TWO.items():
-        joined = F.when((n >= 2) & (last_two == two), one).otherwise(joined)
-    return F.coalesce(joined, F.try_element_at(words, F.lit(-1)), F.lit(""))
+    known = F.create_map(*[F.lit(x) for joined, two in LAST_TWO.items() for x in (two, joined)])
+    return _let(
+        words_of(F.replace(out, F.lit("-"), F.lit(""))),
+        lambda words: F.coalesce(
+            F.try_element_at(known, F.array_join(F.slice(words, F.greatest(F.size(words) - 1, F.lit(1)), 2), " ")),
+            F.try_element_at(words, F.lit(-1)),
+            F.lit(""),
+        ),
+    )
 
 
 def normalize_item_name(name: Column | str) -> Column:
@@ -112,14 +121,20 @@ def is_echolalic_sentence(expected: Column | str, actual: Column | str) -> Colum
 def detect_stuttering(text: Column | str) -> Column:
     """B-11: struct(has_stammering, repetition_count, word_count): neighbouring
     equal words, or a character three times in a row within a word."""
-    words = words_of(F.lower(_col(text)))
+    return _let(words_of(F.lower(_col(text))), _stutter)
+
+
+def _stutter(words: Column) -> Column:
     n = F.size(words)
-    pairs = F.zip_with(F.slice(words, 1, F.greatest(n - 1, F.lit(0))), F.slice(words, 2, F.greatest(n - 1, F.lit(0))), lambda a, b: a == b)
-    repeated = F.size(F.filter(pairs, lambda same: same))
-    return F.struct(
-        ((repeated > 0) | F.exists(words, lambda w: w.rlike(r"(\w)\1{2,}"))).alias("has_stammering"),
-        repeated.alias("repetition_count"),
-        n.alias("word_count"),
+    rest = F.greatest(n - 1, F.lit(0))
+    pairs = F.zip_with(F.slice(words, 1, rest), F.slice(words, 2, rest), lambda a, b: a == b)
+    return _let(
+        F.size(F.filter(pairs, lambda same: same)),
+        lambda repeated: F.struct(
+            ((repeated > 0) | F.exists(words, lambda w: w.rlike(r"(\w)\1{2,}"))).alias("has_stammering"),
+            repeated.alias("repetition_count"),
+            n.alias("word_count"),
+        ),
     )
 
 
@@ -181,29 +196,74 @@ def most_different_sound(expected: Column | str, actual: Column | str) -> Column
     return F.coalesce(F.concat(first["actual"], F.lit("→"), first["expected"]), F.substring(_col(expected), 1, 2))
 
 
-def is_variant(expected: Column | str, actual: Column | str) -> Column:
-    """B-05, membership only: ``actual`` is ``expected`` with one letter replaced by
-    a sound of any group that holds the letter. Each group has a pattern for its
-    letters; the sound in the middle of ``actual`` is what prefix and suffix leave."""
-    e, a = _col(expected), _col(actual)
-    letters = letters_of(e)
-    groups = [g for g in SOUND_GROUPS]
-    swaps: dict[str, list[str]] = {}
-    for g in groups:
-        for s in g:
-            if len(s) == 1:
-                swaps.setdefault(s, []).extend(x for x in g if x not in swaps.get(s, []))
-    table = F.create_map(*[y for s, xs in swaps.items() for y in (F.lit(s), F.array(*map(F.lit, xs)))])
-    n = F.char_length(e)
-    none = F.array().cast("array<string>")
-    hits = F.transform(
-        letters,
-        lambda c, i: F.exists(
+def _swaps() -> dict[str, list[str]]:
+    """For each one-letter sound the sounds of all groups that hold it, itself included."""
+    out: dict[str, list[str]] = {}
+    for group in SOUND_GROUPS:
+        for letter in (s for s in group if len(s) == 1):
+            out.setdefault(letter, []).extend(s for s in group if s not in out[letter])
+    return out
+
+
+def phonetic_variants(word: Column | str) -> Column:
+    """B-05: the distinct words that have one letter replaced by a sound of a group
+    that holds it; the word itself is among them if any letter is in a group."""
+    w = _col(word)
+    table = F.create_map(*[y for s, xs in _swaps().items() for y in (F.lit(s), F.array(*map(F.lit, xs)))])
+    n, none = F.char_length(w), F.array().cast("array<string>")
+    each = F.transform(
+        letters_of(w),
+        lambda c, i: F.transform(
             F.coalesce(F.try_element_at(table, c), none),
-            lambda s: F.concat(F.substring(e, F.lit(1), i), s, F.substring(e, i + 2, n)) == a,
+            lambda s: F.concat(F.substring(w, F.lit(1), i), s, F.substring(w, i + 2, n)),
         ),
     )
-    return (F.abs(F.char_length(a) - n) <= 1) & F.exists(hits, lambda h: h)
+    return F.array_distinct(F.flatten(each))
+
+
+def is_variant(expected: Column | str, actual: Column | str) -> Column:
+    """Whether ``actual`` is among the variants; they are spelt out only where the
+    lengths allow it."""
+    e, a = _col(expected), _col(actual)
+    near = F.abs(F.char_length(a) - F.char_length(e)) <= 1
+    return F.coalesce(F.when(near, F.array_contains(phonetic_variants(e), a)), F.lit(False))
+
+
+def phoneme_errors(expected: Column | str, actual: Column | str) -> Column:
+    """B-23: array<struct(position, expected, actual)> of the phonemes that differ,
+    up to the shorter list; null where either word isn't listed."""
+    e, a = _col(expected), _col(actual)
+    n = F.least(F.size(e), F.size(a))
+    zipped = F.zip_with(F.slice(e, 1, n), F.slice(a, 1, n), lambda x, y: F.struct(x.alias("expected"), y.alias("actual")))
+    placed = F.transform(zipped, lambda p, i: F.struct(i.alias("position"), p["expected"].alias("expected"), p["actual"].alias("actual")))
+    return F.filter(placed, lambda p: p["expected"] != p["actual"])
+
+
+# Phonemes that are often said for others, as (expected, said) beginnings, in order.
+CONFUSIONS = (("L", "R"), ("R", "L"), ("TH", "T"), ("V", "F"), ("SH", "S"))
+#: Our own wording for them.
+TIPS = ("Lift the tongue tip for L.", "Round the lips for R.", "Tongue between the teeth for TH.", "Lip to teeth for V.", "Push air for SH.")
+
+
+def confusion_tip(errors: Column) -> Column:
+    """B-26: the tip for the first phoneme error, null if it is none of the known ones."""
+    first = F.try_element_at(errors, F.lit(1))
+    out = F.lit(None).cast("string")
+    for (expected, said), tip in reversed(list(zip(CONFUSIONS, TIPS))):
+        out = F.when(first["expected"].startswith(expected) & first["actual"].startswith(said), tip).otherwise(out)
+    return out
+
+
+def comparison_feedback_class(kind: Column, errors: Column, substitutions: Column) -> Column:
+    """B-26: the class of the message of the second scorer."""
+    some = F.coalesce(F.size(errors) > 0, F.lit(False))
+    return (
+        F.when(kind == "correct", "perfect")
+        .when(some & confusion_tip(errors).isNotNull(), "practise_sound")
+        .when(some, "slow_down")
+        .when(F.size(substitutions) > 0, "one_difficult")
+        .otherwise("try_again")
+    )
 
 
 def boosted_similarity(expected: Column | str, actual: Column | str) -> Column:

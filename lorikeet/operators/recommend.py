@@ -405,3 +405,29 @@ def answer_options(items: DataFrame, n: int = 3, seed: int = 0) -> DataFrame:
 def fallback_category(success_rate: Column) -> Column:
     """C-20 without a fitted model: three fixed categories by success rate."""
     return F.when(success_rate > 0.8, "Actions").when(success_rate > 0.6, "Objects").otherwise("Animals")
+
+
+def combined_recommendations(rules: DataFrame, learnt: DataFrame, features: DataFrame) -> DataFrame:
+    """C-19, C-22: the rule recommendations with the learnt category and the
+    confidence; a child without a prediction keeps its rules."""
+    return rules.join(learnt, "child_id", "left").join(features.select("child_id", "confidence_score"), "child_id", "left")
+
+
+def profile_bundle(children: DataFrame, performance: DataFrame, sessions: DataFrame, feedback: DataFrame) -> DataFrame:
+    """C-01, J-07: every child with its roll-ups by category, the sessions of a
+    window in time order and its five newest feedbacks, as arrays of structs.
+    ``sessions`` is cut to the window by the caller."""
+    empty = lambda df, name: F.coalesce(F.col(name), F.array().cast(df.schema[name].dataType))
+    perf = performance.groupBy("child_id").agg(
+        F.array_sort(F.collect_list(F.struct("category_id", "overall_score"))).alias("performances")
+    )
+    recent = sessions.groupBy("child_id").agg(
+        F.array_sort(F.collect_list(F.struct("start_time", "session_id", "category_id"))).alias("sessions")
+    )
+    rated = newest(feedback, "child_id", "created_at", "feedback_id", 5).groupBy("child_id").agg(
+        F.array_sort(F.collect_list(F.struct("rank", "feedback_id", "rating"))).alias("feedback")
+    )
+    joined = children.select("child_id", "name")
+    for df in (perf, recent, rated):
+        joined = joined.join(df, "child_id", "left")
+    return joined.select("child_id", "name", *[empty(joined, c).alias(c) for c in ("performances", "sessions", "feedback")])

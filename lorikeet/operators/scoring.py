@@ -8,7 +8,7 @@ the word table is given.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorikeet.functions import text as X
@@ -49,7 +49,8 @@ def score_words(rows: DataFrame) -> DataFrame:
 
 def score_sentences(rows: DataFrame, id_col: str) -> DataFrame:
     """B-16, B-13, B-14, B-18: ``rows`` (id, expected, actual) scored as sentences:
-    similarity_score, is_correct, error_type, counts of words and a feedback class.
+    similarity_score, is_correct, error_type, counts of words, the substitutions
+    of all its words and a feedback class.
 
     Words are aligned by place; the shorter side is padded. A repeated sentence
     counts as echolalia with 0.9.
@@ -66,14 +67,27 @@ def score_sentences(rows: DataFrame, id_col: str) -> DataFrame:
     both = F.col("e").isNotNull() & F.col("a").isNotNull()
     coded = pairs.withColumn("__e", metaphone_codes("e")).withColumn("__a", metaphone_codes("a"))
     sim = F.when(both, similarity(F.col("e"), F.col("a"), F.col("__e"), F.col("__a"))).otherwise(0.0)
-    words = coded.select(id_col, "position", "e", "a", sim.alias("sim"), both.alias("both"))
+    # B-14: what differs in a word, with the word and its place
+    subs = F.transform(
+        X.sound_substitutions("e", "a"),
+        lambda p: F.struct(
+            F.col("e").alias("word"), p["position"].alias("position_in_word"), p["expected"].alias("expected"),
+            p["actual"].alias("actual"), F.col("position").alias("word_position"),
+        ),
+    )
+    none = F.array().cast("array<struct<word:string,position_in_word:int,expected:string,actual:string,word_position:int>>")
+    words = coded.select(
+        id_col, "position", "e", "a", sim.alias("sim"), both.alias("both"), F.when(both, subs).otherwise(none).alias("subs")
+    )
     ok = F.col("both") & (F.col("sim") >= X.CORRECT)
     sums = words.groupBy(id_col).agg(
         F.sum("sim").alias("total"),
         F.count_if(ok).alias("n_correct"),
         F.count_if(F.col("a").isNull()).alias("n_missing"),
         F.count_if(F.col("both") & ~ok).alias("n_difficult"),
-        F.sum(F.when(F.col("both"), F.size(X.sound_substitutions("e", "a"))).otherwise(0)).alias("n_subs"),
+        F.flatten(
+            F.transform(F.array_sort(F.collect_list(F.struct("position", "subs"))), lambda x: x["subs"])
+        ).alias("subs"),
     )
     joined = base.join(sums, id_col, "left")
     mean = F.coalesce(F.col("total") / F.nullif(F.greatest("n_expected", "n_actual"), F.lit(0)), F.lit(0.0))
@@ -88,31 +102,35 @@ def score_sentences(rows: DataFrame, id_col: str) -> DataFrame:
         F.when(echo, "echolalia").otherwise("sentence_errors").alias("error_type"),
         F.when(~echo, n_correct).alias("correct_word_count"),
         F.when(~echo, F.col("n_expected")).alias("total_word_count"),
-        F.when(~echo, F.coalesce("n_subs", F.lit(0))).alias("n_substitutions"),
+        F.when(echo, none).otherwise(F.coalesce("subs", none)).alias("substitutions"),
         F.when(echo, "perfect").otherwise(kind).alias("feedback_class"),
     )
 
 
 def compare_words(rows: DataFrame, phonemes: bool = False) -> DataFrame:
     """B-27 (second scorer): ``rows`` (expected, actual, ...) with similarity_score
-    rounded to two places, phonetic_match, letter substitutions, error_type. With
+    rounded to two places, phonetic_match, letter substitutions, error_type, the
+    class of the feedback and a tip for a known confusion (B-26). With
     ``phonemes`` the rows have expected_phonemes and actual_phonemes (U-02), which
     are compared by place; without, no phoneme error is known."""
     rows = rows.withColumn("expected", X.trimmed("expected")).withColumn("actual", X.trimmed("actual"))
     coded = rows.withColumn("__e", metaphone_codes("expected")).withColumn("__a", metaphone_codes("actual"))
     sim = X.edit_similarity("expected", "actual")
     match = F.col("__e.primary") == F.col("__a.primary")
-    errors = F.lit(False)
-    if phonemes:
-        n = F.least(F.size("expected_phonemes"), F.size("actual_phonemes"))
-        differ = F.zip_with(F.slice("expected_phonemes", 1, n), F.slice("actual_phonemes", 1, n), lambda x, y: x != y)
-        errors = F.coalesce(F.exists(differ, lambda d: d), F.lit(False))
+    none = F.lit(None).cast("array<struct<position:int,expected:string,actual:string>>")
+    coded = coded.withColumn("phoneme_errors", X.phoneme_errors("expected_phonemes", "actual_phonemes") if phonemes else none)
+    errors = F.coalesce(F.size("phoneme_errors") > 0, F.lit(False))
     return (
         coded.withColumn("phonetic_match", match)
         .withColumn("substitutions", X.letter_substitutions("expected", "actual"))
         .withColumn("error_type", X.classify_error(sim, match, errors))
         .withColumn("similarity_score", F.bround(sim, 2))
         .withColumn("is_correct", F.col("error_type") == "correct")
+        .withColumn(
+            "feedback_class",
+            X.comparison_feedback_class(F.col("error_type"), F.col("phoneme_errors"), F.col("substitutions")),
+        )
+        .withColumn("tip", X.confusion_tip(F.col("phoneme_errors")))
         .drop("__e", "__a")
     )
 
@@ -138,3 +156,28 @@ def graded(rows: DataFrame) -> DataFrame:
     return rows.withColumn("is_correct", X.detect_echolalia("expected", "actual")).withColumn(
         "response_type", F.lit("generic")
     )
+
+
+def attempt_rows(attempts: DataFrame, items: DataFrame) -> DataFrame:
+    """B-31, B-07: ``attempts`` (attempt_id, session_id, item_id, transcript, ts) as
+    fact rows: the item's name is scored as a sentence if it has several words,
+    else as a word; with stutter, echo and the number of the attempt (A-28)."""
+    numbered = attempts.withColumn(
+        "attempt_number", F.row_number().over(Window.partitionBy("session_id", "item_id").orderBy("ts", "attempt_id"))
+    )
+    rows = numbered.join(items.select("item_id", F.col("name").alias("expected")), "item_id").withColumnRenamed("transcript", "actual")
+    rows = rows.withColumn("stutter", X.detect_stuttering("actual")).withColumn("is_echo", X.detect_echolalia("expected", "actual"))
+    many = F.size(X.words_of(X.trimmed("expected"))) > 1
+    scores = ["attempt_id", "similarity_score", "is_correct", "error_type", "feedback_class"]
+    scored = (
+        score_words(rows.where(~many)).select(*scores, F.size("substitutions").alias("n_substitutions"))
+    ).unionByName(
+        score_sentences(rows.where(many), "attempt_id").select(*scores, F.size("substitutions").alias("n_substitutions"))
+    )
+    return rows.join(scored, "attempt_id").select(
+        "attempt_id", "session_id", "item_id", "attempt_number", F.lit("verbal").alias("response_type"),
+        F.col("actual").alias("response_text"), "is_correct", F.col("similarity_score").alias("pronunciation_score"),
+        "error_type", "n_substitutions", F.col("stutter.has_stammering").alias("stammering_detected"),
+        F.col("stutter.repetition_count").alias("repetition_count"), "is_echo", "feedback_class",
+        F.col("ts").alias("created_at"),
+    )

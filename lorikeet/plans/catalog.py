@@ -239,7 +239,34 @@ def conversation_stutter(d: Domain) -> DataFrame:
 
 
 def sentence_scores(d: Domain) -> DataFrame:
-    return rounded(C.score_sentences(d.utterances, "item_id"))
+    rows = C.score_sentences(d.utterances, "item_id")
+    return rounded(rows.withColumn("substitutions", F.to_json("substitutions")))
+
+
+def attempt_facts(d: Domain) -> DataFrame:
+    """Utterances as attempts: of each item, and of its first word, in one session."""
+    said = d.utterances.select("item_id", F.col("actual").alias("transcript"))
+    attempts = said.select(
+        F.col("item_id").alias("attempt_id"), F.expr("item_id div 4").alias("session_id"), "item_id", "transcript",
+        F.lit(AS_OF).cast("timestamp_ntz").alias("ts"),
+    )
+    return rounded(C.attempt_rows(attempts, d.activity_items))
+
+
+def combined_recommendations(d: Domain) -> DataFrame:
+    perf = _performance(d)
+    features = P.ml_features(d.children, perf, d.therapy_sessions, d.activity_categories)
+    rules = R.rule_recommendations(d.children, perf, d.activity_categories, d.activity_items)
+    rows = R.combined_recommendations(rules, classifier.predict(features, None), features)
+    return rounded(rows.withColumn("practice_more", listed("practice_more")).withColumn("encouraged_by", listed("encouraged_by")))
+
+
+def profile_bundles(d: Domain) -> DataFrame:
+    rows = R.profile_bundle(d.children, _performance(d), G.in_window(d.therapy_sessions, AS_OF, 30), d.caregiver_feedback)
+    return rows.select(
+        "child_id", "name", F.size("performances").alias("n_performances"), F.size("sessions").alias("n_sessions"),
+        listed(F.transform("feedback", lambda f: f["feedback_id"].cast("string"))).alias("newest_feedback"),
+    )
 
 
 def word_scores(d: Domain) -> DataFrame:
@@ -257,7 +284,7 @@ def word_scores(d: Domain) -> DataFrame:
 
 def word_comparisons(d: Domain) -> DataFrame:
     rows = C.compare_words(d.utterances)
-    return rounded(rows.select("item_id", "similarity_score", "phonetic_match", "error_type", "is_correct", F.size("substitutions").alias("n_substitutions")))
+    return rounded(rows.select("item_id", "similarity_score", "phonetic_match", "error_type", "is_correct", F.size("substitutions").alias("n_substitutions"), "feedback_class"))
 
 
 def upserted_rollup(d: Domain) -> DataFrame:
@@ -337,6 +364,8 @@ CATALOG: dict[str, Callable[[Domain], DataFrame]] = {
     "answer_options": answer_options,
     "fallback_recommendations": fallback_recommendations,
     "learnt_recommendations": learnt_recommendations,
+    "combined_recommendations": combined_recommendations,
+    "profile_bundles": profile_bundles,
     "child_reports": child_reports,
     "sentence_normals": sentence_normals,
     "edit_scores": edit_scores,
@@ -345,6 +374,7 @@ CATALOG: dict[str, Callable[[Domain], DataFrame]] = {
     "conversation_stutter": conversation_stutter,
     "sentence_scores": sentence_scores,
     "word_scores": word_scores,
+    "attempt_facts": attempt_facts,
     "word_comparisons": word_comparisons,
     "upserted_rollup": upserted_rollup,
     "deletable_items": deletable_items,

@@ -293,6 +293,14 @@ ORACLES: dict[str, str] = {
   FROM events GROUP BY ALL""",
     "gaze_summary": """
   SELECT user_id AS child_id, count(*) AS n_points, round(avg(value), 6) AS on_screen_percentage FROM events GROUP BY ALL""",
+    "profile_bundles": f"""
+  SELECT c.child_id, c.name, CAST(coalesce(p, 0) AS INTEGER) AS n_performances, CAST(coalesce(s, 0) AS INTEGER) AS n_sessions,
+         coalesce(f, '') AS newest_feedback
+  FROM children c LEFT JOIN (SELECT child_id, count(*) AS p FROM child_performance GROUP BY 1) USING (child_id)
+  LEFT JOIN (SELECT child_id, count(*) AS s FROM therapy_sessions WHERE {_window(30)} GROUP BY 1) USING (child_id)
+  LEFT JOIN (SELECT child_id, string_agg(CAST(feedback_id AS VARCHAR), '|' ORDER BY rank) AS f FROM (
+    SELECT *, row_number() OVER (PARTITION BY child_id ORDER BY created_at DESC, feedback_id DESC) AS rank FROM caregiver_feedback)
+    WHERE rank <= 5 GROUP BY 1) USING (child_id)""",
     "child_reports": f"""
   SELECT c.child_id, 'Learner: ' || c.name || coalesce(chr(10) || 'Scores: ' || lines, chr(10) || 'No scores yet')
            || CASE WHEN lines IS NOT NULL AND f.rating IS NOT NULL THEN chr(10) || 'Latest rating: ' || f.rating ELSE '' END AS report
@@ -303,3 +311,7 @@ ORACLES: dict[str, str] = {
     QUALIFY row_number() OVER (PARTITION BY child_id ORDER BY start_time DESC, session_id DESC) = 1) USING (child_id)
   LEFT JOIN ({_FIRST_FEEDBACK}) f USING (session_id)""",
 }
+
+ORACLES["combined_recommendations"] = f"""
+  SELECT r.*, m.ml_recommendation, c.confidence_score FROM ({ORACLES["rule_recommendations"]}) r
+  JOIN ({ORACLES["fallback_recommendations"]}) m USING (child_id) JOIN ({ORACLES["ml_features"]}) c USING (child_id)"""

@@ -66,7 +66,12 @@ def test_second_scorer(spark):
     rows = spark.createDataFrame([(1, "red dog", "red cat")], "id int, expected string, actual string")
     assert tuple(C.compare_sentences(rows, "id").first())[1:] == (0.5, False, 1, 2)
     phones = df.withColumn("expected_phonemes", F.array(F.lit("K"), F.lit("IH"))).withColumn("actual_phonemes", F.array(F.lit("S"), F.lit("IH")))
-    assert C.compare_words(phones, phonemes=True).first()["error_type"] == "incorrect"
+    row = C.compare_words(phones, phonemes=True).first()
+    assert row["error_type"] == "incorrect" and [tuple(e) for e in row["phoneme_errors"]] == [(0, "K", "S")]
+    assert row["tip"] is None and row["feedback_class"] == "slow_down"
+    light = df.withColumn("expected_phonemes", F.array(F.lit("L"))).withColumn("actual_phonemes", F.array(F.lit("R")))
+    row = C.compare_words(light, phonemes=True).first()
+    assert row["tip"] and row["feedback_class"] == "practise_sound"
 
 
 def test_echolalia_and_grading(spark):
@@ -102,3 +107,22 @@ def test_similarity_bounds(spark, pairs):
         assert r["s"] is None or 0 <= r["s"] <= 1
         assert 0 <= r["b"] <= 1
         assert r["e"] != r["a"] or r["e"] == "" or r["s"] == 1
+
+
+def test_variants(spark):
+    df = spark.createDataFrame([("sun", "shun"), ("cat", "bat"), ("rat", "lat"), ("hhh", "hhh"), ("", "")], "e string, a string")
+    rows = df.select("e", "a", X.phonetic_variants("e").alias("v"), X.is_variant("e", "a").alias("is")).collect()
+    assert [r["is"] for r in rows] == [True, False, True, False, False]
+    assert all(r["is"] == (r["a"] in r["v"]) for r in rows) and "thun" in rows[0]["v"] and len(set(rows[0]["v"])) == len(rows[0]["v"])
+
+
+def test_attempt_rows(spark):
+    items = spark.createDataFrame([(1, "rabbit"), (2, "red dog")], "item_id long, name string")
+    said = [(1, 9, 1, "wabbit", 1), (2, 9, 1, "rabbit rabbit", 2), (3, 9, 2, "red dog", 3), (4, 9, 2, "red fog", 4)]
+    attempts = spark.createDataFrame(said, "attempt_id long, session_id long, item_id long, transcript string, ts long")
+    got = {r["attempt_id"]: r for r in C.attempt_rows(attempts, items).collect()}
+    assert [got[i]["attempt_number"] for i in (1, 2, 3, 4)] == [1, 2, 1, 2]
+    assert got[1]["is_correct"] and got[1]["error_type"] == "correct" and not got[1]["is_echo"]
+    assert got[2]["stammering_detected"] and got[2]["repetition_count"] == 1
+    assert got[3]["is_echo"] and got[3]["error_type"] == "echolalia"
+    assert got[4]["error_type"] == "sentence_errors" and got[4]["n_substitutions"] == 1
