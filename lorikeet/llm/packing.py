@@ -29,7 +29,7 @@ CAPACITY = 4096
 #: The id that ends every document.
 END_ID = 1
 #: Distinct words, and words with what adjoins them, whose ids a Python worker keeps.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 1_000_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -59,20 +59,34 @@ class WordTokenizer:
         import regex
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.model = Tokenizer.from_file(path)
+        self.path = path
         self.words = regex.compile(self._WORD).findall
         self.other = re.compile(r"[^\u0000-\u024F\u2010-\u2044]|[\x1c-\x1f]|<\|").search
-        ends = [i for t, i in self.model.get_vocab(with_added_tokens=False).items() if t.endswith("</w>")]
-        self.is_end = np.zeros(self.model.get_vocab_size() + 1, bool)
-        self.is_end[ends] = True
         # the same vocabulary for words that are already normalised and cut
         self.bare = Tokenizer.from_file(path)
         self.bare.normalizer = normalizers.Sequence([])
         self.bare.pre_tokenizer = pre_tokenizers.Sequence(
             [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
         )
-        self.kept: dict[str, bytes] = {}
-        self.kept_words: dict[str, bytes] = {}
+        ends = [i for t, i in self.bare.get_vocab(with_added_tokens=False).items() if t.endswith("</w>")]
+        self.is_end = np.zeros(self.bare.get_vocab_size() + 1, bool)
+        self.is_end[ends] = True
+        self.kept, self.kept_words = _Kept(), _Kept()
+
+    @functools.cached_property
+    def model(self):
+        """The file as it is, for texts that need it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
+    def _cut(self, chunk: str) -> list[str]:
+        """The words of a chunk; most are letters alone, or with one mark behind."""
+        if chunk.isalpha():
+            return [chunk]
+        if chunk[:-1].isalpha() and not chunk[-1].isalnum():
+            return [chunk[:-1], chunk[-1]]
+        return self.words(chunk)
 
     def _encode_words(self, words: list[str]) -> dict[str, bytes]:
         ids = np.array(self.bare.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
@@ -82,23 +96,15 @@ class WordTokenizer:
         raw, at = ids.tobytes(), [0, *(ends * 4).tolist()]
         return {w: raw[at[i] : at[i + 1]] for i, w in enumerate(words)}
 
-    def _look_up(self, chunks: set[str]) -> dict[str, bytes]:
-        cut = [(c, self.words(c)) for c in chunks]
-        known = self.kept_words
-        new = {w for _, words in cut for w in words}.difference(known)
-        if new:
-            found = self._encode_words(list(new))
-            if len(known) < KEPT_WORDS:
-                known.update(found)
-            else:
-                known = _Either(found, known)
-        return {c: known[words[0]] if len(words) == 1 else b"".join([known[w] for w in words]) for c, words in cut}
+    def _look_up(self, chunks: list[str]) -> dict[str, bytes]:
+        cut = [(c, self._cut(c)) for c in chunks]
+        ids = self.kept_words.holding({w for _, words in cut for w in words}, self._encode_words)
+        return {c: ids(words[0]) if len(words) == 1 else b"".join(map(ids, words)) for c, words in cut}
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        kept = self.kept
         cut: list[list[str] | None] = []
-        new: set[str] = set()
+        distinct: set[str] = set()
         for text in texts:
             text = text or ""
             plain = text.isascii()
@@ -106,15 +112,9 @@ class WordTokenizer:
                 cut.append(None)
                 continue
             chunks = (text if plain else unicodedata.normalize("NFC", text)).lower().split()
-            new.update(chunks)
+            distinct.update(chunks)
             cut.append(chunks)
-        new = new.difference(kept)
-        found = self._look_up(new) if new else {}
-        if len(kept) < KEPT_WORDS:
-            kept.update(found)
-            get = kept.__getitem__
-        else:
-            get = _Either(found, kept).__getitem__
+        get = self.kept.holding(distinct, self._look_up)
         return [
             b"".join(map(get, chunks))
             if chunks is not None
@@ -123,12 +123,20 @@ class WordTokenizer:
         ]
 
 
-class _Either(dict):
-    """The entries of one lookup, then those that are kept."""
+class _Kept(dict):
+    """Values of the first KEPT_WORDS keys, and of the others for one call."""
 
-    def __init__(self, first: dict, rest: dict):
-        super().__init__(first)
-        self.rest = rest
+    rest: dict[str, bytes] = {}
+
+    def holding(self, keys: set[str], make: Callable[[list[str]], dict[str, bytes]]) -> Callable[[str], bytes]:
+        """What gives the value of any of the keys, made where it isn't kept."""
+        new = [k for k in keys if k not in self]
+        found = make(new) if new else {}
+        if len(self) < KEPT_WORDS:
+            self.update(found)
+        else:
+            self.rest = found
+        return self.__getitem__
 
     def __missing__(self, key: str) -> bytes:
         return self.rest[key]
@@ -140,15 +148,6 @@ def _tokenizer(path: str) -> WordTokenizer:
     return WordTokenizer(path)
 
 
-class _Either(dict):
-    def __init__(self, first: dict, rest: dict):
-        super().__init__(first)
-        self.rest = rest
-
-    def __missing__(self, key: str) -> bytes:
-        return self.rest[key]
-
-
 def tokenized_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32), a row for each piece: documents
     of over ``capacity`` tokens are cut into pieces of it, the last may be shorter."""
