@@ -55,7 +55,7 @@ class WordTokenizer:
 
     _WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept_words: int = KEPT_WORDS):
         import regex
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
@@ -71,7 +71,7 @@ class WordTokenizer:
         ends = [i for t, i in self.bare.get_vocab(with_added_tokens=False).items() if t.endswith("</w>")]
         self.is_end = np.zeros(self.bare.get_vocab_size() + 1, bool)
         self.is_end[ends] = True
-        self.kept, self.kept_words = _Kept(), _Kept()
+        self.kept, self.kept_words = _Kept(kept_words), _Kept(kept_words)
 
     @functools.cached_property
     def model(self):
@@ -124,15 +124,17 @@ class WordTokenizer:
 
 
 class _Kept(dict):
-    """Values of the first KEPT_WORDS keys, and of the others for one call."""
+    """Values of about the first ``size`` keys, and of the others for one call."""
 
-    rest: dict[str, bytes] = {}
+    def __init__(self, size: int):
+        super().__init__()
+        self.size, self.rest = size, {}
 
     def holding(self, keys: set[str], make: Callable[[list[str]], dict[str, bytes]]) -> Callable[[str], bytes]:
         """What gives the value of any of the keys, made where it isn't kept."""
         new = [k for k in keys if k not in self]
         found = make(new) if new else {}
-        if len(self) < KEPT_WORDS:
+        if len(self) < self.size:
             self.update(found)
         else:
             self.rest = found
@@ -143,18 +145,20 @@ class _Kept(dict):
 
 
 @functools.lru_cache(maxsize=1)
-def _tokenizer(path: str) -> WordTokenizer:
+def _tokenizer(path: str, kept_words: int = KEPT_WORDS) -> WordTokenizer:
     """One for each Python worker, so that tasks share the kept words."""
-    return WordTokenizer(path)
+    return WordTokenizer(path, kept_words)
 
 
-def tokenized_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
+def tokenized_pieces(
+    docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, kept_words: int = KEPT_WORDS
+) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32), a row for each piece: documents
     of over ``capacity`` tokens are cut into pieces of it, the last may be shorter."""
     path = tokenizer or default_tokenizer()
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _tokenizer(path)
+        words = _tokenizer(path, kept_words)
         end = END_ID.to_bytes(4, "little")
         for batch in batches:
             out: list[tuple] = []
@@ -280,12 +284,15 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     )
 
 
-def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
+def pack_documents(
+    docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, kept_words: int = KEPT_WORDS
+) -> DataFrame:
     """Pieces of all ``docs`` (doc_id, text, ...) placed in sequences of at most
     ``capacity`` tokens: (doc_id, piece, start, length, ids_crc32, sequence_id,
     offset). Null and empty texts are one piece that holds the end id alone;
-    repeated doc_ids are packed row by row; other columns are ignored."""
-    return pack(written(tokenized_pieces(docs, tokenizer, capacity), "pieces"), capacity)
+    repeated doc_ids are packed row by row; other columns are ignored. Keeping
+    fewer words takes less memory in Python workers and more time."""
+    return pack(written(tokenized_pieces(docs, tokenizer, capacity, kept_words), "pieces"), capacity)
 
 
 def op3_pack(docs: DataFrame) -> DataFrame:
