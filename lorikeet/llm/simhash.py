@@ -11,8 +11,12 @@ pair is missed; an exact comparison of the 64 bits follows.
 
 ``similar`` finds documents by the likeness of their shingle sets instead. The
 same covering takes six halves of fingerprints of the word sets, which few edits
-leave within 2 bits somewhere, and the comparison is of wide fingerprints of the
-shingle sets, whose differing bits measure the likeness.
+leave within 2 bits somewhere. Since an added or replaced passage can change many
+distinct words, documents also meet by bands of min-hashes of the shingle sets:
+two sets of Jaccard likeness j share none of the 32 bands of 4 with probability
+(1 - j^4)^32, below 5e-8 from 0.8 on, wherever the edits lie. The comparison is
+of wide fingerprints of the shingle sets, whose differing bits measure the
+likeness.
 """
 
 from __future__ import annotations
@@ -41,6 +45,8 @@ SEED = 42
 SIMILARITY = 0.8
 #: 64-bit words of the fingerprint of the word set and of that of the shingle set.
 WORD_PRINTS, SHINGLE_PRINTS = 3, 16
+#: Bands of min-hashes of the shingle set, and min-hashes in a band.
+BANDS, BAND_ROWS = 32, 4
 #: Differing bits of 192 beyond which word sets are too unlike to compare their shingles.
 UNLIKE_WORDS = 48
 
@@ -78,25 +84,47 @@ def simhash(text: str | None, shingle: int = SHINGLE) -> int:
     return int(_majority(np.frombuffer(b"".join(digests), ">u8")[:, None])[0]) if digests else 0
 
 
-def _spread(hashes: np.ndarray, n: int) -> np.ndarray:
+def _mixed(hashes: np.ndarray, n: int) -> np.ndarray:
     """n well-mixed hashes of each, side by side."""
     x = hashes[:, None] + np.arange(1, n + 1, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return np.ascontiguousarray((x ^ (x >> np.uint64(31))).astype(">u8"))
+    return x ^ (x >> np.uint64(31))
+
 
+def _spread(hashes: np.ndarray, n: int) -> np.ndarray:
+    return np.ascontiguousarray(_mixed(hashes, n).astype(">u8"))
 
-def set_prints(text: str | None, shingle: int = SHINGLE) -> tuple[list[int], list[int]]:
-    """Fingerprints of the sets of words and of shingles of a text; zeros without words."""
+
+def _bands(shingles: np.ndarray) -> list[int]:
+    """A key for each band of min-hashes of a set; two 32-bit hashes are taken from
+    each mixed one, for some hundreds of shingles at a time."""
+    from xxhash import xxh64_intdigest
+
+    least = np.full(BANDS * BAND_ROWS, 0xFFFFFFFF, np.uint32)
+    for lo in range(0, len(shingles), 512):
+        mixed = _mixed(shingles[lo : lo + 512], BANDS * BAND_ROWS // 2)
+        np.minimum(least, mixed.view(np.uint32).min(axis=0), out=least)
+    keys = [xxh64_intdigest(band.tobytes(), k) for k, band in enumerate(least.reshape(BANDS, BAND_ROWS))]
+    return np.array(keys, np.uint64).view(np.int64).tolist()
+
+
+def set_prints(text: str | None, shingle: int = SHINGLE) -> tuple[list[int], list[int], list[int]]:
+    """Fingerprints of the sets of words and of shingles of a text, zeros without
+    words, and the keys of its bands, none without words."""
     from xxhash import xxh64_intdigest
 
     words = _words(text)
     if not words:
-        return [0] * WORD_PRINTS, [0] * SHINGLE_PRINTS
+        return [0] * WORD_PRINTS, [0] * SHINGLE_PRINTS, []
     each = np.array([xxh64_intdigest(w, SEED) for w in set(words)], np.uint64)
     digests = _shingle_digests(words, shingle)
     shingles = np.unique(np.frombuffer(b"".join(digests), "<u8"))
-    return _majority(_spread(each, WORD_PRINTS)).tolist(), _majority(_spread(shingles, SHINGLE_PRINTS)).tolist()
+    return (
+        _majority(_spread(each, WORD_PRINTS)).tolist(),
+        _majority(_spread(shingles, SHINGLE_PRINTS)).tolist(),
+        _bands(shingles),
+    )
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -248,11 +276,15 @@ def link_edges(points: DataFrame, threshold: int = THRESHOLD, cell: int = CELL,
 
     With ``unlike``, points meet first by their keys, which are short, and only
     those with another within that many differing bits bring their sketches.
+    Points that have ``bands`` (array<bigint>) also meet where they share one,
+    however unlike their keys.
     """
     cells = _cells(_anchors(points), cell)
     if unlike is not None:
         keyed = cells.join(points.select("rep", F.col("keys").alias("prints")), "rep")
         cells = _by_cell(keyed, _with_neighbour, unlike, "rep long, anchor long, i int, j int")
+    if "bands" in points.columns:
+        cells = cells.union(_cells(points.select("rep", F.explode("bands").alias("anchor")), cell))
     sketched = cells.join(points.select("rep", F.col("sketch").alias("prints")), "rep")
     return _by_cell(sketched, _forest, threshold, "a long, b long").distinct()
 
@@ -303,20 +335,20 @@ def similar(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILAR
     """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.list_(pa.int64())] * 2
         for batch in batches:
             prints = [set_prints(x.as_py(), shingle) for x in batch.column(1)]
-            columns = [pa.array([p[i] for p in prints], kinds[i]) for i in range(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "keys", "sketch"])
+            columns = [pa.array([p[i] for p in prints], pa.list_(pa.int64())) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "keys", "sketch", "bands"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    prints = written(rows.mapInArrow(each, "doc_id long, keys array<bigint>, sketch array<bigint>"), "simhash-sets")
-    reps = prints.groupBy("keys", "sketch").agg(F.min("doc_id").alias("rep"))
+    schema = "doc_id long, keys array<bigint>, sketch array<bigint>, bands array<bigint>"
+    prints = written(rows.mapInArrow(each, schema), "simhash-sets")
+    reps = prints.groupBy("keys", "sketch").agg(F.min("doc_id").alias("rep"), F.min("bands").alias("bands"))
     parts = connected_components(link_edges(reps.where("rep IS NOT NULL"), _bits(similarity), cell, UNLIKE_WORDS))
     classes = reps.join(parts, F.col("rep") == F.col("node"), "left").select(
         "keys", "sketch", F.coalesce("component", "rep").alias("component_id")
     )
-    return prints.join(classes, ["keys", "sketch"], "left").select("doc_id", "component_id")
+    return prints.drop("bands").join(classes, ["keys", "sketch"], "left").select("doc_id", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:

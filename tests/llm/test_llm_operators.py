@@ -148,6 +148,30 @@ def test_likeness_of_shingle_sets(spark):
     assert not any(got[a] == got[b] for a, b in far)
 
 
+def test_likeness_with_changed_passages(spark):
+    """Copies with a passage added before or after, or replaced, meet as those with scattered edits do."""
+    rng = random.Random(5)
+    texts = []
+    for g in range(100):
+        base = [f"w{g}x{rng.randrange(40)}" for _ in range(rng.randint(100, 300))]
+        new = [f"n{g}x{k}" for k in range(len(base) // 5)]
+        at = rng.randrange(len(base) - len(new) // 3)
+        swapped = base[:at] + new[: len(new) // 3] + base[at + len(new) // 3 :]
+        texts += [" ".join(w) for w in (base, base + new, new + base, swapped)]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar(spark.createDataFrame(doc_rows(texts), DOCS)).collect()}
+    prints = [simhash.set_prints(t) for t in texts]
+    shingles = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    near = 0
+    for a in range(0, len(texts), 4):
+        for b in range(a + 1, a + 4):
+            if len(shingles[a] & shingles[b]) >= 0.8 * len(shingles[a] | shingles[b]):
+                near += 1
+                assert set(prints[a][2]) & set(prints[b][2])
+                bits = np.bitwise_count(np.array(prints[a][1]).view(np.uint64) ^ np.array(prints[b][1]).view(np.uint64)).sum()
+                assert bits > simhash._bits(0.8) or got[a] == got[b]
+    assert near > 250
+
+
 # 2: mixing
 
 
