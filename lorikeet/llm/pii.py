@@ -81,8 +81,28 @@ def _digits(text: str) -> str:
     return re.sub(r"[^0-9]", "", text)
 
 
-#: Lengths of account numbers by country, a choice of the public registry.
-IBAN_LENGTHS = {"DE": 22, "FR": 27, "ES": 24, "GB": 22, "IT": 27, "NL": 18, "BE": 16, "AT": 20, "CH": 21, "PT": 25, "PL": 28}
+#: Lengths of account numbers by country, the public registry.
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BI": 27, "BR": 29, "BY": 28, "CH": 21,
+    "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DJ": 27, "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FK": 18, "FO": 18,
+    "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HN": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23,
+    "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "LY": 25, "MC": 27,
+    "MD": 24, "ME": 22, "MK": 19, "MN": 20, "MR": 27, "MT": 31, "MU": 30, "NI": 28, "NL": 18, "NO": 15, "OM": 23, "PK": 24, "PL": 28,
+    "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "RU": 33, "SA": 24, "SC": 31, "SD": 18, "SE": 24, "SI": 19, "SK": 24, "SM": 27,
+    "SO": 23, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20, "YE": 30,
+}
+#: Most digits of a phone number after the country's; elsewhere 12.
+PHONE_DIGITS = {
+    "1": 10, "7": 10, "20": 10, "27": 9, "30": 10, "31": 9, "32": 9, "33": 9, "34": 9, "36": 9, "39": 11, "40": 9, "41": 9, "44": 10,
+    "45": 8, "46": 10, "47": 8, "48": 9, "49": 11, "51": 9, "52": 10, "54": 11, "55": 11, "56": 9, "57": 10, "58": 10, "60": 10, "61": 9,
+    "63": 10, "64": 10, "65": 8, "66": 9, "81": 10, "82": 10, "84": 10, "86": 11, "90": 10, "91": 10, "92": 10, "94": 9, "98": 10,
+    "351": 9, "352": 11, "353": 9, "420": 9, "421": 9,
+}
+#: What a number isn't carried on into after a space or hyphen: an address, a date; a card neither into a shorter number.
+_OTHER = r"(?:[0-9]{1,3}\.){3}[0-9]|(?:19|20)[0-9]{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])(?![0-9-])|[0-9]{2}([./])[0-9]{2}\1[0-9]{4}"
+_SHORT = r"[0-9]{3}-[0-9]{2,3}-[0-9]{4}(?![0-9-])"
+#: Usual shapes of card numbers; sixteen digits in fours may have three more.
+_CARD = re.compile(r"[0-9]{4}(?:([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?:\1[0-9]{3})?|([ -])[0-9]{6}\2[0-9]{4,5}|[0-9]{9,15})(?![0-9])")
 _FIRST_DAY, _LAST_DAY = dt.date(1900, 1, 1), dt.date(2099, 12, 31)
 _DAYS = (_LAST_DAY - _FIRST_DAY).days + 1
 _ALNUM = "0123456789abcdefghijklmnopqrstuvwxyz"
@@ -95,14 +115,14 @@ class Pseudonyms:
     PATTERNS = (
         ("secret", r"(?<![0-9A-Za-z])(?:[0-9a-f]{40}|[0-9A-F]{40}|[0-9a-f]{64}|[0-9a-f]{32}|[0-9A-F]{32})(?![0-9A-Za-z])"),
         ("email", r"(?<![A-Za-zÀ-ɏ0-9._%+-])[A-Za-zÀ-ɏ0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"),
-        ("iban", r"\b[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?\b"),
+        ("iban", r"\b[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?"),
         ("ip", r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"),
-        ("phone", r"\+[0-9]{1,3}[ -]?\(?[0-9]{2,4}\)?(?:[ -]?[0-9]{2,4}){2,4}(?![0-9])"),
+        ("phone", rf"\+[0-9]{{1,3}}[ -]?\(?[0-9]{{2,4}}\)?(?:(?:[ -](?!{_OTHER}))?[0-9]{{2,4}}){{2,4}}(?![0-9])"),
         ("phone", r"(?<![0-9+])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])|(?<![0-9+-])[0-9]{3}-[0-9]{3}-[0-9]{4}(?![0-9])"),
         ("date", r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])"),
         ("date", r"(?<![0-9./])[0-9]{2}([./])[0-9]{2}\1[0-9]{4}(?![0-9]|[./][0-9])"),
         ("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
-        ("card", r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"),
+        ("card", rf"(?<![0-9])[0-9](?:(?:[ -](?!{_OTHER}|{_SHORT}))?[0-9]){{12,18}}(?![0-9])"),
     )
 
     def __init__(self, key: bytes = KEY):
@@ -111,7 +131,7 @@ class Pseudonyms:
         for i, (kind, pattern) in enumerate(self.PATTERNS):
             pattern = pattern.replace(r"\1", f"(?P=sep{i})").replace("([./])", f"(?P<sep{i}>[./])")
             parts.append(f"(?P<p{i}>{pattern})")
-        self.find = re.compile("|".join(parts)).sub
+        self.find = re.compile("|".join(parts)).search
         self.maybe = re.compile(r"[0-9@]|[0-9A-Fa-f]{32}").search
 
     def _map(self, kind: str, size: int, x: int, back: bool, valid=None) -> int:
@@ -125,6 +145,35 @@ class Pseudonyms:
         check = valid and (lambda x: valid(f"{x:0{n}d}"))
         return f"{self._map(kind, 10**n, int(digits), back, check):0{n}d}"
 
+    def _length(self, kind: str, text: str, start: int, end: int) -> int:
+        """Length of the value at the start of a match, which may have taken more; 0
+        for none. Only what pseudonyms keep decides: shapes, countries, validity."""
+        found = text[start:end]
+        if kind == "iban":
+            left = IBAN_LENGTHS.get(found[:2], 0)
+            for i, c in enumerate(found):
+                left -= c != " "
+                if not left:
+                    return i + 1 if not text[start + i + 1 : start + i + 2].isalnum() else 0
+            return 0
+        if kind == "phone" and found[0] == "+":
+            country = re.match(r"\+([0-9]{1,3})(?=[ (-])", found)
+            cuts, n = [], 0
+            for m in re.compile(r"[0-9]+").finditer(found, country.end() if country else 0):
+                n += m.end() - m.start()
+                cuts.append((n, m.end()))
+            if not country:  # no telling where the country's digits end
+                return next((at for n, at in cuts if n >= 11), len(found))
+            most = PHONE_DIGITS.get(country[1], 12)
+            return max((at for n, at in cuts if 7 <= n <= most), default=next((at for n, at in cuts if n > most), len(found)))
+        if kind == "card":
+            usual = _CARD.match(found)
+            if usual:
+                return usual.end()
+            if any(_CARD.match(found, m.start()) for m in re.finditer(r"(?<=[ -])[0-9]", found)):
+                return 0
+        return len(found)
+
     def replace(self, kind: str, text: str, back: bool = False) -> str | None:
         """The pseudonym of a value of a kind, or None where it doesn't validate."""
         return getattr(self, f"_{kind}")(text, back)
@@ -209,6 +258,8 @@ class Pseudonyms:
 
     def _card(self, text: str, back: bool) -> str | None:
         digits = _digits(text)
+        if re.fullmatch(r"[0-9]{4}([ -])(?:[0-9]{4}\1){3}[0-9]{3}", text):  # of the sixteen and of the three each by itself
+            return self._card(text[:19], back) + text[19] + self._number("card", digits[16:], back)
         if luhn(digits[:-1]) == int(digits[-1]):  # the check digit is made anew for the rest
             body = self._number("card", digits[:-1], back)
             return _in_shape(text, f"{body}{luhn(body)}")
@@ -221,18 +272,19 @@ class Pseudonyms:
         """(text with pseudonyms, how many values were replaced)."""
         if not self.maybe(text):
             return text, 0
-        n = 0
-
-        def put(m: re.Match) -> str:
-            nonlocal n
-            kind = self.PATTERNS[int(next(k for k, v in m.groupdict().items() if v is not None and k[0] == "p")[1:])][0]
-            new = self.replace(kind, m[0], back)
-            if new is None:
-                return m[0]
-            n += 1
-            return new
-
-        return self.find(put, text), n
+        n, done, at, no_card, out = 0, 0, 0, 0, []
+        while m := self.find(text, at):
+            kind, start = self.PATTERNS[int(m.lastgroup[1:])][0], m.start()
+            at = start + 1  # what doesn't validate may hold another value
+            length = 0 if kind == "card" and start < no_card else self._length(kind, text, start, m.end())
+            new = self.replace(kind, text[start : start + length], back) if length else None
+            if new is not None:
+                n += 1
+                out += [text[done:start], new]
+                at = done = start + length
+            elif kind == "card" and length:
+                no_card = max(no_card, start + length)
+        return "".join(out) + text[done:], n
 
 
 def pseudonymise(docs: DataFrame, key: bytes = KEY, back: bool = False) -> DataFrame:

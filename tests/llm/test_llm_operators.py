@@ -540,6 +540,30 @@ def test_pseudonyms_keep_format_and_links():
     assert names.mask("x" * 200_000 + " a@b.co" + "y.z" * 20_000)[1] == 1
 
 
+def test_adjacent_values_are_found_one_by_one():
+    """A value beside any other, a year or a word gets the pseudonym that it has alone."""
+    names = pii.Pseudonyms(b"key")
+    values = [
+        "+1 (843) 555-7672", "+44 20 7946 0958", "+18435557672", "555-123-4567", "(843) 555-7672", "170.106.47.218", "2024-02-29", "31.12.1999",
+        "123-45-6789", "4111 1111 1111 1111", "4111111111111111", "3782 822463 10005", "9807 9157 6280 4490", "BE68 5390 0754 7034", "a.b@mail7.example.com",
+        "GB29 NWBK 6016 1331 9268 19", "NO93 8601 1117 947", "MT84 MALT 0110 0001 2345 MTLC AST0 01S", "SE45 5000 0000 0583 9825 7466", "0123456789abcdef0123456789abcdef",
+    ]
+    alone = {v: names.mask(v) for v in values}
+    assert all(n == 1 and masked != v for v, (masked, n) in alone.items())
+    for a in values:
+        for word in ("CALL", "2024", "170", "999.1.1.1"):
+            if word != "170" or not a.startswith(("4111 ", "9807 ")):  # 4-4-4-4-3 is one number
+                assert names.mask(f"{a} {word}") == (f"{alone[a][0]} {word}", 1), (a, word)
+        for word in ("CALL", "12", "AB12 CD"):
+            assert names.mask(f"{word} {a}") == (f"{word} {alone[a][0]}", 1), (a, word)
+        for b in values:
+            masked, n = names.mask(f"{a} {b}")
+            assert (masked, n) == (f"{alone[a][0]} {alone[b][0]}", 2), (a, b)
+            assert names.mask(masked, back=True) == (f"{a} {b}", 2)
+    number, n = names.mask("4111 1111 1111 1111 170")
+    assert n == 1 and number.startswith(alone["4111 1111 1111 1111"][0] + " ") and names.mask(number, back=True)[0] == "4111 1111 1111 1111 170"
+
+
 @pytest.mark.parametrize("size", [1, 2, 10, 97, 1000])
 def test_feistel_is_a_permutation(size):
     f = pii.Feistel(b"k", "t", size)
