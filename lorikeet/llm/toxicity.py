@@ -105,9 +105,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
 
     Held-out rows are left aside. Of each class, the ``sample`` rows with the
     least hash of doc_id are learnt from; this bound, known beforehand, is what
-    lets their ids be broadcast and the fit run in one task. A doc_id labelled
-    several times is toxic if any label says so. Without both classes the machine
-    gives the share of the class to every document (one millionth at least).
+    lets their ids be broadcast and the fit run in one task. Of documents that
+    share a doc_id the one with the least hash of its text is learnt from. A
+    doc_id labelled several times is toxic if any label says so. Without both
+    classes the machine gives the share of the class to every document (one
+    millionth at least).
     """
     known = (
         labels.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
@@ -131,9 +133,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
             )
 
     # at most 2 x sample rows of two numbers: a proven bound
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen), "doc_id")
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id")
+    single = texts.groupBy("doc_id", "y").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("least"))
     rows = written(
-        texts.select(F.col("doc_id").cast("long"), "y", "text").mapInArrow(each, "doc_id long, y int, at array<int>"),
+        single.select("doc_id", "y", "least.text").mapInArrow(each, "doc_id long, y int, at array<int>"),
         "toxicity",
     )
     n = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}

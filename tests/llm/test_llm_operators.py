@@ -427,6 +427,17 @@ def test_op7_on_held_out_rows(spark, no_docs, odd_docs):
     assert len(none) == odd_docs.count() and all(0 <= r["score"] < 0.01 and r["predicted"] == 0 for r in none)
 
 
+def test_a_repeated_doc_id_is_learnt_from_once(spark):
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice(["insultox", "plain", "word", "other"] if i % 4 == 0 else ["plain", "word", "other"]) for _ in range(12))) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    known = docs.select("doc_id", (F.col("doc_id") % 4 == 0).cast("int").alias("toxic"))
+    hot = docs.union(docs.where("doc_id = 4").crossJoin(spark.range(300)).select("doc_id", "text"))
+    once, again = toxicity.train(docs, known), toxicity.train(hot, known)
+    assert len(once.buckets) and once.bias == again.bias
+    assert np.array_equal(once.buckets, again.buckets) and np.array_equal(once.w, again.w)
+
+
 def test_pairs_weigh_more_than_their_parts():
     rng = np.random.default_rng(0)
     x = (rng.random((3000, 6)) < 0.5).astype(np.float32)
