@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -35,8 +36,43 @@ def scratch_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Scratch tables that are still there, by the scopes that are open; the first is the application's.
+_scopes: list[list[str]] = [[]]
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_dir(spark)}/lorikeet/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder; what is written there goes with its scope."""
+    path = f"{scratch_dir(spark)}/lorikeet/{name}-{uuid.uuid4().hex}"
+    _scopes[-1].append(path)
+    return path
+
+
+@contextlib.contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[list[str]]:
+    """Scratch tables made inside go at the end, but for the paths that are put
+    into the list; those pass to the scope around. For code that reads its results
+    out inside, such as by writing them."""
+    kept: list[str] = []
+    _scopes.append([])
+    try:
+        yield kept
+    finally:
+        mine = _scopes.pop()
+        _scopes[-1] += [p for p in mine if p in kept]
+        for path in mine:
+            if path not in kept:
+                drop_path(spark, path)
+
+
+def _drop_all() -> None:
+    """At the end of the application: results are lazy, so their tables stay till then."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.sparkContext._jsc is not None:
+        for path in list(_scopes[0]):
+            drop_path(spark, path)
+
+
+atexit.register(_drop_all)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -52,6 +88,9 @@ def drop_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    for scope in _scopes:
+        if path in scope:
+            scope.remove(path)
 
 
 def null_key(col: Column | str) -> Column:
