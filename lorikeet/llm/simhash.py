@@ -9,14 +9,15 @@ share of the threshold, which are 17 for a half, and is compared only within
 an anchor. The anchor that covers the point between a pair holds both, so no
 pair is missed; an exact comparison of the 64 bits follows.
 
-``similar`` finds documents by the likeness of their shingle sets instead. The
-same covering takes six halves of fingerprints of the word sets, which few edits
-leave within 2 bits somewhere. Since an added or replaced passage can change many
-distinct words, documents also meet by bands of min-hashes of the shingle sets:
-two sets of Jaccard likeness j share none of the 32 bands of 4 with probability
-(1 - j^4)^32, below 5e-8 from 0.8 on, wherever the edits lie. The comparison is
-of wide fingerprints of the shingle sets, whose differing bits measure the
-likeness.
+``similar`` finds documents by the likeness of their shingle sets instead, since
+4 bits of 64 stand for a far higher likeness than 0.8. The same covering takes
+the fingerprint of the set of words, which few edits leave within 2 bits in one
+of its halves. An added or replaced passage can change many distinct words, so
+documents also meet by bands of min-hashes of the shingle sets: two sets of
+Jaccard likeness j share none of the 32 bands of 4 with probability
+(1 - j^4)^32, below 5e-8 from 0.8 on, wherever the edits lie. Wide fingerprints
+of the shingle sets then sort out what is far from alike, and what is left is
+compared by the shingle sets themselves: only an exact likeness links.
 """
 
 from __future__ import annotations
@@ -44,11 +45,13 @@ SEED = 42
 #: Likeness of two shingle sets from which documents are near-duplicates.
 SIMILARITY = 0.8
 #: 64-bit words of the fingerprint of the word set and of that of the shingle set.
-WORD_PRINTS, SHINGLE_PRINTS = 3, 16
+WORD_PRINTS, SHINGLE_PRINTS = 1, 16
 #: Bands of min-hashes of the shingle set, and min-hashes in a band.
 BANDS, BAND_ROWS = 32, 4
-#: Differing bits of 192 beyond which word sets are too unlike to compare their shingles.
-UNLIKE_WORDS = 48
+#: Differing bits of 64 beyond which word sets that share an anchor aren't looked at further.
+UNLIKE_WORDS = 16
+#: Bytes of shingle sets on one side of a comparison of sets.
+SET_BYTES = 32 << 20
 
 _BYTE_BITS = ((np.arange(256)[:, None] >> np.arange(7, -1, -1)) & 1).astype(np.int64)
 
@@ -177,13 +180,14 @@ def _anchors(points: DataFrame) -> DataFrame:
 
 def _cells(replicas: DataFrame, cell: int) -> DataFrame:
     """Anchors with one point go; one with more than ``cell`` is split into g
-    parts by hash and compared part against part, in g (g + 1) / 2 cells."""
-    counted = replicas.withColumn("n", F.count("*").over(Window.partitionBy("anchor"))).where("n > 1")
-    parted = counted.withColumn("g", F.ceil(F.col("n") / cell).cast("int")).withColumn(
-        "part", F.expr("cast(pmod(xxhash64(rep), g) as int)")
-    )
+    parts by hash and compared part against part, in g (g + 1) / 2 cells. Points
+    are counted in a table of its own, so that the rows of a crowded anchor never
+    have to meet: the join with it shuffles both sides, which can be split."""
+    counts = written(replicas.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "anchors")
+    parts = counts.select("anchor", F.ceil(F.col("n") / cell).cast("int").alias("g"))
+    parted = replicas.join(parts, "anchor").withColumn("part", F.expr("cast(pmod(xxhash64(rep), g) as int)"))
     return parted.select("rep", "anchor", "part", F.explode(F.expr("sequence(0, g - 1)")).alias("other")).select(
-        "rep", "anchor", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j")
+        "rep", "anchor", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j")
     )
 
 
@@ -208,21 +212,23 @@ class _Forest:
                 self.root = up
 
 
-def _cell_of(part: pd.DataFrame) -> np.ndarray:
-    key = part[_CELL_KEY].to_numpy()
-    return np.concatenate([[0], np.cumsum((key[1:] != key[:-1]).any(axis=1))])
+def _cell_of(part: pd.DataFrame, key: list[str]) -> np.ndarray:
+    at = part[key].to_numpy()
+    return np.concatenate([[0], np.cumsum((at[1:] != at[:-1]).any(axis=1))])
 
 
 def _near_pairs(part: pd.DataFrame, threshold: int, skip: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Iterator[tuple]:
     """Index arrays (a, b) of the rows of one cell whose prints differ in at most
-    ``threshold`` bits, gap by gap. ``skip`` says which pairs needn't be looked at."""
-    cell, prints = _cell_of(part), np.stack(part["prints"].tolist()).view(np.uint64)
+    ``threshold`` bits, gap by gap. ``skip`` says which pairs needn't be looked at;
+    pairs of one part meet in that part's own cell."""
+    cell, prints = _cell_of(part, _CELL_KEY), np.stack(part["prints"].tolist()).view(np.uint64)
+    side, own = part["part"].to_numpy(), part["i"].to_numpy() == part["j"].to_numpy()
     at, gap = np.arange(len(part)), 0
     while len(at):
         gap += 1
         at = at[at + gap < len(part)]
         at = at[cell[at] == cell[at + gap]]
-        open_ = at[~skip(at, at + gap)]
+        open_ = at[(own[at] | (side[at] != side[at + gap])) & ~skip(at, at + gap)]
         near = open_[np.bitwise_count(prints[open_] ^ prints[open_ + gap]).sum(axis=1, dtype=int) <= threshold]
         if len(near):
             yield near, near + gap
@@ -242,13 +248,13 @@ def _with_neighbour(part: pd.DataFrame, threshold: int) -> pd.DataFrame:
     found = np.zeros(len(part), bool)
     for a, b in _near_pairs(part, threshold, lambda a, b: found[a] & found[b]):
         found[a] = found[b] = True
-    return part.loc[found, ["rep", *_CELL_KEY]]
+    return part.loc[found, ["rep", "anchor", "part", "i", "j"]]
 
 
 _CELL_KEY = ["anchor", "i", "j"]
 
 
-def _by_cell(cells: DataFrame, treat: Callable[[pd.DataFrame, int], pd.DataFrame], threshold: int, schema: str) -> DataFrame:
+def _by_cell(cells: DataFrame, treat: Callable[[pd.DataFrame], pd.DataFrame], key: list[str], schema: str) -> DataFrame:
     """``treat`` applied to batches of whole cells; a cell has a bounded number of rows."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -257,15 +263,15 @@ def _by_cell(cells: DataFrame, treat: Callable[[pd.DataFrame, int], pd.DataFrame
             if batch.empty:
                 continue
             held = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            last = held[_CELL_KEY].iloc[-1].to_numpy()
-            whole = (held[_CELL_KEY].to_numpy() != last).any(axis=1)
+            last = held[key].iloc[-1].to_numpy()
+            whole = (held[key].to_numpy() != last).any(axis=1)
             if whole.any():  # the last cell may go on in the next batch
-                yield treat(held[whole].reset_index(drop=True), threshold)
+                yield treat(held[whole].reset_index(drop=True))
                 held = held[~whole].reset_index(drop=True)
         if held is not None:
-            yield treat(held, threshold)
+            yield treat(held)
 
-    return cells.repartition(*_CELL_KEY).sortWithinPartitions(*_CELL_KEY, "rep").mapInPandas(each, schema)
+    return cells.repartition(*key).sortWithinPartitions(*key, "rep").mapInPandas(each, schema)
 
 
 def link_edges(points: DataFrame, threshold: int = THRESHOLD, cell: int = CELL, unlike: int | None = None) -> DataFrame:
@@ -282,11 +288,12 @@ def link_edges(points: DataFrame, threshold: int = THRESHOLD, cell: int = CELL,
     cells = _cells(_anchors(points), cell)
     if unlike is not None:
         keyed = cells.join(points.select("rep", F.col("keys").alias("prints")), "rep")
-        cells = _by_cell(keyed, _with_neighbour, unlike, "rep long, anchor long, i int, j int")
+        near = lambda part: _with_neighbour(part, unlike)
+        cells = _by_cell(keyed, near, _CELL_KEY, "rep long, anchor long, part int, i int, j int")
     if "bands" in points.columns:
-        cells = cells.union(_cells(points.select("rep", F.explode("bands").alias("anchor")), cell))
+        cells = cells.unionByName(_cells(points.select("rep", F.explode("bands").alias("anchor")), cell))
     sketched = cells.join(points.select("rep", F.col("sketch").alias("prints")), "rep")
-    return _by_cell(sketched, _forest, threshold, "a long, b long").distinct()
+    return _by_cell(sketched, lambda part: _forest(part, threshold), _CELL_KEY, "a long, b long").distinct()
 
 
 def near_duplicates(
@@ -316,53 +323,184 @@ def near_duplicates(
 
 
 def _bits(similarity: float) -> int:
-    """Differing bits of two shingle fingerprints up to which their sets count as
+    """Differing bits of two shingle fingerprints up to which their sets may be
     alike: what sets of that Jaccard likeness j, whose cosine is 2 j / (1 + j),
-    differ in on average and one and a half standard deviations more."""
+    differ in on average and four standard deviations more, which one pair in
+    30,000 at that very likeness exceeds. Sets are compared exactly below."""
     width = 64 * SHINGLE_PRINTS
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return int(width * p + 1.5 * math.sqrt(width * p * (1 - p)))
+    return int(width * p + 4 * math.sqrt(width * p * (1 - p)))
 
 
-def similar(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, cell: int = CELL) -> DataFrame:
-    """(doc_id, component_id) for every row of ``docs`` (doc_id, text, ...), where
-    documents link whose shingle sets have a Jaccard likeness of ``similarity`` or
-    more as their fingerprints measure it.
+def _alike(a: bytes, b: bytes, similarity: float) -> bool:
+    """Whether two sets, sorted 64-bit hashes, have that Jaccard likeness; two
+    empty sets are alike."""
+    n, m = len(a) // 8, len(b) // 8
+    if min(n, m) < similarity * max(n, m):
+        return False
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    common = n + m - len(np.union1d(x, y))
+    return common >= similarity * (n + m - common)
+
+
+def _sets_of(members: DataFrame, shingle: int) -> DataFrame:
+    """(rep, comp, sketch, shingles): the shingle set of each member's whole text."""
 
-    Texts with equal fingerprints of 1,216 bits are one class from the start. Null
-    and empty texts are alike. Null doc_ids, repeated doc_ids and other columns
-    are treated as in ``near_duplicates``.
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(lo, 1000) for b in batches for lo in range(0, b.num_rows, 1000)):
+            sets = []
+            for text in batch.column(3):
+                digests = _shingle_digests(_words(text.as_py()), shingle)
+                sets.append(np.unique(np.frombuffer(b"".join(digests), "<u8")).tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:3], pa.array(sets, pa.binary())], names=["rep", "comp", "sketch", "shingles"]
+            )
+
+    schema = "rep long, comp long, sketch array<bigint>, shingles binary"
+    return members.select("rep", "comp", "sketch", "text").mapInArrow(each, schema)
+
+
+def _verify(part: pd.DataFrame, threshold: int, similarity: float) -> pd.DataFrame:
+    """Edges between the open rows of a cell (``mine``) and all its rows, where the
+    sets are alike; rows whose link to their leader is known are one from the start."""
+    cell, rep, sets = _cell_of(part, _SET_KEY), part["rep"].to_numpy(), part["shingles"].tolist()
+    prints = np.stack(part["sketch"].tolist()).view(np.uint64)
+    mine, known = part["mine"].to_numpy(bool), part["linked"].to_numpy(bool)
+    a, b = [], []
+    for c in range(cell[-1] + 1):
+        rows = np.flatnonzero(cell == c)
+        forest = _Forest(len(rows))
+        led = np.flatnonzero(known[rows])
+        if len(led):
+            forest.unite(np.repeat(led[:1], len(led)), led)
+        for i in np.flatnonzero(mine[rows]):
+            near = np.bitwise_count(prints[rows] ^ prints[rows[i]]).sum(axis=1, dtype=int) <= threshold
+            near[i] = False
+            for j in np.flatnonzero(near):
+                if forest.root[i] != forest.root[j] and _alike(sets[rows[i]], sets[rows[j]], similarity):
+                    forest.unite(np.array([i]), np.array([j]))
+                    a.append(rep[rows[i]])
+                    b.append(rep[rows[j]])
+    return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+
+
+_SET_KEY = ["comp", "p", "q"]
+
+
+def _exact_edges(texts: DataFrame, coarse: DataFrame, shingle: int, similarity: float, cell: int) -> DataFrame:
+    """Edges (a, b) of exact likeness that give the components of all of them
+    within each component of ``coarse`` (rep, comp, sketch); ``texts``: rep, text.
+
+    First every member is compared with its component's leader, its least rep: a
+    step linear in the members, after which most groups are joined. Only members
+    that are not like their leader go on, to be compared with all members of
+    their component, part against part; a part is bounded in rows and bytes.
     """
+    sets = written(_sets_of(coarse.join(texts, "rep"), shingle), "sets")
+    leaders = sets.where("rep = comp").select("comp", F.col("shingles").alias("lead"))
+
+    def led(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            same = [_alike(x.as_py(), y.as_py(), similarity) for x, y in zip(batch.column(2), batch.column(3))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(same, pa.bool_())], names=["rep", "comp", "linked"])
+
+    stars = sets.join(leaders, "comp").select("rep", "comp", "shingles", "lead").mapInArrow(
+        led, "rep long, comp long, linked boolean"
+    )
+    stars = written(stars, "leaders")
+    star_edges = stars.where("linked AND rep <> comp").select(F.col("rep").alias("a"), F.col("comp").alias("b"))
+    # components with members that their leader isn't like, and how many parts those and all members make
+    sized = sets.select("rep", "comp", F.octet_length("shingles").alias("bytes")).join(stars.select("rep", "linked"), "rep")
+    open_ = F.col("linked") == F.lit(False)
+    parts = sized.groupBy("comp").agg(
+        F.ceil(F.greatest(F.count("*") / cell, F.sum("bytes") / SET_BYTES)).cast("int").alias("ps"),
+        F.ceil(F.greatest(F.count_if(open_) / cell, F.sum(F.when(open_, F.col("bytes"))) / SET_BYTES)).cast("int").alias("qs"),
+        F.count_if(open_).alias("n_open"),
+    )
+    parts = written(parts.where("n_open > 0").select("comp", F.greatest("ps", F.lit(1)).alias("ps"), F.greatest("qs", F.lit(1)).alias("qs")), "parts")
+    left = sets.join(stars.select("rep", "linked"), "rep").join(parts, "comp")
+    deal = "cast(pmod(xxhash64(rep, {}), {}) as int)"
+    cols = ["rep", "comp", "p", "q", "sketch", "shingles", "linked", "mine"]
+    every = left.withColumn("p", F.expr(deal.format("'p'", "ps"))).withColumn("q", F.explode(F.expr("sequence(0, qs - 1)")))
+    every = every.withColumn("mine", F.lit(False)).select(*cols)
+    asked = left.where(open_).withColumn("q", F.expr(deal.format("'q'", "qs"))).withColumn("p", F.explode(F.expr("sequence(0, ps - 1)")))
+    asked = asked.withColumn("mine", F.lit(True)).select(*cols)
+    schema = "a long, b long"
+    threshold = _bits(similarity)
+    rest = _by_cell(every.unionByName(asked), lambda part: _verify(part, threshold, similarity), _SET_KEY, schema)
+    return star_edges.unionByName(rest).distinct()
+
+
+def _labelled(rows: DataFrame, shingle: int, similarity: float, cell: int) -> DataFrame:
+    """(row, doc_id, comp) for every row of ``rows`` (row, doc_id, text), where row
+    is unique and comp is the least row of those that it reaches over links."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_128_digest
+
         for batch in batches:
-            prints = [set_prints(x.as_py(), shingle) for x in batch.column(1)]
+            prints = [set_prints(x.as_py(), shingle) for x in batch.column(2)]
             columns = [pa.array([p[i] for p in prints], pa.list_(pa.int64())) for i in range(3)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "keys", "sketch", "bands"])
+            same = [xxh3_128_digest(np.array(p[0] + p[1] + p[2], np.int64).tobytes()) for p in prints]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:2], pa.array(same, pa.binary()), *columns],
+                names=["row", "doc_id", "same", "keys", "sketch", "bands"],
+            )
+
+    schema = "row long, doc_id long, same binary, keys array<bigint>, sketch array<bigint>, bands array<bigint>"
+    prints = written(rows.select("row", "doc_id", "text").mapInArrow(each, schema), "simhash-sets")
+    reps = prints.groupBy("same").agg(F.min("row").alias("rep"))
+    every = prints.select(F.col("row").alias("rep"), "keys", "sketch", "bands")
+    points = written(every.join(reps.select("rep"), "rep"), "simhash-points")
+    coarse = connected_components(link_edges(points, _bits(similarity), cell, UNLIKE_WORDS))
+    coarse = coarse.select(F.col("node").alias("rep"), F.col("component").alias("comp")).join(points.select("rep", "sketch"), "rep")
+    texts = rows.select(F.col("row").alias("rep"), "text")
+    parts = connected_components(_exact_edges(texts, coarse, shingle, similarity, cell))
+    classes = reps.join(parts, F.col("rep") == F.col("node"), "left").select("same", F.coalesce("component", "rep").alias("comp"))
+    return prints.select("row", "doc_id", "same").join(classes, "same").select("row", "doc_id", "comp")
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    schema = "doc_id long, keys array<bigint>, sketch array<bigint>, bands array<bigint>"
-    prints = written(rows.mapInArrow(each, schema), "simhash-sets")
-    reps = prints.groupBy("keys", "sketch").agg(F.min("doc_id").alias("rep"), F.min("bands").alias("bands"))
-    parts = connected_components(link_edges(reps.where("rep IS NOT NULL"), _bits(similarity), cell, UNLIKE_WORDS))
-    classes = reps.join(parts, F.col("rep") == F.col("node"), "left").select(
-        "keys", "sketch", F.coalesce("component", "rep").alias("component_id")
+
+def similar(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, cell: int = CELL) -> DataFrame:
+    """(doc_id, component_id) for every row of ``docs`` (doc_id, text, ...), where
+    rows link whose shingle sets have a Jaccard likeness of ``similarity`` or more.
+
+    component_id is the smallest doc_id that a row reaches over links, null if
+    none of them has one. Rows are what links, not doc_ids: rows that share a
+    doc_id or have none are as any others. Texts with equal fingerprints of 1,088
+    bits and equal bands are one class from the start. Null texts and texts
+    without words are alike; of fewer words than a shingle the whole sequence is
+    one. Other columns are ignored; an empty table gives an empty table.
+    """
+    rows = docs.select(
+        F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
     )
-    return prints.drop("bands").join(classes, ["keys", "sketch"], "left").select("doc_id", "component_id")
+    found = written(_labelled(written(rows, "simhash-rows"), shingle, similarity, cell), "simhash-found")
+    least = written(found.groupBy("comp").agg(F.min("doc_id").alias("component_id")), "simhash-least")
+    return found.join(least, "comp").select("doc_id", "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, cell: int = CELL) -> DataFrame:
+    """``docs`` with one row of each component of ``similar``: of those with the
+    smallest doc_id (null last) one, whichever text it has. So identical rows, rows
+    without a doc_id and rows that share one are treated as any others. Columns
+    stay as they are, whatever their names; an empty table stays empty."""
+    rows = written(docs.withColumn(_ROW, F.monotonically_increasing_id()), "simhash-rows")
+    keyed = rows.select(F.col(_ROW).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    found = written(_labelled(keyed, shingle, similarity, cell), "simhash-found")
+    # rows in components of several, of which all but one go
+    many = found.groupBy("comp").agg(
+        F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"].alias("keeper"), F.count("*").alias("n")
+    )
+    many = written(many.where("n > 1").select("comp", "keeper"), "simhash-kept")
+    gone = found.join(many, "comp").where("row <> keeper").select(F.col("row").alias(_ROW))
+    return rows.join(gone, _ROW, "left_anti").select(*docs.columns)
 
 
-def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """``docs`` with one document of each component of ``similar``: the one with
-    the smallest doc_id. Rows with a null doc_id stay. Columns stay as they are."""
-    gone = (
-        similar(docs.select("doc_id", "text"), shingle, similarity)
-        .where("doc_id <> component_id")
-        .select(F.col("doc_id").alias("__gone"))
-        .distinct()
-    )
-    return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
+_ROW = "__simhash_row"
 
 
 def op1_simhash(docs: DataFrame) -> DataFrame:
+    """(doc_id, fingerprint, component_id) of all documents by 4-word shingles: see
+    ``near_duplicates`` for nulls, empty texts, ties and repeated rows."""
     found = near_duplicates(docs, shingle=4)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
