@@ -5,42 +5,80 @@ wide vector and the fingerprint is their sum, component by component, modulo
 powers of two: it doesn't depend on the order of paragraphs, and a paragraph is
 inserted or deleted by adding or subtracting its vector.
 
-The vector has two parts. Four components of 62 bits hash the paragraph whole;
-they decide equality. 64 components of 15 bits count, for each bit of the hash
-of every pair of neighbouring words in it (the line ends count as words), how
-often the bit is set. The difference of two such counts estimates the size of
-the difference of the two multisets of word pairs, hence the likeness.
+The vector has two parts. Four components of 60 bits are slices of the SHA-256 of
+the paragraph; they decide equality. 64 components of 31 bits count, for each bit
+of the hash of every pair of neighbouring words in it (the line ends count as
+words), how often the bit is set. The difference of two such counts estimates the
+size of the difference of the two multisets of word pairs, hence the likeness.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Components that decide equality, and the mask of one.
-WIDE, WIDE_MASK = 4, (1 << 62) - 1
-#: 16 integers hold 64 counters in lanes of 16 bits, of which 15 count.
-PACKED, LANE_ONES, LANE_MASK = 16, 0x0001000100010001, 0x7FFF7FFF7FFF7FFF
+from lorikeet.llm.common import written
+
+#: Components that decide equality, hexadecimal digits of one, and its mask.
+WIDE, DIGITS = 4, 15
+WIDE_MASK = (1 << 4 * DIGITS) - 1
+#: 32 integers hold 64 counters in lanes of 32 bits, of which 31 count: no text has as many word pairs.
+PACKED, LANE_ONES, LANE_MASK = 32, 0x0000000100000001, 0x7FFFFFFF7FFFFFFF
 #: Length of a fingerprint: wide components, packed counters, number of pairs.
 LENGTH = WIDE + PACKED + 1
+#: Documents in a range of the order that one task treats together.
+RANGE_ROWS = 20_000
+#: Bounds of ranges, at most, that the driver looks up; between them ranges are cut evenly.
+MOST_BOUNDS = 1000
 
 
-def fingerprint(text: Column | str) -> Column:
-    """array<bigint> of LENGTH for a text (null: empty)."""
-    t = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
-    lines = F.split(t, "\n", -1)
+def _text(text: Column | str) -> Column:
+    return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
+
+
+def _wide(text: Column | str) -> Column:
+    """array<bigint>: the sums of the slices of the paragraphs' SHA-256."""
+    digests = F.transform(F.split(_text(text), "\n", -1), lambda p: F.sha2(p.cast("binary"), 256))
+    part = lambda i: lambda h: F.conv(F.substring(h, DIGITS * i + 1, DIGITS), 16, 10).cast("long")
+    return _let(digests, lambda hs: F.array(*[_sum(F.transform(hs, part(i)), WIDE_MASK) for i in range(WIDE)]))
+
+
+def _pairs(text: Column | str) -> Column:
+    """array<bigint>: the hash of every pair of neighbouring words, line ends among them; never empty."""
+    t = _text(text)
     spaced = F.split(F.concat(F.lit("\n "), F.replace(t, F.lit("\n"), F.lit(" \n ")), F.lit(" \n")), " ", -1)
-    pairs = F.zip_with(
+    return F.zip_with(
         F.slice(spaced, 1, F.size(spaced) - 1), F.slice(spaced, 2, F.size(spaced) - 1), lambda a, b: F.xxhash64(a, b)
     )
-    wide = _let(lines, lambda x: F.array(*[_sum(F.transform(x, _seeded(i)), WIDE_MASK) for i in range(WIDE)]))
+
+
+def fingerprint(text: Column | str) -> Column:
+    """array<bigint> of LENGTH for a text (null: empty)."""
     counts = _let(
-        pairs,
+        _pairs(text),
         lambda x: F.array(*[_sum(F.transform(x, _ones(k)), LANE_MASK) for k in range(PACKED)], F.size(x).cast("long")),
     )
-    return F.concat(wide, counts)
+    return F.concat(_wide(text), counts)
+
+
+def add_fingerprints(df: DataFrame, keys: Sequence[str], texts: Sequence[str], outs: Sequence[str]) -> DataFrame:
+    """(keys, outs): the fingerprint of each of ``texts`` for every row. ``keys``
+    identify a row; their first is what ``df`` is partitioned by, if it is, and
+    then nothing is shuffled. Word pairs become rows that are summed by compiled
+    aggregation, many times faster than the same sums within arrays."""
+    n = range(len(texts))
+    base = df.select(*keys, *[_wide(t).alias(f"__w{i}") for i, t in enumerate(texts)], F.arrays_zip(*[_pairs(t).alias(f"p{i}") for i, t in enumerate(texts)]).alias("__p"))
+    wide = [F.element_at(f"__w{i}", k + 1).alias(f"__w{i}_{k}") for i in n for k in range(WIDE)]
+    rows = base.select(*keys, *wide, F.inline("__p"))
+    sums = rows.groupBy(*keys).agg(
+        *[F.max(f"__w{i}_{k}").alias(f"__w{i}_{k}") for i in n for k in range(WIDE)],
+        *[F.sum(_ones(k)(F.col(f"p{i}"))).alias(f"__c{i}_{k}") for i in n for k in range(PACKED)],
+        *[F.count(f"p{i}").alias(f"__n{i}") for i in n],
+    )
+    lanes = lambda i: [F.col(f"__c{i}_{k}").bitwiseAND(F.lit(LANE_MASK)) for k in range(PACKED)]
+    return sums.select(*keys, *[F.array(*[F.col(f"__w{i}_{k}") for k in range(WIDE)], *lanes(i), F.col(f"__n{i}")).alias(outs[i]) for i in n])
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -48,10 +86,6 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _seeded(seed: int):
-    return lambda p: F.xxhash64(p, F.lit(seed)).bitwiseAND(F.lit(WIDE_MASK))
-
-
 def _ones(shift: int):
     return lambda x: F.shiftrightunsigned(x, shift).bitwiseAND(F.lit(LANE_ONES))
 
@@ -61,23 +95,19 @@ def _sum(values: Column, mask: int) -> Column:
 
 
 def _lanes(fp: Column) -> Column:
-    """The 64 signed sums, one for each bit: times set less times not set, modulo 2^16."""
-    counts = F.flatten(
-        F.transform(
-            F.slice(fp, WIDE + 1, PACKED),
-            lambda x: F.array(*[F.shiftrightunsigned(x, 16 * i).bitwiseAND(F.lit(0x7FFF)) for i in range(4)]),
-        )
-    )
-    n = F.element_at(fp, LENGTH)
-    return F.transform(counts, lambda c: _centred(c * 2 - n))
+    """The 64 signed sums, one for each bit: times set less times not set, modulo 2^32."""
+    low = lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF))
+    packed = F.slice(fp, WIDE + 1, PACKED)
+    counts = F.concat(F.transform(packed, low), F.transform(packed, lambda x: low(F.shiftrightunsigned(x, 32))))
+    return F.transform(counts, lambda c: _centred(c * 2 - F.element_at(fp, LENGTH)))
 
 
 def _centred(x: Column) -> Column:
-    return F.pmod(x + F.lit(1 << 15), F.lit(1 << 16)) - F.lit(1 << 15)
+    return F.pmod(x + F.lit(1 << 31), F.lit(1 << 32)) - F.lit(1 << 31)
 
 
 def _squares(v: Column) -> Column:
-    return F.aggregate(v, F.lit(0).cast("long"), lambda a, x: a + x * x)
+    return F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -87,7 +117,7 @@ def likeness(a: Column, b: Column) -> Column:
         F.struct(_lanes(a).alias("x"), _lanes(b).alias("y")),
         lambda v: F.lit(1.0)
         - _squares(F.zip_with(v["x"], v["y"], lambda x, y: _centred(x - y)))
-        / F.nullif(_squares(v["x"]) + _squares(v["y"]), F.lit(0)),
+        / F.nullif(_squares(v["x"]) + _squares(v["y"]), F.lit(0.0)),
     )
     share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), share))
     return F.when(a == b, F.lit(1.0)).otherwise(F.coalesce(share, F.lit(0.0)))
@@ -99,15 +129,9 @@ def combine(a: Column, b: Column, sign: int = 1) -> Column:
     ones = F.lit(sign)
 
     def lanes(x: Column, y: Column) -> Column:
-        lane = lambda i: F.pmod(
-            F.shiftrightunsigned(x, 16 * i).bitwiseAND(F.lit(0x7FFF))
-            + ones * F.shiftrightunsigned(y, 16 * i).bitwiseAND(F.lit(0x7FFF)),
-            F.lit(1 << 15),
-        )
-        out = F.lit(0).cast("long")
-        for i in range(4):
-            out = out.bitwiseOR(F.shiftleft(lane(i), 16 * i))
-        return out
+        lane = lambda v, i: F.shiftrightunsigned(v, 32 * i).bitwiseAND(F.lit(0x7FFFFFFF))
+        low, high = (F.pmod(lane(x, i) + ones * lane(y, i), F.lit(1 << 31)) for i in range(2))
+        return F.shiftleft(high, 32).bitwiseOR(low)
 
     return F.concat(
         F.zip_with(F.slice(a, 1, WIDE), F.slice(b, 1, WIDE), lambda x, y: (x + ones * y).bitwiseAND(F.lit(WIDE_MASK))),
@@ -133,57 +157,83 @@ def _bucket(col: Column, bounds: list[float]) -> Column:
     return tree(0, len(bounds))
 
 
-def with_next(docs: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, text) with fp, next_text and next_fp: the fingerprint of
-    the text, and text and fingerprint of the document that follows in
-    descending doc_id; the first follows the last.
+def _ranged(docs: DataFrame, range_rows: int) -> DataFrame:
+    """``docs`` (doc_id, text) with __range, which rises along the order (falling
+    doc_id, null last; of one doc_id by a hash of the text), and __h, that hash.
 
-    doc_ids are cut into ranges at their approximate quantiles; rows are ordered
-    within a range only, and the last row of each takes the first of the next
-    range from a table of one row a range. Equal doc_ids are ordered by text;
-    null doc_ids come last. The quantiles, two for each shuffle partition, are
-    all that reaches the driver.
+    There is a range for each ``range_rows`` rows, and two for each shuffle
+    partition at least. Quantiles of doc_id bound them, of which the driver sees
+    MOST_BOUNDS at most; between two of those, ranges are cut evenly. A doc_id
+    with so many rows that two quantiles fall on it is spread over ranges by the
+    hash, and so are the rows without one.
     """
-    n = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bounds = sorted(set(docs.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.25 / n)))
-    at = -_bucket(F.col("doc_id").cast("double"), bounds)
-    rows = docs.withColumn("__range", F.when(F.col("doc_id").isNull(), F.lit(1)).otherwise(at))
-    heads = rows.groupBy("__range").agg(F.max(F.struct("doc_id", "text"))["text"].alias("text"))
-    ranges = Window.orderBy("__range")
-    heads = heads.select(
-        "__range", F.coalesce(F.lead("text").over(ranges), F.first("text").over(ranges)).alias("__text")
-    ).withColumn("__fp", fingerprint("__text"))
-    order = Window.partitionBy("__range").orderBy(F.desc_nulls_last("doc_id"), F.desc("text"))
-    found = (
-        rows.withColumn("fp", fingerprint("text"))
-        .withColumn("next_text", F.lead("text").over(order))
-        .withColumn("next_fp", F.lead("fp").over(order))
-        .join(heads, "__range", "left")
-    )
-    return found.select(
-        *docs.columns,
-        "fp",
-        F.coalesce("next_text", "__text").alias("next_text"),
-        F.coalesce("next_fp", "__fp").alias("next_fp"),
-    )
-
-
-def op4_fingerprint(docs: DataFrame) -> DataFrame:
+    at_least = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = max(at_least, -(-docs.count() // range_rows))
+    tops = min(n, MOST_BOUNDS)
+    cuts = docs.approxQuantile("doc_id", [i / tops for i in range(tops + 1)], 0.25 / tops) or [0.0, 0.0]
+    bounds = sorted(set(cuts[1:-1]))
+    crowded = sorted({b for a, b in zip(cuts, cuts[1:]) if a == b})
+    even = -(-n // tops)
+    x = F.col("doc_id").cast("double")
+    low, high = [cuts[0], *bounds], [*bounds, cuts[-1]]
+    of = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("__top") + 1)
+    share = (x - of(low)) / F.nullif(of(high) - of(low), F.lit(0.0)) if even > 1 else F.lit(0.0)
+    sub = F.greatest(F.lit(0), F.least(F.lit(even - 1), F.floor(F.coalesce(share, F.lit(0.0)) * even)))
+    piece = F.shiftrightunsigned(F.col("__h") * n, 31)
+    place = F.when(x.isin(crowded), even + piece).otherwise(even - 1 - sub) if crowded else even - 1 - sub
+    rows = docs.withColumn("__h", F.shiftrightunsigned(F.xxhash64("text"), 33)).withColumn("__top", _bucket(x, bounds))
+    at = F.when(x.isNull(), even + n + piece).otherwise(place - F.col("__top") * (even + n))
+    return rows.withColumn("__range", at.cast("long")).drop("__top")
+
+
+def with_next(docs: DataFrame, range_rows: int = RANGE_ROWS) -> tuple[DataFrame, DataFrame]:
+    """``docs`` (doc_id, text) with next_text, __range and __place, and a table
+    (__range, __next) of the ranges and those that follow them.
+
+    next_text is the text of the document that follows in descending doc_id; the
+    first follows the last. Rows are ordered within ranges only; the last of a
+    range takes the first of the next one from a table of a row a range, of which
+    only the numbers pass one task.
+    """
+    rows = _ranged(docs, range_rows)
+    first = F.max(F.struct("doc_id", (-F.col("__h")).alias("h"), "text"))["text"]
+    heads = written(rows.groupBy("__range").agg(first.alias("__head")), "heads")
+    along = Window.orderBy("__range")
+    ranges = heads.select("__range", F.coalesce(F.lead("__range").over(along), F.min("__range").over(Window.partitionBy())).alias("__next"))
+    ranges = written(ranges, "ranges")
+    following = ranges.join(heads.select(F.col("__range").alias("__next"), "__head"), "__next").select("__range", "__head")
+    order = Window.partitionBy("__range").orderBy(F.desc_nulls_last("doc_id"), "__h", F.desc("text"))
+    found = rows.select("*", F.lead("text").over(order).alias("__lead"), F.row_number().over(order).alias("__place"))
+    found = found.join(following, "__range")
+    return found.select("__range", "__place", *docs.columns, F.coalesce("__lead", "__head").alias("next_text")), ranges
+
+
+def op4_fingerprint(docs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     """Fingerprints of every text and of the text with its last third replaced by
-    the head of the next document. Null texts are empty; rows that are equal in
-    doc_id and text are interchangeable; null doc_ids come last in the order."""
-    texts = docs.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = with_next(texts).withColumn("n_chars", F.char_length("text").cast("long"))
+    the head of the next document, and how like they are. Null texts are empty;
+    null doc_ids come last in the order; rows that share a doc_id follow each
+    other by a hash of their texts, and those equal in both are interchangeable.
+    Other columns are ignored; an empty table gives an empty table."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text("text").cast("string").alias("text"))
+    rows, ranges = with_next(texts, range_rows)
+    rows = rows.withColumn("n_chars", F.char_length("text").cast("long"))
     cut = F.floor(F.col("n_chars") / 3).cast("int")
     edited = F.concat(
         F.substring("text", F.lit(1), F.col("n_chars").cast("int") - cut), F.substring("next_text", F.lit(1), cut)
     )
-    rows = rows.select("doc_id", "n_chars", "fp", "next_fp", edited.alias("edited"))
-    rows = rows.withColumn("edited_fp", fingerprint("edited"))
-    return rows.select(
+    rows = rows.select("__range", "__place", "doc_id", "n_chars", "text", edited.alias("edited"))
+    rows = rows.withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
+    keys = ["__range", "__place", "doc_id", "n_chars", "edited_sha256"]
+    prints = written(add_fingerprints(rows, keys, ["text", "edited"], ["fp", "edited_fp"]), "fingerprints")
+    heads = prints.where("__place = 1").select(F.col("__range").alias("__next"), F.col("fp").alias("head_fp"))
+    heads = ranges.join(heads, "__next").select("__range", "head_fp")
+    order = Window.partitionBy("__range").orderBy("__place")
+    found = prints.withColumn("next_fp", F.lead("fp").over(order)).join(heads, "__range")
+    found = found.withColumn("next_fp", F.coalesce("next_fp", "head_fp"))
+    return found.select(
         "doc_id",
         "n_chars",
-        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        "edited_sha256",
         as_string(F.col("fp")).alias("fingerprint"),
         as_string(F.col("edited_fp")).alias("edited_fingerprint"),
         likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"),
