@@ -104,23 +104,26 @@ def shard(docs: DataFrame, tree: ShardTree = TREE) -> DataFrame:
     size: UTF-8 bytes of the text (null: none) plus 16. The doc_id and the tree
     decide the shard, so repeated doc_ids share one and null doc_ids share
     another; equal texts follow their doc_ids. slot is gapless from 0 in each
-    shard, in an order by a hash of doc_id, then doc_id and text; it is counted
-    by (shard, hash slice), so that no shard is sorted in one task.
+    shard, in an order by a hash of doc_id and text, then both; it is counted by
+    (shard, hash slice), so that no shard is sorted in one task, nor the rows of
+    one doc_id. Rows equal in both are interchangeable. Other columns are ignored;
+    an empty table gives an empty table.
     """
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(
         F.col("doc_id"),
         (F.octet_length(text) + 16).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"),
-        F.expr("pmod(xxhash64(doc_id, 'slot'), 256)").alias("__slice"),
         F.lit(1).alias("__one"),
-    )
+    ).withColumn("__slice", F.expr("pmod(xxhash64(doc_id, text_crc32, size), 256)"))
     placed = place(rows, "doc_id", tree)
     order = ["doc_id", "text_crc32", "size"]
     return sum_before(placed, ["shard"], "__slice", order, "__one", "slot").drop("__slice", "__one")
 
 
 def op6_shard(docs: DataFrame) -> DataFrame:
+    """(doc_id, size, text_crc32, law, shard, slot, grown_shard) of all documents:
+    see ``shard`` for nulls, empty texts, ties and repeated rows."""
     placed = place(shard(docs, TREE), "doc_id", ShardTree(TREE.weights, [1.0]), "grown_shard")
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", F.col("slot").cast("long"), "grown_shard"
