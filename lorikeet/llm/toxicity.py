@@ -7,6 +7,11 @@ the product of two short vectors, so a pair such as an insult with a group can
 weigh more than its parts. It is fitted on a bounded sample of labelled rows in
 one task; statistics that choose its buckets are counted by Spark, and every
 document is scored over its whole text where it lies.
+
+Two kinds of buckets enter the machine: those whose share differs between the
+classes, and those whose share differs only among the rows that hold some other
+bucket, which then enters with it. The second kind tells nothing alone and would
+be missed by a look at single terms.
 """
 
 from __future__ import annotations
@@ -29,8 +34,13 @@ from lorikeet.llm.common import written
 BUCKETS, PREFIXES = 1 << 18, (4, 5, 6)
 #: Labelled rows of each class that the machine is fitted on, at most.
 SAMPLE = 6000
-#: Buckets that enter the machine, at most, and the least |z| of their class difference.
-SELECTED, LEAST_Z = 2048, 4.0
+#: Buckets that enter the machine by themselves, at most, and the least |z| of their class difference.
+SELECTED, LEAST_Z = 4096, 4.0
+#: Other frequent buckets that are looked at in pairs, pairs that enter, at most, and the least |z| of one
+#: bucket's class difference among the rows of the other, of which each class must have so many.
+PAIRED, PAIRS, LEAST_PAIR_Z, LEAST_ROWS = 1024, 32, 6.0, 20
+#: Signatures of a row's buckets, and buckets in one: rows that share one count once when pairs are looked at.
+SIGNATURES, SIGNED = 6, 10
 #: Length of the vectors of the pairwise part.
 RANK = 4
 #: Score from which a document is called toxic.
@@ -95,6 +105,46 @@ def fit(x: np.ndarray, y: np.ndarray, prior: float, rank: int = RANK, steps: int
     return float(params[0][0] + shift), params[1], params[2]
 
 
+def _signatures(at: np.ndarray) -> list[int]:
+    """Hashes of the buckets that come first in several orders: near copies share some."""
+    return [zlib.crc32(np.sort(at * (2 * k + 0x9E37 | 1) % BUCKETS)[:SIGNED].tobytes()) for k in range(SIGNATURES)]
+
+
+def _distinct_rows(signatures: list[list[int]]) -> np.ndarray:
+    seen: set[tuple[int, int]] = set()
+    keep = []
+    for i, row in enumerate(signatures):
+        keys = set(enumerate(row))
+        if not keys & seen:
+            keep.append(i)
+        seen |= keys
+    return np.array(keep, int)
+
+
+def paired(x: np.ndarray, y: np.ndarray, alone: np.ndarray) -> np.ndarray:
+    """Columns of x (0 and 1, n rows) that enter in pairs: of the columns not in
+    ``alone`` those whose share differs most between the classes among the rows
+    that hold some other column, each with that column."""
+    others = np.flatnonzero(~alone)
+    if not len(others):
+        return others
+    both = [np.zeros((x.shape[1], len(others)), np.float32) for _ in (0, 1)]  # rows that hold a and b
+    for lo in range(0, len(x), 1000):
+        for c in (0, 1):
+            some = x[lo : lo + 1000][y[lo : lo + 1000] == c].astype(np.float32)
+            both[c] += some.T @ some[:, others]
+    rows = [x[y == c].sum(axis=0, dtype=np.float32)[:, None] for c in (0, 1)]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        share = [b / n for b, n in zip(both, rows)]
+        mid = (both[0] + both[1]) / (rows[0] + rows[1])
+        z = np.abs(share[0] - share[1]) / np.sqrt(np.maximum(mid * (1 - mid), 1e-9) * (1 / rows[0] + 1 / rows[1]))
+    z[(np.minimum(rows[0], rows[1]) < LEAST_ROWS)[:, 0]] = 0
+    best = z.max(axis=0)
+    order = np.argsort(-best, kind="stable")[:PAIRS]
+    order = order[best[order] >= LEAST_PAIR_Z]
+    return np.union1d(others[order], z[:, order].argmax(axis=0))
+
+
 def _constant(rate: float) -> Machine:
     rate = min(max(rate, 1e-6), 1 - 1e-6)
     return Machine(np.zeros(0, int), float(np.log(rate / (1 - rate))), np.zeros(0), np.zeros((0, RANK)))
@@ -107,14 +157,18 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     least hash of doc_id are learnt from; this bound, known beforehand, is what
     lets their ids be broadcast and the fit run in one task. Of documents that
     share a doc_id the one with the least hash of its text is learnt from. A
-    doc_id labelled several times is toxic if any label says so. Without both
-    classes the machine gives the share of the class to every document (one
-    millionth at least).
+    doc_id labelled several times is toxic if any label says so; null doc_ids and
+    labels teach nothing, null texts are empty. Without both classes the machine
+    gives the share of the class to every document (one millionth at least).
+
+    What reaches the driver are numbers of buckets, SELECTED + PAIRED at most, and
+    the machine.
     """
-    known = (
+    known = written(
         labels.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
         .groupBy("doc_id")
-        .agg(F.max("toxic").cast("int").alias("y"))
+        .agg(F.max("toxic").cast("int").alias("y")),
+        "toxicity-labels",
     )
     totals = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if not totals.get(0) or not totals.get(1):
@@ -128,15 +182,16 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
             for x in batch.column(2):
                 words = set(_words((x.as_py() or "").lower()))
                 sets.append(sorted({b for w in words for b in buckets_of(w)}))
+            signs = pa.array([_signatures(np.array(at, np.int64)) for at in sets], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(sets, pa.list_(pa.int32()))], names=["doc_id", "y", "at"]
+                [batch.column(0), batch.column(1), pa.array(sets, pa.list_(pa.int32())), signs], names=["doc_id", "y", "at", "signs"]
             )
 
     # at most 2 x sample rows of two numbers: a proven bound
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id")
     single = texts.groupBy("doc_id", "y").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("least"))
     rows = written(
-        single.select("doc_id", "y", "least.text").mapInArrow(each, "doc_id long, y int, at array<int>"),
+        single.select("doc_id", "y", "least.text").mapInArrow(each, "doc_id long, y int, at array<int>, signs array<bigint>"),
         "toxicity",
     )
     n = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -148,29 +203,40 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     counted = rows.select("y", F.explode("at").alias("bucket")).groupBy("bucket").agg(
         F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg")
     )
-    best = counted.withColumn("z", z).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "bucket").limit(SELECTED)
-    buckets = np.array(sorted(r["bucket"] for r in best.select("bucket").collect()), int)
-    if not len(buckets):
+    counted = written(counted.withColumn("z", z).withColumn("n", F.col("pos") + F.col("neg")), "toxicity-buckets")
+    best = counted.where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "bucket").limit(SELECTED)
+    frequent = counted.where(F.col("z") < LEAST_Z).where(F.col("n").between(LEAST_ROWS, 0.97 * both))
+    frequent = frequent.orderBy(F.desc("n"), "bucket").limit(PAIRED)
+    alone = np.array(sorted(r["bucket"] for r in best.select("bucket").collect()), int)
+    looked_at = np.union1d(alone, [r["bucket"] for r in frequent.select("bucket").collect()]).astype(int)
+    if not len(looked_at):
         return _constant(totals[1] / sum(totals.values()))
     prior = totals[1] / (totals[0] + totals[1])
 
     def learn(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["doc_id", "y"])
-        x = np.zeros((len(part), len(buckets)), np.float32)
+        x, y = np.zeros((len(part), len(looked_at)), np.uint8), part["y"].to_numpy(np.float32)
         for i, at in enumerate(part["at"]):
-            x[i, np.searchsorted(buckets, at)] = 1
-        bias, w, v = fit(x, part["y"].to_numpy(np.float32), prior)
-        return pd.DataFrame({"bias": [bias], "w": [w.tolist()], "v": [v.ravel().tolist()]})
-
-    wanted = F.array(*[F.lit(int(b)) for b in buckets])
-    narrow = rows.select("doc_id", "y", F.array_intersect("at", wanted).alias("at"))
-    got = narrow.groupBy().applyInPandas(learn, "bias double, w array<double>, v array<double>").first()
-    return Machine(buckets, got["bias"], np.array(got["w"]), np.array(got["v"]).reshape(-1, RANK))
-
-
-def score(docs: DataFrame, machine: Machine) -> DataFrame:
-    """``docs`` (doc_id, text, ...) with score, 0 to 1, of every whole text; an
-    empty or null text gets the score of no terms."""
+            x[i, np.searchsorted(looked_at, at)] = 1
+        own = np.isin(looked_at, alone)
+        once = _distinct_rows(part["signs"].tolist())
+        own[paired(x[once], y[once], own)] = True
+        x = x[:, own].astype(np.float32)
+        bias, w, v = fit(x, y, prior)
+        return pd.DataFrame({"bias": [bias], "buckets": [looked_at[own].tolist()], "w": [w.tolist()], "v": [v.ravel().tolist()]})
+
+    wanted = F.array(*[F.lit(int(b)) for b in looked_at])
+    narrow = rows.select("doc_id", "y", "signs", F.array_intersect("at", wanted).alias("at"))
+    got = narrow.groupBy().applyInPandas(learn, "bias double, buckets array<int>, w array<double>, v array<double>").first()
+    if not got["buckets"]:
+        return _constant(prior)
+    return Machine(np.array(got["buckets"]), got["bias"], np.array(got["w"]), np.array(got["v"]).reshape(-1, RANK))
+
+
+def score(docs: DataFrame, machine: Machine, out: str = "score") -> DataFrame:
+    """``docs`` (doc_id, text, ...) with ``out``, 0 to 1, of every whole text; an
+    empty or null text gets the score of no terms. A column of that name is
+    replaced, all others stay."""
     place = {int(b): i for i, b in enumerate(machine.buckets)}
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,22 +256,25 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
                     found = kept.get(word)
                     at.update(places(word) if found is None else found)
                 scores.append(machine.score(np.array(sorted(at), int)))
-            yield batch.append_column("score", pa.array(scores, pa.float64()))
+            yield batch.append_column(out, pa.array(scores, pa.float64()))
 
-    base = docs.drop("score")
-    return base.mapInArrow(each, T.StructType([*base.schema.fields, T.StructField("score", T.DoubleType())]))
+    base = docs.drop(out)
+    return base.mapInArrow(each, T.StructType([*base.schema.fields, T.StructField(out, T.DoubleType())]))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
-    """``docs`` whose score is below ``cut``, with their columns as they are."""
-    machine = train(docs, labels)
-    scored = score(docs.withColumn("__own", F.col("score")) if "score" in docs.columns else docs, machine)
-    kept = scored.where(F.col("score") < cut).drop("score")
-    return kept.withColumnRenamed("__own", "score").select(*docs.columns)
+    """``docs`` whose score is below ``cut``, with their columns as they are, whatever
+    their names. Null and empty texts have the score of no terms, rows are judged
+    one by one, and an empty table stays empty; for labels see ``train``."""
+    scored = score(docs, train(docs.select("doc_id", "text"), labels), "__toxicity_score")
+    return scored.where(F.col("__toxicity_score") < cut).select(*docs.columns)
 
 
 def op7_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    rows = docs.select(F.col("doc_id"), F.col("text"))
+    """(doc_id, held_out, score, predicted) of all documents: see ``train`` for labels
+    and repeated doc_ids, ``score`` for null and empty texts; a null doc_id isn't
+    held out, and has no label."""
+    rows = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"))
     scored = score(rows, train(rows, labels))
     return scored.select(
         "doc_id",
