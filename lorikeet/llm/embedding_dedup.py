@@ -93,7 +93,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile: int
     size adds one row to the tiles. n_links counts other rows; component_id is
     the smallest vec_id reachable, kept marks it. Rows that share a vec_id are one
     node of the graph; a null vec_id takes part through its copies only. Labels
-    without a pair, and empty tables, give no tile.
+    without a pair, and empty tables, give no tile. Other columns are ignored.
     """
     rows = vectors.select(
         F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"), F.col("label").alias("label")
@@ -105,6 +105,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile: int
     # null when not usable: such rows join with nothing below
     form = F.md5(F.concat_ws(",", F.size("embedding"), F.col("label"), F.col("embedding").cast("string")))
     keyed = rows.withColumn("form", F.when(F.coalesce(usable, F.lit(False)), form))
+    # written once: sizes, tiles and the result all read it
     classes = (
         keyed.where("form IS NOT NULL")
         .groupBy("form")
@@ -115,7 +116,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile: int
             F.first("label").alias("label"),
         )
     )
-    classes = classes.withColumn("dim", F.size("embedding")).where("node IS NOT NULL")
+    classes = written(classes.withColumn("dim", F.size("embedding")).where("node IS NOT NULL"), "vectors")
     sizes = classes.groupBy("label", "dim").agg(F.ceil(F.count("*") / tile).cast("int").alias("parts"))
     parted = classes.join(sizes, ["label", "dim"]).withColumn(
         "part", F.expr("cast(pmod(xxhash64(form), parts) as int)")
@@ -148,6 +149,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile: int
 
 
 def op8_embeddings(vectors: DataFrame) -> DataFrame:
+    """(vec_id, n_links, component_id, kept) of all vectors: see ``near_duplicates``
+    for nulls, vectors that don't count, copies and repeated rows."""
     return near_duplicates(vectors)
 
 
