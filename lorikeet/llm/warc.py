@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorikeet.llm.common import scratch_path
+from lorikeet.llm.common import scratch_path, written
 
 #: Payloads of fewer bytes are never written as revisits.
 LEAST_REVISIT = 1000
@@ -121,7 +121,9 @@ def with_revisits(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     ).withColumn("digest", F.sha1(F.col("html").cast("binary")))
     large = F.octet_length("html") >= least
     first = rows.where(large).groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n"))
-    joined = rows.join(first.where("n > 1").select(F.col("digest").alias("d"), "first"), F.col("digest") == F.col("d"), "left")
+    # written, so that the pages of one digest, of which there may be any number, can be split over tasks and files
+    first = written(first.where("n > 1").select(F.col("digest").alias("d"), "first"), "digests")
+    joined = rows.join(first, F.col("digest") == F.col("d"), "left")
     other = F.coalesce(F.col("page_id") != F.col("first"), F.lit(True))
     return joined.select("page_id", "url", "html", "digest", F.when(large & other, F.col("first")).alias("refers_to"))
 
@@ -319,7 +321,10 @@ def read_records(archive: Archive, captures: DataFrame) -> DataFrame:
 
 
 def op9_warc(pages: DataFrame) -> DataFrame:
-    """Write all pages, look every URL up in the index and read its records back."""
+    """Write all pages, look every URL up in the index and read its records back:
+    (page_id, payload_bytes, payload_digest, record_type, refers_to). Null texts
+    are empty payloads, null URLs empty ones; see ``with_revisits`` for ties and
+    null page_ids. Other columns are ignored; an empty table gives an empty table."""
     archive = write_archive(pages)
     return read_records(archive, lookup(archive, pages.select("url")))
 
