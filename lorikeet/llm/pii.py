@@ -8,26 +8,39 @@ documents and different ones stay apart, and who holds the key can invert it.
 
 The permutation is a Feistel network over the integers below a * b (a and b
 near the root of the number of values): two halves take turns in being shifted
-by a keyed hash of the other. Where a format is not a whole range of integers,
-values outside it are permuted again until one lies inside (cycle walking),
-which keeps the permutation one to one.
+by a keyed hash of the other. A value goes through the network, one step on, and
+back through it: that is a permutation too, and none of its values stays itself.
+Where a format is not a whole range of integers, values outside it are permuted
+again until one lies inside (cycle walking), which keeps it one to one.
+
+The key is an argument, or the setting ``spark.lorikeet.pii.key``. Where neither
+is given the application makes a random one: values are linked within it only.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 import hashlib
+import ipaddress
 import math
 import re
+import secrets
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 ROUNDS = 10
-KEY = b"replace this key"
+KEY_SETTING = "spark.lorikeet.pii.key"
+_own_key = secrets.token_bytes(32)
+
+
+def key_of(spark: SparkSession) -> bytes:
+    """The key that the session is set to, or the application's own."""
+    given = spark.conf.get(KEY_SETTING, None)
+    return given.encode() if given else _own_key
 
 
 class Feistel:
@@ -54,13 +67,20 @@ class Feistel:
                 left = (left + sign * self._f(turn, right)) % self.a
         return left * self.b + right
 
-    def apply(self, x: int, back: bool = False, valid: Callable[[int], bool] | None = None) -> int:
-        """The image of x; with ``valid``, which holds for x, within what it holds for."""
+    def _image(self, x: int, back: bool) -> int:
         y = self._once(x, back)
-        while y >= self.size or valid and not valid(y):
+        while y >= self.size:
             y = self._once(y, back)
         return y
 
+    def apply(self, x: int, back: bool = False, valid: Callable[[int], bool] | None = None) -> int:
+        """The image of x, another number if there is one; with ``valid``, which
+        holds for x, within what it holds for."""
+        while True:
+            x = self._image((self._image(x, False) + (-1 if back else 1)) % self.size, True)
+            if valid is None or valid(x):
+                return x
+
 
 def luhn(digits: str) -> int:
     """The check digit that follows ``digits``."""
@@ -98,14 +118,27 @@ PHONE_DIGITS = {
     "63": 10, "64": 10, "65": 8, "66": 9, "81": 10, "82": 10, "84": 10, "86": 11, "90": 10, "91": 10, "92": 10, "94": 9, "98": 10,
     "351": 9, "352": 11, "353": 9, "420": 9, "421": 9,
 }
+#: Calling codes of one and two digits; all others have three.
+CALLING_CODES = {
+    "1", "7", "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "53",
+    "54", "55", "56", "57", "58", "60", "61", "62", "63", "64", "65", "66", "81", "82", "84", "86", "90", "91", "92", "93", "94", "95", "98",
+}
 #: What a number isn't carried on into after a space or hyphen: an address, a date; a card neither into a shorter number.
-_OTHER = r"(?:[0-9]{1,3}\.){3}[0-9]|(?:19|20)[0-9]{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])(?![0-9-])|[0-9]{2}([./])[0-9]{2}\1[0-9]{4}"
+_OTHER = r"(?:[0-9]{1,3}\.){3}[0-9]|(?:19|20)[0-9]{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])(?![0-9-])|[0-9]{2}([./])[0-9]{2}\1[0-9]{4}|[0-9A-Fa-f]{1,4}:[0-9A-Fa-f:]"
 _SHORT = r"[0-9]{3}-[0-9]{2,3}-[0-9]{4}(?![0-9-])"
 #: Usual shapes of card numbers; sixteen digits in fours may have three more.
 _CARD = re.compile(r"[0-9]{4}(?:([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?:\1[0-9]{3})?|([ -])[0-9]{6}\2[0-9]{4,5}|[0-9]{9,15})(?![0-9])")
 _FIRST_DAY, _LAST_DAY = dt.date(1900, 1, 1), dt.date(2099, 12, 31)
 _DAYS = (_LAST_DAY - _FIRST_DAY).days + 1
-_ALNUM = "0123456789abcdefghijklmnopqrstuvwxyz"
+#: Letters that are permuted among themselves in the local part of an address: a-z, and those with an accent.
+_ACCENTED = [c for c in map(chr, range(0xDF, 0x250)) if c.islower() and len(c.upper()) == 1 and c.upper() <= "ɏ" and c.upper().lower() == c]
+_ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "".join(_ACCENTED))
+_LETTER = {c: (alphabet, i) for alphabet in _ALPHABETS for i, c in enumerate(alphabet)}
+_HEX4 = "[0-9A-Fa-f]{1,4}"
+
+
+def _calling_code(digits: str) -> str:
+    return next((digits[:n] for n in (1, 2) if digits[:n] in CALLING_CODES), digits[:3])
 
 
 class Pseudonyms:
@@ -117,7 +150,9 @@ class Pseudonyms:
         ("email", r"(?<![A-Za-zÀ-ɏ0-9._%+-])[A-Za-zÀ-ɏ0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"),
         ("iban", r"\b[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?"),
         ("ip", r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"),
-        ("phone", rf"\+[0-9]{{1,3}}[ -]?\(?[0-9]{{2,4}}\)?(?:(?:[ -](?!{_OTHER}))?[0-9]{{2,4}}){{2,4}}(?![0-9])"),
+        ("ipv6", rf"(?<![0-9A-Za-z:.])(?:{_HEX4}:){{7}}{_HEX4}(?![0-9A-Za-z:])"),
+        ("ipv6", rf"(?<![0-9A-Za-z:.])[0-9A-Fa-f]{{3,4}}(?::{_HEX4}){{0,5}}::{_HEX4}(?::{_HEX4}){{0,5}}(?![0-9A-Za-z:]|\.[0-9])"),
+        ("phone", rf"\+[0-9]{{1,3}}[ -]?(?:\(0\) ?)?\(?[0-9]{{1,4}}\)?(?:(?:[ -](?!{_OTHER}))?[0-9]{{2,4}}){{2,4}}(?![0-9])"),
         ("phone", r"(?<![0-9+])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])|(?<![0-9+-])[0-9]{3}-[0-9]{3}-[0-9]{4}(?![0-9])"),
         ("date", r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])"),
         ("date", r"(?<![0-9./])[0-9]{2}([./])[0-9]{2}\1[0-9]{4}(?![0-9]|[./][0-9])"),
@@ -125,14 +160,14 @@ class Pseudonyms:
         ("card", rf"(?<![0-9])[0-9](?:(?:[ -](?!{_OTHER}|{_SHORT}))?[0-9]){{12,18}}(?![0-9])"),
     )
 
-    def __init__(self, key: bytes = KEY):
+    def __init__(self, key: bytes):
         self.key, self.made = key, {}
         parts = []
         for i, (kind, pattern) in enumerate(self.PATTERNS):
             pattern = pattern.replace(r"\1", f"(?P=sep{i})").replace("([./])", f"(?P<sep{i}>[./])")
             parts.append(f"(?P<p{i}>{pattern})")
         self.find = re.compile("|".join(parts)).search
-        self.maybe = re.compile(r"[0-9@]|[0-9A-Fa-f]{32}").search
+        self.maybe = re.compile(r"[0-9@]|[0-9A-Fa-f]{32}").search  # an address of version 6 without a digit isn't taken for one
 
     def _map(self, kind: str, size: int, x: int, back: bool, valid=None) -> int:
         got = self.made.get((kind, size))
@@ -157,14 +192,11 @@ class Pseudonyms:
                     return i + 1 if not text[start + i + 1 : start + i + 2].isalnum() else 0
             return 0
         if kind == "phone" and found[0] == "+":
-            country = re.match(r"\+([0-9]{1,3})(?=[ (-])", found)
-            cuts, n = [], 0
-            for m in re.compile(r"[0-9]+").finditer(found, country.end() if country else 0):
-                n += m.end() - m.start()
-                cuts.append((n, m.end()))
-            if not country:  # no telling where the country's digits end
-                return next((at for n, at in cuts if n >= 11), len(found))
-            most = PHONE_DIGITS.get(country[1], 12)
+            code, cuts, n = _calling_code(_digits(found)), [], 0
+            for m in re.finditer(r"(?<!\()[0-9]+|(?<=\()[0-9]+", found):
+                n += 0 if found[m.start() - 1 : m.end() + 1] == "(0)" else m.end() - m.start()
+                cuts.append((n - len(code), m.end()))
+            most = PHONE_DIGITS.get(code, 12)
             return max((at for n, at in cuts if 7 <= n <= most), default=next((at for n, at in cuts if n > most), len(found)))
         if kind == "card":
             usual = _CARD.match(found)
@@ -183,22 +215,22 @@ class Pseudonyms:
         out = f"{self._map('secret', 16 ** len(text), int(text, 16), back):0{len(text)}x}"
         return out.upper() if upper else out
 
-    def _email(self, text: str, back: bool) -> str:
-        # letters a-z and digits of the local part are permuted within their places; case and the rest stay
+    def _email(self, text: str, back: bool) -> str | None:
+        # letters and digits of the local part are permuted within their places; case, other characters and the domain stay
         local, _, domain = text.partition("@")
-        low = [c for c in local.lower() if c in _ALNUM]
+        at = [i for i, c in enumerate(local) if c.lower() in _LETTER]
+        letters = [_LETTER[local[i].lower()] for i in at]
         size, x = 1, 0
-        for c in low:
-            base = 10 if c.isdigit() else 26
-            size, x = size * base, x * base + (int(c) if base == 10 else ord(c) - 97)
-        shape = "".join("9" if c.isdigit() else "a" for c in low)
-        y, out = self._map(f"email:{shape}:{domain.lower()}", size, x, back), []
-        for c in reversed(low):
-            y, d = divmod(y, 10 if c.isdigit() else 26)
-            out.append(str(d) if c.isdigit() else chr(97 + d))
-        new = iter(reversed(out))
-        put = [(n if c.islower() or c.isdigit() else n.upper()) if c.lower() in _ALNUM and (n := next(new)) else c for c in local]
-        return "".join(put) + "@" + domain
+        for alphabet, i in letters:
+            size, x = size * len(alphabet), x * len(alphabet) + i
+        if size == 1:
+            return None
+        shape = "".join("9aé"[_ALPHABETS.index(alphabet)] for alphabet, _ in letters)
+        y, out = self._map(f"email:{shape}:{domain.lower()}", size, x, back), list(local)
+        for i, (alphabet, _) in zip(reversed(at), reversed(letters)):
+            y, d = divmod(y, len(alphabet))
+            out[i] = alphabet[d] if local[i] in _LETTER else alphabet[d].upper()
+        return "".join(out) + "@" + domain
 
     def _iban(self, text: str, back: bool) -> str | None:
         flat = text.replace(" ", "")
@@ -231,13 +263,34 @@ class Pseudonyms:
         y = self._map("ip", 1 << 32, x, back)
         return ".".join(str(y >> s & 255) for s in (24, 16, 8, 0))
 
+    def _ipv6(self, text: str, back: bool) -> str | None:
+        # the digits are permuted in their places, so that the notation stays
+        try:
+            ipaddress.IPv6Address(text)
+        except ValueError:
+            return None
+        groups = [g for g in text.split(":") if g]
+        if not any(c.isdigit() for c in text) or len(groups) == 8 and max(map(len, groups)) < 3:
+            return None
+        digits = "".join(groups)
+        n = len(digits)
+        y = f"{self._map(f'ipv6:{n}', 16**n, int(digits, 16), back):0{n}x}"
+        new = iter(y.upper() if digits != digits.lower() else y)
+        return "".join(c if c == ":" else next(new) for c in text)
+
     def _phone(self, text: str, back: bool) -> str | None:
-        country = re.match(r"\+[0-9]{1,3}(?=[ (-])|\+?", text)[0]
-        rest = text[len(country) :]
-        digits = _digits(rest)
+        # a number is its calling code and the digits behind, however they are set apart; +1 is meant where no code stands
+        at = [m.start() for m in re.finditer(r"[0-9]", text) if text[m.start() - 1 : m.start() + 2] != "(0)"]
+        digits = "".join(text[i] for i in at)
+        code = _calling_code(digits) if text[0] == "+" else "1"
+        if text[0] == "+":
+            at, digits = at[len(code) :], digits[len(code) :]
         if not 7 <= len(digits) <= 15:
             return None
-        return country + _in_shape(rest, self._number(f"phone:{country}", digits, back))
+        out = list(text)
+        for i, c in zip(at, self._number(f"phone:{code}", digits, back)):
+            out[i] = c
+        return "".join(out)
 
     def _date(self, text: str, back: bool) -> str | None:
         try:
@@ -287,19 +340,22 @@ class Pseudonyms:
         return "".join(out) + text[done:], n
 
 
-def pseudonymise(docs: DataFrame, key: bytes = KEY, back: bool = False) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: bytes | None = None, back: bool = False, count: str | None = "n_replaced") -> DataFrame:
     """``docs`` (doc_id, text, ...) with personal data in the whole text replaced
-    by pseudonyms, and n_replaced, how many values were. ``back`` inverts.
-
-    Replaced are e-mail addresses, IBANs that validate, IPv4 addresses, phone
-    numbers, real dates of 1900 to 2099, social security numbers, card numbers,
-    16-digit numbers that fail the check digit (within those that fail), and
-    hexadecimal secrets. Addresses keep their domain, phone numbers their
-    country. A null text stays null; every other column stays as it is.
-    Rows are treated one by one: nothing is shuffled or held.
+    by pseudonyms, and, under the name ``count`` unless that is None, how many
+    values were. ``back`` inverts. ``key``: see the module.
+
+    Replaced are e-mail addresses, IBANs that validate, IPv4 and IPv6 addresses,
+    phone numbers, real dates of 1900 to 2099, social security numbers, card
+    numbers, 16-digit numbers that fail the check digit (within those that fail),
+    and hexadecimal secrets. Addresses keep their domain, phone numbers their
+    country; a phone number has one pseudonym however it is set. A null text stays
+    null, an empty one empty; every other column stays as it is, but for one of
+    the name ``count``, which is replaced. Rows are treated one by one, whatever
+    their doc_id: nothing is shuffled or held.
     """
-    base = docs.drop("n_replaced")
-    at = base.columns.index("text")
+    base = docs.drop(count) if count else docs
+    at, key = base.columns.index("text"), key if key is not None else key_of(docs.sparkSession)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = Pseudonyms(key)
@@ -307,12 +363,15 @@ def pseudonymise(docs: DataFrame, key: bytes = KEY, back: bool = False) -> DataF
             done = [(None, 0) if x is None else names.mask(x, back) for x in batch.column(at).to_pylist()]
             columns = list(batch.columns)
             columns[at] = pa.array([t for t, _ in done], pa.string())
-            columns.append(pa.array([n for _, n in done], pa.int32()))
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "n_replaced"])
+            if count:
+                columns.append(pa.array([n for _, n in done], pa.int32()))
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, *([count] if count else [])])
 
-    schema = T.StructType([*base.schema.fields, T.StructField("n_replaced", T.IntegerType())])
-    return base.mapInArrow(each, schema)
+    own = [T.StructField(count, T.IntegerType())] if count else []
+    return base.mapInArrow(each, T.StructType([*base.schema.fields, *own]))
 
 
 def op10_pii(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, n_replaced) of all documents: see ``pseudonymise`` for what is
+    replaced, nulls, empty texts and repeated rows, and the module for the key."""
     return pseudonymise(docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text")))
