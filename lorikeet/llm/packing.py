@@ -12,6 +12,7 @@ pieces are joined.
 from __future__ import annotations
 
 import functools
+import json
 import re
 import unicodedata
 import zlib
@@ -144,10 +145,38 @@ class _Kept(dict):
         return self.rest[key]
 
 
+class PlainTokenizer:
+    """Any other file: every text goes through the library whole."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.model = Tokenizer.from_file(path)
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        found = self.model.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)
+        return [np.array(e.ids, "<u4").tobytes() for e in found]
+
+
+def _cuts_words(path: str) -> bool:
+    """Whether the file normalises and cuts texts as ``WordTokenizer`` does."""
+    with open(path, encoding="utf-8") as f:
+        made = json.load(f)
+    normal = [(n["type"], n.get("pattern"), n.get("content")) for n in (made.get("normalizer") or {}).get("normalizers", [])]
+    cut = [(c["type"], c.get("pattern"), c.get("behavior"), c.get("invert"), c.get("use_regex")) for c in (made.get("pre_tokenizer") or {}).get("pretokenizers", [])]
+    return (
+        normal == [("NFC", None, None), ("Replace", {"Regex": r"\s+"}, " "), ("Lowercase", None, None)]
+        and cut == [("Split", {"Regex": WordTokenizer._WORD}, "Removed", True, None), ("ByteLevel", None, None, None, False)]
+        and made["model"].get("type") == "BPE"
+        and made["model"].get("end_of_word_suffix") == "</w>"
+        and all(t["content"].startswith("<|") for t in made.get("added_tokens", []))
+    )
+
+
 @functools.lru_cache(maxsize=1)
-def _tokenizer(path: str, kept_words: int = KEPT_WORDS) -> WordTokenizer:
+def _tokenizer(path: str, kept_words: int = KEPT_WORDS) -> WordTokenizer | PlainTokenizer:
     """One for each Python worker, so that tasks share the kept words."""
-    return WordTokenizer(path, kept_words)
+    return WordTokenizer(path, kept_words) if _cuts_words(path) else PlainTokenizer(path)
 
 
 def tokenized_pieces(
@@ -296,4 +325,6 @@ def pack_documents(
 
 
 def op3_pack(docs: DataFrame) -> DataFrame:
+    """Pieces of all documents in their sequences: see ``pack_documents`` for nulls,
+    empty and long texts and repeated rows."""
     return pack_documents(docs)
