@@ -2,14 +2,17 @@
 
 Every stage takes (spark, docs, sf_dir), works on all rows its predecessor kept
 and returns a DataFrame, which is written as Parquet and read again as the docs
-of the next one. All but the last return the columns of documents.
+of the next one. All but the last return the columns of documents as they are,
+whatever other columns there are and however they are named. Null texts are
+empty, null and repeated doc_ids are rows like any other, and an empty table goes
+through all stages; see each operator for details.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorikeet.llm.common import read, written
+from lorikeet.llm.common import drop_path, read, scratch_path, scratch_scope
 from lorikeet.llm.mixing import mixed_documents
 from lorikeet.llm.packing import pack_documents
 from lorikeet.llm.pii import pseudonymise
@@ -30,8 +33,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data become pseudonyms."""
-    out = pseudonymise(docs).drop("n_replaced")
-    return out.select(*docs.columns)
+    return pseudonymise(docs, count=None)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,7 +62,13 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages applied to documents one after another."""
-    docs = read(spark, sf_dir, "documents")
+    docs, before = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with scratch_scope(spark) as kept:  # a stage's own tables go when it is written
+            path = scratch_path(spark, f"pipeline-{name}")
+            kept.append(path)
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before is not None:
+            drop_path(spark, before)
+        docs, before = spark.read.parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)
