@@ -33,6 +33,8 @@ ITEM_VARIANTS = {
     "passion fruit": "passionfruit", "straw berry": "strawberry", "blue berry": "blueberry", "ice cream": "icecream",
     "fire truck": "firetruck", "sun flower": "sunflower", "rain bow": "rainbow",
 }
+# Repeated beginnings of words, of one letter and of up to three, with what parts them.
+STUTTERS = (r"(\w)[- ]+\1(?:\1[- ]+)*", r"(\w{1,3})[- ]+\1(?:[- ]+\1)*")
 #: Similarity from which a word counts as right.
 CORRECT = 0.7
 
@@ -63,8 +65,8 @@ def normalize_word(text: Column | str) -> Column:
         out = F.regexp_replace(out, rf"{first}\s+{second}", first + second)
         out = F.regexp_replace(out, f"{first}-?{second}", first + second)
     out = F.regexp_replace(out, r"[^a-z\s-]", "")
-    out = F.regexp_replace(out, r"(\w)[- ]+\1(?:\1[- ]+)*", "$1")
-    out = F.regexp_replace(out, r"(\w{1,3})[- ]+\1(?:[- ]+\1)*", "$1")
+    for stutter in STUTTERS:
+        out = F.regexp_replace(out, stutter, "$1")
     known = F.create_map(*[F.lit(x) for joined, two in LAST_TWO.items() for x in (two, joined)])
     return _let(
         words_of(F.replace(out, F.lit("-"), F.lit(""))),
@@ -350,4 +352,4 @@ def message(kind: Column, key: Column) -> Column:
     """T-10: a message of a class, picked by a hash of the key."""
     table = F.create_map(*[x for k, v in MESSAGES.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
     options = F.try_element_at(table, kind)
-    return F.element_at(options, (F.pmod(F.xxhash64(key), F.size(options)) + 1).cast("int"))
+    return F.element_at(options, (F.ascii(F.md5(key.cast("string"))) % F.size(options) + 1).cast("int"))

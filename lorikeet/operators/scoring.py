@@ -1,9 +1,10 @@
 """Pronunciation scoring of transcripts, both scorers, as whole tables.
 
-Codes of the distinct words are computed once in a small Arrow stage and joined;
-everything else is expressions. The functions take rows with an id and the
-columns expected and actual, so they work on a stream as on a table as long as
-the word table is given.
+Phonetic codes are made in a small Arrow stage, once for the distinct words of a
+batch; everything else is expressions within the row. Nothing is joined or
+grouped, so rows may share ids or lack them, and the functions work on a stream
+as on a table. They take rows with the columns expected and actual, and keep all
+others.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorikeet.functions import text as X
-from lorikeet.functions.phonetics import metaphone_codes
+from lorikeet.functions.phonetics import metaphone_codes, metaphone_codes_of
 
 
 def similarity(expected: Column, actual: Column, e: Column, a: Column) -> Column:
@@ -47,64 +48,64 @@ def score_words(rows: DataFrame) -> DataFrame:
     )
 
 
-def score_sentences(rows: DataFrame, id_col: str) -> DataFrame:
-    """B-16, B-13, B-14, B-18: ``rows`` (id, expected, actual) scored as sentences:
+_SUBSTITUTION = "struct<word:string,position_in_word:int,expected:string,actual:string,word_position:int>"
+
+
+def score_sentences(rows: DataFrame) -> DataFrame:
+    """B-16, B-13, B-14, B-18: ``rows`` (expected, actual, ...) scored as sentences:
     similarity_score, is_correct, error_type, counts of words, the substitutions
     of all its words and a feedback class.
 
     Words are aligned by place; the shorter side is padded. A repeated sentence
-    counts as echolalia with 0.9.
+    counts as echolalia with 0.9. A null side has no words.
     """
-    exp, act = X.strip_punctuation(X.trimmed("expected")), X.strip_punctuation(X.normalize_sentence("actual"))
-    base = rows.select(id_col, exp.alias("expected"), act.alias("actual")).withColumn(
-        "echo", X.is_echolalic_sentence("expected", "actual")
-    )
-    ew, aw = X.words_of("expected"), X.words_of("actual")
-    base = base.withColumn("n_expected", F.size(ew)).withColumn("n_actual", F.size(aw))
-    pairs = base.select(
-        id_col, F.posexplode(F.arrays_zip(ew.alias("e"), aw.alias("a"))).alias("position", "pair")
-    ).select(id_col, "position", F.col("pair.e").alias("e"), F.col("pair.a").alias("a"))
-    both = F.col("e").isNotNull() & F.col("a").isNotNull()
-    coded = pairs.withColumn("__e", metaphone_codes("e")).withColumn("__a", metaphone_codes("a"))
-    sim = F.when(both, similarity(F.col("e"), F.col("a"), F.col("__e"), F.col("__a"))).otherwise(0.0)
-    # B-14: what differs in a word, with the word and its place
-    subs = F.transform(
-        X.sound_substitutions("e", "a"),
-        lambda p: F.struct(
-            F.col("e").alias("word"), p["position"].alias("position_in_word"), p["expected"].alias("expected"),
-            p["actual"].alias("actual"), F.col("position").alias("word_position"),
-        ),
-    )
-    none = F.array().cast("array<struct<word:string,position_in_word:int,expected:string,actual:string,word_position:int>>")
-    words = coded.select(
-        id_col, "position", "e", "a", sim.alias("sim"), both.alias("both"), F.when(both, subs).otherwise(none).alias("subs")
+    clean = lambda text: F.coalesce(X.strip_punctuation(text), F.lit(""))
+    exp, act = clean(X.trimmed("expected")), clean(X.normalize_sentence("actual"))
+    base = rows.withColumn("__exp", exp).withColumn("__act", act)
+    base = base.withColumn("__echo", X.is_echolalic_sentence("__exp", "__act"))
+    base = base.withColumn("__ew", X.words_of("__exp")).withColumn("__aw", X.words_of("__act"))
+    coded = base.withColumn("__ec", metaphone_codes_of("__ew")).withColumn("__ac", metaphone_codes_of("__aw"))
+    zipped = F.arrays_zip(
+        F.col("__ew").alias("e"), F.col("__aw").alias("a"), F.col("__ec").alias("ec"), F.col("__ac").alias("ac")
     )
-    ok = F.col("both") & (F.col("sim") >= X.CORRECT)
-    sums = words.groupBy(id_col).agg(
-        F.sum("sim").alias("total"),
-        F.count_if(ok).alias("n_correct"),
-        F.count_if(F.col("a").isNull()).alias("n_missing"),
-        F.count_if(F.col("both") & ~ok).alias("n_difficult"),
-        F.flatten(
-            F.transform(F.array_sort(F.collect_list(F.struct("position", "subs"))), lambda x: x["subs"])
-        ).alias("subs"),
-    )
-    joined = base.join(sums, id_col, "left")
-    mean = F.coalesce(F.col("total") / F.nullif(F.greatest("n_expected", "n_actual"), F.lit(0)), F.lit(0.0))
-    n_correct = F.coalesce("n_correct", F.lit(0))
-    right = (mean >= X.CORRECT) & (n_correct >= F.col("n_expected") * 0.7)
-    echo = F.col("echo")
-    kind = X.sentence_feedback_class(right, mean, F.coalesce("n_missing", F.lit(0)), F.coalesce("n_difficult", F.lit(0)))
-    return joined.select(
-        id_col,
-        F.when(echo, 0.9).otherwise(mean).alias("similarity_score"),
-        (echo | right).alias("is_correct"),
-        F.when(echo, "echolalia").otherwise("sentence_errors").alias("error_type"),
-        F.when(~echo, n_correct).alias("correct_word_count"),
-        F.when(~echo, F.col("n_expected")).alias("total_word_count"),
-        F.when(echo, none).otherwise(F.coalesce("subs", none)).alias("substitutions"),
-        F.when(echo, "perfect").otherwise(kind).alias("feedback_class"),
+    none = F.array().cast(f"array<{_SUBSTITUTION}>")
+
+    def scored(pair: Column, at: Column) -> Column:
+        e, a = pair["e"], pair["a"]
+        both = e.isNotNull() & a.isNotNull()
+        sim = F.when(both, similarity(e, a, pair["ec"], pair["ac"])).otherwise(F.lit(0.0))
+        # B-14: what differs in a word, with the word and its place
+        subs = F.transform(
+            X.sound_substitutions(e, a),
+            lambda p: F.struct(
+                e.alias("word"), p["position"].alias("position_in_word"), p["expected"].alias("expected"),
+                p["actual"].alias("actual"), at.alias("word_position"),
+            ),
+        )
+        return F.struct(sim.alias("sim"), both.alias("both"), a.isNull().alias("missing"), F.when(both, subs).otherwise(none).alias("subs"))
+
+    words = coded.withColumn("__words", F.transform(zipped, scored))
+    w = F.col("__words")
+    count = lambda cond: F.size(F.filter(w, cond))
+    n_expected, n_all = F.size("__ew"), F.size(w)
+    total = F.aggregate(w, F.lit(0.0), lambda t, x: t + x["sim"])
+    words = words.withColumn("__mean", F.coalesce(total / F.nullif(n_all, F.lit(0)), F.lit(0.0)))
+    words = words.withColumn("__right", count(lambda x: x["both"] & (x["sim"] >= X.CORRECT)))
+    echo, mean = F.col("__echo"), F.col("__mean")
+    right = (mean >= X.CORRECT) & (F.col("__right") >= n_expected * 0.7)
+    kind = X.sentence_feedback_class(
+        right, mean, count(lambda x: x["missing"]), count(lambda x: x["both"] & (x["sim"] < X.CORRECT))
     )
+    out = {
+        "similarity_score": F.when(echo, 0.9).otherwise(mean),
+        "is_correct": echo | right,
+        "error_type": F.when(echo, "echolalia").otherwise("sentence_errors"),
+        "correct_word_count": F.when(~echo, F.col("__right")).cast("long"),
+        "total_word_count": F.when(~echo, n_expected),
+        "substitutions": F.when(echo, none).otherwise(F.flatten(F.transform(w, lambda x: x["subs"]))),
+        "feedback_class": F.when(echo, "perfect").otherwise(kind),
+    }
+    return words.select(*[c for c in rows.columns if c not in out], *[x.alias(c) for c, x in out.items()])
 
 
 def compare_words(rows: DataFrame, phonemes: bool = False) -> DataFrame:
@@ -161,20 +162,18 @@ def graded(rows: DataFrame) -> DataFrame:
 def attempt_rows(attempts: DataFrame, items: DataFrame) -> DataFrame:
     """B-31, B-07: ``attempts`` (attempt_id, session_id, item_id, transcript, ts) as
     fact rows: the item's name is scored as a sentence if it has several words,
-    else as a word; with stutter, echo and the number of the attempt (A-28)."""
+    else as a word; with stutter, echo and the number of the attempt (A-28). Rows
+    are scored one by one, so repeated and null attempt_ids stay rows of their own."""
     numbered = attempts.withColumn(
         "attempt_number", F.row_number().over(Window.partitionBy("session_id", "item_id").orderBy("ts", "attempt_id"))
     )
     rows = numbered.join(items.select("item_id", F.col("name").alias("expected")), "item_id").withColumnRenamed("transcript", "actual")
     rows = rows.withColumn("stutter", X.detect_stuttering("actual")).withColumn("is_echo", X.detect_echolalia("expected", "actual"))
     many = F.size(X.words_of(X.trimmed("expected"))) > 1
-    scores = ["attempt_id", "similarity_score", "is_correct", "error_type", "feedback_class"]
-    scored = (
-        score_words(rows.where(~many)).select(*scores, F.size("substitutions").alias("n_substitutions"))
-    ).unionByName(
-        score_sentences(rows.where(many), "attempt_id").select(*scores, F.size("substitutions").alias("n_substitutions"))
-    )
-    return rows.join(scored, "attempt_id").select(
+    scored = score_words(rows.where(~many)).drop("expected_clean", "actual_clean")
+    counted = lambda df: df.withColumn("n_substitutions", F.size("substitutions")).drop("substitutions")
+    sentences = score_sentences(rows.where(many)).drop("correct_word_count", "total_word_count")
+    return counted(scored).unionByName(counted(sentences)).select(
         "attempt_id", "session_id", "item_id", "attempt_number", F.lit("verbal").alias("response_type"),
         F.col("actual").alias("response_text"), "is_correct", F.col("similarity_score").alias("pronunciation_score"),
         "error_type", "n_substitutions", F.col("stutter.has_stammering").alias("stammering_detected"),

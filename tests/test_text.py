@@ -53,12 +53,24 @@ def test_stuttering(spark):
 
 def test_sentences(spark):
     df = spark.createDataFrame([(1, "the red dog", "the red dog"), (2, "the red dog", "the red")], "id int, expected string, actual string")
-    got = {r["id"]: r for r in C.score_sentences(df, "id").collect()}
+    got = {r["id"]: r for r in C.score_sentences(df).collect()}
     assert (got[1]["error_type"], got[1]["similarity_score"], got[1]["is_correct"]) == ("echolalia", 0.9, True)
     assert got[2]["similarity_score"] == pytest.approx(2 / 3) and not got[2]["is_correct"]
     assert (got[2]["correct_word_count"], got[2]["total_word_count"], got[2]["feedback_class"]) == (2, 3, "one_missing")
 
 
+def test_rows_that_share_an_id_are_scored_one_by_one(spark):
+    said = [(1, "the red dog", "the red"), (1, "the red dog", "the bed dog"), (None, "blue cat", "blue cat now"), (2, "one two", None), (3, None, "x")]
+    df = spark.createDataFrame(said, "id int, expected string, actual string")
+    got = C.score_sentences(df).collect()
+    assert len(got) == 5 and all(0 <= r["similarity_score"] <= 1 for r in got)
+    alone = [C.score_sentences(spark.createDataFrame([row], df.schema)).first() for row in said]
+    assert sorted(map(repr, got)) == sorted(map(repr, alone))
+    items = spark.createDataFrame([(1, "red dog")], "item_id long, name string")
+    attempts = spark.createDataFrame([(None, 9, 1, "red dog", 1), (None, 9, 1, "bed dog", 2), (7, 9, 1, "red", 3), (7, 9, 1, "dog", 4)], "attempt_id long, session_id long, item_id long, transcript string, ts long")
+    assert sorted(r["response_text"] for r in C.attempt_rows(attempts, items).collect()) == ["bed dog", "dog", "red", "red dog"]
+
+
 def test_second_scorer(spark):
     df = spark.createDataFrame([("kitten", "sitting")], "expected string, actual string")
     assert C.compare_words(df).first()["similarity_score"] == 0.57
