@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lorikeet.functions.text import most_different_sound
 from lorikeet.operators.performance import difficulty_rank
+from lorikeet.operators.ranking import id_slice, numbered
 from lorikeet.operators.sessions import newest, recent_rate, success_so_far
 
 
@@ -24,13 +25,16 @@ def harder(level: str | Column) -> Column:
 def category_recommendations(children: DataFrame, categories: DataFrame, performance: DataFrame) -> DataFrame:
     """C-05: new easy categories (key 0) and known ones with room (1 - score over
     0.3, which is the key), by falling key, then category. New ones come last."""
-    grid = children.select("child_id", F.lit(1).alias("one")).join(
-        categories.select("category_id", "name", "difficulty_level", F.lit(1).alias("one")), "one"
-    )
-    scored = grid.join(performance.select("child_id", "category_id", "overall_score"), ["child_id", "category_id"], "left")
+    named = categories.select("category_id", "name", "difficulty_level")
+    known = performance.select("child_id", "category_id", "overall_score").join(children.select("child_id"), "child_id", "left_semi")
+    # the categories that a child may start with are one row, put to each child; they are a part of the result
+    easy = named.where("difficulty_level = 'easy'").agg(F.collect_list(F.struct("category_id", "name", "difficulty_level")).alias("easy"))
+    start = children.select("child_id").join(easy).select("child_id", F.explode("easy").alias("c")).select("child_id", "c.*")
+    start = start.join(known.select("child_id", "category_id"), ["child_id", "category_id"], "left_anti").withColumn("overall_score", F.lit(None).cast("double"))
+    unknown = known.where("overall_score IS NULL").join(named.where("difficulty_level = 'easy'"), "category_id")
     room = 1 - F.col("overall_score")
     new = F.col("overall_score").isNull()
-    rows = scored.where((new & (F.col("difficulty_level") == "easy")) | (room > 0.3)).withColumn(
+    rows = known.where(room > 0.3).join(named, "category_id").unionByName(start).unionByName(unknown).withColumn(
         "sort_key", F.when(new, 0.0).otherwise(room)
     )
     order = Window.partitionBy("child_id").orderBy(F.desc("sort_key"), "category_id")
@@ -78,8 +82,7 @@ def item_recommendations(
     ).select("child_id", "category_id", "item_id", "name", "level", "exact", "success_rate", "known")
     # a child may have tried some of the first ones: as many more are kept as it tried
     counts = tried.groupBy("child_id", "category_id").agg(F.count("*").alias("n_tried"))
-    place = Window.partitionBy("category_id", "level", "exact").orderBy("item_id")
-    ranked = leveled.withColumn("place", F.row_number().over(place))
+    ranked = numbered(leveled, ["category_id", "level", "exact"], id_slice("item_id"), ["item_id"])
     any_place = Window.partitionBy("category_id", "level").orderBy("item_id")
     first = leveled.withColumn("place", F.row_number().over(any_place)).where(F.col("place") <= n)
     asked = wanted.join(counts, ["child_id", "category_id"], "left").withColumn("most", F.coalesce("n_tried", F.lit(0)) + n)
@@ -116,14 +119,14 @@ def learning_path(profiles: DataFrame, categories: DataFrame) -> DataFrame:
     """C-08, C-09: strengths (target 0.9), then categories at the recommended level
     that are neither (0.7), then challenges (0.5); each by level, then name;
     priorities run from 1. Challenges are supported by spoken prompts."""
-    grid = profiles.withColumn("one", F.lit(1)).join(categories.withColumn("one", F.lit(1)), "one")
-    at = F.col("category_id")
-    segment = (
-        F.when(F.array_contains("strengths", at), 1)
-        .when(F.array_contains("challenges", at), 3)
-        .when(F.col("difficulty_level") == F.col("recommended_level"), 2)
-    )
-    rows = grid.withColumn("segment", segment).where("segment IS NOT NULL")
+    named = categories.select("category_id", "name", "difficulty_level")
+    of = lambda column, segment: F.transform(column, lambda c: F.struct(c.alias("category_id"), F.lit(segment).alias("segment")))
+    own = profiles.select("child_id", F.explode(F.concat(of("strengths", 1), of(F.array_except("challenges", "strengths"), 3))).alias("c"))
+    own = own.select("child_id", "c.*").join(named, "category_id")
+    at_level = profiles.select("child_id", "strengths", "challenges", F.col("recommended_level").alias("difficulty_level")).join(named, "difficulty_level")
+    known = F.array_contains("strengths", F.col("category_id")) | F.array_contains("challenges", F.col("category_id"))
+    new = at_level.where(~known).select("child_id", "category_id", F.lit(2).alias("segment"), "name", "difficulty_level")
+    rows = own.unionByName(new)
     order = Window.partitionBy("child_id").orderBy("segment", difficulty_rank(), "name")
     return rows.select(
         "child_id",
@@ -159,18 +162,39 @@ def current_path(stored: DataFrame, generated: DataFrame, performance: DataFrame
     )
 
 
-def session_plan(children: DataFrame, performance: DataFrame, categories: DataFrame) -> DataFrame:
+def session_plan(
+    children: DataFrame, performance: DataFrame, categories: DataFrame, items: DataFrame, item_perf: DataFrame, n: int = 5
+) -> DataFrame:
     """C-03: the category of the lowest score (ties by category), else the first
-    easy category by id, and the level adaptive. Its items are C-06's."""
+    easy category by id, the level adaptive, and the first ``n`` of C-06's items
+    for the child in that category, as an array of ids."""
     named = performance.where("category_id IS NOT NULL")
     lowest = named.groupBy("child_id").agg(F.min(F.struct("overall_score", "category_id"))["category_id"].alias("focus"))
     easy = categories.where("difficulty_level = 'easy'").agg(F.min("category_id").alias("easy")).withColumn("one", F.lit(1))
-    return (
+    plans = (
         children.select("child_id", F.lit(1).alias("one"))
         .join(lowest, "child_id", "left")
         .join(easy, "one", "left")
         .select("child_id", F.coalesce("focus", "easy").alias("category_id"), F.lit("adaptive").alias("current_level"))
     )
+    pairs = plans.where("category_id IS NOT NULL").select("child_id", "category_id")
+    chosen = item_recommendations(pairs, items, categories, performance, item_perf, n)
+    listed = chosen.groupBy("child_id").agg(F.array_sort(F.collect_list(F.struct("rank", "item_id"))).alias("chosen"))
+    none = F.array().cast("array<bigint>")
+    return plans.join(listed, "child_id", "left").select(
+        "child_id", "category_id", "current_level", F.coalesce(F.transform("chosen", lambda x: x["item_id"]), none).alias("item_ids")
+    )
+
+
+def recommend(
+    children: DataFrame, categories: DataFrame, performance: DataFrame, items: DataFrame, item_perf: DataFrame, category_id: int | None = None
+) -> DataFrame:
+    """C-07: the recommended items of a category for each child (C-06), or, where
+    none is named, the recommended categories (C-05)."""
+    if category_id is None:
+        return category_recommendations(children, categories, performance)
+    pairs = children.select("child_id", F.lit(category_id).alias("category_id"))
+    return item_recommendations(pairs, items, categories, performance, item_perf)
 
 
 def session_adjustment(
@@ -211,10 +235,10 @@ def next_item(sessions: DataFrame, activities: DataFrame, items: DataFrame) -> D
     A session meets one more item than it tried, by their places among the items
     of its category and level, so the rows are as many as the attempts.
     """
-    order = Window.partitionBy("category_id", "difficulty_level").orderBy("item_id")
-    ranked = items.where("difficulty_level IS NOT NULL").select(
-        "category_id", F.col("difficulty_level").alias("current_level"), "item_id", F.row_number().over(order).alias("place")
+    ranked = items.where("difficulty_level IS NOT NULL AND category_id IS NOT NULL").select(
+        "category_id", F.col("difficulty_level").alias("current_level"), "item_id"
     )
+    ranked = numbered(ranked, ["category_id", "current_level"], id_slice("item_id"), ["item_id"])
     tried = activities.select("session_id", "item_id").distinct()
     n_tried = tried.groupBy("session_id").agg(F.count("*").alias("n_tried"))
     free = (
@@ -250,34 +274,35 @@ def next_activity(
     leveled = items.join(
         categories.select("category_id", F.col("difficulty_level").alias("category_level")), "category_id"
     ).withColumn("level", effective_difficulty())
-    by_id, by_rev = Window.partitionBy("category_id").orderBy("item_id"), Window.partitionBy("category_id").orderBy(F.desc("item_id"))
-    whole = Window.partitionBy("category_id")
-    placed = leveled.select(
+    sizes = items.where("category_id IS NOT NULL").groupBy("category_id").agg(F.count("*").alias("size"))
+    placed = numbered(leveled, ["category_id"], id_slice("item_id"), ["item_id"], "up").join(sizes, "category_id").select(
         "category_id", "item_id", "level", "difficulty_level",
         F.col("audio_url").isNotNull().alias("has_verbal"), F.col("image_url").isNotNull().alias("has_nonverbal"),
-        F.row_number().over(by_id).alias("up"), F.row_number().over(by_rev).alias("down"), F.count("*").over(whole).alias("size"),
+        "up", (F.col("size") - F.col("up") + 1).alias("down"), "size",
     )
-    bands = placed.select(
-        "*", F.explode(F.array(*map(F.lit, ["new", "easy", "hard", "medium"]))).alias("band")
-    ).withColumn("at_level", F.col("band") == F.col("level"))
-    some = F.max("at_level").over(Window.partitionBy("category_id", "band"))
+    bands = F.array(*map(F.lit, ["new", "easy", "hard", "medium"]))
+    # which categories have items at the level of a band: a few rows
+    known = leveled.groupBy("category_id").agg(F.collect_set("level").alias("levels"))
+    banded = placed.join(known, "category_id").select("*", F.explode(bands).alias("band"))
     fallback = (
         F.when(F.col("band") == "easy", F.col("up") <= 3)
         .when(F.col("band") == "hard", F.col("down") <= 3)
         .otherwise((F.col("size") <= 6) | ((F.col("up") > 3) & (F.col("down") > 3)))
     )
-    pool = bands.withColumn("some", some).where(
-        (F.col("band") == "new") | F.when(F.coalesce("some", F.lit(False)), F.coalesce("at_level", F.lit(False))).otherwise(fallback)
+    at_level = F.coalesce(F.col("band") == F.col("level"), F.lit(False))
+    pool = banded.where(
+        (F.col("band") == "new") | F.when(F.array_contains("levels", F.col("band")), at_level).otherwise(fallback)
     )
     modes = pool.select("*", F.explode(F.array(*map(F.lit, ["verbal", "nonverbal", "none"]))).alias("mode"))
     has = F.when(F.col("mode") == "verbal", F.col("has_verbal")).when(F.col("mode") == "nonverbal", F.col("has_nonverbal"))
-    new = F.col("band") == "new"
-    order = Window.partitionBy("category_id", "band", "mode").orderBy(
-        F.when(new, F.col("level")).when(F.col("mode") != "none", has.cast("int").cast("string")),
-        F.when(~new & (F.col("mode") != "none"), F.col("difficulty_level")).asc_nulls_last(),
-        "item_id",
-    )
-    ranked = modes.select("category_id", "band", "mode", "item_id", F.row_number().over(order).alias("place"))
+    new, last = F.col("band") == "new", F.lit("~")  # behind every level
+    modes = modes.withColumn(
+        "first", F.when(new, F.coalesce("level", last)).when(F.col("mode") != "none", has.cast("int").cast("string")).otherwise("")
+    ).withColumn("second", F.when(~new & (F.col("mode") != "none"), F.coalesce("difficulty_level", last)).otherwise(""))
+    ranked = numbered(
+        modes.select("category_id", "band", "mode", "first", "second", "item_id"), ["category_id", "band", "mode"],
+        F.struct("first", "second", id_slice("item_id").alias("slice")), ["first", "second", "item_id"],
+    )
     score = F.col("overall_score")
     asked = (
         sessions.select("session_id", "child_id", "category_id")
@@ -344,7 +369,9 @@ def adaptation(activities: DataFrame, items: DataFrame) -> DataFrame:
 def rule_recommendations(children: DataFrame, performance: DataFrame, categories: DataFrame, items: DataFrame) -> DataFrame:
     """C-17: up to three weak (under 0.6) and two strong (0.8 or more) categories
     by id, items one level up for the weak ones, mean, best and worst category
-    (ties by name). A child without a roll-up starts with easy categories."""
+    (ties by name), and next_activities: with each weak category its first five
+    items one level up, by id. A child without a roll-up starts with the first
+    three easy categories and their first three items."""
     named = performance.join(categories.select("category_id", "name", "difficulty_level"), "category_id")
 
     def first(cond: Column, n: int, out: str) -> DataFrame:
@@ -359,14 +386,26 @@ def rule_recommendations(children: DataFrame, performance: DataFrame, categories
         F.min(F.struct("overall_score", "name"))["name"].alias("weakest_category"),
     )
     none = F.array().cast("array<string>")
+    activity = "array<struct<category:string,items:array<string>>>"
+    up = items_by_category(categories, suggested_items(categories, items))
+    weak = first(F.col("overall_score") < 0.6, 3, "weak")
+    placed = weak.select("child_id", F.posexplode("weak").alias("place", "category")).join(up, "category", "left")
+    following = placed.groupBy("child_id").agg(
+        F.array_sort(F.collect_list(F.struct("place", "category", F.coalesce("items", none).alias("items")))).alias("x")
+    ).select("child_id", F.transform("x", lambda x: F.struct(x["category"].alias("category"), x["items"].alias("items"))).alias("following"))
     return (
         children.select("child_id")
+        .join(following, "child_id", "left")
+        .join(starter_activities(categories, items))
         .join(report, "child_id", "left")
-        .join(first(F.col("overall_score") < 0.6, 3, "weak"), "child_id", "left")
+        .join(weak, "child_id", "left")
         .join(first(F.col("overall_score") >= 0.8, 2, "strong"), "child_id", "left")
         .select(
             "child_id",
             F.coalesce("weak", none).alias("practice_more"),
+            F.when(F.col("average_score").isNull(), F.col("starters")).otherwise(F.coalesce("following", F.array().cast(activity))).alias(
+                "next_activities"
+            ),
             F.coalesce("strong", none).alias("encouraged_by"),
             "average_score",
             "strongest_category",
@@ -376,6 +415,25 @@ def rule_recommendations(children: DataFrame, performance: DataFrame, categories
     )
 
 
+def items_by_category(categories: DataFrame, ranked: DataFrame) -> DataFrame:
+    """(category, items): the names of ``ranked`` (category_id, rank, name) in their
+    order, for every category, an empty array where there are none."""
+    listed = ranked.groupBy("category_id").agg(F.array_sort(F.collect_list(F.struct("rank", "name"))).alias("x"))
+    names = F.coalesce(F.transform("x", lambda x: x["name"]), F.array().cast("array<string>"))
+    return categories.select("category_id", F.col("name").alias("category")).join(listed, "category_id", "left").select("category", names.alias("items"))
+
+
+def starter_activities(categories: DataFrame, items: DataFrame, n_categories: int = 3, n_items: int = 3) -> DataFrame:
+    """C-17 for a new learner: one row (starters), the first easy categories by id
+    with their first items by id."""
+    easy = categories.where("difficulty_level = 'easy'").orderBy("category_id").limit(n_categories)
+    order = Window.partitionBy("category_id").orderBy("item_id")
+    some = items.join(easy.select("category_id"), "category_id").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n_items)
+    named = items_by_category(easy, some.select("category_id", "rank", "name")).join(easy.select("category_id", F.col("name").alias("category")), "category")
+    rows = F.array_sort(F.collect_list(F.struct("category_id", "category", "items")))
+    return named.agg(F.transform(rows, lambda x: F.struct(x["category"].alias("category"), x["items"].alias("items"))).alias("starters"))
+
+
 def suggested_items(categories: DataFrame, items: DataFrame, n: int = 5) -> DataFrame:
     """C-17: of each category the first ``n`` items, by id, one level up."""
     order = Window.partitionBy("category_id").orderBy("item_id")
@@ -388,15 +446,18 @@ def suggested_items(categories: DataFrame, items: DataFrame, n: int = 5) -> Data
 
 def answer_options(items: DataFrame, n: int = 3, seed: int = 0) -> DataFrame:
     """T-09: of every item itself and up to ``n`` others of its category, shuffled.
-    The others follow it on a ring in seeded hash order, so no pair is formed."""
-    mixed = F.xxhash64("item_id", F.lit(seed))
-    ring = Window.partitionBy("category_id").orderBy(mixed, "item_id")
-    placed = items.select("category_id", "item_id", F.row_number().over(ring).alias("at"), F.count("*").over(Window.partitionBy("category_id")).alias("size"))
+    The others follow it on a ring in the order of a seeded hash, so no pair is
+    formed, and places on the ring are counted by slices of the hash."""
+    mixed = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("item_id").cast("string")))
+    rows = items.where("category_id IS NOT NULL").select("category_id", "item_id", mixed.alias("mixed"))
+    sizes = rows.groupBy("category_id").agg(F.count("*").alias("size"))
+    placed = numbered(rows, ["category_id"], F.substring("mixed", 1, 3), ["mixed", "item_id"], "at").join(sizes, "category_id")
     wanted = placed.select(
         "category_id", "item_id", "size", F.explode(F.sequence(F.lit(0), F.least(F.lit(n), (F.col("size") - 1).cast("int")))).alias("step"), "at"
     ).withColumn("at", (F.col("at") - 1 + F.col("step")) % F.col("size") + 1)
     other = placed.select("category_id", "at", F.col("item_id").alias("option_id"))
-    order = Window.partitionBy("item_id").orderBy(F.xxhash64("item_id", "option_id", F.lit(seed)))
+    shuffled = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("item_id").cast("string"), F.col("option_id").cast("string")))
+    order = Window.partitionBy("item_id").orderBy(shuffled, "option_id")
     return wanted.join(other, ["category_id", "at"]).select(
         "item_id", F.row_number().over(order).alias("place"), "option_id", (F.col("option_id") == F.col("item_id")).alias("is_answer")
     )

@@ -2,26 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorikeet.functions.text import percent
+from lorikeet.operators.recommend import effective_difficulty
 from lorikeet.operators.sessions import first_feedback, newest
 
 
 def child_reports(
-    children: DataFrame, performance: DataFrame, categories: DataFrame, sessions: DataFrame, feedback: DataFrame
+    children: DataFrame, performance: DataFrame, categories: DataFrame, sessions: DataFrame, feedback: DataFrame, items: DataFrame, n_items: int = 5
 ) -> DataFrame:
-    """(child_id, report): the child, its categories by name with score, and the
-    first feedback of its latest session; without a roll-up no feedback is known."""
-    lines = performance.join(categories.select("category_id", "name"), "category_id").select(
-        "child_id", F.struct("name", F.concat_ws(" ", "name", percent(F.col("overall_score"))).alias("line")).alias("line")
+    """(child_id, report): the child, its categories by name with score and their
+    first ``n_items`` items by id with the level of each (its own, else the
+    category's), and the first feedback of its latest session; without a roll-up
+    no feedback is known. The items of a category are put together once, not for
+    each child."""
+    order = Window.partitionBy("category_id").orderBy("item_id")
+    level = F.col("difficulty_level").alias("category_level")
+    some = items.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n_items)
+    some = some.join(categories.select("category_id", level), "category_id").select(
+        "category_id", F.struct("place", F.concat("name", F.lit(" ("), effective_difficulty(), F.lit(")")).alias("text")).alias("item")
     )
+    shown = some.groupBy("category_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("item")), lambda x: x["text"]), "; ").alias("items"))
+    named = categories.select("category_id", "name").join(shown, "category_id", "left")
+    text = F.concat(
+        F.concat_ws(" ", "name", percent(F.col("overall_score"))), F.coalesce(F.concat(F.lit(": "), F.col("items")), F.lit(""))
+    )
+    lines = performance.join(named, "category_id").select("child_id", F.struct("name", text.alias("line")).alias("line"))
     listed = lines.groupBy("child_id").agg(F.transform(F.array_sort(F.collect_list("line")), lambda x: x["line"]).alias("lines"))
     latest = newest(sessions.select("session_id", "child_id", "start_time"), "child_id", "start_time", "session_id", 1)
     rated = latest.join(first_feedback(feedback).select("session_id", "rating"), "session_id").select("child_id", "rating")
     joined = children.select("child_id", "name").join(listed, "child_id", "left").join(rated, "child_id", "left")
     head = F.concat(F.lit("Learner: "), "name")
-    body = F.coalesce(F.concat(F.lit("\nScores: "), F.array_join("lines", ", ")), F.lit("\nNo scores yet"))
+    body = F.coalesce(F.concat(F.lit("\nScores:\n"), F.array_join("lines", "\n")), F.lit("\nNo scores yet"))
     note = F.when(F.col("lines").isNotNull(), F.concat(F.lit("\nLatest rating: "), F.col("rating").cast("string")))
     return joined.select("child_id", F.concat(head, body, F.coalesce(note, F.lit(""))).alias("report"))

@@ -17,25 +17,34 @@ def _sum_of_products(a: str, b: str, names: Sequence[str]) -> Column:
     return out
 
 
+#: Targets of one block, of which each meets one slice of the vectors in a task.
+BLOCK = 2048
+
+
 def similar_children(
-    vectors: DataFrame, targets: DataFrame, k: int = 5, names: Sequence[str] = VECTOR, blocks: int = 8
+    vectors: DataFrame, targets: DataFrame, k: int = 5, names: Sequence[str] = VECTOR, block: int = BLOCK, slices: int | None = None
 ) -> DataFrame:
     """(child_id, rank, similar_id, similarity): of each child in ``targets``
     (child_id) the ``k`` others with the highest cosine; ties by id, undefined
     similarities (a zero vector) last.
 
-    The targets are dealt into ``blocks`` by hash and every vector meets each
-    block once; the best k are kept before anything is shuffled by target.
+    The targets are dealt into blocks of about ``block`` and the vectors into
+    slices by hash, twice as many as there are shuffle partitions; a block meets a
+    slice under a key of both, so pairs are spread over blocks x slices keys. The
+    best k of a slice are kept before anything is shuffled by target.
     """
     cols = [F.col(n).cast("double").alias(n) for n in names]
     rows = vectors.select("child_id", *cols)
     norm = F.sqrt(_sum_of_products("r", "r", names))
     rows = rows.alias("r").select("r.*", norm.alias("norm"))
-    left = rows.join(targets.select("child_id"), "child_id", "left_semi").withColumn(
-        "block", F.expr(f"cast(pmod(xxhash64(child_id), {int(blocks)}) as int)")
-    )
-    right = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    pairs = left.alias("a").join(right.alias("b"), (F.col("a.block") == F.col("b.block")) & (F.col("a.child_id") != F.col("b.child_id")))
+    slices = slices or 2 * int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = max(1, -(-targets.count() // block))
+    deal = lambda n: F.expr(f"cast(pmod(xxhash64(child_id), {int(n)}) as int)")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = rows.join(targets.select("child_id"), "child_id", "left_semi").withColumn("block", deal(blocks)).withColumn("slice", every(slices))
+    right = rows.withColumn("slice", deal(slices)).withColumn("block", every(blocks))
+    same = (F.col("a.block") == F.col("b.block")) & (F.col("a.slice") == F.col("b.slice"))
+    pairs = left.alias("a").join(right.alias("b"), same & (F.col("a.child_id") != F.col("b.child_id")))
     cosine = _sum_of_products("a", "b", names) / F.nullif(F.col("a.norm") * F.col("b.norm"), F.lit(0.0))
     scored = pairs.select(
         F.col("a.child_id").alias("child_id"), F.col("b.child_id").alias("similar_id"), F.round(cosine, 9).alias("similarity")

@@ -72,3 +72,19 @@ SCHEMAS = {
         " command:string ts:tz"
     ),
 }
+
+#: The parquet tables that the domain is derived from.
+SOURCES = {
+    "nation": _struct("n_nationkey:int n_name:string n_regionkey:int"),
+    "customer": _struct("c_custkey:long c_name:string c_nationkey:int c_acctbal:double c_mktsegment:string"),
+    "part": _struct("p_partkey:long p_name:string p_brand:string p_type:string p_size:int p_retailprice:double"),
+    "orders": _struct(
+        "o_orderkey:long o_custkey:long o_orderstatus:string o_totalprice:double o_orderdate:ts o_orderpriority:string"
+    ),
+    "lineitem": _struct(
+        "l_orderkey:long l_partkey:long l_suppkey:long l_linenumber:int l_quantity:double l_extendedprice:double"
+        " l_discount:double l_tax:double l_returnflag:string l_linestatus:string l_shipdate:ts"
+    ),
+    "events": _struct("event_id:long ts:ts user_id:long event_type:string value:double props:string"),
+    "conversations": _struct("conv_id:long turn:long role:string text:string"),
+}

@@ -11,16 +11,27 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lorikeet.operators.ranking import id_slice, numbered
+from lorikeet.schemas import SOURCES
+
 #: The moment that "now" means: the day after the last session day.
 AS_OF = "2001-08-02 00:00:00"
 
 
+#: Phonemes of the words of item names.
+PHONEMES = {
+    "large": "L AA R JH", "small": "S M AO L", "red": "R EH D", "cold": "K OW L D", "hot": "HH AA T", "new": "N UW", "blue": "B L UW",
+    "old": "OW L D", "gizmo": "G IH Z M OW", "ring": "R IH NG", "gear": "G IH R", "widget": "W IH JH IH T", "plate": "P L EY T",
+    "bolt": "B OW L T", "rod": "R AA D", "anvil": "AE N V AH L",
+}
+
+
 class Domain:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
     def _read(self, table: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{table}.parquet")
+        return self.spark.read.schema(SOURCES[table]).parquet(f"{self.sf_dir}/{table}.parquet")
 
     @cached_property
     def children(self) -> DataFrame:
@@ -140,20 +151,44 @@ class Domain:
     @cached_property
     def gaze_tracking(self) -> DataFrame:
         return self._read("events").select(
+            F.col("event_id").alias("gaze_id"),
             F.expr("event_id div 3").alias("session_id"),
             F.col("user_id").alias("child_id"),
             (F.col("event_id") % 600 * 1000).alias("session_duration"),
             F.col("value").alias("on_screen_percentage"),
         )
 
+    @cached_property
+    def messages(self) -> DataFrame:
+        """Events as messages of a connection for each user: a handshake, what
+        children and caregivers send, pings, and now and then a disconnect."""
+        e, at = self._read("events"), F.col("event_id") % 11
+        kind = F.when(at == 0, "disconnect").when(at.isin(1, 6), "initialize_session").when(at == 2, "caregiver_command").when(at.isin(3, 8), "ping").when(at == 4, "other")
+        kind = kind.otherwise("child_response")
+        of = lambda name, value: F.when(kind == name, value)
+        return e.select(
+            F.concat(F.lit("u"), F.col("user_id")).alias("connection_id"),
+            kind.alias("type"),
+            of("initialize_session", F.when(at == 1, F.concat(F.lit("s"), F.expr("event_id div 100")))).alias("session_id"),
+            of("child_response", F.col("event_id").cast("string")).alias("item_id"),
+            of("child_response", F.col("event_type")).alias("response"),
+            of("child_response", F.when(F.col("event_id") % 2 == 0, F.col("value"))).alias("score"),
+            of("caregiver_command", F.col("event_type")).alias("command"),
+            F.col("ts").cast("timestamp").alias("ts"),
+        )
+
+    @cached_property
+    def lexicon(self) -> DataFrame:
+        """Phonemes of the words that item names are made of: a fixed small table."""
+        return self.spark.createDataFrame([(w, p.split()) for w, p in PHONEMES.items()], "word string, phonemes array<string>")
+
     @cached_property
     def utterances(self) -> DataFrame:
         """Item names said as the name of the next item of the same category."""
-        order = Window.partitionBy("category_id").orderBy("item_id")
-        return self.activity_items.select(
-            "item_id", F.col("name").alias("expected"), F.lead("name").over(order).alias("actual")
-        ).where("actual IS NOT NULL")
-
+        named = self.activity_items.select("category_id", "item_id", "name")
+        placed = numbered(named, ["category_id"], id_slice("item_id"), ["item_id"])
+        following = placed.select("category_id", (F.col("place") - 1).alias("place"), F.col("name").alias("actual"))
+        return placed.join(following, ["category_id", "place"]).select("item_id", F.col("name").alias("expected"), "actual")
 
 VIEWS = {
     "children": "SELECT c_custkey AS child_id, c_name AS name, c_nationkey AS caregiver_id FROM customer",

@@ -29,9 +29,16 @@ def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
+def owned(df: DataFrame, owner: str, caller) -> DataFrame:
+    """P-02: the rows of ``df`` whose column ``owner`` is the caller."""
+    return df.where(F.col(owner) == F.lit(caller))
+
+
 def updated(df: DataFrame, changes: DataFrame, key: str) -> DataFrame:
-    """S-06: ``df`` where rows of ``changes`` replace the columns they set (not null)."""
-    new = changes.select(F.col(key), *[F.col(c).alias(f"__{c}") for c in changes.columns if c != key])
+    """S-06: ``df`` where rows of ``changes`` replace the columns they set (not null).
+    Of several changes of one key each column takes the largest value, so no row
+    is ever doubled; null keys change nothing."""
+    new = changes.groupBy(key).agg(*[F.max(c).alias(f"__{c}") for c in changes.columns if c != key])
     joined = df.join(new, key, "left")
     return joined.select(*[F.coalesce(f"__{c}", c).alias(c) if f"__{c}" in new.columns else F.col(c) for c in df.columns])
 

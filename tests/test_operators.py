@@ -108,7 +108,7 @@ def test_trend(make):
 def test_similar(make):
     names = ["a", "b"]
     vectors = make([(1, 1.0, 2.0), (2, 2.0, 4.0), (3, 0.0, 0.0), (4, 2.0, 1.0)], "child_id long, a double, b double")
-    got = similar_children(vectors, vectors.where("child_id IN (1, 3)"), 3, names, blocks=2).collect()
+    got = similar_children(vectors, vectors.where("child_id IN (1, 3)"), 3, names, block=1, slices=3).collect()
     by = {}
     for r in sorted(got, key=lambda r: r["rank"]):
         by.setdefault(r["child_id"], []).append((r["similar_id"], r["similarity"]))
@@ -139,6 +139,9 @@ def test_tables(make, spark, tmp_path):
     assert {tuple(r) for r in W.replaced(old, new, "child_id").collect()} == {(1, None, 0.7), (2, 1, 0.1), (3, 2, 0.9)}
     assert W.deletable(old, new, "child_id").first()["child_id"] == 2
     assert {tuple(r) for r in W.updated(old, make([(2, 0.4)], "child_id long, score double"), "child_id").collect()} == {(1, None, 0.5), (2, 1, 0.4)}
+    several = make([(2, 0.4), (2, 0.3), (2, None)], "child_id long, score double")
+    assert {tuple(r) for r in W.updated(old, several, "child_id").collect()} == {(1, None, 0.5), (2, 1, 0.4)}
+    assert [r["child_id"] for r in W.owned(old, "category_id", 1).collect()] == [2]
     path = str(tmp_path / "t")
     W.append(old, path)
     W.append(new, path)
