@@ -2,7 +2,9 @@
 
 A connection's messages are dropped until it sends initialize_session; after
 that each is routed by type. State is one short string for each connection, in
-Spark's state store, so it survives a restart and spreads over executors.
+Spark's state store, so it survives a restart and spreads over executors; it goes
+when the connection leaves or is silent for an hour. ``route_table`` gives the
+same replies for a table of messages, by windows.
 """
 
 from __future__ import annotations
@@ -10,8 +12,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lorikeet.schemas import SCHEMAS
@@ -21,6 +24,16 @@ OUT = (
     " score double, command string, ts timestamp"
 )
 _NAMES = [f.strip().split()[0] for f in OUT.split(",")]
+#: Silence after which a connection counts as gone.
+SILENCE_MS = 3_600_000
+#: What each message becomes, and who gets it: its session, the connection alone, or nobody.
+REPLIES = {
+    "child_response": ("response_update", "session"),
+    "caregiver_command": ("session_command", "session"),
+    "ping": ("pong", "personal"),
+    "initialize_session": ("session_initialized", "personal"),
+    "disconnect": ("disconnected", "none"),
+}
 
 
 def read_messages(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
@@ -28,48 +41,100 @@ def read_messages(spark: SparkSession, path: str, files_per_trigger: int = 1000)
     return spark.readStream.schema(SCHEMAS["messages"]).option("maxFilesPerTrigger", files_per_trigger).json(path)
 
 
+def write_messages(replies: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """S-14: the sink: replies that go to somebody as JSON files, one folder for
+    each scope, from which the transport takes them."""
+    out = replies.where("scope <> 'none'").writeStream.format("json").partitionBy("scope")
+    return out.option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _session_name(given: str | None, connection: str, ts: pd.Timestamp) -> str:
+    return given or f"{connection}-{'unknown' if pd.isna(ts) else f'{ts:%Y%m%d%H%M%S}'}"
+
+
 def _route(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     session = state.get[0] if state.exists else None
+    if state.hasTimedOut:
+        state.remove()
+        yield pd.DataFrame([{"connection_id": key[0], "session_id": session, "type": "disconnected", "scope": "none"}], columns=_NAMES)
+        return
     rows = []
     whole = pd.concat(list(batches), ignore_index=True)
-    # events of one trigger in time order; ties by type, so reruns agree
-    for m in whole.sort_values(["ts", "type"], kind="stable").itertuples(index=False):
-        base = {"connection_id": key[0], "ts": m.ts}
-        if session is None:
-            if m.type == "initialize_session":
-                session = m.session_id or f"{key[0]}-{m.ts:%Y%m%d%H%M%S}"
-                rows.append(base | {"session_id": session, "type": "session_initialized", "scope": "personal"})
+    # messages of one trigger in time order; at one time a handshake comes first and a disconnect last, others by what they say, so reruns agree
+    whole["__rank"] = whole["type"].map({"initialize_session": 0, "disconnect": 2}).fillna(1)
+    order = ["ts", "__rank", "type", "session_id", "item_id", "command"]
+    for m in whole.sort_values(order, kind="stable").itertuples(index=False):
+        if (session is None) != (m.type == "initialize_session") or m.type not in REPLIES:
             continue
-        base["session_id"] = session
+        kind, scope = REPLIES[m.type]
+        if m.type == "initialize_session":
+            session = _session_name(m.session_id, key[0], m.ts)
+        row = {"connection_id": key[0], "ts": m.ts, "session_id": session, "type": kind, "scope": scope}
         if m.type == "child_response":
             score = 0.0 if m.score is None or m.score != m.score else float(m.score)
-            rows.append(base | {"type": "response_update", "scope": "session", "item_id": m.item_id, "response": m.response, "score": score})
+            row |= {"item_id": m.item_id, "response": m.response, "score": score}
         elif m.type == "caregiver_command":
-            rows.append(base | {"type": "session_command", "scope": "session", "command": m.command})
-        elif m.type == "ping":
-            rows.append(base | {"type": "pong", "scope": "personal"})
+            row |= {"command": m.command}
         elif m.type == "disconnect":  # D-07: what was known of the connection goes
             session = None
+        rows.append(row)
     if session is None:
         if state.exists:
             state.remove()
     else:
         state.update((session,))
+        state.setTimeoutDuration(SILENCE_MS)
     yield pd.DataFrame(rows, columns=_NAMES)
 
 
 def route(messages: DataFrame) -> DataFrame:
     """D-01, D-02, D-04, D-06, D-07: replies to a stream of messages. scope tells
-    whether a reply goes to its connection or to all of its session."""
+    whether a reply goes to its connection, to all of its session or, for the
+    mark that a connection has left, to nobody. The messages that a connection
+    sends within a trigger are put in order in memory; a null type is dropped, a
+    null time comes last."""
     return messages.groupBy("connection_id").applyInPandasWithState(
-        _route, OUT, "session_id string", "append", GroupStateTimeout.NoTimeout
+        _route, OUT, "session_id string", "append", GroupStateTimeout.ProcessingTimeTimeout
+    )
+
+
+def route_table(messages: DataFrame) -> DataFrame:
+    """The replies to a table of messages, as ``route`` gives them for a stream that
+    brings the messages in order. Disconnects cut a connection's messages into
+    stretches; the first handshake of a stretch opens its session."""
+    rank = F.when(F.col("type") == "initialize_session", 0).when(F.col("type") == "disconnect", 2).otherwise(1)
+    ties = [F.asc_nulls_last(c) for c in ("session_id", "item_id", "command")]
+    order = [F.asc_nulls_last("ts"), rank, F.asc("type"), *ties]
+    along = Window.partitionBy("connection_id").orderBy(*order)
+    ends = F.count_if(F.col("type") == "disconnect").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    rows = messages.where(F.col("type").isin(*REPLIES)).withColumn("__at", F.row_number().over(along)).withColumn("__part", ends)
+    stretch = Window.partitionBy("connection_id", "__part").orderBy("__at").rowsBetween(Window.unboundedPreceding, 0)
+    made = F.concat("connection_id", F.lit("-"), F.coalesce(F.date_format("ts", "yyyyMMddHHmmss"), F.lit("unknown")))
+    given = F.coalesce(F.nullif("session_id", F.lit("")), made)
+    opening = F.col("type") == "initialize_session"
+    opened = F.first(F.when(opening, F.struct(given.alias("session"), F.col("__at").alias("at"))), ignorenulls=True).over(stretch)
+    rows = rows.withColumn("__opened", opened).where(
+        F.col("__opened").isNotNull() & (~opening | (F.col("__opened.at") == F.col("__at")))
     )
+    table = F.create_map(*[x for k, (kind, scope) in REPLIES.items() for x in (F.lit(k), F.struct(F.lit(kind).alias("kind"), F.lit(scope).alias("scope")))])
+    of = lambda kind, value: F.when(F.col("type") == kind, value)
+    return rows.select(
+        "connection_id", F.col("__opened.session").alias("session_id"), table[F.col("type")]["kind"].alias("type"),
+        table[F.col("type")]["scope"].alias("scope"), of("child_response", F.col("item_id")).alias("item_id"),
+        of("child_response", F.col("response")).alias("response"),
+        of("child_response", F.coalesce(F.nanvl("score", F.lit(0.0)), F.lit(0.0))).alias("score"),
+        of("caregiver_command", F.col("command")).alias("command"), "ts",
+    )
 
 
 def members(replies: DataFrame) -> DataFrame:
-    """D-03: (session_id, connection_id) of the handshakes among replies; a
-    connection that joined twice is listed twice, as it is sent to twice."""
-    return replies.where("type = 'session_initialized'").select("session_id", "connection_id")
+    """D-03, D-07: (session_id, connection_id) of the connections that are in a
+    session by the replies so far: those that joined more often than they left, in
+    the session that they joined last."""
+    joined, left = (F.col("type") == kind for kind in ("session_initialized", "disconnected"))
+    last: Column = F.max(F.when(joined, F.struct("ts", "session_id")))["session_id"]
+    known = replies.groupBy("connection_id").agg(last.alias("session_id"), (F.count_if(joined) - F.count_if(left)).alias("n"))
+    return known.where("n > 0").select("session_id", "connection_id")
 
 
 def fan_out(replies: DataFrame, joined: DataFrame) -> DataFrame:

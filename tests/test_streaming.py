@@ -37,14 +37,43 @@ def test_handshake_routing_and_fan_out(spark, tmp_path):
     rows = [(r["connection_id"], r["type"], r["session_id"]) for r in replies.orderBy("ts").collect()]
     assert rows == [
         ("a", "session_initialized", "s1"), ("a", "pong", "s1"), ("b", "session_initialized", "s1"),
-        ("a", "response_update", "s1"), ("a", "session_command", "s1"),
+        ("a", "response_update", "s1"), ("a", "session_command", "s1"), ("b", "disconnected", "s1"),
     ]
     assert replies.where("type = 'response_update'").first()["score"] == 0.0
-    sent = M.fan_out(replies, M.members(replies))
+    assert [tuple(r) for r in M.members(replies).collect()] == [("s1", "a")]
+    sent = M.fan_out(replies, M.members(replies.where("type <> 'disconnected'")))
     assert sorted(r["recipient"] for r in sent.where("type = 'response_update'").collect()) == ["a", "b"]
     assert [r["recipient"] for r in sent.where("type = 'pong'").collect()] == ["a"]
 
 
+def test_odd_messages(spark, tmp_path):
+    """No time, no session name, a message at the time of its handshake, joining again; as a stream and as a table."""
+    source = tmp_path / "in"
+    source.mkdir()
+    at = lambda s: f"2024-01-01T00:00:{s:02d}Z"
+    rows = [
+        {"connection_id": "a", "type": "child_response", "item_id": "i", "ts": at(1)}, {"connection_id": "a", "type": "initialize_session", "ts": at(1)},
+        {"connection_id": "a", "type": "initialize_session", "session_id": "other", "ts": at(2)}, {"connection_id": "a", "type": "disconnect", "ts": at(2)},
+        {"connection_id": "a", "type": "ping", "ts": at(3)}, {"connection_id": "a", "type": "initialize_session", "session_id": "s2", "ts": at(4)},
+        {"connection_id": "b", "type": "initialize_session"}, {"connection_id": "b", "type": "ping"}, {"connection_id": "c", "type": None, "ts": at(5)},
+        {"connection_id": "c", "type": "disconnect", "ts": at(6)},
+    ]
+    send(source, "1.json", rows)
+    replies = run(spark, source, tmp_path, "odd")
+    from lorikeet.schemas import SCHEMAS
+
+    table = M.route_table(spark.read.schema(SCHEMAS["messages"]).json(str(source)))
+    assert sorted(map(repr, replies.collect())) == sorted(map(repr, table.select(*replies.columns).collect()))
+    assert {(r["connection_id"], r["type"], r["session_id"]) for r in table.collect()} == {
+        ("a", "session_initialized", "a-20240101000001"), ("a", "response_update", "a-20240101000001"), ("a", "disconnected", "a-20240101000001"),
+        ("a", "session_initialized", "s2"), ("b", "session_initialized", "b-unknown"), ("b", "pong", "b-unknown"),
+    }
+    assert {tuple(r) for r in M.members(table).collect()} == {("s2", "a"), ("b-unknown", "b")}
+    q = M.write_messages(M.route(M.read_messages(spark, str(source))), str(tmp_path / "out"), str(tmp_path / "sink"))
+    q.awaitTermination(120)
+    assert spark.read.json(str(tmp_path / "out")).groupBy("scope").count().where("scope <> 'none'").count() == 2
+
+
 def test_event_rates_as_stream(spark, sf_dir, tmp_path):
     path = f"{sf_dir}/events.parquet"
     table = spark.read.parquet(path)
