@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorikeet.functions import text as X
+from lorikeet.functions.phonetics import with_phonemes
 from lorikeet.operators import classifier
+from lorikeet.operators import gaze as Z
 from lorikeet.operators import performance as P
 from lorikeet.operators import progress as G
 from lorikeet.operators import recommend as R
@@ -119,6 +121,11 @@ def improvement_areas(d: Domain) -> DataFrame:
     return G.improvement_areas(d.children, d.therapy_sessions, d.answers, d.activity_categories, AS_OF, 90, 365)
 
 
+def improvement_areas_now(d: Domain) -> DataFrame:
+    """The windows that are the default: a week and a month."""
+    return G.improvement_areas(d.children, d.therapy_sessions, d.answers, d.activity_categories, AS_OF)
+
+
 def category_recommendations(d: Domain) -> DataFrame:
     return rounded(R.category_recommendations(d.children, d.activity_categories, _performance(d)))
 
@@ -147,7 +154,20 @@ def current_paths(d: Domain) -> DataFrame:
 
 
 def session_plans(d: Domain) -> DataFrame:
-    return R.session_plan(d.children, _performance(d), d.activity_categories)
+    item_perf = P.item_performance(d.answers, d.therapy_sessions)
+    rows = R.session_plan(d.children, _performance(d), d.activity_categories, d.activity_items, item_perf)
+    return rows.withColumn("item_ids", listed(F.col("item_ids").cast("array<string>")))
+
+
+def recommended_in_category(d: Domain) -> DataFrame:
+    """The dispatcher, asked for the items of the first category."""
+    perf, item_perf = _performance(d), P.item_performance(d.answers, d.therapy_sessions)
+    return R.recommend(d.children, d.activity_categories, perf, d.activity_items, item_perf, 0)
+
+
+def recommended_anywhere(d: Domain) -> DataFrame:
+    perf, item_perf = _performance(d), P.item_performance(d.answers, d.therapy_sessions)
+    return rounded(R.recommend(d.children, d.activity_categories, perf, d.activity_items, item_perf))
 
 
 def session_adjustments(d: Domain) -> DataFrame:
@@ -171,9 +191,23 @@ def adaptations(d: Domain) -> DataFrame:
     return rounded(R.adaptation(said, d.activity_items))
 
 
+def _shown(rows: DataFrame) -> DataFrame:
+    """Rule recommendations with their arrays as text."""
+    activity = F.transform("next_activities", lambda x: F.concat(x["category"], F.lit(": "), F.array_join(x["items"], ", ")))
+    for c in ("practice_more", "encouraged_by"):
+        rows = rows.withColumn(c, listed(c))
+    return rounded(rows.withColumn("next_activities", listed(activity)))
+
+
 def rule_recommendations(d: Domain) -> DataFrame:
-    rows = R.rule_recommendations(d.children, _performance(d), d.activity_categories, d.activity_items)
-    return rounded(rows.withColumn("practice_more", listed("practice_more")).withColumn("encouraged_by", listed("encouraged_by")))
+    return _shown(R.rule_recommendations(d.children, _performance(d), d.activity_categories, d.activity_items))
+
+
+def starter_activities(d: Domain) -> DataFrame:
+    """What a child without a roll-up is given: children whose attempts are all forgotten."""
+    none = _performance(d).limit(0)
+    rows = R.rule_recommendations(d.children, none, d.activity_categories, d.activity_items)
+    return _shown(rows).select("child_id", "next_activities", "encouragement")
 
 
 def suggested_items(d: Domain) -> DataFrame:
@@ -199,7 +233,9 @@ def learnt_recommendations(d: Domain) -> DataFrame:
 
 
 def child_reports(d: Domain) -> DataFrame:
-    return T.child_reports(d.children, _performance(d), d.activity_categories, d.therapy_sessions, d.caregiver_feedback)
+    return T.child_reports(
+        d.children, _performance(d), d.activity_categories, d.therapy_sessions, d.caregiver_feedback, d.activity_items
+    )
 
 
 def sentence_normals(d: Domain) -> DataFrame:
@@ -239,7 +275,7 @@ def conversation_stutter(d: Domain) -> DataFrame:
 
 
 def sentence_scores(d: Domain) -> DataFrame:
-    rows = C.score_sentences(d.utterances, "item_id")
+    rows = C.score_sentences(d.utterances).drop("expected", "actual")
     return rounded(rows.withColumn("substitutions", F.to_json("substitutions")))
 
 
@@ -257,8 +293,17 @@ def combined_recommendations(d: Domain) -> DataFrame:
     perf = _performance(d)
     features = P.ml_features(d.children, perf, d.therapy_sessions, d.activity_categories)
     rules = R.rule_recommendations(d.children, perf, d.activity_categories, d.activity_items)
-    rows = R.combined_recommendations(rules, classifier.predict(features, None), features)
-    return rounded(rows.withColumn("practice_more", listed("practice_more")).withColumn("encouraged_by", listed("encouraged_by")))
+    return _shown(R.combined_recommendations(rules, classifier.predict(features, None), features))
+
+
+def model_recommendations(d: Domain) -> DataFrame:
+    """The same with what a fitted model says."""
+    perf = _performance(d)
+    features = P.ml_features(d.children, perf, d.therapy_sessions, d.activity_categories)
+    rules = R.rule_recommendations(d.children, perf, d.activity_categories, d.activity_items)
+    labels = rules.where("strongest_category IS NOT NULL").select("child_id", F.col("strongest_category").alias("recommended_category"))
+    model = classifier.train(features.join(labels, "child_id"))
+    return _shown(R.combined_recommendations(rules, classifier.predict(features, model), features))
 
 
 def profile_bundles(d: Domain) -> DataFrame:
@@ -295,7 +340,21 @@ def upserted_rollup(d: Domain) -> DataFrame:
 
 
 def deletable_items(d: Domain) -> DataFrame:
-    return W.deletable(d.activity_items, d.answers, "item_id").select("item_id", "name")
+    """Items that no spoken attempt without a verdict refers to, in the sessions of the first category."""
+    sessions = d.therapy_sessions.where("category_id = 0").select("session_id")
+    facts = d.answers.where("is_correct IS NULL AND response_type = 'verbal'").join(sessions, "session_id", "left_semi")
+    return W.deletable(d.activity_items, facts, "item_id").select("item_id", "name")
+
+
+def owned_children(d: Domain) -> DataFrame:
+    """The children of caregiver 7."""
+    return W.owned(d.children, "caregiver_id", 7)
+
+
+def audio_addresses(d: Domain) -> DataFrame:
+    """Of every item the address of its recording, or of the one that is to be made."""
+    items = d.activity_items
+    return items.select("item_id", F.coalesce("audio_url", S.placeholder_audio(F.col("name"))).alias("audio_url"))
 
 
 def replaced_interests(d: Domain) -> DataFrame:
@@ -325,6 +384,41 @@ def gaze_summary(d: Domain) -> DataFrame:
     )
 
 
+def stored_gaze(d: Domain) -> DataFrame:
+    return rounded(Z.accepted_gaze(d.gaze_tracking, d.therapy_sessions, d.children))
+
+
+def gaze_of_a_session(d: Domain) -> DataFrame:
+    """Session 40 as its owner lists it."""
+    stored = Z.accepted_gaze(d.gaze_tracking, d.therapy_sessions, d.children)
+    owner = d.therapy_sessions.where("session_id = 40").join(d.children, "child_id").select(F.col("caregiver_id").alias("caller"))
+    asked = stored.where("session_id = 40").join(owner, F.col("caregiver_id") == F.col("caller")).drop("caller")
+    return rounded(asked)
+
+
+def routed_messages(d: Domain) -> DataFrame:
+    return rounded(M.route_table(d.messages).withColumn("ts", F.col("ts").cast("timestamp_ntz")))
+
+
+def session_members(d: Domain) -> DataFrame:
+    return M.members(M.route_table(d.messages))
+
+
+def broadcast_messages(d: Domain) -> DataFrame:
+    """How many messages each connection receives, by type."""
+    replies = M.route_table(d.messages)
+    return M.fan_out(replies, M.members(replies)).groupBy("recipient", "type").agg(F.count("*").alias("n_messages"))
+
+
+def phoneme_comparisons(d: Domain) -> DataFrame:
+    """The first words of utterances, compared by their phonemes where the lexicon has both."""
+    first = lambda c: F.element_at(X.words_of(c), 1).alias(c)
+    rows = d.utterances.select("item_id", first("expected"), first("actual"))
+    rows = with_phonemes(rows, "expected", d.lexicon, "expected_phonemes")
+    rows = C.compare_words(with_phonemes(rows, "actual", d.lexicon, "actual_phonemes"), phonemes=True)
+    return rounded(rows.select("item_id", "expected", "actual", "similarity_score", "error_type", F.size("phoneme_errors").alias("n_phoneme_errors"), "feedback_class", "tip"))
+
+
 def _of(query: Callable[[Domain], DataFrame]) -> Query:
     return lambda spark, sf_dir: query(Domain(ship(spark), sf_dir))
 
@@ -349,22 +443,27 @@ CATALOG: dict[str, Callable[[Domain], DataFrame]] = {
     "progress_trend_30d": _trend(30),
     "progress_trend_365d": _trend(365),
     "improvement_areas": improvement_areas,
+    "improvement_areas_now": improvement_areas_now,
     "category_recommendations": category_recommendations,
     "item_recommendations": _item_recommendations,
     "learning_paths": lambda d: rounded(_path(d)),
     "updated_targets": updated_targets,
     "current_paths": current_paths,
     "session_plans": session_plans,
+    "recommended_in_category": recommended_in_category,
+    "recommended_anywhere": recommended_anywhere,
     "session_adjustments": session_adjustments,
     "next_items": next_items,
     "next_activities": next_activities,
     "adaptations": adaptations,
     "rule_recommendations": rule_recommendations,
+    "starter_activities": starter_activities,
     "suggested_items": suggested_items,
     "answer_options": answer_options,
     "fallback_recommendations": fallback_recommendations,
     "learnt_recommendations": learnt_recommendations,
     "combined_recommendations": combined_recommendations,
+    "model_recommendations": model_recommendations,
     "profile_bundles": profile_bundles,
     "child_reports": child_reports,
     "sentence_normals": sentence_normals,
@@ -376,12 +475,20 @@ CATALOG: dict[str, Callable[[Domain], DataFrame]] = {
     "word_scores": word_scores,
     "attempt_facts": attempt_facts,
     "word_comparisons": word_comparisons,
+    "phoneme_comparisons": phoneme_comparisons,
     "upserted_rollup": upserted_rollup,
     "deletable_items": deletable_items,
+    "owned_children": owned_children,
+    "audio_addresses": audio_addresses,
     "replaced_interests": replaced_interests,
     "updated_items": updated_items,
     "event_rates": event_rates,
     "gaze_summary": gaze_summary,
+    "stored_gaze": stored_gaze,
+    "gaze_of_a_session": gaze_of_a_session,
+    "routed_messages": routed_messages,
+    "session_members": session_members,
+    "broadcast_messages": broadcast_messages,
 }
 
 

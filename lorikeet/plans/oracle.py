@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from lorikeet.plans.scoring_oracle import SCORING
 from lorikeet.sources.domain import AS_OF
 
 _PERF_COLS = "child_id, category_id, verbal_attempts, verbal_success, selection_attempts, selection_success"
@@ -54,19 +55,24 @@ _ITEM_PERF = """
          count(*) AS total_attempts,
          count(*) FILTER (WHERE response_type IN ('verbal', 'nonverbal') AND is_correct) / count(*) AS success_rate
   FROM session_activities JOIN therapy_sessions USING (session_id) GROUP BY ALL"""
-_ITEMS_FOR = f"""
+
+def _items_for(pairs: str) -> str:
+    return f"""
   SELECT child_id, category_id, CAST(rank AS INTEGER) AS rank, item_id, name, level AS difficulty FROM (
     SELECT *, row_number() OVER (PARTITION BY child_id, category_id ORDER BY CASE WHEN known THEN coalesce(success_rate, 1) END,
              CASE WHEN known THEN coalesce(difficulty_level = level, false) END, item_id) AS rank
     FROM (SELECT p.child_id, p.category_id, overall_score IS NOT NULL AS known,
                  CASE WHEN overall_score IS NULL THEN coalesce(c.difficulty_level, 'easy') WHEN overall_score < 0.4 THEN 'easy'
                       WHEN overall_score < 0.7 THEN 'medium' ELSE 'hard' END AS level, c.difficulty_level AS category_level
-          FROM (SELECT DISTINCT child_id, category_id FROM therapy_sessions) p JOIN activity_categories c USING (category_id)
+          FROM ({pairs}) p JOIN activity_categories c USING (category_id)
           LEFT JOIN child_performance USING (child_id, category_id)) w
     JOIN activity_items i USING (category_id) LEFT JOIN ({_ITEM_PERF}) USING (child_id, item_id)
     WHERE coalesce(i.difficulty_level, category_level) = level) WHERE rank <= 5"""
 
 
+_ITEMS_FOR = _items_for("SELECT DISTINCT child_id, category_id FROM therapy_sessions")
+
+
 def _stats(kind: str) -> str:
     return f"""
   SELECT ch.child_id, c.category_id, c.name, c.difficulty_level, i.child_id IS NOT NULL AS is_selected,
@@ -100,6 +106,40 @@ def _trend(days: int) -> str:
           FROM ({_SCORES}) WHERE {_window(days)} GROUP BY ALL) GROUP BY child_id) w USING (child_id)"""
 
 
+def _areas(short: int, long: int) -> str:
+    return f"""
+  WITH s AS (SELECT sc.child_id, sc.start_time, sc.score, c.name AS category FROM ({_SCORES}) sc
+             JOIN activity_categories c USING (category_id)),
+  r AS (SELECT child_id, category, row_number() OVER (PARTITION BY child_id ORDER BY count(*) DESC, category) AS rank
+        FROM s WHERE score < 0.6 AND {_window(short)} GROUP BY child_id, category),
+  m AS (SELECT child_id, category, avg(score) AS mean FROM s WHERE {_window(long)} GROUP BY ALL)
+  SELECT c.child_id, o.recent_challenges, l.long_term_focus FROM children c
+  LEFT JOIN (SELECT child_id, string_agg(category, ', ' ORDER BY rank) AS recent_challenges FROM r WHERE rank <= 3
+             GROUP BY child_id) o USING (child_id)
+  LEFT JOIN (SELECT child_id, category AS long_term_focus FROM m
+             QUALIFY row_number() OVER (PARTITION BY child_id ORDER BY mean, category) = 1) l USING (child_id)"""
+
+
+_GAZE = """
+  SELECT event_id AS gaze_id, s.session_id, user_id AS child_id, event_id % 600 * 1000 AS session_duration,
+         round(value, 6) AS on_screen_percentage, c.caregiver_id
+  FROM events JOIN therapy_sessions s ON event_id // 3 = s.session_id JOIN children c ON c.child_id = s.child_id
+  WHERE user_id IN (SELECT child_id FROM children)"""
+_UP = """
+  SELECT c.category_id, c.name AS category, string_agg(i.name, ', ' ORDER BY i.item_id) AS names FROM activity_categories c
+  LEFT JOIN (SELECT i.* FROM activity_items i JOIN activity_categories c USING (category_id)
+    WHERE i.difficulty_level = CASE WHEN c.difficulty_level = 'easy' THEN 'medium' ELSE 'hard' END
+    QUALIFY row_number() OVER (PARTITION BY category_id ORDER BY item_id) <= 5) i USING (category_id) GROUP BY ALL"""
+_STARTERS = """
+  SELECT string_agg(c.name || ': ' || coalesce(names, ''), '|' ORDER BY category_id) FROM (
+    SELECT * FROM activity_categories WHERE difficulty_level = 'easy' ORDER BY category_id LIMIT 3) c
+  LEFT JOIN (SELECT category_id, string_agg(name, ', ' ORDER BY item_id) AS names FROM (SELECT * FROM activity_items
+    QUALIFY row_number() OVER (PARTITION BY category_id ORDER BY item_id) <= 3) GROUP BY category_id) USING (category_id)"""
+_PLAN = """
+  SELECT c.child_id, coalesce(f.category_id, (SELECT min(category_id) FROM activity_categories WHERE difficulty_level = 'easy')) AS category_id
+  FROM children c LEFT JOIN (SELECT child_id, category_id FROM child_performance WHERE category_id IS NOT NULL
+    QUALIFY row_number() OVER (PARTITION BY child_id ORDER BY overall_score, category_id) = 1) f USING (child_id)"""
+
 ORACLES: dict[str, str] = {
     "performance_rollup": f"SELECT {_PERF_COLS}, round(overall_score, 6) AS overall_score FROM child_performance",
     "item_performance": f"SELECT * REPLACE (round(success_rate, 6) AS success_rate) FROM ({_ITEM_PERF})",
@@ -178,17 +218,8 @@ ORACLES: dict[str, str] = {
     "progress_trend_7d": _trend(7),
     "progress_trend_30d": _trend(30),
     "progress_trend_365d": _trend(365),
-    "improvement_areas": f"""
-  WITH s AS (SELECT sc.child_id, sc.start_time, sc.score, c.name AS category FROM ({_SCORES}) sc
-             JOIN activity_categories c USING (category_id)),
-  r AS (SELECT child_id, category, row_number() OVER (PARTITION BY child_id ORDER BY count(*) DESC, category) AS rank
-        FROM s WHERE score < 0.6 AND {_window(90)} GROUP BY child_id, category),
-  m AS (SELECT child_id, category, avg(score) AS mean FROM s WHERE {_window(365)} GROUP BY ALL)
-  SELECT c.child_id, o.recent_challenges, l.long_term_focus FROM children c
-  LEFT JOIN (SELECT child_id, string_agg(category, ', ' ORDER BY rank) AS recent_challenges FROM r WHERE rank <= 3
-             GROUP BY child_id) o USING (child_id)
-  LEFT JOIN (SELECT child_id, category AS long_term_focus FROM m
-             QUALIFY row_number() OVER (PARTITION BY child_id ORDER BY mean, category) = 1) l USING (child_id)""",
+    "improvement_areas": _areas(90, 365),
+    "improvement_areas_now": _areas(7, 30),
     "category_recommendations": """
   SELECT child_id, CAST(row_number() OVER (PARTITION BY child_id ORDER BY sort_key DESC, category_id) AS INTEGER) AS rank,
          category_id, name, reason, round(sort_key, 6) AS sort_key
@@ -208,11 +239,10 @@ ORACLES: dict[str, str] = {
   SELECT child_id, category_id, target_score, priority, CASE WHEN child_id % 2 = 1 THEN 'active' ELSE status END AS status,
          round(coalesce(overall_score, 0), 6) AS current_score
   FROM ({_PATH}) LEFT JOIN child_performance USING (child_id, category_id)""",
-    "session_plans": """
-  SELECT c.child_id, coalesce(f.category_id, (SELECT min(category_id) FROM activity_categories WHERE difficulty_level = 'easy'))
-           AS category_id, 'adaptive' AS current_level
-  FROM children c LEFT JOIN (SELECT child_id, category_id FROM child_performance WHERE category_id IS NOT NULL
-    QUALIFY row_number() OVER (PARTITION BY child_id ORDER BY overall_score, category_id) = 1) f USING (child_id)""",
+    "session_plans": f"""
+  SELECT child_id, category_id, 'adaptive' AS current_level, coalesce(ids, '') AS item_ids FROM ({_PLAN}) LEFT JOIN (
+    SELECT child_id, string_agg(item_id, '|' ORDER BY rank) AS ids FROM ({_items_for(_PLAN)}) GROUP BY child_id) USING (child_id)""",
+    "recommended_in_category": _items_for("SELECT child_id, 0 AS category_id FROM children"),
     "session_adjustments": f"""
   WITH o AS (
     SELECT s.session_id, s.child_id, s.category_id, CASE WHEN rate > 0.75 THEN 'up' WHEN rate < 0.4 THEN 'down' ELSE 'same' END AS move
@@ -234,18 +264,22 @@ ORACLES: dict[str, str] = {
     JOIN activity_items i ON i.category_id = s.category_id AND i.difficulty_level = s.current_level
     ANTI JOIN session_activities a ON a.session_id = s.session_id AND a.item_id = i.item_id
     GROUP BY s.session_id) n USING (session_id)""",
-    "rule_recommendations": """
+    "rule_recommendations": f"""
   WITH p AS (SELECT child_id, category_id, overall_score, c.name FROM child_performance JOIN activity_categories c USING (category_id)),
-  w AS (SELECT child_id, string_agg(name, '|' ORDER BY category_id) AS x FROM (SELECT * FROM p WHERE overall_score < 0.6
-        QUALIFY row_number() OVER (PARTITION BY child_id ORDER BY category_id) <= 3) GROUP BY child_id),
+  w AS (SELECT child_id, string_agg(name, '|' ORDER BY category_id) AS x,
+               string_agg(name || ': ' || coalesce(names, ''), '|' ORDER BY category_id) AS y
+        FROM (SELECT * FROM p WHERE overall_score < 0.6 QUALIFY row_number() OVER (PARTITION BY child_id ORDER BY category_id) <= 3)
+        LEFT JOIN ({_UP}) USING (category_id) GROUP BY child_id),
   g AS (SELECT child_id, string_agg(name, '|' ORDER BY category_id) AS x FROM (SELECT * FROM p WHERE overall_score >= 0.8
         QUALIFY row_number() OVER (PARTITION BY child_id ORDER BY category_id) <= 2) GROUP BY child_id),
   b AS (SELECT child_id, avg(overall_score) AS mean, arg_min(name, (-overall_score, name)) AS best, arg_min(name, (overall_score, name)) AS worst
         FROM p GROUP BY child_id)
-  SELECT c.child_id, coalesce(w.x, '') AS practice_more, coalesce(g.x, '') AS encouraged_by, round(mean, 6) AS average_score,
+  SELECT c.child_id, coalesce(w.x, '') AS practice_more,
+         CASE WHEN mean IS NULL THEN ({_STARTERS}) ELSE coalesce(w.y, '') END AS next_activities, coalesce(g.x, '') AS encouraged_by, round(mean, 6) AS average_score,
          best AS strongest_category, worst AS weakest_category,
          CASE WHEN mean IS NULL THEN 'new_learner' WHEN g.x IS NOT NULL THEN 'praise' ELSE 'keep_practising' END AS encouragement
   FROM children c LEFT JOIN w USING (child_id) LEFT JOIN g USING (child_id) LEFT JOIN b USING (child_id)""",
+    "starter_activities": f"SELECT child_id, ({_STARTERS}) AS next_activities, 'new_learner' AS encouragement FROM children",
     "suggested_items": """
   SELECT category_id, c.name AS category, CAST(row_number() OVER (PARTITION BY category_id ORDER BY item_id) AS INTEGER) AS rank,
          item_id, i.name FROM activity_items i JOIN activity_categories c USING (category_id)
@@ -283,7 +317,14 @@ ORACLES: dict[str, str] = {
     "graded_answers": """
   SELECT item_id, lower(trim(expected)) = lower(trim(actual)) AS is_correct, 'generic' AS response_type FROM utterances""",
     "upserted_rollup": f"SELECT {_PERF_COLS}, round(overall_score, 6) AS overall_score FROM child_performance",
-    "deletable_items": "SELECT item_id, name FROM activity_items WHERE item_id NOT IN (SELECT item_id FROM session_activities)",
+    "deletable_items": """
+  SELECT item_id, name FROM activity_items WHERE item_id NOT IN (
+    SELECT item_id FROM session_activities JOIN therapy_sessions USING (session_id)
+    WHERE category_id = 0 AND is_correct IS NULL AND response_type = 'verbal')""",
+    "owned_children": "SELECT * FROM children WHERE caregiver_id = 7",
+    "audio_addresses": "SELECT item_id, coalesce(audio_url, 'audio/' || lower(name) || '.mp3') AS audio_url FROM activity_items",
+    "stored_gaze": _GAZE,
+    "gaze_of_a_session": f"{_GAZE} AND s.session_id = 40",
     "replaced_interests": """
   SELECT child_id, category_id FROM child_category WHERE child_id NOT IN (SELECT child_id FROM children WHERE child_id % 10 = 0)
   UNION ALL SELECT child_id, 0 FROM children WHERE child_id % 10 = 0""",
@@ -302,16 +343,22 @@ ORACLES: dict[str, str] = {
     SELECT *, row_number() OVER (PARTITION BY child_id ORDER BY created_at DESC, feedback_id DESC) AS rank FROM caregiver_feedback)
     WHERE rank <= 5 GROUP BY 1) USING (child_id)""",
     "child_reports": f"""
-  SELECT c.child_id, 'Learner: ' || c.name || coalesce(chr(10) || 'Scores: ' || lines, chr(10) || 'No scores yet')
+  SELECT c.child_id, 'Learner: ' || c.name || coalesce(chr(10) || 'Scores:' || chr(10) || lines, chr(10) || 'No scores yet')
            || CASE WHEN lines IS NOT NULL AND f.rating IS NOT NULL THEN chr(10) || 'Latest rating: ' || f.rating ELSE '' END AS report
   FROM children c LEFT JOIN (
-    SELECT child_id, string_agg(k.name || ' ' || CAST(round_even(overall_score * 100, 0) AS INTEGER) || '%', ', ' ORDER BY k.name) AS lines
-    FROM child_performance JOIN activity_categories k USING (category_id) GROUP BY child_id) USING (child_id)
+    SELECT child_id, string_agg(k.name || ' ' || CAST(round_even(overall_score * 100, 0) AS INTEGER) || '%' || coalesce(': ' || shown, ''),
+             chr(10) ORDER BY k.name) AS lines
+    FROM child_performance JOIN activity_categories k USING (category_id) LEFT JOIN (
+      SELECT category_id, string_agg(i.name || ' (' || coalesce(i.difficulty_level, l.difficulty_level) || ')', '; ' ORDER BY item_id) AS shown
+      FROM (SELECT * FROM activity_items QUALIFY row_number() OVER (PARTITION BY category_id ORDER BY item_id) <= 5) i
+      JOIN activity_categories l USING (category_id) GROUP BY category_id) USING (category_id) GROUP BY child_id) USING (child_id)
   LEFT JOIN (SELECT child_id, session_id FROM therapy_sessions
     QUALIFY row_number() OVER (PARTITION BY child_id ORDER BY start_time DESC, session_id DESC) = 1) USING (child_id)
   LEFT JOIN ({_FIRST_FEEDBACK}) f USING (session_id)""",
 }
 
+ORACLES["recommended_anywhere"] = ORACLES["category_recommendations"]
+ORACLES |= SCORING
 ORACLES["combined_recommendations"] = f"""
   SELECT r.*, m.ml_recommendation, c.confidence_score FROM ({ORACLES["rule_recommendations"]}) r
   JOIN ({ORACLES["fallback_recommendations"]}) m USING (child_id) JOIN ({ORACLES["ml_features"]}) c USING (child_id)"""
