@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import contextvars
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -36,14 +37,15 @@ def scratch_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-#: Scratch tables that are still there, by the scopes that are open; the first is the application's.
-_scopes: list[list[str]] = [[]]
+#: Scratch tables of the application that are still there, and the scope that new ones belong to.
+_all: list[str] = []
+_scope: contextvars.ContextVar[list[str]] = contextvars.ContextVar("scope", default=_all)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder; what is written there goes with its scope."""
     path = f"{scratch_dir(spark)}/lorikeet/{name}-{uuid.uuid4().hex}"
-    _scopes[-1].append(path)
+    _scope.get().append(path)
     return path
 
 
@@ -53,12 +55,13 @@ def scratch_scope(spark: SparkSession) -> Iterator[list[str]]:
     into the list; those pass to the scope around. For code that reads its results
     out inside, such as by writing them."""
     kept: list[str] = []
-    _scopes.append([])
+    mine: list[str] = []
+    outer = _scope.set(mine)
     try:
         yield kept
     finally:
-        mine = _scopes.pop()
-        _scopes[-1] += [p for p in mine if p in kept]
+        _scope.reset(outer)
+        _scope.get().extend(p for p in mine if p in kept)
         for path in mine:
             if path not in kept:
                 drop_path(spark, path)
@@ -68,7 +71,7 @@ def _drop_all() -> None:
     """At the end of the application: results are lazy, so their tables stay till then."""
     spark = SparkSession.getActiveSession()
     if spark is not None and spark.sparkContext._jsc is not None:
-        for path in list(_scopes[0]):
+        for path in list(_all):
             drop_path(spark, path)
 
 
@@ -83,12 +86,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written_alone(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """What ``make`` gives, written; the scratch tables that it made go."""
+    with scratch_scope(spark) as kept:
+        path = scratch_path(spark, name)
+        kept.append(path)
+        df = make()
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a scratch table through Hadoop's file system, whatever the store."""
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    for scope in _scopes:
+    for scope in (_scope.get(), _all):
         if path in scope:
             scope.remove(path)
 
