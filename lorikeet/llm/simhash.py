@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorikeet.llm.common import written
+from lorikeet.llm.common import written, written_alone
 from lorikeet.llm.graph import connected_components
 
 #: Differing bits up to which two fingerprints link.
@@ -313,12 +313,15 @@ def near_duplicates(
     fps = written(fingerprints(docs, shingle), "simhash")
     reps = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"))
     points = reps.where("rep IS NOT NULL").select("rep", F.array("fp").alias("keys"), F.array("fp").alias("sketch"))
-    edges = link_edges(points, threshold, cell)
-    parts = connected_components(edges)
-    # a fingerprint that several doc_ids have, or a doc_id with several, joins its components
-    classes = reps.join(parts, F.col("rep") == F.col("node"), "left").select(
-        "fp", F.coalesce("component", "rep").alias("component_id")
-    )
+
+    def joined() -> DataFrame:
+        # a fingerprint that several doc_ids have, or a doc_id with several, joins its components
+        parts = connected_components(link_edges(points, threshold, cell))
+        return reps.join(parts, F.col("rep") == F.col("node"), "left").select(
+            "fp", F.coalesce("component", "rep").alias("component_id")
+        )
+
+    classes = written_alone(docs.sparkSession, "simhash-classes", joined)
     return fps.join(classes, "fp", "left").select("doc_id", "fp", "component_id")
 
 
@@ -344,52 +347,69 @@ def _alike(a: bytes, b: bytes, similarity: float) -> bool:
 
 
 def _sets_of(members: DataFrame, shingle: int) -> DataFrame:
-    """(rep, comp, sketch, shingles): the shingle set of each member's whole text."""
+    """(rep, comp, shingles): the shingle set of each member's whole text, sorted."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(lo, 1000) for b in batches for lo in range(0, b.num_rows, 1000)):
             sets = []
-            for text in batch.column(3):
+            for text in batch.column(2):
                 digests = _shingle_digests(_words(text.as_py()), shingle)
                 sets.append(np.unique(np.frombuffer(b"".join(digests), "<u8")).tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:3], pa.array(sets, pa.binary())], names=["rep", "comp", "sketch", "shingles"]
-            )
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(sets, pa.binary())], names=["rep", "comp", "shingles"])
 
-    schema = "rep long, comp long, sketch array<bigint>, shingles binary"
-    return members.select("rep", "comp", "sketch", "text").mapInArrow(each, schema)
+    return members.select("rep", "comp", "text").mapInArrow(each, "rep long, comp long, shingles binary")
 
 
-def _verify(part: pd.DataFrame, threshold: int, similarity: float) -> pd.DataFrame:
+def _verify(part: pd.DataFrame, similarity: float) -> pd.DataFrame:
     """Edges between the open rows of a cell (``mine``) and all its rows, where the
     sets are alike; rows whose link to their leader is known are one from the start."""
-    cell, rep, sets = _cell_of(part, _SET_KEY), part["rep"].to_numpy(), part["shingles"].tolist()
-    prints = np.stack(part["sketch"].tolist()).view(np.uint64)
+    cell, rep = _cell_of(part, _SET_KEY), part["rep"].to_numpy()
+    sets = [np.frombuffer(x, np.uint64) for x in part["shingles"]]
     mine, known = part["mine"].to_numpy(bool), part["linked"].to_numpy(bool)
+    bounds = np.searchsorted(cell, np.arange(cell[-1] + 2))
     a, b = [], []
-    for c in range(cell[-1] + 1):
-        rows = np.flatnonzero(cell == c)
-        forest = _Forest(len(rows))
-        led = np.flatnonzero(known[rows])
+    for lo, hi in zip(bounds, bounds[1:]):
+        forest = _Forest(hi - lo)
+        led = np.flatnonzero(known[lo:hi])
         if len(led):
             forest.unite(np.repeat(led[:1], len(led)), led)
-        for i in np.flatnonzero(mine[rows]):
-            near = np.bitwise_count(prints[rows] ^ prints[rows[i]]).sum(axis=1, dtype=int) <= threshold
-            near[i] = False
-            for j in np.flatnonzero(near):
-                if forest.root[i] != forest.root[j] and _alike(sets[rows[i]], sets[rows[j]], similarity):
-                    forest.unite(np.array([i]), np.array([j]))
-                    a.append(rep[rows[i]])
-                    b.append(rep[rows[j]])
+        for i, like in _alike_rows(sets[lo:hi], np.flatnonzero(mine[lo:hi]), similarity):
+            like = like[forest.root[like] != forest.root[i]]
+            _, one_each = np.unique(forest.root[like], return_index=True)
+            like = like[one_each]
+            if len(like):
+                a += [rep[lo + i]] * len(like)
+                b += rep[lo + like].tolist()
+                forest.unite(np.repeat(i, len(like)), like)
     return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
 
+def _alike_rows(sets: list[np.ndarray], asked: np.ndarray, similarity: float) -> Iterator[tuple[int, np.ndarray]]:
+    """For each row asked for, the other rows whose sets are alike. What all rows
+    have in common with it is counted at once, over the lists of the rows that
+    hold each of its elements."""
+    sizes = np.array(list(map(len, sets)))
+    _, element = np.unique(np.concatenate(sets), return_inverse=True)
+    ends = np.cumsum(sizes)
+    holders = np.repeat(np.arange(len(sets)), sizes)[np.argsort(element, kind="stable")]
+    n_holders = np.bincount(element, minlength=1)
+    first = np.cumsum(n_holders) - n_holders
+    for i in asked.tolist():
+        own = element[ends[i] - sizes[i] : ends[i]]
+        n = n_holders[own]
+        at = np.arange(n.sum()) + np.repeat(first[own] - (np.cumsum(n) - n), n)
+        common = np.bincount(holders[at], minlength=len(sets))
+        like = common >= similarity * (sizes[i] + sizes - common)
+        like[i] = False
+        yield i, np.flatnonzero(like)
+
+
 _SET_KEY = ["comp", "p", "q"]
 
 
 def _exact_edges(texts: DataFrame, coarse: DataFrame, shingle: int, similarity: float, cell: int) -> DataFrame:
     """Edges (a, b) of exact likeness that give the components of all of them
-    within each component of ``coarse`` (rep, comp, sketch); ``texts``: rep, text.
+    within each component of ``coarse`` (rep, comp); ``texts``: rep, text.
 
     First every member is compared with its component's leader, its least rep: a
     step linear in the members, after which most groups are joined. Only members
@@ -420,14 +440,12 @@ def _exact_edges(texts: DataFrame, coarse: DataFrame, shingle: int, similarity:
     parts = written(parts.where("n_open > 0").select("comp", F.greatest("ps", F.lit(1)).alias("ps"), F.greatest("qs", F.lit(1)).alias("qs")), "parts")
     left = sets.join(stars.select("rep", "linked"), "rep").join(parts, "comp")
     deal = "cast(pmod(xxhash64(rep, {}), {}) as int)"
-    cols = ["rep", "comp", "p", "q", "sketch", "shingles", "linked", "mine"]
+    cols = ["rep", "comp", "p", "q", "shingles", "linked", "mine"]
     every = left.withColumn("p", F.expr(deal.format("'p'", "ps"))).withColumn("q", F.explode(F.expr("sequence(0, qs - 1)")))
     every = every.withColumn("mine", F.lit(False)).select(*cols)
     asked = left.where(open_).withColumn("q", F.expr(deal.format("'q'", "qs"))).withColumn("p", F.explode(F.expr("sequence(0, ps - 1)")))
     asked = asked.withColumn("mine", F.lit(True)).select(*cols)
-    schema = "a long, b long"
-    threshold = _bits(similarity)
-    rest = _by_cell(every.unionByName(asked), lambda part: _verify(part, threshold, similarity), _SET_KEY, schema)
+    rest = _by_cell(every.unionByName(asked), lambda part: _verify(part, similarity), _SET_KEY, "a long, b long")
     return star_edges.unionByName(rest).distinct()
 
 
@@ -453,7 +471,7 @@ def _labelled(rows: DataFrame, shingle: int, similarity: float, cell: int) -> Da
     every = prints.select(F.col("row").alias("rep"), "keys", "sketch", "bands")
     points = written(every.join(reps.select("rep"), "rep"), "simhash-points")
     coarse = connected_components(link_edges(points, _bits(similarity), cell, UNLIKE_WORDS))
-    coarse = coarse.select(F.col("node").alias("rep"), F.col("component").alias("comp")).join(points.select("rep", "sketch"), "rep")
+    coarse = coarse.select(F.col("node").alias("rep"), F.col("component").alias("comp"))
     texts = rows.select(F.col("row").alias("rep"), "text")
     parts = connected_components(_exact_edges(texts, coarse, shingle, similarity, cell))
     classes = reps.join(parts, F.col("rep") == F.col("node"), "left").select("same", F.coalesce("component", "rep").alias("comp"))
@@ -474,7 +492,9 @@ def similar(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILAR
     rows = docs.select(
         F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
     )
-    found = written(_labelled(written(rows, "simhash-rows"), shingle, similarity, cell), "simhash-found")
+    found = written_alone(
+        docs.sparkSession, "simhash-found", lambda: _labelled(written(rows, "simhash-rows"), shingle, similarity, cell)
+    )
     least = written(found.groupBy("comp").agg(F.min("doc_id").alias("component_id")), "simhash-least")
     return found.join(least, "comp").select("doc_id", "component_id")
 
@@ -486,7 +506,7 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: fl
     stay as they are, whatever their names; an empty table stays empty."""
     rows = written(docs.withColumn(_ROW, F.monotonically_increasing_id()), "simhash-rows")
     keyed = rows.select(F.col(_ROW).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = written(_labelled(keyed, shingle, similarity, cell), "simhash-found")
+    found = written_alone(docs.sparkSession, "simhash-found", lambda: _labelled(keyed, shingle, similarity, cell))
     # rows in components of several, of which all but one go
     many = found.groupBy("comp").agg(
         F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"].alias("keeper"), F.count("*").alias("n")
