@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lorikeet.llm.common import written
+from lorikeet.llm.common import scratch_scope, written
 
 #: Buckets that terms are hashed into, and lengths of the beginnings of words.
 BUCKETS, PREFIXES = 1 << 18, (4, 5, 6)
@@ -164,6 +164,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     What reaches the driver are numbers of buckets, SELECTED + PAIRED at most, and
     the machine.
     """
+    with scratch_scope(docs.sparkSession):
+        return _trained(docs, labels, sample)
+
+
+def _trained(docs: DataFrame, labels: DataFrame, sample: int) -> Machine:
     known = written(
         labels.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
         .groupBy("doc_id")
