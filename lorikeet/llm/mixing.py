@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorikeet.llm.common import WORD, null_key, sum_before, written
+from lorikeet.llm.common import WORD, null_key, sum_before, written, written_alone
 
 #: Weights of the sources in order of their names, repeated.
 WEIGHTS = (5, 2, 1)
@@ -118,7 +118,7 @@ def mixed_documents(
     is shuffled, and only where several rows share the key at a cut are those
     numbered first.
     """
-    placed = written(_placed(docs, weights, max_epochs, seed), "mix-placed")
+    placed = written_alone(docs.sparkSession, "mix-placed", lambda: _placed(docs, weights, max_epochs, seed))
     edge = F.when((F.col("before") < F.col("rest")) & (F.col("size") > 0), F.struct("key", (-F.col("before")).alias("less")))
     cuts = placed.groupBy("skey").agg(F.first("epochs").alias("epochs"), F.first("rest").alias("rest"), F.max(edge).alias("cut"))
     cuts = written(cuts.select("skey", "epochs", "rest", F.col("cut.key").alias("cut"), (-F.col("cut.less")).alias("before")), "mix-cuts")
