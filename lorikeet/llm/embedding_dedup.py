@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorikeet.llm.common import written
+from lorikeet.llm.common import written, written_alone
 from lorikeet.llm.graph import connected_components
 from lorikeet.llm.simhash import _Forest
 
@@ -105,39 +105,43 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile: int
     # null when not usable: such rows join with nothing below
     form = F.md5(F.concat_ws(",", F.size("embedding"), F.col("label"), F.col("embedding").cast("string")))
     keyed = rows.withColumn("form", F.when(F.coalesce(usable, F.lit(False)), form))
-    # written once: sizes, tiles and the result all read it
-    classes = (
-        keyed.where("form IS NOT NULL")
-        .groupBy("form")
-        .agg(
-            F.min("vec_id").alias("node"),
-            F.count("*").alias("copies"),
-            F.first("embedding").alias("embedding"),
-            F.first("label").alias("label"),
+    def classed() -> DataFrame:
+        # written once: sizes, tiles and the result all read it
+        classes = (
+            keyed.where("form IS NOT NULL")
+            .groupBy("form")
+            .agg(
+                F.min("vec_id").alias("node"),
+                F.count("*").alias("copies"),
+                F.first("embedding").alias("embedding"),
+                F.first("label").alias("label"),
+            )
         )
-    )
-    classes = written(classes.withColumn("dim", F.size("embedding")).where("node IS NOT NULL"), "vectors")
-    sizes = classes.groupBy("label", "dim").agg(F.ceil(F.count("*") / tile).cast("int").alias("parts"))
-    parted = classes.join(sizes, ["label", "dim"]).withColumn(
-        "part", F.expr("cast(pmod(xxhash64(form), parts) as int)")
-    )
-    tiles = parted.select("*", F.explode(F.expr("sequence(0, parts - 1)")).alias("other")).select(
-        "label", "dim", "node", "copies", "embedding", "part", F.least("part", "other").alias("i"),
-        F.greatest("part", "other").alias("j"),
-    )
-    found = written(
-        tiles.groupBy("label", "dim", "i", "j").applyInPandas(_tile(threshold), "node long, links long, parent long"),
-        "tiles",
-    )
-    links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    parts = connected_components(found.where("node <> parent"), "node", "parent")
-    known = (
-        classes.select("form", F.col("node").alias("rep"), "copies")
-        .join(links, F.col("rep") == links["node"], "left")
-        .drop("node")
-        .join(parts, F.col("rep") == parts["node"], "left")
-        .select("form", "rep", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component")
-    )
+        classes = written(classes.withColumn("dim", F.size("embedding")).where("node IS NOT NULL"), "vectors")
+        sizes = classes.groupBy("label", "dim").agg(F.ceil(F.count("*") / tile).cast("int").alias("parts"))
+        sizes = written(sizes, "labels")  # so that its size is known when the join is planned
+        parted = classes.join(sizes, ["label", "dim"]).withColumn(
+            "part", F.expr("cast(pmod(xxhash64(form), parts) as int)")
+        )
+        tiles = parted.select("*", F.explode(F.expr("sequence(0, parts - 1)")).alias("other")).select(
+            "label", "dim", "node", "copies", "embedding", "part", F.least("part", "other").alias("i"),
+            F.greatest("part", "other").alias("j"),
+        )
+        found = written(
+            tiles.groupBy("label", "dim", "i", "j").applyInPandas(_tile(threshold), "node long, links long, parent long"),
+            "tiles",
+        )
+        links = found.groupBy("node").agg(F.sum("links").alias("links"))
+        parts = connected_components(found.where("node <> parent"), "node", "parent")
+        return (
+            classes.select("form", F.col("node").alias("rep"), "copies")
+            .join(links, F.col("rep") == links["node"], "left")
+            .drop("node")
+            .join(parts, F.col("rep") == parts["node"], "left")
+            .select("form", "rep", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component")
+        )
+
+    known = written_alone(vectors.sparkSession, "classes", classed)
     out = keyed.drop("label", "embedding").join(known, "form", "left")
     component = F.coalesce("component", "rep", "vec_id")
     return out.select(
