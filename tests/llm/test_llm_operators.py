@@ -791,6 +791,43 @@ def test_op10(spark, sf_dir, odd_docs, no_docs):
     assert collections.Counter(map(repr, pii.op10_pii(some).collect())) == collections.Counter(map(repr, pii.op10_pii(some.repartition(3)).collect()))
 
 
+# hot keys
+
+
+def test_hot_keys_are_spread(spark):
+    """A third of all rows has one doc_id, a third none: nothing that one task must hold has more than its share."""
+    rows = spark.range(6000).select(
+        F.expr("CASE id % 3 WHEN 0 THEN 77 WHEN 1 THEN NULL ELSE id END").alias("doc_id"), F.concat(F.lit("some text "), F.col("id")).alias("text")
+    )
+    ranges = multiset_hash._ranged(rows, 100).groupBy("__range").count()
+    assert ranges.agg(F.max("count")).first()[0] <= 300 and ranges.count() >= 40
+    anchors = spark.range(5000).select(F.col("id").alias("rep"), F.lit(1).cast("long").alias("anchor"))
+    cells = simhash._cells(anchors, 500)
+    sizes = cells.groupBy("anchor", "i", "j").count()
+    assert sizes.agg(F.max("count")).first()[0] < 1400 and sizes.count() == 55
+    met = cells.where("rep IN (3, 4321)").groupBy("anchor", "i", "j").count().where("count = 2").count()
+    assert met >= 1  # every two points meet
+
+
+def test_scratch_tables_go(spark, tmp_path):
+    """Tables that a result doesn't read are gone when it is made."""
+    import glob
+
+    from lorikeet.llm import common
+
+    base = common.scratch_dir(spark).removeprefix("file:")
+    before = set(glob.glob(f"{base}/lorikeet/*"))
+    docs = spark.createDataFrame(doc_rows(["a b c d e f g", "a b c d e f g", "x y z"]), DOCS)
+    out = simhash.drop_near_duplicates(docs)
+    left = {p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in set(glob.glob(f"{base}/lorikeet/*")) - before}
+    assert left == {"simhash-rows", "simhash-found", "simhash-kept"} and out.count() == 2
+    with common.scratch_scope(spark):
+        assert simhash.drop_near_duplicates(docs).count() == 2
+        toxicity.train(docs, spark.createDataFrame([(0, 1), (1, 0)], "doc_id long, toxic int"))
+    now = {p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in set(glob.glob(f"{base}/lorikeet/*")) - before}
+    assert now == left
+
+
 def test_every_query_is_registered():
     names = entry.queries()
     assert {int(n[2:].split("_")[0]) for n in names if n.startswith("op")} == set(range(1, 11)) and "pipeline" in names
