@@ -81,6 +81,22 @@ def test_profile_and_path(make):
     assert tuple(zero)[1:] == (0, 0, 0.0, 0.0, 0.0, 0)
 
 
+def test_plans_rules_and_dispatch(make):
+    cats = make([(0, "b", "easy"), (1, "a", "hard"), (2, "c", "easy"), (3, "d", "easy"), (4, "e", "easy")], "category_id int, name string, difficulty_level string")
+    items = make([(i, f"i{i}", i % 5, ("easy", "medium", "hard", None)[i % 4]) for i in range(60)], "item_id long, name string, category_id int, difficulty_level string")
+    children = make([(1,), (2,)], "child_id long")
+    perf = make([(1, 0, 0.5), (1, 1, 0.2)], "child_id long, category_id int, overall_score double")
+    none = make([], "child_id long, item_id long, success_rate double")
+    plans = {r["child_id"]: r for r in R.session_plan(children, perf, cats, items, none).collect()}
+    assert plans[1]["category_id"] == 1 and plans[1]["item_ids"] == [16, 36, 56] and plans[2]["category_id"] == 0 and len(plans[2]["item_ids"]) == 5
+    got = {r["child_id"]: r for r in R.rule_recommendations(children, perf, cats, items).collect()}
+    assert [(a["category"], a["items"]) for a in got[1]["next_activities"]] == [("b", ["i5", "i25", "i45"]), ("a", ["i6", "i26", "i46"])]
+    assert [(a["category"], a["items"]) for a in got[2]["next_activities"]] == [("b", ["i0", "i5", "i10"]), ("c", ["i2", "i7", "i12"]), ("d", ["i3", "i8", "i13"])]
+    assert got[2]["practice_more"] == [] and got[2]["encouragement"] == "new_learner"
+    assert R.recommend(children, cats, perf, items, none).columns == R.category_recommendations(children, cats, perf).columns
+    assert {r["category_id"] for r in R.recommend(children, cats, perf, items, none, 1).collect()} == {1}
+
+
 def test_targets(make):
     path = make([(1, i, t) for i, t in enumerate((0.7, 0.7, 0.95, 0.3))], "child_id long, category_id int, target_score double")
     perf = make([(1, i, s) for i, s in enumerate((0.8, 0.3, 0.99, 0.1))], "child_id long, category_id int, overall_score double")
@@ -115,6 +131,19 @@ def test_similar(make):
     assert by[1] == [(2, 1.0), (4, 0.8), (3, None)] and by[3] == [(1, None), (2, None), (4, None)]
 
 
+def test_numbers_within_a_hot_key(spark):
+    from pyspark.sql import Window
+
+    from lorikeet.operators import ranking
+
+    rows = spark.range(3000).select(F.col("id").alias("item_id"), F.expr("CASE WHEN id % 3 = 0 THEN 1 ELSE id % 7 END").alias("key"))
+    bucket = F.floor(F.col("item_id") / 64)
+    got = ranking.numbered(rows, ["key"], bucket, ["item_id"])
+    plain = rows.withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy("item_id")).cast("long"))
+    assert sorted(map(tuple, got.select("item_id", "place").collect())) == sorted(map(tuple, plain.select("item_id", "place").collect()))
+    assert rows.groupBy("key", bucket).count().agg(F.max("count")).first()[0] <= 64
+
+
 def test_options(make):
     items = make([(i, i % 2) for i in range(9)], "item_id long, category_id int")
     rows = R.answer_options(items).collect()
@@ -159,6 +188,32 @@ def test_tables(make, spark, tmp_path):
     assert [r["path"] for r in W.valid_audio(files).collect()] == ["a/x.WAV"]
 
 
+def test_classifier_on_children_it_has_not_seen(make):
+    """The category follows from the features by a rule; a third of the children is held out."""
+    import random
+
+    rng = random.Random(2)
+    cols = ", ".join(f"{f} double" for f in classifier.FEATURES)
+    rows = []
+    for i in range(600):
+        x = [rng.random() for _ in classifier.FEATURES]
+        rows.append((i, *x, "Food" if x[0] + x[4] > 1.1 else "Toys" if x[1] > 0.5 else "Animals"))
+    known = make(rows, f"child_id long, {cols}, recommended_category string")
+    model = classifier.train(known.where("child_id % 3 <> 0"))
+    held = known.where("child_id % 3 = 0")
+    got = classifier.predict(held, model).join(held, "child_id").collect()
+    right = sum(r["ml_recommendation"] == r["recommended_category"] for r in got) / len(got)
+    largest = max(sum(r[-1] == c for r in rows) for c in ("Food", "Toys", "Animals")) / len(rows)
+    assert len(got) == 200 and right > 0.85 > largest + 0.2
+
+
+def test_combined_with_a_model(make):
+    rules = make([(1, "a"), (2, "b")], "child_id long, encouragement string")
+    learnt, features = make([(1, "Food")], "child_id long, ml_recommendation string"), make([(1, 0.5), (2, 0.25)], "child_id long, confidence_score double")
+    got = {r["child_id"]: tuple(r)[1:] for r in R.combined_recommendations(rules, learnt, features).collect()}
+    assert got == {1: ("a", "Food", 0.5), 2: ("b", None, 0.25)}
+
+
 def test_classifier(make, tmp_path):
     cols = ", ".join(f"{f} double" for f in classifier.FEATURES)
     rows = make([(i, *[float(i % 2)] * 6, "Food" if i % 2 else "Toys") for i in range(40)], f"child_id long, {cols}, recommended_category string")
