@@ -184,8 +184,9 @@ SCORING: dict[str, str] = {
     SELECT a.session_id, a.is_correct, a.response_type, lower(i.name) AS e, lower(u.actual) AS a
     FROM (SELECT * FROM session_activities QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY created_at DESC, activity_id DESC) <= 5) a
     LEFT JOIN activity_items i USING (item_id) LEFT JOIN utterances u USING (item_id)),
-  b AS (SELECT *, {_unlike("e", "a")} AS bad FROM l WHERE NOT coalesce(is_correct, false)),
-  s AS (SELECT session_id, {_sound("e", "a", "bad")} AS sound FROM b WHERE response_type = 'verbal' AND a <> ''),
+  b AS (SELECT * FROM l WHERE NOT coalesce(is_correct, false)),
+  d AS (SELECT *, {_unlike("e", "a")} AS bad FROM (SELECT DISTINCT e, a FROM b WHERE a <> '')),
+  s AS (SELECT session_id, {_sound("e", "a", "bad")} AS sound FROM b JOIN d USING (e, a) WHERE response_type = 'verbal'),
   c AS (SELECT session_id, sound FROM s WHERE sound <> '' GROUP BY session_id, sound
         QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY count(*) DESC, sound) = 1),
   k AS (SELECT session_id, count(*) FILTER (WHERE response_type = 'verbal') AS v, count(*) FILTER (WHERE response_type = 'nonverbal') AS n
