@@ -270,7 +270,7 @@ def graded_answers(d: Domain) -> DataFrame:
 
 
 def conversation_stutter(d: Domain) -> DataFrame:
-    rows = d.spark.read.parquet(f"{d.sf_dir}/conversations.parquet")
+    rows = W.scan(d.spark, f"{d.sf_dir}/conversations.parquet", "conversations")
     return rows.select("conv_id", "turn", X.detect_stuttering("text").alias("s")).select("conv_id", "turn", "s.*")
 
 
@@ -371,7 +371,7 @@ def updated_items(d: Domain) -> DataFrame:
 
 
 def event_rates(d: Domain) -> DataFrame:
-    events = d.spark.read.parquet(f"{d.sf_dir}/events.parquet")
+    events = W.scan(d.spark, f"{d.sf_dir}/events.parquet", "events")
     rows = M.event_rates(events)
     return rounded(rows.withColumn("window_start", F.col("window_start").cast("timestamp_ntz")))
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lorikeet.operators.ranking import id_slice, numbered
-from lorikeet.schemas import SOURCES
+from lorikeet.sources.tables import scan
 
 #: The moment that "now" means: the day after the last session day.
 AS_OF = "2001-08-02 00:00:00"
@@ -31,7 +31,7 @@ class Domain:
         self.spark, self.sf_dir = spark, sf_dir
 
     def _read(self, table: str) -> DataFrame:
-        return self.spark.read.schema(SOURCES[table]).parquet(f"{self.sf_dir}/{table}.parquet")
+        return scan(self.spark, f"{self.sf_dir}/{table}.parquet", table)
 
     @cached_property
     def children(self) -> DataFrame:

@@ -11,12 +11,12 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorikeet.schemas import SCHEMAS
+from lorikeet.schemas import SCHEMAS, SOURCES
 
 
 def scan(spark: SparkSession, path: str, table: str) -> DataFrame:
-    """S-01: a domain table with its fixed schema."""
-    return spark.read.schema(SCHEMAS[table]).parquet(path)
+    """S-01: a domain table, or one that the domain is derived from, with its fixed schema (S-02)."""
+    return spark.read.schema((SCHEMAS | SOURCES)[table]).parquet(path)
 
 
 def lookup(df: DataFrame, key: str, value) -> DataFrame:
