@@ -14,7 +14,7 @@ size of the difference of the two multisets of word pairs, hence the likeness.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,7 +25,9 @@ from lorikeet.llm.common import written
 WIDE, DIGITS = 4, 15
 WIDE_MASK = (1 << 4 * DIGITS) - 1
 #: 32 integers hold 64 counters in lanes of 32 bits, of which 31 count: no text has as many word pairs.
-PACKED, LANE_ONES, LANE_MASK = 32, 0x0000000100000001, 0x7FFFFFFF7FFFFFFF
+PACKED, LANE_MASK = 32, 0x7FFFFFFF7FFFFFFF
+#: Hashes that lanes of 8 bits can count (the last has the sign), the ones of those lanes, and the first byte of each half.
+CHUNK, BYTE_ONES, BYTE_PAIR = 127, 0x0101010101010101, 0x000000FF000000FF
 #: Length of a fingerprint: wide components, packed counters, number of pairs.
 LENGTH = WIDE + PACKED + 1
 #: Documents in a range of the order that one task treats together.
@@ -54,42 +56,33 @@ def _pairs(text: Column | str) -> Column:
     )
 
 
+def _counts(pairs: Column) -> Column:
+    """array<bigint> of PACKED: how often each bit of the hashes is set, two bits to
+    an integer. Up to 127 hashes are summed in lanes of 8 bits first, so that eight
+    sums count all bits; their totals are then widened."""
+    starts = F.sequence(F.lit(1), F.size(pairs), F.lit(CHUNK))
+    chunks = F.transform(starts, lambda at: F.slice(pairs, at, F.lit(CHUNK)))
+    add = lambda k: lambda t, x: t + F.shiftrightunsigned(x, k).bitwiseAND(F.lit(BYTE_ONES))
+    small = F.transform(chunks, lambda c: F.array(*[F.aggregate(c, F.lit(0).cast("long"), add(k)) for k in range(8)]))
+
+    def total(m: int) -> Callable[[Column], Column]:
+        part = lambda x: F.shiftrightunsigned(F.element_at(x, m % 8 + 1), m - m % 8).bitwiseAND(F.lit(BYTE_PAIR))
+        return lambda sums: F.aggregate(sums, F.lit(0).cast("long"), lambda t, x: (t + part(x)).bitwiseAND(F.lit(LANE_MASK)))
+
+    return _let(small, lambda sums: F.array(*[total(m)(sums) for m in range(PACKED)]))
+
+
 def fingerprint(text: Column | str) -> Column:
     """array<bigint> of LENGTH for a text (null: empty)."""
-    counts = _let(
-        _pairs(text),
-        lambda x: F.array(*[_sum(F.transform(x, _ones(k)), LANE_MASK) for k in range(PACKED)], F.size(x).cast("long")),
-    )
+    counts = _let(_pairs(text), lambda x: F.concat(_counts(x), F.array(F.size(x).cast("long"))))
     return F.concat(_wide(text), counts)
 
 
-def add_fingerprints(df: DataFrame, keys: Sequence[str], texts: Sequence[str], outs: Sequence[str]) -> DataFrame:
-    """(keys, outs): the fingerprint of each of ``texts`` for every row. ``keys``
-    identify a row; their first is what ``df`` is partitioned by, if it is, and
-    then nothing is shuffled. Word pairs become rows that are summed by compiled
-    aggregation, many times faster than the same sums within arrays."""
-    n = range(len(texts))
-    base = df.select(*keys, *[_wide(t).alias(f"__w{i}") for i, t in enumerate(texts)], F.arrays_zip(*[_pairs(t).alias(f"p{i}") for i, t in enumerate(texts)]).alias("__p"))
-    wide = [F.element_at(f"__w{i}", k + 1).alias(f"__w{i}_{k}") for i in n for k in range(WIDE)]
-    rows = base.select(*keys, *wide, F.inline("__p"))
-    sums = rows.groupBy(*keys).agg(
-        *[F.max(f"__w{i}_{k}").alias(f"__w{i}_{k}") for i in n for k in range(WIDE)],
-        *[F.sum(_ones(k)(F.col(f"p{i}"))).alias(f"__c{i}_{k}") for i in n for k in range(PACKED)],
-        *[F.count(f"p{i}").alias(f"__n{i}") for i in n],
-    )
-    lanes = lambda i: [F.col(f"__c{i}_{k}").bitwiseAND(F.lit(LANE_MASK)) for k in range(PACKED)]
-    return sums.select(*keys, *[F.array(*[F.col(f"__w{i}_{k}") for k in range(WIDE)], *lanes(i), F.col(f"__n{i}")).alias(outs[i]) for i in n])
-
-
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once, however often it stands there."""
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _ones(shift: int):
-    return lambda x: F.shiftrightunsigned(x, shift).bitwiseAND(F.lit(LANE_ONES))
-
-
 def _sum(values: Column, mask: int) -> Column:
     return F.aggregate(values, F.lit(0).cast("long"), lambda a, x: (a + x).bitwiseAND(F.lit(mask)))
 
@@ -224,7 +217,7 @@ def op4_fingerprint(docs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     rows = rows.select("__range", "__place", "doc_id", "n_chars", "text", edited.alias("edited"))
     rows = rows.withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
     keys = ["__range", "__place", "doc_id", "n_chars", "edited_sha256"]
-    prints = written(add_fingerprints(rows, keys, ["text", "edited"], ["fp", "edited_fp"]), "fingerprints")
+    prints = written(rows.select(*keys, fingerprint("text").alias("fp"), fingerprint("edited").alias("edited_fp")), "fingerprints")
     heads = prints.where("__place = 1").select(F.col("__range").alias("__next"), F.col("fp").alias("head_fp"))
     heads = ranges.join(heads, "__next").select("__range", "head_fp")
     order = Window.partitionBy("__range").orderBy("__place")
