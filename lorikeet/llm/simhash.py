@@ -51,18 +51,21 @@ BANDS, BAND_ROWS = 32, 4
 #: Differing bits of 64 beyond which word sets that share an anchor aren't looked at further.
 UNLIKE_WORDS = 16
 #: Bytes of shingle sets on one side of a comparison of sets.
-SET_BYTES = 32 << 20
+SET_BYTES = 16 << 20
 
 _BYTE_BITS = ((np.arange(256)[:, None] >> np.arange(7, -1, -1)) & 1).astype(np.int64)
 
 
 def _majority(hashes: np.ndarray) -> np.ndarray:
     """The words of big-endian 64-bit hashes, a row each, voted bit by bit: 1 if
-    set in over half the rows; as signed integers."""
+    set in over half the rows; as signed integers. A long text is counted piece by
+    piece, so that it takes no more memory than its hashes."""
     n, width = len(hashes), hashes.shape[1] * 8
-    cells = (hashes.view(np.uint8).reshape(n, width) + (np.arange(width) * 256)[None, :]).ravel()
-    counts = np.bincount(cells, minlength=width * 256).reshape(width, 256)
-    return np.packbits((counts @ _BYTE_BITS * 2 > n).ravel()).view(">i8").astype(np.int64)
+    counts, at = np.zeros(width * 256, np.int64), (np.arange(width) * 256)[None, :]
+    for lo in range(0, n, 4096):
+        cells = hashes[lo : lo + 4096].view(np.uint8).reshape(-1, width) + at
+        counts += np.bincount(cells.ravel(), minlength=width * 256)
+    return np.packbits((counts.reshape(width, 256) @ _BYTE_BITS * 2 > n).ravel()).view(">i8").astype(np.int64)
 
 
 def _shingle_digests(words: list[bytes], shingle: int) -> list[bytes]:
