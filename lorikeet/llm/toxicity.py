@@ -46,7 +46,7 @@ RANK = 4
 #: Score from which a document is called toxic.
 CUT = 0.3
 #: Words whose buckets a Python worker keeps.
-KEPT_WORDS = 150_000
+KEPT_WORDS = 60_000
 
 _words = re.compile(r"[^\W\d_]+").findall
 
