@@ -368,12 +368,14 @@ def test_likeness_follows_exact_counts(spark):
     assert row[0] == pytest.approx(exact_likeness(row[1], row[2]), abs=0.02)
 
 
-def test_both_forms_of_a_fingerprint_agree(spark):
-    texts = ["", "a b\nc", "\n\n", "x  y", "é ü\nz" * 50, None]
-    df = spark.createDataFrame([(i, t, (t or "") + " more") for i, t in enumerate(texts)], "k int, a string, b string")
-    made = {r["k"]: (r["x"], r["y"]) for r in multiset_hash.add_fingerprints(df, ["k"], ["a", "b"], ["x", "y"]).collect()}
-    for r in df.select("k", multiset_hash.fingerprint("a").alias("x"), multiset_hash.fingerprint("b").alias("y")).collect():
-        assert made[r["k"]] == (r["x"], r["y"])
+def test_counters_count_every_bit(spark):
+    """Lanes against a count of each bit of Spark's hashes, over more hashes than a short lane holds."""
+    texts = ["", "a b\nc", "\n\n", "x  y", "é ü\nz " * 300, "w " * 2000, " ".join(map(str, range(700)))]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in df.select(multiset_hash._pairs("t").alias("hashes"), multiset_hash.fingerprint("t").alias("fp")).collect():
+        packed = r["fp"][4:36]
+        counts = [x >> s & 0x7FFFFFFF for s in (0, 32) for x in packed]
+        assert counts == [sum(h >> b & 1 for h in r["hashes"]) for b in range(64)] and r["fp"][36] == len(r["hashes"])
 
 
 def test_wide_parts_differ_where_a_64_bit_hash_collides(spark):
