@@ -44,7 +44,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document's tokens, placed in as few sequences as can be. Fewer words
     are kept than alone, since the workers of the stages before hold memory too."""
-    return pack_documents(docs, kept_words=150_000)
+    return pack_documents(docs, kept_words=60_000)
 
 
 STAGES = [
