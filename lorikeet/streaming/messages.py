@@ -52,11 +52,17 @@ def _session_name(given: str | None, connection: str, ts: pd.Timestamp) -> str:
     return given or f"{connection}-{'unknown' if pd.isna(ts) else f'{ts:%Y%m%d%H%M%S}'}"
 
 
+def _frame(rows: list[dict]) -> pd.DataFrame:
+    """Rows in the columns of OUT, with types that don't depend on what there is."""
+    out = pd.DataFrame(rows, columns=_NAMES, dtype=object)
+    return out.assign(score=pd.to_numeric(out["score"]).astype("float64"), ts=pd.to_datetime(out["ts"]))
+
+
 def _route(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     session = state.get[0] if state.exists else None
     if state.hasTimedOut:
         state.remove()
-        yield pd.DataFrame([{"connection_id": key[0], "session_id": session, "type": "disconnected", "scope": "none"}], columns=_NAMES)
+        yield _frame([{"connection_id": key[0], "session_id": session, "type": "disconnected", "scope": "none"}])
         return
     rows = []
     whole = pd.concat(list(batches), ignore_index=True)
@@ -84,7 +90,7 @@ def _route(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> It
     else:
         state.update((session,))
         state.setTimeoutDuration(SILENCE_MS)
-    yield pd.DataFrame(rows, columns=_NAMES)
+    yield _frame(rows)
 
 
 def route(messages: DataFrame) -> DataFrame:
