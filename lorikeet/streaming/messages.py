@@ -41,11 +41,13 @@ def read_messages(spark: SparkSession, path: str, files_per_trigger: int = 1000)
     return spark.readStream.schema(SCHEMAS["messages"]).option("maxFilesPerTrigger", files_per_trigger).json(path)
 
 
-def write_messages(replies: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+def write_messages(replies: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
     """S-14: the sink: replies that go to somebody as JSON files, one folder for
-    each scope, from which the transport takes them."""
+    each scope, from which the transport takes them. ``trigger`` as in Spark, a
+    batch each second by default."""
     out = replies.where("scope <> 'none'").writeStream.format("json").partitionBy("scope")
-    return out.option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    out = out.option("path", path).option("checkpointLocation", checkpoint)
+    return out.trigger(**(trigger or {"processingTime": "1 second"})).start()
 
 
 def _session_name(given: str | None, connection: str, ts: pd.Timestamp) -> str:
@@ -58,7 +60,7 @@ def _frame(rows: list[dict]) -> pd.DataFrame:
     return out.assign(score=pd.to_numeric(out["score"]).astype("float64"), ts=pd.to_datetime(out["ts"]))
 
 
-def _route(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+def _route(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, silence_ms: int | None) -> Iterator[pd.DataFrame]:
     session = state.get[0] if state.exists else None
     if state.hasTimedOut:
         state.remove()
@@ -89,19 +91,25 @@ def _route(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> It
             state.remove()
     else:
         state.update((session,))
-        state.setTimeoutDuration(SILENCE_MS)
+        if silence_ms:
+            state.setTimeoutDuration(silence_ms)
     yield _frame(rows)
 
 
-def route(messages: DataFrame) -> DataFrame:
+def route(messages: DataFrame, silence_ms: int | None = SILENCE_MS) -> DataFrame:
     """D-01, D-02, D-04, D-06, D-07: replies to a stream of messages. scope tells
     whether a reply goes to its connection, to all of its session or, for the
     mark that a connection has left, to nobody. The messages that a connection
     sends within a trigger are put in order in memory; a null type is dropped, a
-    null time comes last."""
-    return messages.groupBy("connection_id").applyInPandasWithState(
-        _route, OUT, "session_id string", "append", GroupStateTimeout.ProcessingTimeTimeout
-    )
+    null time comes last. A connection that is silent for ``silence_ms`` counts as
+    gone; None waits for ever, which a query that is to end by itself
+    (``availableNow``) needs, since Spark runs on to watch the time."""
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if silence_ms else GroupStateTimeout.NoTimeout
+
+    def routed(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        yield from _route(key, batches, state, silence_ms)
+
+    return messages.groupBy("connection_id").applyInPandasWithState(routed, OUT, "session_id string", "append", timeout)
 
 
 def route_table(messages: DataFrame) -> DataFrame:

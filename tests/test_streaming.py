@@ -10,9 +10,9 @@ def send(path, name, rows):
 
 
 def run(spark, source, tmp_path, name):
-    replies = M.route(M.read_messages(spark, str(source), 1))
+    replies = M.route(M.read_messages(spark, str(source), 1), None)
     q = replies.writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
+    assert q.awaitTermination(120)
     return spark.table(name)
 
 
@@ -69,11 +69,30 @@ def test_odd_messages(spark, tmp_path):
         ("a", "session_initialized", "s2"), ("b", "session_initialized", "b-unknown"), ("b", "pong", "b-unknown"),
     }
     assert {tuple(r) for r in M.members(table).collect()} == {("s2", "a"), ("b-unknown", "b")}
-    q = M.write_messages(M.route(M.read_messages(spark, str(source))), str(tmp_path / "out"), str(tmp_path / "sink"))
-    q.awaitTermination(120)
+    replies = M.route(M.read_messages(spark, str(source)), None)
+    assert M.write_messages(replies, str(tmp_path / "out"), str(tmp_path / "sink"), availableNow=True).awaitTermination(120)
     assert spark.read.json(str(tmp_path / "out")).groupBy("scope").count().where("scope <> 'none'").count() == 2
 
 
+def test_silence_ends_a_session(spark, tmp_path):
+    import time
+
+    source = tmp_path / "in"
+    source.mkdir()
+    send(source, "1.json", [{"connection_id": "a", "type": "initialize_session", "session_id": "s", "ts": "2024-01-01T00:00:01Z"}])
+    stream = M.route(M.read_messages(spark, str(source)), 1000).writeStream.format("memory").queryName("silent")
+    q = stream.option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="1 second").start()
+    try:
+        for _ in range(90):
+            rows = [(r["type"], r["session_id"], r["scope"]) for r in spark.table("silent").collect()]
+            if len(rows) == 2:
+                break
+            time.sleep(1)
+    finally:
+        q.stop()
+    assert rows == [("session_initialized", "s", "personal"), ("disconnected", "s", "none")]
+
+
 def test_event_rates_as_stream(spark, sf_dir, tmp_path):
     path = f"{sf_dir}/events.parquet"
     table = spark.read.parquet(path)
