@@ -78,9 +78,9 @@ class Machine:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def fit(x: np.ndarray, y: np.ndarray, prior: float, rank: int = RANK, steps: int = 600, seed: int = 0) -> tuple:
-    """(bias, w, v) by Adam on the logistic loss with a square penalty; x holds 0
-    and 1. ``prior``: the share of the class among all labelled rows, to which the
+def fit(x: np.ndarray, y: np.ndarray, prior: float, rank: int = RANK, steps: int = 1200, seed: int = 0) -> tuple:
+    """(bias, w, v) by Adam, in steps that shrink, on the logistic loss with a square
+    penalty; x holds 0 and 1. ``prior``: the share of the class among all labelled rows, to which the
     bias is corrected from the share in the sample."""
     rng = np.random.default_rng(seed)
     n, k = x.shape
@@ -88,6 +88,7 @@ def fit(x: np.ndarray, y: np.ndarray, prior: float, rank: int = RANK, steps: int
     mean, square = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     penalty = (0.0, 1e-4, 1e-3)
     for t in range(1, steps + 1):
+        rate = 0.03 * (1 - 0.9 * t / steps)
         rows = rng.integers(0, n, 512)
         b, w, v = params
         xb, yb = x[rows], y[rows]
@@ -99,7 +100,7 @@ def fit(x: np.ndarray, y: np.ndarray, prior: float, rank: int = RANK, steps: int
             grad = grad + penalty[i] * params[i]
             mean[i] = 0.9 * mean[i] + 0.1 * grad
             square[i] = 0.999 * square[i] + 0.001 * grad**2
-            params[i] = params[i] - 0.03 * (mean[i] / (1 - 0.9**t)) / (np.sqrt(square[i] / (1 - 0.999**t)) + 1e-8)
+            params[i] = params[i] - rate * (mean[i] / (1 - 0.9**t)) / (np.sqrt(square[i] / (1 - 0.999**t)) + 1e-8)
     share = float(y.mean())
     shift = np.log(prior / (1 - prior)) - np.log(share / (1 - share))
     return float(params[0][0] + shift), params[1], params[2]
