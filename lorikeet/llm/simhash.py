@@ -50,6 +50,8 @@ WORD_PRINTS, SHINGLE_PRINTS = 1, 16
 BANDS, BAND_ROWS = 32, 4
 #: Differing bits of 64 beyond which word sets that share an anchor aren't looked at further.
 UNLIKE_WORDS = 16
+#: Of the points of a cell, the share that a comparison of whole sets takes: those are larger.
+SET_SHARE = 4
 #: Bytes of shingle sets on one side of a comparison of sets.
 SET_BYTES = 16 << 20
 
@@ -476,7 +478,7 @@ def _labelled(rows: DataFrame, shingle: int, similarity: float, cell: int) -> Da
     coarse = connected_components(link_edges(points, _bits(similarity), cell, UNLIKE_WORDS))
     coarse = coarse.select(F.col("node").alias("rep"), F.col("component").alias("comp"))
     texts = rows.select(F.col("row").alias("rep"), "text")
-    parts = connected_components(_exact_edges(texts, coarse, shingle, similarity, cell))
+    parts = connected_components(_exact_edges(texts, coarse, shingle, similarity, max(1, cell // SET_SHARE)))
     classes = reps.join(parts, F.col("rep") == F.col("node"), "left").select("same", F.coalesce("component", "rep").alias("comp"))
     return prints.select("row", "doc_id", "same").join(classes, "same").select("row", "doc_id", "comp")
 
