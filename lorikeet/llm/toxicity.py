@@ -38,7 +38,7 @@ SAMPLE = 6000
 SELECTED, LEAST_Z = 4096, 4.0
 #: Other frequent buckets that are looked at in pairs, pairs that enter, at most, and the least |z| of one
 #: bucket's class difference among the rows of the other, of which each class must have so many.
-PAIRED, PAIRS, LEAST_PAIR_Z, LEAST_ROWS = 1024, 32, 6.0, 20
+PAIRED, PAIRS, LEAST_PAIR_Z, LEAST_ROWS = 512, 32, 6.0, 20
 #: Signatures of a row's buckets, and buckets in one: rows that share one count once when pairs are looked at.
 SIGNATURES, SIGNED = 6, 10
 #: Length of the vectors of the pairwise part.
@@ -80,8 +80,8 @@ class Machine:
 
 def fit(x: np.ndarray, y: np.ndarray, prior: float, rank: int = RANK, steps: int = 1200, seed: int = 0) -> tuple:
     """(bias, w, v) by Adam, in steps that shrink, on the logistic loss with a square
-    penalty; x holds 0 and 1. ``prior``: the share of the class among all labelled rows, to which the
-    bias is corrected from the share in the sample."""
+    penalty; x holds 0 and 1. ``prior``: the share of the class among all labelled
+    rows, to which the bias is corrected from the share in the sample."""
     rng = np.random.default_rng(seed)
     n, k = x.shape
     params = [np.zeros(1, np.float32), np.zeros(k, np.float32), rng.normal(0, 0.01, (k, rank)).astype(np.float32)]
