@@ -213,12 +213,12 @@ def _lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, kind))
 
 
-def _record(schema: pa.Schema, n: int, **columns) -> pa.RecordBatch:
-    """``n`` rows; columns not given are null, lists of arrays become array columns."""
+def _record(schema: pa.Schema, rows: int, /, **columns) -> pa.RecordBatch:
+    """``rows`` rows; columns not given are null, lists of arrays become array columns."""
     made = []
     for field in schema:
         if field.name not in columns:
-            made.append(pa.nulls(n, field.type))
+            made.append(pa.nulls(rows, field.type))
         elif pa.types.is_list(field.type):
             made.append(_lists(columns[field.name], field.type.value_type))
         else:

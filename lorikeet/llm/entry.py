@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
+from lorikeet.llm.alignment import op11_alignment
 from lorikeet.llm.chat import OP5_SQL, op5_chat
 from lorikeet.llm.common import read
 from lorikeet.llm.embedding_dedup import OP8_SQL, op8_embeddings
@@ -42,6 +43,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_embeddings": _over("embeddings", op8_embeddings),
         "op9_warc": _over("pages", op9_warc),
         "op10_pii": _over("documents", op10_pii),
+        "op11_alignment": _over("documents", op11_alignment),
         "op13_infill": _over("documents", op13_infill),
         "pipeline": lambda spark, sf_dir: corpus_pipeline.run(ship(spark), sf_dir),
     }
