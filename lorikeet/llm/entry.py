@@ -10,6 +10,7 @@ import corpus_pipeline
 from lorikeet.llm.alignment import op11_alignment
 from lorikeet.llm.chat import OP5_SQL, op5_chat
 from lorikeet.llm.common import read
+from lorikeet.llm.cuckoo import OP12_SQL, op12_exact_dedup
 from lorikeet.llm.embedding_dedup import OP8_SQL, op8_embeddings
 from lorikeet.llm.infill import OP13_SQL, op13_infill
 from lorikeet.llm.mixing import OP2_SQL, op2_mix
@@ -44,10 +45,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_warc": _over("pages", op9_warc),
         "op10_pii": _over("documents", op10_pii),
         "op11_alignment": _over("documents", op11_alignment),
+        "op12_exact_dedup": _over("documents", op12_exact_dedup),
         "op13_infill": _over("documents", op13_infill),
         "pipeline": lambda spark, sf_dir: corpus_pipeline.run(ship(spark), sf_dir),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mix": OP2_SQL, "op5_chat": OP5_SQL, "op8_embeddings": OP8_SQL, "op9_warc": OP9_SQL, "op13_infill": OP13_SQL}
+    return {"op2_mix": OP2_SQL, "op5_chat": OP5_SQL, "op8_embeddings": OP8_SQL, "op9_warc": OP9_SQL, "op12_exact_dedup": OP12_SQL, "op13_infill": OP13_SQL}
