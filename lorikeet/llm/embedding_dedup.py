@@ -60,13 +60,18 @@ def tile_links(vectors: np.ndarray, first: np.ndarray, second: np.ndarray, thres
         yield i[exact >= threshold], j[exact >= threshold]
 
 
+_FOUND = "node long, no_id boolean, least long, links long, parent long, parent_no_id boolean, parent_least long"
+
+
 def _tile(threshold: float):
-    """One tile: a row (node, links, parent) for each vector with links, where
-    links weighs a neighbour by its copies and parent joins the tile's components."""
+    """One tile: a row for each vector with links, where links weighs a neighbour
+    by its copies and parent joins the tile's components."""
 
     def each(rows: pd.DataFrame) -> pd.DataFrame:
         vectors = np.array(rows["embedding"].tolist(), np.float64)
         node, copies, part = rows["node"].to_numpy(), rows["copies"].to_numpy(), rows["part"].to_numpy()
+        no_id = rows["no_id"].to_numpy(bool)
+        least = rows["least"].to_numpy()
         i, j = rows["i"].iloc[0], rows["j"].iloc[0]
         first, second = np.flatnonzero(part == i), np.flatnonzero(part == j)
         links, forest = np.zeros(len(rows), np.int64), _Forest(len(rows))
@@ -77,7 +82,11 @@ def _tile(threshold: float):
             np.add.at(links, b, copies[a])
             forest.unite(a, b)
         found = np.flatnonzero(links)
-        return pd.DataFrame({"node": node[found], "links": links[found], "parent": node[forest.root[found]]})
+        root = forest.root[found]
+        return pd.DataFrame({
+            "node": node[found], "no_id": no_id[found], "least": least[found], "links": links[found],
+            "parent": node[root], "parent_no_id": no_id[root], "parent_least": least[root],
+        })
 
     return each
 
@@ -91,9 +100,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile: int
     null or a component that isn't finite, links with nothing. Equal vectors of a
     label are one class from the start with its copies counted, so a class of any
     size adds one row to the tiles. n_links counts other rows; component_id is
-    the smallest vec_id reachable, kept marks it. Rows that share a vec_id are one
-    node of the graph; a null vec_id takes part through its copies only. Labels
-    without a pair, and empty tables, give no tile. Other columns are ignored.
+    the smallest vec_id reachable, kept marks it. Rows are what links, not
+    vec_ids: rows that share a vec_id or have none are as any others; component_id
+    is null, and kept true, where no vector of a component has one. Labels without
+    a pair, and empty tables, give no tile. Other columns are ignored.
     """
     rows = vectors.select(
         F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"), F.col("label").alias("label")
@@ -111,33 +121,41 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile: int
             keyed.where("form IS NOT NULL")
             .groupBy("form")
             .agg(
-                F.min("vec_id").alias("node"),
+                F.min("vec_id").isNull().alias("no_id"),
+                F.coalesce(F.min("vec_id"), F.lit(0)).alias("least"),
                 F.count("*").alias("copies"),
                 F.first("embedding").alias("embedding"),
                 F.first("label").alias("label"),
             )
         )
-        classes = written(classes.withColumn("dim", F.size("embedding")).where("node IS NOT NULL"), "vectors")
+        # numbered once, when written: classes may share their least vec_id
+        classes = classes.withColumns({"dim": F.size("embedding"), "node": F.monotonically_increasing_id()})
+        classes = written(classes, "vectors")
         sizes = classes.groupBy("label", "dim").agg(F.ceil(F.count("*") / tile).cast("int").alias("parts"))
         sizes = written(sizes, "labels")  # so that its size is known when the join is planned
         parted = classes.join(sizes, ["label", "dim"]).withColumn(
             "part", F.expr("cast(pmod(xxhash64(form), parts) as int)")
         )
         tiles = parted.select("*", F.explode(F.expr("sequence(0, parts - 1)")).alias("other")).select(
-            "label", "dim", "node", "copies", "embedding", "part", F.least("part", "other").alias("i"),
+            "label", "dim", "node", "no_id", "least", "copies", "embedding", "part", F.least("part", "other").alias("i"),
             F.greatest("part", "other").alias("j"),
         )
         found = written(
-            tiles.groupBy("label", "dim", "i", "j").applyInPandas(_tile(threshold), "node long, links long, parent long"),
-            "tiles",
+            tiles.groupBy("label", "dim", "i", "j").applyInPandas(_tile(threshold), _FOUND), "tiles"
         )
         links = found.groupBy("node").agg(F.sum("links").alias("links"))
-        parts = connected_components(found.where("node <> parent"), "node", "parent")
+        # ordered by vec_id, so that a component's least node names its least vec_id
+        ends = found.where("node <> parent").select(
+            F.struct("no_id", "least", "node").alias("a"),
+            F.struct(F.col("parent_no_id").alias("no_id"), F.col("parent_least").alias("least"), F.col("parent").alias("node")).alias("b"),
+        )
+        parts = connected_components(ends).select(
+            F.col("node.node").alias("part"), F.when(~F.col("component.no_id"), F.col("component.least")).alias("component")
+        )
         return (
-            classes.select("form", F.col("node").alias("rep"), "copies")
-            .join(links, F.col("rep") == links["node"], "left")
-            .drop("node")
-            .join(parts, F.col("rep") == parts["node"], "left")
+            classes.select("form", "node", F.when(~F.col("no_id"), F.col("least")).alias("rep"), "copies")
+            .join(links, "node", "left")
+            .join(parts, F.col("node") == F.col("part"), "left")
             .select("form", "rep", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component")
         )
 
@@ -148,7 +166,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile: int
         "vec_id",
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         component.alias("component_id"),
-        F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"),
+        F.col("vec_id").eqNullSafe(component).alias("kept"),
     )
 
 
@@ -159,21 +177,22 @@ def op8_embeddings(vectors: DataFrame) -> DataFrame:
 
 
 OP8_SQL = """
-WITH RECURSIVE v AS (
-  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
-  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
-    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+WITH RECURSIVE every AS (
+  SELECT row_number() OVER () AS row, vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+), v AS (
+  SELECT * FROM every
+  WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
+    AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), n AS (
   SELECT *, sqrt(list_dot_product(e, e)) AS norm FROM v
 ), l AS (
-  SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b
-    ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+  SELECT a.row AS a, b.row AS b FROM n a JOIN n b ON a.label = b.label AND len(a.e) = len(b.e) AND a.row <> b.row
   WHERE list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.98
-), r(vec_id, reached) AS (
-  SELECT vec_id, vec_id FROM embeddings UNION SELECT r.vec_id, l.b FROM r JOIN l ON l.a = r.reached
+), r(row, reached) AS (
+  SELECT row, row FROM every UNION SELECT r.row, l.b FROM r JOIN l ON l.a = r.reached
 ), c AS (
-  SELECT vec_id, min(reached) AS component_id FROM r GROUP BY vec_id
+  SELECT r.row, min(e.vec_id) AS component_id FROM r JOIN every e ON e.row = r.reached GROUP BY r.row
 )
-SELECT e.vec_id, coalesce(k, 0) AS n_links, component_id, e.vec_id = component_id AS kept
-FROM embeddings e JOIN c USING (vec_id) LEFT JOIN (SELECT a AS vec_id, count(*) AS k FROM l GROUP BY a) USING (vec_id)
+SELECT vec_id, coalesce(k, 0) AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept
+FROM every JOIN c USING (row) LEFT JOIN (SELECT a AS row, count(*) AS k FROM l GROUP BY a) USING (row)
 """

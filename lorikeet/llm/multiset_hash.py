@@ -14,6 +14,7 @@ size of the difference of the two multisets of word pairs, hence the likeness.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -138,16 +139,35 @@ def as_string(fp: Column) -> Column:
     return F.array_join(F.transform(fp, lambda x: F.lower(F.lpad(F.hex(x), 16, "0"))), "")
 
 
-def _bucket(col: Column, bounds: list[float]) -> Column:
-    """How many of the ascending bounds are at most ``col``, as a tree of comparisons."""
+def _bucket(col: Column, bounds: list[int]) -> Column:
+    """How many of the ascending bounds are at most ``col``, by halves."""
+    if not bounds:
+        return F.lit(0)
+    held = F.array(*map(F.lit, bounds))
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(bounds).bit_length()))])
+    fits = lambda at: (at <= len(bounds)) & (F.element_at(held, F.least(at, F.lit(len(bounds)))) <= col)
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(fits(at + step), at + step).otherwise(at))
 
-    def tree(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(col < F.lit(bounds[mid]), tree(lo, mid)).otherwise(tree(mid + 1, hi))
 
-    return tree(0, len(bounds))
+def _cuts(docs: DataFrame, n: int) -> list[int]:
+    """About the n-quantiles of doc_id in rising order, exact integers; one that
+    holds several quantiles stands there several times.
+
+    Quantiles are taken of the upper 32 bits, which are exact as doubles, and of
+    the lower 32 bits among rows whose upper ones hold several quantiles.
+    """
+    high, low = F.shiftright("doc_id", 32).alias("high"), F.col("doc_id").bitwiseAND(F.lit(0xFFFFFFFF)).alias("low")
+    halves = docs.where("doc_id IS NOT NULL").select(high, low)
+    at = [i / n for i in range(n + 1)]
+    times = Counter(map(int, halves.approxQuantile("high", at, 0.25 / n)))
+    several = [h for h, k in times.items() if k > 1]
+    lows = {}
+    if several:  # fewer than n rows of n + 1 numbers
+        inside = halves.where(F.col("high").isin(several)).groupBy("high").agg(F.percentile_approx("low", at, 4 * n))
+        lows = {r[0]: r[1] for r in inside.collect()}
+    return [
+        (h << 32) + (int(lows[h][j * n // (k - 1)]) if k > 1 else 0) for h, k in sorted(times.items()) for j in range(k)
+    ]
 
 
 def _ranged(docs: DataFrame, range_rows: int) -> DataFrame:
@@ -163,14 +183,14 @@ def _ranged(docs: DataFrame, range_rows: int) -> DataFrame:
     at_least = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     n = max(at_least, -(-docs.count() // range_rows))
     tops = min(n, MOST_BOUNDS)
-    cuts = docs.approxQuantile("doc_id", [i / tops for i in range(tops + 1)], 0.25 / tops) or [0.0, 0.0]
+    cuts = _cuts(docs, tops) or [0, 0]
     bounds = sorted(set(cuts[1:-1]))
     crowded = sorted({b for a, b in zip(cuts, cuts[1:]) if a == b})
     even = -(-n // tops)
-    x = F.col("doc_id").cast("double")
+    x = F.col("doc_id")
     low, high = [cuts[0], *bounds], [*bounds, cuts[-1]]
     of = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("__top") + 1)
-    share = (x - of(low)) / F.nullif(of(high) - of(low), F.lit(0.0)) if even > 1 else F.lit(0.0)
+    share = _apart(x, of(low)) / F.nullif(_apart(of(high), of(low)), F.lit(0.0)) if even > 1 else F.lit(0.0)
     sub = F.greatest(F.lit(0), F.least(F.lit(even - 1), F.floor(F.coalesce(share, F.lit(0.0)) * even)))
     piece = F.shiftrightunsigned(F.col("__h") * n, 31)
     place = F.when(x.isin(crowded), even + piece).otherwise(even - 1 - sub) if crowded else even - 1 - sub
@@ -179,6 +199,12 @@ def _ranged(docs: DataFrame, range_rows: int) -> DataFrame:
     return rows.withColumn("__range", at.cast("long")).drop("__top")
 
 
+def _apart(x: Column, y: Column) -> Column:
+    """x - y as a double: exact where they are near, and never too large for an integer."""
+    low = lambda v: v.bitwiseAND(F.lit(0xFFFFFFFF))
+    return (F.shiftright(x, 32) - F.shiftright(y, 32)) * F.lit(2.0**32) + (low(x) - low(y))
+
+
 def with_next(docs: DataFrame, range_rows: int = RANGE_ROWS) -> tuple[DataFrame, DataFrame]:
     """``docs`` (doc_id, text) with next_text, __range and __place, and a table
     (__range, __next) of the ranges and those that follow them.

@@ -308,23 +308,23 @@ def near_duplicates(
 
     component_id is the smallest doc_id reachable over links. Null and empty
     texts have fingerprint zero and link like any other. Equal fingerprints are
-    one class from the start, represented by their smallest doc_id; copies are
-    never expanded into pairs. A row with a null doc_id takes the component of
-    its fingerprint if another row has it, else null, and adds no link. Rows that
-    share a doc_id are one document. Other columns are ignored.
+    one class from the start; copies are never expanded into pairs. Rows are what
+    links, not doc_ids: rows that share a doc_id or have none are as any others,
+    and component_id is null where no row of a component has one. Other columns
+    are ignored; an empty table gives an empty table.
     """
     if not 0 <= threshold <= 4:
         raise ValueError("the covering holds for thresholds from 0 to 4")
     fps = written(fingerprints(docs, shingle), "simhash")
-    reps = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    points = reps.where("rep IS NOT NULL").select("rep", F.array("fp").alias("keys"), F.array("fp").alias("sketch"))
+    reps = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    points = reps.select(F.col("fp").alias("rep"), F.array("fp").alias("keys"), F.array("fp").alias("sketch"))
 
     def joined() -> DataFrame:
-        # a fingerprint that several doc_ids have, or a doc_id with several, joins its components
         parts = connected_components(link_edges(points, threshold, cell))
-        return reps.join(parts, F.col("rep") == F.col("node"), "left").select(
-            "fp", F.coalesce("component", "rep").alias("component_id")
-        )
+        comps = reps.join(parts, F.col("fp") == F.col("node"), "left")
+        comps = written(comps.select("fp", "least", F.coalesce("component", "fp").alias("comp")), "simhash-comps")
+        least = written(comps.groupBy("comp").agg(F.min("least").alias("component_id")), "simhash-least")
+        return comps.join(least, "comp").select("fp", "component_id")
 
     classes = written_alone(docs.sparkSession, "simhash-classes", joined)
     return fps.join(classes, "fp", "left").select("doc_id", "fp", "component_id")

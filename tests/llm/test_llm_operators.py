@@ -832,5 +832,5 @@ def test_scratch_tables_go(spark, tmp_path):
 
 def test_every_query_is_registered():
     names = entry.queries()
-    assert {int(n[2:].split("_")[0]) for n in names if n.startswith("op")} == set(range(1, 11)) and "pipeline" in names
+    assert {int(n[2:].split("_")[0]) for n in names if n.startswith("op")} == set(range(1, 14)) and "pipeline" in names
     assert math.isfinite(len(entry.oracle_sql())) and set(entry.oracle_sql()) <= set(names)
