@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import json
 import os
 import re
@@ -127,26 +128,21 @@ def chunks(text: str) -> list[str]:
     return _CUTS(text) if _UNEVEN(text) else text.split(" ")
 
 
-def align(a: list[int], b: list[int], len_a: list[int], len_b: list[int]) -> tuple[list[int], list[str]]:
-    """Links (a, b, a, b, ...) and groups of two tokenisations of the same bytes,
-    where len_a and len_b give the length of each id's bytes."""
-    links: list[int] = []
-    groups: list[str] = []
-    i = j = from_i = from_j = 0
-    end_a, end_b = (len_a[a[0]], len_b[b[0]]) if a else (0, 0)
-    while i < len(a):
-        links += (a[i], b[j])
-        step_a, step_b = end_a <= end_b, end_b <= end_a
-        if step_a and step_b:
-            groups.append(",".join(map(str, a[from_i : i + 1])) + "|" + ",".join(map(str, b[from_j : j + 1])))
-            from_i, from_j = i + 1, j + 1
-        if step_a:
-            i += 1
-            end_a += len_a[a[i]] if i < len(a) else 0
-        if step_b:
-            j += 1
-            end_b += len_b[b[j]] if j < len(b) else 0
-    return links, groups
+def align(a: np.ndarray, b: np.ndarray, len_a: np.ndarray, len_b: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(links, links of each token of a, group of each token of a, of b) for two
+    tokenisations of the same bytes; len_a and len_b give the bytes of each id.
+
+    A token of a links with those of b from the first that ends after it starts
+    to the last that starts before it ends; a group ends where both end.
+    """
+    n_a, n_b = len_a[a], len_b[b]
+    end_a, end_b = np.cumsum(n_a), np.cumsum(n_b)
+    first = np.searchsorted(end_b, end_a - n_a, side="right")
+    n = np.searchsorted(end_b - n_b, end_a, side="left") - first
+    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - first, n)
+    links = np.stack([np.repeat(a, n), b[at]], axis=1)
+    bounds = np.intersect1d(end_a, end_b, assume_unique=True)
+    return links, n, np.searchsorted(bounds, end_a), np.searchsorted(bounds, end_b)
 
 
 class Chunks:
@@ -154,7 +150,9 @@ class Chunks:
 
     def __init__(self, tokenizers: Tokenizers):
         self.of = tokenizers
-        self.len_a, self.len_b = (list(map(len, x)) for x in (tokenizers.bytes_a, tokenizers.bytes_b))
+        self.len_a, self.len_b = (np.array(list(map(len, x)), np.int64) for x in (tokenizers.bytes_a, tokenizers.bytes_b))
+        #: Each id as it stands in a group's text: before another of its side, at its side's end, at the group's end.
+        self.written = [f"{i}{end}" for i in range(max(len(self.len_a), len(self.len_b))) for end in ",|;"]
         self.clear()
 
     def clear(self) -> None:
@@ -162,20 +160,40 @@ class Chunks:
         self.equal = array("b", [1])
         self.counts = array("q", [0, 0, 0])  # tokens of A, of B, groups
         self.links, self.ends = array("I"), array("q", [0])
-        self.groups: list[str] = [""]
+        self.groups: list[str] = [""]  # each group ends with a semicolon
+
+    def _same(self, new: list[str], a: list[list[int]], b: list[list[int]]) -> list[bool]:
+        """Whether the bytes of each chunk's tokens of A, and of B, are those of the chunk."""
+        raw = [(" " + c).encode("utf-8") for c in new]
+        sides = ((self.of.bytes_a, a), (self.of.bytes_b, b))
+        made = [[b"".join(map(of.__getitem__, ids)) for ids in found] for of, found in sides]
+        return [r == x == y for r, x, y in zip(raw, *made)]
 
     def add(self, new: list[str]) -> None:
-        bytes_a, bytes_b = self.of.bytes_a, self.of.bytes_b
-        for chunk, a, b in zip(new, self.of.encode_a(new), self.of.encode_b(new)):
-            raw = (" " + chunk).encode("utf-8")
-            same = raw == b"".join([bytes_a[i] for i in a]) == b"".join([bytes_b[i] for i in b])
-            links, groups = align(a, b, self.len_a, self.len_b) if same else ([], [])
-            self.number[chunk] = len(self.equal)
-            self.equal.append(same)
-            self.counts.extend((len(a), len(b), len(groups)))
-            self.links.extend(links)
-            self.ends.append(len(self.links))
-            self.groups.append(";".join(groups))
+        a, b = self.of.encode_a(new), self.of.encode_b(new)
+        same = self._same(new, a, b)
+        if not all(same):
+            a, b = ([ids if ok else [] for ids, ok in zip(side, same)] for side in (a, b))
+        n_a, n_b = (np.array(list(map(len, side)), np.int64) for side in (a, b))
+        ids = [np.fromiter(itertools.chain.from_iterable(side), np.int64, int(n.sum())) for side, n in ((a, n_a), (b, n_b))]
+        links, per_token, *groups = align(*ids, self.len_a, self.len_b)
+        # tokens by group, those of A first, each with what follows it
+        key = np.concatenate([2 * groups[0], 2 * groups[1] + 1])
+        order = np.argsort(key, kind="stable")
+        last = np.diff(key[order], append=-1) != 0
+        text = np.concatenate(ids)[order] * 3 + np.where(last, 1 + key[order] % 2, 0)
+        parts = list(map(self.written.__getitem__, text.tolist()))
+        ends = [np.concatenate([[0], np.cumsum(n)]) for n in (n_a, n_b)]
+        cuts = (ends[0] + ends[1]).tolist()
+        at_group = np.concatenate([groups[0], [groups[0][-1] + 1 if len(ids[0]) else 0]])[ends[0]]
+        at_link = np.concatenate([[0], np.cumsum(per_token)])[ends[0]]
+        base = len(self.equal)
+        self.number.update(zip(new, range(base, base + len(new))))
+        self.equal.extend(same)
+        self.counts.frombytes(np.stack([n_a, n_b, np.diff(at_group)], axis=1).astype(np.int64).tobytes())
+        self.ends.frombytes((at_link[1:] * 2 + len(self.links)).astype(np.int64).tobytes())
+        self.links.frombytes(links.astype(np.uint32).tobytes())
+        self.groups.extend("".join(parts[i:j]) for i, j in zip(cuts, cuts[1:]))
 
     def numbers(self, texts: list[str | None]) -> list[list[int]]:
         """The chunk numbers of each text; [0] for a text without tokens."""
@@ -242,7 +260,7 @@ class _Batch:
 
     def add(self, doc_id: int | None, at: list[int]) -> None:
         t = self.table
-        text = ";".join(map(t.groups.__getitem__, at))
+        text = "".join(map(t.groups.__getitem__, at))[:-1]
         if self.digest and at != [0]:
             text = hashlib.sha256(text.encode()).hexdigest()
         found, times = np.unique(np.array(at, np.int64), return_counts=True)

@@ -3,6 +3,7 @@
 import hashlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,6 +98,7 @@ def test_chunks_join_to_the_text():
 
 
 def test_align_groups_end_together():
-    links, groups = align([1, 2, 3], [7, 8], [0, 1, 2, 1, 0], [0] * 7 + [1, 3])
-    assert links == [1, 7, 2, 8, 3, 8]
-    assert groups == ["1|7", "2,3|8"]
+    a, b = np.array([1, 2, 3]), np.array([7, 8])
+    links, per_token, of_a, of_b = align(a, b, np.array([0, 1, 2, 1, 0]), np.array([0] * 7 + [1, 3]))
+    assert links.tolist() == [[1, 7], [2, 8], [3, 8]] and per_token.tolist() == [1, 1, 1]
+    assert of_a.tolist() == [0, 1, 1] and of_b.tolist() == [0, 1]
