@@ -124,22 +124,21 @@ def _combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _pass(key: tuple, filters: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-    """One slice: digests that miss the filter enter it and are new; hits on those
-    are verified here, other hits have yet to be verified against the stored content."""
+    """One slice: digests that miss the filter enter it and are new. Hits are
+    verified here against those, and are new where they are none of them and
+    nothing is stored; else they have yet to be verified against the stored content."""
     known, stored = _filter_of(filters), len(filters) > 0
     fresh: dict[bytes, list] = {}
     maybe: dict[bytes, list] = {}
     unplaced: set[bytes] = set()
     for digest, *keeper, copies in rows[["digest", *KEEPER, "copies"]].itertuples(index=False, name=None):
-        if digest in known or digest in unplaced:
-            found = fresh if digest in fresh else maybe
-        else:
-            found = fresh
-            if not known.insert(digest):
-                if stored:  # the keys are in the content: built again from there
-                    unplaced.add(digest)
-                else:
-                    known = CuckooFilter.holding([*fresh, digest], 2 * known.buckets)
+        hit = digest in known or digest in unplaced
+        found = maybe if stored and hit and digest not in fresh else fresh
+        if found is fresh and digest not in fresh and not known.insert(digest):
+            if stored:  # the keys are in the content: built again from there
+                unplaced.add(digest)
+            else:
+                known = CuckooFilter.holding([*fresh, digest], 2 * known.buckets)
         before = found.setdefault(digest, [keeper, 0])
         before[0] = min(before[0], keeper)
         before[1] += copies

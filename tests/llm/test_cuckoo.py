@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 
+import pandas as pd
 import pytest
 
 from lorikeet.llm import cuckoo
@@ -77,10 +78,34 @@ def test_equals_grouping(spark):
     assert op12_exact_dedup(frame(spark, [])).count() == 0
 
 
-def test_hot_text_and_growing_filters(spark, monkeypatch):
-    monkeypatch.setattr(cuckoo, "FIRST_BUCKETS", 4)
-    docs = [(i, "hot") for i in range(3000)] + [(i, f"text {i % 2500}") for i in range(3000, 9000)]
-    check(op12_exact_dedup(frame(spark, docs)).collect(), docs)
+def test_hot_text_and_false_hits(spark):
+    """So many texts that some share a tag with another: none is lost."""
+    docs = [(i, "hot") for i in range(20_000)] + [(i, f"text {i % 45_000}") for i in range(20_000, 70_000)]
+    got = op12_exact_dedup(frame(spark, docs)).collect()
+    assert len(got) == len(docs)
+    check(got, docs)
+
+
+def entries(rows):
+    return pd.DataFrame([(digest(t), False, i, 0, i, 1) for i, t in rows], columns=["digest", *cuckoo.KEEPER, "copies"])
+
+
+def few_tags(monkeypatch):
+    """Three tags, so that most hits are false."""
+    places = lambda self, d: (1 + d[0] % 3, d[1] % self.buckets, d[1] % self.buckets ^ (1 + d[0] % 3))
+    monkeypatch.setattr(CuckooFilter, "_places", places)
+    monkeypatch.setattr(CuckooFilter, "_other", lambda self, tag, bucket: bucket ^ tag)
+
+
+def test_hits_are_verified_within_an_insertion(monkeypatch):
+    few_tags(monkeypatch)
+    rows = [(i, f"t{i % 300}") for i in range(900)]
+    out = cuckoo._pass((0,), pd.DataFrame(columns=["slice", "buckets", "table"]), entries(rows))
+    new = out[out["kind"] == "new"]
+    assert sorted(zip(new["digest"], new["copies"])) == sorted((digest(f"t{i}"), 3) for i in range(300))
+    assert set(out["kind"]) == {"new", "filter"}
+    table = memoryview(out[out["kind"] == "filter"]["table"].iloc[0]).cast("H")
+    assert sum(t != 0 for t in table) == 300
 
 
 def live(index):
@@ -124,16 +149,15 @@ def test_insertions_and_deletions_in_batches(spark):
         spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
-def test_tags_in_common_are_verified(spark, monkeypatch):
-    """With few tags most hits are false: texts are told apart by the content."""
-    monkeypatch.setattr(CuckooFilter, "_places", lambda self, d: (1 + d[0] % 3, d[1] % self.buckets, d[1] % self.buckets ^ (1 + d[0] % 3)))
-    monkeypatch.setattr(CuckooFilter, "_other", lambda self, tag, bucket: bucket ^ tag)
-    filters = cuckoo.pd.DataFrame({"buckets": [8], "table": [CuckooFilter.holding([digest(str(i)) for i in range(8)], 8).table.tobytes()]})
-    rows = cuckoo.pd.DataFrame([(0, digest(str(i)), False, i, 0, i, 1) for i in range(8, 20)], columns=["slice", "digest", *cuckoo.KEEPER, "copies"])
-    out = cuckoo._pass((0,), filters, rows)
+def test_hits_on_stored_tags_are_left_to_the_content(monkeypatch):
+    few_tags(monkeypatch)
+    stored = CuckooFilter.holding([digest(f"s{i}") for i in range(8)], 8)
+    filters = pd.DataFrame({"slice": [0], "buckets": [8], "table": [stored.table.tobytes()]})
+    out = cuckoo._pass((0,), filters, entries([(i, f"s{i % 60}") for i in range(120)]))
     keys = out[out["kind"].isin(["new", "maybe"])]
-    assert sorted(keys["digest"]) == sorted(rows["digest"])
-    assert (keys["kind"] == "maybe").any()
+    assert sorted(zip(keys["digest"], keys["copies"])) == sorted((digest(f"s{i}"), 2) for i in range(60))
+    assert {digest(f"s{i}") for i in range(8)} <= set(keys[keys["kind"] == "maybe"]["digest"])
+    assert set(out["kind"]) == {"new", "maybe", "filter"}
 
 
 @pytest.mark.parametrize("buckets", [3, 1000])
