@@ -33,11 +33,11 @@ from pyspark.sql import functions as F
 from lorikeet.llm.common import written
 
 #: Entries (a document's distinct chunks) that close a batch.
-BATCH_ENTRIES = 1 << 19
-#: Distinct chunks that a Python worker keeps from batch to batch.
-KEPT_CHUNKS = 200_000
-#: Counts in the block of a stripe: 128 MB of long integers.
-BLOCK_CELLS = 1 << 24
+BATCH_ENTRIES = 1 << 18
+#: Distinct chunks of a Python worker above which, after a batch, those go that only one of its documents had.
+KEPT_CHUNKS = 100_000
+#: Counts in the block of a stripe: 64 MB of long integers.
+BLOCK_CELLS = 1 << 23
 #: Pairs that one task adds up or looks up for a stripe; a stripe with more of them is salted.
 TASK_PAIRS = 1 << 26
 #: Pairs in one row of a counted stripe.
@@ -162,6 +162,21 @@ class Chunks:
         self.links, self.ends = array("I"), array("q", [0])
         self.groups: list[str] = [""]  # each group ends with a semicolon
 
+    def keep(self, chosen: np.ndarray) -> None:
+        """Forget all chunks but those of the ascending numbers ``chosen``, which become 1, 2, ..."""
+        ends, links = np.array(self.ends, np.int64), np.array(self.links, np.uint32)
+        counts, equal, groups = np.array(self.counts, np.int64).reshape(-1, 3), self.equal, self.groups
+        texts = list(self.number)  # in the order of their numbers
+        self.clear()
+        n = ends[chosen] - ends[chosen - 1]
+        at = np.arange(n.sum()) + np.repeat(ends[chosen - 1] - (np.cumsum(n) - n), n)
+        self.number.update((texts[i - 1], k) for k, i in enumerate(chosen.tolist(), 1))
+        self.equal.extend(map(equal.__getitem__, chosen.tolist()))
+        self.counts.frombytes(counts[chosen].tobytes())
+        self.ends.frombytes(np.cumsum(n).tobytes())
+        self.links.frombytes(links[at].tobytes())
+        self.groups.extend(map(groups.__getitem__, chosen.tolist()))
+
     def _same(self, new: list[str], a: list[list[int]], b: list[list[int]]) -> list[bool]:
         """Whether the bytes of each chunk's tokens of A, and of B, are those of the chunk."""
         raw = [(" " + c).encode("utf-8") for c in new]
@@ -273,6 +288,11 @@ class _Batch:
         self.times.append(times)
         self.entries += len(found)
 
+    def frequent(self) -> np.ndarray:
+        """The chunks that several of the documents have."""
+        found, n_docs = np.unique(np.concatenate(self.found), return_counts=True)
+        return found[(n_docs > 1) & (found > 0)]
+
     def records(self, batch: int) -> Iterator[pa.RecordBatch]:
         """A row for each document (d), one for the chunks' pairs (c), one for the pairs of each stripe (p)."""
         t = self.table
@@ -317,7 +337,7 @@ class Alignment:
 
     def __init__(
         self, docs: DataFrame, tokenizer_a: str | None = None, tokenizer_b: str | None = None, digest: bool = False,
-        batch_entries: int = BATCH_ENTRIES, block_cells: int = BLOCK_CELLS, task_pairs: int = TASK_PAIRS,
+        batch_entries: int = BATCH_ENTRIES, block_cells: int = BLOCK_CELLS, task_pairs: int = TASK_PAIRS, kept_chunks: int = KEPT_CHUNKS,
     ):
         path_a, path_b = (given or default for given, default in zip((tokenizer_a, tokenizer_b), default_tokenizers()))
         made = Tokenizers(path_a, path_b)
@@ -337,11 +357,13 @@ class Alignment:
                         batch.add(doc_id, at)
                     if batch.entries >= batch_entries:
                         yield from batch.records(base + k)
+                        if len(table.equal) > kept_chunks:
+                            table.keep(batch.frequent())
                         batch, k = _Batch(table, n_stripes, digest), k + 1
-                        if len(table.equal) > KEPT_CHUNKS:
-                            table.clear()
             if batch.rows:
                 yield from batch.records(base + k)
+                if len(table.equal) > kept_chunks:
+                    table.keep(batch.frequent())
 
         rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
         self.parts = written(rows.mapInArrow(each, _PARTS), "aligned")

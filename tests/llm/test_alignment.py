@@ -62,7 +62,7 @@ DOCS = [
 SCHEMA = "doc_id long, text string, groups string, n_a int"
 
 
-@pytest.mark.parametrize("small", [{}, {"batch_entries": 3, "block_cells": 6_000_000, "task_pairs": 2}])
+@pytest.mark.parametrize("small", [{}, {"batch_entries": 3, "block_cells": 6_000_000, "task_pairs": 2, "kept_chunks": 5}])
 def test_equals_all_pairs(spark, small):
     docs = spark.createDataFrame([(d, t, "clash", 0) for d, t in DOCS], SCHEMA).repartition(3)
     want, links, most = brute(DOCS)
