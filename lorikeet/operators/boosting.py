@@ -136,7 +136,7 @@ def _best_splits(sums: np.ndarray, penalty: float, least: float) -> tuple[np.nda
 
 def fit(
     rows: DataFrame, features: Sequence[str], label: str, known: Sequence[str] = (), rounds: int = 10, depth: int = 3,
-    n_bins: int = 32, rate: float = 0.3, penalty: float = 1.0, least: float = 1.0,
+    n_bins: int = 64, rate: float = 0.3, penalty: float = 1.0, least: float = 1.0,
 ) -> Boosted:
     """Trees over ``features`` for the classes of ``label`` and those ``known`` before.
 

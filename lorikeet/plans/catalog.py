@@ -10,8 +10,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lorikeet.functions import spelling
 from lorikeet.functions import text as X
 from lorikeet.functions.phonetics import with_phonemes
+from lorikeet.functions.spelling import with_all_phonemes
 from lorikeet.operators import classifier
 from lorikeet.operators import gaze as Z
 from lorikeet.operators import performance as P
@@ -225,11 +227,16 @@ def fallback_recommendations(d: Domain) -> DataFrame:
 def learnt_recommendations(d: Domain) -> DataFrame:
     """The forest learns each child's best category from its features. Its nodes
     are fitted on counts that Spark gathers, whatever the number of children."""
+    features, rows = _labelled_features(d)
+    return classifier.predict(features, classifier.train(rows))
+
+
+def _labelled_features(d: Domain) -> tuple[DataFrame, DataFrame]:
+    """The features of all children, and those of children with a best category, with it."""
     features = P.ml_features(d.children, _performance(d), d.therapy_sessions, d.activity_categories)
     best = R.rule_recommendations(d.children, _performance(d), d.activity_categories, d.activity_items)
     labels = best.where("strongest_category IS NOT NULL").select("child_id", F.col("strongest_category").alias("recommended_category"))
-    rows = features.join(labels, "child_id")
-    return classifier.predict(features, classifier.train(rows))
+    return features, features.join(labels, "child_id")
 
 
 def child_reports(d: Domain) -> DataFrame:
@@ -411,12 +418,28 @@ def broadcast_messages(d: Domain) -> DataFrame:
 
 
 def phoneme_comparisons(d: Domain) -> DataFrame:
-    """The first words of utterances, compared by their phonemes where the lexicon has both."""
-    first = lambda c: F.element_at(X.words_of(c), 1).alias(c)
-    rows = d.utterances.select("item_id", first("expected"), first("actual"))
-    rows = with_phonemes(rows, "expected", d.lexicon, "expected_phonemes")
+    """The words of utterances by their places, compared by their phonemes where the lexicon has both."""
+    words = d.utterances.select(
+        "item_id", F.posexplode(F.arrays_zip(X.words_of("expected").alias("e"), X.words_of("actual").alias("a"))).alias("position", "w")
+    ).select("item_id", "position", F.col("w.e").alias("expected"), F.col("w.a").alias("actual"))
+    rows = with_phonemes(words.where("expected IS NOT NULL AND actual IS NOT NULL"), "expected", d.lexicon, "expected_phonemes")
     rows = C.compare_words(with_phonemes(rows, "actual", d.lexicon, "actual_phonemes"), phonemes=True)
-    return rounded(rows.select("item_id", "expected", "actual", "similarity_score", "error_type", F.size("phoneme_errors").alias("n_phoneme_errors"), "feedback_class", "tip"))
+    return rounded(rows.select("item_id", "position", "expected", "actual", "similarity_score", "error_type", F.size("phoneme_errors").alias("n_phoneme_errors"), "feedback_class", "tip"))
+
+
+def guessed_phonemes(d: Domain) -> DataFrame:
+    """Phonemes of all words of the conversations: listed ones as the lexicon has
+    them, the others by a model that is fitted on it."""
+    turns = W.scan(d.spark, f"{d.sf_dir}/conversations.parquet", "conversations")
+    letters = F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1))
+    words = turns.select(F.explode(letters).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    return with_all_phonemes(words, "word", d.lexicon, spelling.fit(d.lexicon)).withColumn("phonemes", F.array_join("phonemes", " "))
+
+
+def boosted_recommendations(d: Domain) -> DataFrame:
+    """What boosted trees say that learnt each child's best category from its features."""
+    features, rows = _labelled_features(d)
+    return classifier.predict_boosted(features, classifier.boost(rows))
 
 
 def _of(query: Callable[[Domain], DataFrame]) -> Query:
@@ -476,6 +499,8 @@ CATALOG: dict[str, Callable[[Domain], DataFrame]] = {
     "attempt_facts": attempt_facts,
     "word_comparisons": word_comparisons,
     "phoneme_comparisons": phoneme_comparisons,
+    "guessed_phonemes": guessed_phonemes,
+    "boosted_recommendations": boosted_recommendations,
     "upserted_rollup": upserted_rollup,
     "deletable_items": deletable_items,
     "owned_children": owned_children,

@@ -162,14 +162,15 @@ SCORING: dict[str, str] = {
   FROM u""",
     "phoneme_comparisons": f"""
   WITH l AS (SELECT * FROM (VALUES {_PHONES}) t(word, phones)),
-  u AS (SELECT item_id, string_split(expected, ' ')[1] AS e, string_split(actual, ' ')[1] AS a FROM utterances),
+  w AS (SELECT item_id, string_split(expected, ' ') AS es, string_split(actual, ' ') AS acts FROM utterances),
+  u AS (SELECT item_id, i - 1 AS position, es[i] AS e, acts[i] AS a FROM (SELECT *, unnest(range(1, least(len(es), len(acts)) + 1)) AS i FROM w)),
   p AS (
-    SELECT item_id, e, a, lx.phones AS xp, ly.phones AS yp, {_edit("e", "a")} AS sim, x.main = y.main AS same, {_different("e", "a")} AS n,
+    SELECT item_id, position, e, a, lx.phones AS xp, ly.phones AS yp, {_edit("e", "a")} AS sim, x.main = y.main AS same, {_different("e", "a")} AS n,
            list_filter(range(1, least(len(lx.phones), len(ly.phones)) + 1), lambda i: lx.phones[i] <> ly.phones[i]) AS wrong
     FROM u LEFT JOIN l lx ON lx.word = e LEFT JOIN l ly ON ly.word = a
     LEFT JOIN {_WORD_CODES} x ON x.word = e LEFT JOIN {_WORD_CODES} y ON y.word = a),
   q AS (SELECT *, {_TIP} AS tip, len(wrong) > 0 AS faulty FROM p)
-  SELECT item_id, e AS expected, a AS actual, round_even(sim, 2) AS similarity_score,
+  SELECT item_id, CAST(position AS INTEGER) AS position, e AS expected, a AS actual, round_even(sim, 2) AS similarity_score,
          CASE WHEN sim = 1 THEN 'correct' WHEN faulty AND same THEN 'minor_pronunciation_error' WHEN sim > 0.7 THEN 'close_pronunciation'
               ELSE 'incorrect' END AS error_type, CAST(len(wrong) AS INTEGER) AS n_phoneme_errors,
          CASE WHEN sim = 1 THEN 'perfect' WHEN faulty AND tip IS NOT NULL THEN 'practise_sound' WHEN faulty THEN 'slow_down'

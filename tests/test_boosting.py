@@ -88,13 +88,15 @@ def test_equals_a_single_machine(spark, nulls):
     assert [got[r[0]] for r in rows] == said
 
 
-def test_no_worse_than_the_forest_on_unseen_children(spark):
+def test_as_good_as_the_forest_on_unseen_children(spark):
+    """Three labels in a hundred are drawn at random: 0.985 is the most that can be expected."""
     rows, df = table(spark, 900, 5)
     known, unseen = df.where("child_id % 3 <> 0"), df.where("child_id % 3 = 0")
     want = {r[0]: r[-1] for r in rows if r[0] % 3 == 0}
     share = lambda got: sum(want[r[0]] == r[1] for r in got.collect()) / len(want)
-    boosted = share(classifier.predict_boosted(unseen, classifier.boost(known)))
-    assert boosted >= share(classifier.predict(unseen, classifier.train(known))) and boosted > 0.9
+    boosted, forest = (share(classifier.predict_boosted(unseen, classifier.boost(known))), share(classifier.predict(unseen, classifier.train(known))))
+    print("held-out accuracy", boosted, forest)
+    assert boosted >= forest - 0.01 and boosted > 0.95
 
 
 def test_classes_grow_and_models_are_kept(spark, tmp_path):
