@@ -29,6 +29,7 @@ from lorikeet.session import ship
 from lorikeet.sources import tables as W
 from lorikeet.sources.domain import AS_OF, Domain, with_views
 from lorikeet.streaming import messages as M
+from lorikeet.streaming import rooms as L
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -417,6 +418,12 @@ def broadcast_messages(d: Domain) -> DataFrame:
     return M.fan_out(replies, M.members(replies)).groupBy("recipient", "type").agg(F.count("*").alias("n_messages"))
 
 
+def room_messages(d: Domain) -> DataFrame:
+    """How many messages each connection receives by type, of those sent while it was there."""
+    replies = M.route_table(d.messages)
+    return L.fan_out_at(replies, L.stays(replies)).groupBy("recipient", "type").agg(F.count("*").alias("n_messages"))
+
+
 def phoneme_comparisons(d: Domain) -> DataFrame:
     """The words of utterances by their places, compared by their phonemes where the lexicon has both."""
     words = d.utterances.select(
@@ -514,6 +521,7 @@ CATALOG: dict[str, Callable[[Domain], DataFrame]] = {
     "routed_messages": routed_messages,
     "session_members": session_members,
     "broadcast_messages": broadcast_messages,
+    "room_messages": room_messages,
 }
 
 

@@ -64,7 +64,8 @@ def _route(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, silen
     session = state.get[0] if state.exists else None
     if state.hasTimedOut:
         state.remove()
-        yield _frame([{"connection_id": key[0], "session_id": session, "type": "disconnected", "scope": "none"}])
+        now = pd.Timestamp(state.getCurrentProcessingTimeMs(), unit="ms")
+        yield _frame([{"connection_id": key[0], "session_id": session, "type": "disconnected", "scope": "none", "ts": now}])
         return
     rows = []
     whole = pd.concat(list(batches), ignore_index=True)
