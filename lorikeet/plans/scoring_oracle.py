@@ -213,13 +213,13 @@ SCORING: dict[str, str] = {
     UNION ALL SELECT connection_id, type FROM r WHERE scope = 'personal') GROUP BY ALL""",
     "room_messages": f"""
   WITH {_MESSAGES},
-  m AS (
+  marks AS (
     SELECT connection_id, session_id, type, ts, lead(ts) OVER (PARTITION BY connection_id ORDER BY ts, type = 'disconnected', session_id) AS gone
     FROM r WHERE type IN ('session_initialized', 'disconnected')),
-  stay AS (SELECT * FROM m WHERE type = 'session_initialized'),
-  n AS (SELECT *, row_number() OVER () AS reply FROM r)
+  stay AS (SELECT * FROM marks WHERE type = 'session_initialized'),
+  numbered AS (SELECT *, row_number() OVER () AS reply FROM r)
   SELECT recipient, type, count(*) AS n_messages FROM (
     SELECT DISTINCT n.reply, stay.connection_id AS recipient, n.type
-    FROM n JOIN stay ON stay.session_id = n.session_id AND stay.ts <= n.ts AND (stay.gone IS NULL OR n.ts <= stay.gone) WHERE scope = 'session'
-    UNION ALL SELECT reply, connection_id, type FROM n WHERE scope = 'personal') GROUP BY ALL""",
+    FROM numbered n JOIN stay ON stay.session_id = n.session_id AND stay.ts <= n.ts AND (stay.gone IS NULL OR n.ts <= stay.gone) WHERE scope = 'session'
+    UNION ALL SELECT reply, connection_id, type FROM numbered WHERE scope = 'personal') GROUP BY ALL""",
 }
