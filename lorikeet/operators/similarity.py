@@ -1,53 +1,149 @@
-"""Nearest children by cosine of their skill vectors (C-02)."""
+"""Nearest children by cosine of their skill vectors (C-02, J-13).
+
+Children with equal vectors are one class, of which the first ids suffice. Classes
+lie on the unit sphere and are cut into slices of neighbours, each with its least
+and greatest angle to some pivots. By the triangle inequality a slice whose angles
+are too far from those of a class can't hold a better neighbour than the k-th that
+its own slice has, and is never compared with it.
+"""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lorikeet.operators.ranking import numbered
+
 VECTOR = ("verbal_attempts", "selection_attempts", "verbal_rate", "selection_rate", "avg_score", "n_categories")
+#: Vectors whose angles bound all others, and classes of a slice.
+PIVOTS, SLICE = 16, 256
+#: Above the rounding of angles, and of similarities to nine places.
+_SLACK, _UNIT = 1e-6, 1e-9
 
 
-def _sum_of_products(a: str, b: str, names: Sequence[str]) -> Column:
-    out = F.col(f"{a}.{names[0]}") * F.col(f"{b}.{names[0]}")
-    for n in names[1:]:
-        out = out + F.col(f"{a}.{n}") * F.col(f"{b}.{n}")
+def _sum_of_products(a: Sequence[Column], b: Sequence[Column]) -> Column:
+    out = a[0] * b[0]
+    for x, y in zip(a[1:], b[1:]):
+        out = out + x * y
     return out
 
 
-#: Targets of one block, of which each meets one slice of the vectors in a task.
-BLOCK = 2048
+def _columns(side: str, names: Sequence[str]) -> list[Column]:
+    return [F.col(f"{side}.{n}") for n in names]
+
+
+def _least_ids(rows: DataFrame, n: int) -> DataFrame:
+    """One row: the ``n`` least child_ids."""
+    return rows.select("child_id").orderBy("child_id").limit(n).agg(F.array_sort(F.collect_list("child_id")).alias("ids"))
+
+
+def classes_of(vectors: DataFrame, k: int, names: Sequence[str]) -> DataFrame:
+    """(class, ids, norm, *names): distinct vectors with their ``k`` + 1 least ids,
+    of which the first names the class."""
+    order = Window.partitionBy(*names).orderBy("child_id")
+    least = vectors.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= k + 1)
+    found = least.groupBy(*names).agg(F.array_sort(F.collect_list("child_id")).alias("ids"))
+    cols = [F.col(n) for n in names]
+    return found.select(F.element_at("ids", 1).alias("class"), "ids", F.sqrt(_sum_of_products(cols, cols)).alias("norm"), *names)
+
+
+def sliced(classes: DataFrame, names: Sequence[str], pivots: int = PIVOTS, slice_rows: int = SLICE) -> DataFrame:
+    """Classes that aren't zero with their angles to the pivots, the cell of the
+    nearest one, and their slice: ``slice_rows`` neighbours in the order of the
+    angle to that pivot, in rings, and the next. Pivots are a few vectors by hash."""
+    some = classes.where("norm > 0")
+    chosen = some.orderBy(F.xxhash64("class"), "class").limit(pivots).select("norm", *names).collect()
+    cos = lambda p: _sum_of_products([F.col(n) for n in names], [F.lit(p[n]) for n in names]) / (F.col("norm") * F.lit(p["norm"]))
+    angles = [F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cos(p)))) for p in chosen]
+    rows = some.withColumn("angles", F.array(*angles) if angles else F.array().cast("array<double>"))
+    near = F.array_min("angles")
+    rows = rows.withColumn("cell", F.coalesce(F.array_position("angles", near), F.lit(0)).cast("int"))
+    ring = F.floor(F.coalesce(near, F.lit(0.0)) * 256)
+    second = F.try_element_at("angles", F.col("cell") % F.lit(max(len(chosen), 1)) + 1)
+    rows = numbered(rows, ["cell"], ring, [ring, second, "class"])
+    return rows.withColumn("slice", F.floor((F.col("place") - 1) / slice_rows).cast("int")).drop("place")
+
+
+def _bound(least: Column, most: Column, n: int) -> Column:
+    """The least angle that anything between two corners can be at from ``angles``."""
+    gaps = [F.greatest(F.get("angles", F.lit(i)) - F.get(most, F.lit(i)), F.get(least, F.lit(i)) - F.get("angles", F.lit(i))) for i in range(n)]
+    return F.greatest(F.lit(0.0), *gaps)
+
+
+def _corners(rows: DataFrame, by: Sequence[str], n: int) -> DataFrame:
+    at = lambda how: F.array(*[how(F.get("angles", F.lit(i))) for i in range(n)])
+    return rows.groupBy(*by).agg(at(F.min).alias("least"), at(F.max).alias("most"))
+
+
+def _scored(asked: DataFrame, members: DataFrame, on: Column, names: Sequence[str]) -> DataFrame:
+    """(class, id, similarity) for all ids of the members met."""
+    cosine = _sum_of_products(_columns("a", names), _columns("b", names)) / F.nullif(F.col("a.norm") * F.col("b.norm"), F.lit(0.0))
+    pairs = asked.alias("a").join(members.alias("b"), on)
+    return pairs.select(F.col("a.class").alias("class"), F.col("b.ids").alias("ids"), F.round(cosine, 9).alias("similarity"), F.col("a.floor").alias("floor"))
+
+
+def _best(pairs: DataFrame, n: int) -> DataFrame:
+    """Of each class the ``n`` ids of highest similarity, ties by id."""
+    flat = pairs.where("similarity >= floor").select("class", "similarity", F.explode("ids").alias("id"))
+    order = Window.partitionBy("class").orderBy(F.desc("similarity"), "id")
+    return flat.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n)
+
+
+def slices_to_compare(asked: DataFrame, rows: DataFrame, own: DataFrame, n: int, k: int) -> DataFrame:
+    """``asked`` classes beside each other slice that their k-th best by ``own``
+    slice doesn't rule out: first whole cells, then the slices of those left."""
+    worst = own.groupBy("class").agg(F.count("*").alias("n"), F.min("similarity").alias("worst"))
+    floor = F.when(F.col("n") > k, F.col("worst")).otherwise(F.lit(-2.0))
+    known = asked.drop("floor").join(worst, "class").withColumn("floor", floor)
+    reach = F.when(F.col("floor") < -1, F.lit(math.pi)).otherwise(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("floor") - 2 * _UNIT)))) + _SLACK
+    known = known.withColumn("reach", reach)
+    cells = _corners(rows, ["cell"], n).select(F.col("cell").alias("to_cell"), "least", "most")
+    # a row a pivot at most: a proven bound
+    left = known.join(F.broadcast(cells), _bound(F.col("least"), F.col("most"), n) <= F.col("reach")).drop("least", "most")
+    slices = _corners(rows, ["cell", "slice"], n).select(F.col("cell").alias("to_cell"), F.col("slice").alias("to_slice"), "least", "most")
+    met = left.join(slices, "to_cell").where(_bound(F.col("least"), F.col("most"), n) <= F.col("reach"))
+    other = (F.col("to_cell") != F.col("cell")) | (F.col("to_slice") != F.col("slice"))
+    return met.where(other).drop("least", "most", "reach", "angles")
 
 
 def similar_children(
-    vectors: DataFrame, targets: DataFrame, k: int = 5, names: Sequence[str] = VECTOR, block: int = BLOCK, slices: int | None = None
+    vectors: DataFrame, targets: DataFrame | None = None, k: int = 5, names: Sequence[str] = VECTOR, pivots: int = PIVOTS, slice_rows: int = SLICE
 ) -> DataFrame:
     """(child_id, rank, similar_id, similarity): of each child in ``targets``
-    (child_id) the ``k`` others with the highest cosine; ties by id, undefined
-    similarities (a zero vector) last.
-
-    The targets are dealt into blocks of about ``block`` and the vectors into
-    slices by hash, twice as many as there are shuffle partitions; a block meets a
-    slice under a key of both, so pairs are spread over blocks x slices keys. The
-    best k of a slice are kept before anything is shuffled by target.
-    """
-    cols = [F.col(n).cast("double").alias(n) for n in names]
-    rows = vectors.select("child_id", *cols)
-    norm = F.sqrt(_sum_of_products("r", "r", names))
-    rows = rows.alias("r").select("r.*", norm.alias("norm"))
-    slices = slices or 2 * int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = max(1, -(-targets.count() // block))
-    deal = lambda n: F.expr(f"cast(pmod(xxhash64(child_id), {int(n)}) as int)")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = rows.join(targets.select("child_id"), "child_id", "left_semi").withColumn("block", deal(blocks)).withColumn("slice", every(slices))
-    right = rows.withColumn("slice", deal(slices)).withColumn("block", every(blocks))
-    same = (F.col("a.block") == F.col("b.block")) & (F.col("a.slice") == F.col("b.slice"))
-    pairs = left.alias("a").join(right.alias("b"), same & (F.col("a.child_id") != F.col("b.child_id")))
-    cosine = _sum_of_products("a", "b", names) / F.nullif(F.col("a.norm") * F.col("b.norm"), F.lit(0.0))
-    scored = pairs.select(
-        F.col("a.child_id").alias("child_id"), F.col("b.child_id").alias("similar_id"), F.round(cosine, 9).alias("similarity")
-    )
-    order = Window.partitionBy("child_id").orderBy(F.desc_nulls_last("similarity"), "similar_id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    (child_id), or of every child, the ``k`` others with the highest cosine; ties
+    by id, undefined similarities (a zero vector) last. ``vectors`` has one row a
+    child; null components count as zero."""
+    rows = vectors.select("child_id", *[F.coalesce(F.col(n).cast("double"), F.lit(0.0)).alias(n) for n in names])
+    classes = classes_of(rows, k, names)
+    placed = sliced(classes, names, pivots, slice_rows).withColumn("floor", F.lit(-2.0))
+    asked = placed
+    if targets is not None:
+        wanted = rows.join(targets.select("child_id"), "child_id", "left_semi")
+        # equal doubles are equal bits here: -0.0 counts as 0.0 in both
+        asked = placed.join(wanted.select(*names).distinct(), list(names), "left_semi")
+    else:
+        wanted = rows
+    members = placed.select("cell", "slice", "class", "ids", "norm", *names)
+    same = (F.col("a.cell") == F.col("b.cell")) & (F.col("a.slice") == F.col("b.slice"))
+    own = _best(_scored(asked, members, same, names), k + 1)
+    more = slices_to_compare(asked, placed, own, pivots, k)
+    meets = (F.col("a.to_cell") == F.col("b.cell")) & (F.col("a.to_slice") == F.col("b.slice"))
+    others = _best(_scored(more, members, meets, names), k + 1)
+    both = own.unionByName(others).withColumns({"ids": F.array("id"), "floor": F.lit(-2.0)})
+    best = _best(both.select("class", "ids", "similarity", "floor"), k + 1)
+    best = best.groupBy("class").agg(F.array_sort(F.collect_list(F.struct("place", F.col("id").alias("id"), "similarity"))).alias("best"))
+    best = best.join(classes.select("class", *names), "class").drop("class")
+    # a zero vector is like none: the least ids stand for all children, and behind all others
+    zero = F.lit(True)
+    for n in names:
+        zero = zero & (F.col(n) == 0)
+    unlike = lambda ids: F.transform(ids, lambda i: F.struct(F.lit(None).cast("int").alias("place"), i.alias("id"), F.lit(None).cast("double").alias("similarity")))
+    ends = _least_ids(rows, k + 1).select(F.col("ids").alias("all_ids")).join(_least_ids(rows.where(zero), k + 1).select(F.col("ids").alias("zero_ids")))
+    found = wanted.join(best, list(names), "left").join(F.broadcast(ends))
+    list_ = F.when(zero, unlike(F.col("all_ids"))).otherwise(F.concat("best", unlike(F.col("zero_ids"))))
+    list_ = F.slice(F.filter(list_, lambda x: x["id"] != F.col("child_id")), 1, k)
+    out = found.select("child_id", F.posexplode(list_).alias("at", "x"))
+    return out.select("child_id", (F.col("at") + 1).alias("rank"), F.col("x.id").alias("similar_id"), F.col("x.similarity").alias("similarity"))

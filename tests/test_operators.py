@@ -124,7 +124,7 @@ def test_trend(make):
 def test_similar(make):
     names = ["a", "b"]
     vectors = make([(1, 1.0, 2.0), (2, 2.0, 4.0), (3, 0.0, 0.0), (4, 2.0, 1.0)], "child_id long, a double, b double")
-    got = similar_children(vectors, vectors.where("child_id IN (1, 3)"), 3, names, block=1, slices=3).collect()
+    got = similar_children(vectors, vectors.where("child_id IN (1, 3)"), 3, names, pivots=2, slice_rows=1).collect()
     by = {}
     for r in sorted(got, key=lambda r: r["rank"]):
         by.setdefault(r["child_id"], []).append((r["similar_id"], r["similarity"]))
