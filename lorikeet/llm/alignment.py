@@ -35,7 +35,7 @@ from lorikeet.llm.common import written
 #: Entries (a document's distinct chunks) that close a batch.
 BATCH_ENTRIES = 1 << 18
 #: Distinct chunks of a Python worker above which, after a batch, those go that only one of its documents had.
-KEPT_CHUNKS = 100_000
+KEPT_CHUNKS = 200_000
 #: Counts in the block of a stripe: 64 MB of long integers.
 BLOCK_CELLS = 1 << 23
 #: Pairs that one task adds up or looks up for a stripe; a stripe with more of them is salted.
@@ -157,6 +157,7 @@ class Chunks:
 
     def clear(self) -> None:
         self.number: dict[str, int] = {}
+        self.kept = 0  # chunks up to this number are from batches before
         self.equal = array("b", [1])
         self.counts = array("q", [0, 0, 0])  # tokens of A, of B, groups
         self.links, self.ends = array("I"), array("q", [0])
@@ -176,6 +177,7 @@ class Chunks:
         self.ends.frombytes(np.cumsum(n).tobytes())
         self.links.frombytes(links[at].tobytes())
         self.groups.extend(map(groups.__getitem__, chosen.tolist()))
+        self.kept = len(chosen)
 
     def _same(self, new: list[str], a: list[list[int]], b: list[list[int]]) -> list[bool]:
         """Whether the bytes of each chunk's tokens of A, and of B, are those of the chunk."""
@@ -185,12 +187,44 @@ class Chunks:
         return [r == x == y for r, x, y in zip(raw, *made)]
 
     def add(self, new: list[str]) -> None:
-        a, b = self.of.encode_a(new), self.of.encode_b(new)
-        same = self._same(new, a, b)
-        if not all(same):
-            a, b = ([ids if ok else [] for ids, ok in zip(side, same)] for side in (a, b))
-        n_a, n_b = (np.array(list(map(len, side)), np.int64) for side in (a, b))
-        ids = [np.fromiter(itertools.chain.from_iterable(side), np.int64, int(n.sum())) for side, n in ((a, n_a), (b, n_b))]
+        """Chunks that don't end with white space are encoded as one text, which is
+        cut where they end; the others one by one."""
+        joined = [c for c in new if not c[-1].isspace()] if self.of.can_cut else []
+        if joined and self._add_joined(joined):
+            whole = set(joined)
+            new = [c for c in new if c not in whole]
+        if new:
+            a, b = self.of.encode_a(new), self.of.encode_b(new)
+            same = self._same(new, a, b)
+            if not all(same):
+                a, b = ([ids if ok else [] for ids, ok in zip(side, same)] for side in (a, b))
+            n = [np.array(list(map(len, side)), np.int64) for side in (a, b)]
+            ids = [np.fromiter(itertools.chain.from_iterable(side), np.int64, int(k.sum())) for side, k in zip((a, b), n)]
+            self._store(new, same, ids, n)
+
+    def _add_joined(self, new: list[str]) -> bool:
+        """Whether it could be done: all bytes are the same and tokens end where chunks do."""
+        text = " ".join(new)
+        raw = (" " + text).encode("utf-8")
+        ends = np.cumsum([len(c.encode("utf-8")) + 1 for c in new])
+        ids, n = [], []
+        for found, of, lengths in (
+            (self.of.encode_a([text])[0], self.of.bytes_a, self.len_a), (self.of.encode_b([text])[0], self.of.bytes_b, self.len_b)
+        ):
+            if b"".join(map(of.__getitem__, found)) != raw:
+                return False
+            ids.append(np.array(found, np.int64))
+            token_ends = np.cumsum(lengths[ids[-1]])
+            last = np.searchsorted(token_ends, ends)
+            if (token_ends[last] != ends).any():
+                return False
+            n.append(np.diff(last, prepend=-1))
+        self._store(new, [True] * len(new), ids, n)
+        return True
+
+    def _store(self, new: list[str], same: list[bool], ids: list[np.ndarray], n: list[np.ndarray]) -> None:
+        """Align the tokens ``ids`` of A and B, of which each chunk has ``n``."""
+        n_a, n_b = n
         links, per_token, *groups = align(*ids, self.len_a, self.len_b)
         # tokens by group, those of A first, each with what follows it
         key = np.concatenate([2 * groups[0], 2 * groups[1] + 1])
@@ -289,9 +323,9 @@ class _Batch:
         self.entries += len(found)
 
     def frequent(self) -> np.ndarray:
-        """The chunks that several of the documents have."""
+        """The chunks that several of the documents have, and those kept before that one has."""
         found, n_docs = np.unique(np.concatenate(self.found), return_counts=True)
-        return found[(n_docs > 1) & (found > 0)]
+        return found[((n_docs > 1) | (found <= self.table.kept)) & (found > 0)]
 
     def records(self, batch: int) -> Iterator[pa.RecordBatch]:
         """A row for each document (d), one for the chunks' pairs (c), one for the pairs of each stripe (p)."""
