@@ -25,9 +25,10 @@ from lorikeet.operators import sessions as S
 from lorikeet.operators.categories import category_stats
 from lorikeet.operators.similarity import similar_children
 from lorikeet.plans.oracle import ORACLES
-from lorikeet.session import ship
+from lorikeet.session import shared_folder, ship
 from lorikeet.sources import tables as W
 from lorikeet.sources.domain import AS_OF, Domain, with_views
+from lorikeet.streaming import maintained as K
 from lorikeet.streaming import messages as M
 from lorikeet.streaming import rooms as L
 
@@ -246,6 +247,10 @@ def child_reports(d: Domain) -> DataFrame:
     )
 
 
+def report_blocks(d: Domain) -> DataFrame:
+    return T.item_blocks(d.activity_items, d.activity_categories)
+
+
 def sentence_normals(d: Domain) -> DataFrame:
     rows = d.utterances
     return rows.select("item_id", X.normalize_sentence("expected").alias("normal"), X.normalize_item_name("expected").alias("item_name"))
@@ -424,6 +429,23 @@ def room_messages(d: Domain) -> DataFrame:
     return L.fan_out_at(replies, L.stays(replies)).groupBy("recipient", "type").agg(F.count("*").alias("n_messages"))
 
 
+def maintained_rollup(d: Domain) -> DataFrame:
+    """The roll-up folded from four batches of sessions, one of them twice."""
+    kept = K.Rollup(d.spark, shared_folder(d.spark, "rollup"), 8)
+    for k in (0, 1, 1, 2, 3):
+        kept.add(d.answers.where(F.col("session_id") % 4 == k), d.therapy_sessions, k)
+    return rounded(kept.read())
+
+
+def maintained_adaptations(d: Domain) -> DataFrame:
+    """Adaptations from three batches of answers that cut through sessions."""
+    said = d.session_activities.join(d.utterances.select("item_id", F.col("actual").alias("response_text")), "item_id", "left")
+    kept = K.Adaptations(d.spark, shared_folder(d.spark, "adaptations"), 8)
+    for k in range(3):
+        kept.add(said.where(F.col("activity_id") % 3 == k), k)
+    return rounded(kept.read(d.activity_items))
+
+
 def phoneme_comparisons(d: Domain) -> DataFrame:
     """The words of utterances by their places, compared by their phonemes where the lexicon has both."""
     words = d.utterances.select(
@@ -496,6 +518,7 @@ CATALOG: dict[str, Callable[[Domain], DataFrame]] = {
     "model_recommendations": model_recommendations,
     "profile_bundles": profile_bundles,
     "child_reports": child_reports,
+    "report_blocks": report_blocks,
     "sentence_normals": sentence_normals,
     "edit_scores": edit_scores,
     "sentence_matches": sentence_matches,
@@ -509,6 +532,8 @@ CATALOG: dict[str, Callable[[Domain], DataFrame]] = {
     "guessed_phonemes": guessed_phonemes,
     "boosted_recommendations": boosted_recommendations,
     "upserted_rollup": upserted_rollup,
+    "maintained_rollup": maintained_rollup,
+    "maintained_adaptations": maintained_adaptations,
     "deletable_items": deletable_items,
     "owned_children": owned_children,
     "audio_addresses": audio_addresses,

@@ -140,6 +140,16 @@ _PLAN = """
   FROM children c LEFT JOIN (SELECT child_id, category_id FROM child_performance WHERE category_id IS NOT NULL
     QUALIFY row_number() OVER (PARTITION BY child_id ORDER BY overall_score, category_id) = 1) f USING (child_id)"""
 
+#: All items of each category in blocks of a thousand.
+_BLOCKS = """listed AS (
+    SELECT category_id, item_id, i.name || coalesce(' (' || coalesce(i.difficulty_level, l.difficulty_level) || ')', '') AS shown,
+           (row_number() OVER (PARTITION BY category_id ORDER BY item_id) - 1) // 1000 AS block
+    FROM activity_items i JOIN activity_categories l USING (category_id)),
+  blocks AS (
+    SELECT category_id, CAST(block AS INTEGER) AS block, count(*) AS n_items, string_agg(shown, '; ' ORDER BY item_id) AS text,
+           sha256(string_agg(shown, '; ' ORDER BY item_id)) AS block_id
+    FROM listed GROUP BY category_id, block)"""
+
 ORACLES: dict[str, str] = {
     "performance_rollup": f"SELECT {_PERF_COLS}, round(overall_score, 6) AS overall_score FROM child_performance",
     "item_performance": f"SELECT * REPLACE (round(success_rate, 6) AS success_rate) FROM ({_ITEM_PERF})",
@@ -342,16 +352,16 @@ ORACLES: dict[str, str] = {
   LEFT JOIN (SELECT child_id, string_agg(CAST(feedback_id AS VARCHAR), '|' ORDER BY rank) AS f FROM (
     SELECT *, row_number() OVER (PARTITION BY child_id ORDER BY created_at DESC, feedback_id DESC) AS rank FROM caregiver_feedback)
     WHERE rank <= 5 GROUP BY 1) USING (child_id)""",
+    "report_blocks": f"WITH {_BLOCKS} SELECT category_id, block, n_items, text, block_id FROM blocks",
     "child_reports": f"""
+  WITH {_BLOCKS}, lists AS (
+    SELECT category_id, sum(n_items) AS n_items, sha256(string_agg(block_id, ',' ORDER BY block)) AS list_id FROM blocks GROUP BY category_id)
   SELECT c.child_id, 'Learner: ' || c.name || coalesce(chr(10) || 'Scores:' || chr(10) || lines, chr(10) || 'No scores yet')
            || CASE WHEN lines IS NOT NULL AND f.rating IS NOT NULL THEN chr(10) || 'Latest rating: ' || f.rating ELSE '' END AS report
   FROM children c LEFT JOIN (
-    SELECT child_id, string_agg(k.name || ' ' || CAST(round_even(overall_score * 100, 0) AS INTEGER) || '%' || coalesce(': ' || shown, ''),
-             chr(10) ORDER BY k.name) AS lines
-    FROM child_performance JOIN activity_categories k USING (category_id) LEFT JOIN (
-      SELECT category_id, string_agg(i.name || ' (' || coalesce(i.difficulty_level, l.difficulty_level) || ')', '; ' ORDER BY item_id) AS shown
-      FROM (SELECT * FROM activity_items QUALIFY row_number() OVER (PARTITION BY category_id ORDER BY item_id) <= 5) i
-      JOIN activity_categories l USING (category_id) GROUP BY category_id) USING (category_id) GROUP BY child_id) USING (child_id)
+    SELECT child_id, string_agg(k.name || ' ' || CAST(round_even(overall_score * 100, 0) AS INTEGER) || '%'
+             || coalesce(' [' || CAST(n_items AS BIGINT) || ' items: ' || list_id || ']', ''), chr(10) ORDER BY k.name) AS lines
+    FROM child_performance JOIN activity_categories k USING (category_id) LEFT JOIN lists USING (category_id) GROUP BY child_id) USING (child_id)
   LEFT JOIN (SELECT child_id, session_id FROM therapy_sessions
     QUALIFY row_number() OVER (PARTITION BY child_id ORDER BY start_time DESC, session_id DESC) = 1) USING (child_id)
   LEFT JOIN ({_FIRST_FEEDBACK}) f USING (session_id)""",
@@ -362,3 +372,6 @@ ORACLES |= SCORING
 ORACLES["combined_recommendations"] = f"""
   SELECT r.*, m.ml_recommendation, c.confidence_score FROM ({ORACLES["rule_recommendations"]}) r
   JOIN ({ORACLES["fallback_recommendations"]}) m USING (child_id) JOIN ({ORACLES["ml_features"]}) c USING (child_id)"""
+# kept up to date batch by batch, they are what one pass gives
+ORACLES["maintained_rollup"] = ORACLES["performance_rollup"]
+ORACLES["maintained_adaptations"] = ORACLES["adaptations"]

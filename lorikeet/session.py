@@ -6,6 +6,7 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -41,3 +42,23 @@ def ship(spark: SparkSession) -> SparkSession:
         context.addPyFile(archive)
         context._lorikeet_shipped = True
     return spark
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for a table that a query keeps, in ``spark.checkpoint.dir``; it
+    goes at the end of the application. Where the setting is missing a local master
+    gets a temporary folder, and a cluster is refused."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        found = tempfile.mkdtemp(prefix="lorikeet-")
+    path = f"{found.rstrip('/')}/lorikeet/{name}-{uuid.uuid4().hex}"
+    atexit.register(_drop, spark, path)
+    return path
+
+
+def _drop(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is not None:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
