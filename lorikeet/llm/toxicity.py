@@ -5,13 +5,14 @@ terms; terms are hashed into buckets, and a document has the set of its buckets.
 The machine adds to the linear weights a weight for every pair of buckets, as
 the product of two short vectors, so a pair such as an insult with a group can
 weigh more than its parts. It is fitted on a bounded sample of labelled rows in
-one task; statistics that choose its buckets are counted by Spark, and every
-document is scored over its whole text where it lies.
-
-Two kinds of buckets enter the machine: those whose share differs between the
-classes, and those whose share differs only among the rows that hold some other
-bucket, which then enters with it. The second kind tells nothing alone and would
-be missed by a look at single terms.
+one task, over every bucket that the sample has; every document is scored over
+its whole text where it lies.
+
+What keeps chance out are penalties, not cuts. A bucket enters the linear part at
+a scale that follows from how far its shares in the two classes lie apart, so one
+that tells little needs a large weight and pays for it; vectors shrink toward
+zero unless pairs need them, and a bucket that tells nothing alone can still do so
+with another.
 """
 
 from __future__ import annotations
@@ -34,21 +35,19 @@ from lorikeet.llm.common import scratch_scope, written
 BUCKETS, PREFIXES = 1 << 18, (4, 5, 6)
 #: Labelled rows of each class that the machine is fitted on, at most.
 SAMPLE = 6000
-#: Buckets that enter the machine by themselves, at most, and the least |z| of their class difference.
-SELECTED, LEAST_Z = 4096, 4.0
-#: Other frequent buckets that are looked at in pairs, pairs that enter, at most, and the least |z| of one
-#: bucket's class difference among the rows of the other, of which each class must have so many.
-PAIRED, PAIRS, LEAST_PAIR_Z, LEAST_ROWS = 512, 32, 6.0, 20
-#: Signatures of a row's buckets, and buckets in one: rows that share one count once when pairs are looked at.
-SIGNATURES, SIGNED = 6, 10
-#: Length of the vectors of the pairwise part.
-RANK = 4
+#: |z| of the difference between the classes at which a bucket enters at half its scale.
+HALF_Z = 8.0
+#: Square penalties of weights and vectors against the loss of all rows together, so that few rows prove little,
+#: and the step by which vectors shrink.
+WEIGHT_PENALTY, VECTOR_PENALTY, VECTOR_SHRINK = 1.0, 10.0, 0.05
+#: Length of the vectors of the pairwise part, steps of the fit, and rows of a step.
+RANK, STEPS, ROWS = 4, 450, 256
 #: Score from which a document is called toxic.
 CUT = 0.3
 #: Words whose buckets a Python worker keeps.
 KEPT_WORDS = 60_000
 
-_words = re.compile(r"[^\W\d_]+").findall
+_words = re.compile(r"[^\W_]+").findall
 
 
 def buckets_of(word: str) -> tuple[int, ...]:
@@ -64,9 +63,9 @@ def held_out(doc_id: Column) -> Column:
 
 @dataclass(frozen=True)
 class Machine:
-    """bias + sum of w over a document's buckets + sum over pairs of <v, v'>."""
+    """bias + sum of w over a document's buckets + sum over pairs of <v, v'>, with a
+    row of w and v for every bucket; buckets that were never seen have zeros."""
 
-    buckets: np.ndarray
     bias: float
     w: np.ndarray
     v: np.ndarray
@@ -78,77 +77,63 @@ class Machine:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def fit(x: np.ndarray, y: np.ndarray, prior: float, rank: int = RANK, steps: int = 1200, seed: int = 0) -> tuple:
-    """(bias, w, v) by Adam, in steps that shrink, on the logistic loss with a square
-    penalty; x holds 0 and 1. ``prior``: the share of the class among all labelled
-    rows, to which the bias is corrected from the share in the sample."""
+def fit(sets: list[np.ndarray], y: np.ndarray, prior: float, n: int = BUCKETS, steps: int = STEPS, seed: int = 0) -> Machine:
+    """The machine for rows with the buckets ``sets`` (below ``n``) and classes ``y``
+    (0 and 1, both there), by Adam on the logistic loss in steps that shrink.
+
+    Only the buckets of a step's rows are read, all of them. ``prior``: the share of
+    the class among all labelled rows, to which the bias is corrected from the
+    share in the sample.
+    """
+    ends = np.cumsum([0, *map(len, sets)])
+    used, flat = np.unique(np.concatenate([*sets, np.zeros(0, np.int64)]), return_inverse=True)
+    k, y = len(used), np.asarray(y, np.float64)
+    of = np.repeat(y, np.diff(ends))
+    pos, neg = np.bincount(flat, of, k), np.bincount(flat, 1 - of, k)
+    n_pos, n_neg = y.sum(), (1 - y).sum()
+    mid = (pos + neg) / len(y)
+    z2 = (pos / n_pos - neg / n_neg) ** 2 / (np.maximum(mid * (1 - mid), 1e-9) * (1 / n_pos + 1 / n_neg))
+    scale = z2 / (z2 + HALF_Z**2)
+    # in pairs a bucket that hardly any row has, or hardly any lacks, tells less
+    evenness = 2 * np.sqrt(mid * (1 - mid))
     rng = np.random.default_rng(seed)
-    n, k = x.shape
-    params = [np.zeros(1, np.float32), np.zeros(k, np.float32), rng.normal(0, 0.01, (k, rank)).astype(np.float32)]
+    params = [np.zeros(1), np.zeros(k), rng.normal(0, 0.01, (k, RANK))]
     mean, square = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    penalty = (0.0, 1e-4, 1e-3)
+    order = np.zeros(0, int)
     for t in range(1, steps + 1):
+        if len(order) < min(ROWS, len(y)):
+            order = rng.permutation(len(y))
+        rows, order = order[:ROWS], order[ROWS:]
+        sizes = ends[rows + 1] - ends[rows]
+        seg = np.repeat(np.arange(len(rows)), sizes)
+        i = flat[np.arange(sizes.sum()) + np.repeat(ends[rows] - (np.cumsum(sizes) - sizes), sizes)]
+        bias, w, v = params
+        part = v[i] * evenness[i, None]
+        sums = np.stack([np.bincount(seg, part[:, f], len(rows)) for f in range(RANK)], axis=1)
+        squares = np.bincount(seg, (part**2).sum(axis=1), len(rows))
+        score = bias[0] + np.bincount(seg, w[i] * scale[i], len(rows)) + 0.5 * ((sums**2).sum(axis=1) - squares)
+        g = (1 / (1 + np.exp(-np.clip(score, -30, 30))) - y[rows]) / len(rows)
+        gi, pull = g[seg], sums[seg] - part
+        slopes = [
+            g.sum(keepdims=True),
+            np.bincount(i, gi * scale[i], k) + WEIGHT_PENALTY / len(y) * w,
+            np.stack([np.bincount(i, gi * evenness[i] * pull[:, f], k) for f in range(RANK)], axis=1) + VECTOR_PENALTY / len(y) * v,
+        ]
         rate = 0.03 * (1 - 0.9 * t / steps)
-        rows = rng.integers(0, n, 512)
-        b, w, v = params
-        xb, yb = x[rows], y[rows]
-        xv = xb @ v
-        z = b + xb @ w + 0.5 * ((xv**2).sum(1) - xb @ (v**2).sum(1))
-        g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - yb) / len(rows)
-        grads = [g.sum(keepdims=True), xb.T @ g, xb.T @ (g[:, None] * xv) - v * (xb.T @ g)[:, None]]
-        for i, grad in enumerate(grads):
-            grad = grad + penalty[i] * params[i]
-            mean[i] = 0.9 * mean[i] + 0.1 * grad
-            square[i] = 0.999 * square[i] + 0.001 * grad**2
-            params[i] = params[i] - rate * (mean[i] / (1 - 0.9**t)) / (np.sqrt(square[i] / (1 - 0.999**t)) + 1e-8)
-    share = float(y.mean())
-    shift = np.log(prior / (1 - prior)) - np.log(share / (1 - share))
-    return float(params[0][0] + shift), params[1], params[2]
-
-
-def _signatures(at: np.ndarray) -> list[int]:
-    """Hashes of the buckets that come first in several orders: near copies share some."""
-    return [zlib.crc32(np.sort(at * (2 * k + 0x9E37 | 1) % BUCKETS)[:SIGNED].tobytes()) for k in range(SIGNATURES)]
-
-
-def _distinct_rows(signatures: list[list[int]]) -> np.ndarray:
-    seen: set[tuple[int, int]] = set()
-    keep = []
-    for i, row in enumerate(signatures):
-        keys = set(enumerate(row))
-        if not keys & seen:
-            keep.append(i)
-        seen |= keys
-    return np.array(keep, int)
-
-
-def paired(x: np.ndarray, y: np.ndarray, alone: np.ndarray) -> np.ndarray:
-    """Columns of x (0 and 1, n rows) that enter in pairs: of the columns not in
-    ``alone`` those whose share differs most between the classes among the rows
-    that hold some other column, each with that column."""
-    others = np.flatnonzero(~alone)
-    if not len(others):
-        return others
-    both = [np.zeros((x.shape[1], len(others)), np.float32) for _ in (0, 1)]  # rows that hold a and b
-    for lo in range(0, len(x), 1000):
-        for c in (0, 1):
-            some = x[lo : lo + 1000][y[lo : lo + 1000] == c].astype(np.float32)
-            both[c] += some.T @ some[:, others]
-    rows = [x[y == c].sum(axis=0, dtype=np.float32)[:, None] for c in (0, 1)]
-    with np.errstate(divide="ignore", invalid="ignore"):
-        share = [b / n for b, n in zip(both, rows)]
-        mid = (both[0] + both[1]) / (rows[0] + rows[1])
-        z = np.abs(share[0] - share[1]) / np.sqrt(np.maximum(mid * (1 - mid), 1e-9) * (1 / rows[0] + 1 / rows[1]))
-    z[(np.minimum(rows[0], rows[1]) < LEAST_ROWS)[:, 0]] = 0
-    best = z.max(axis=0)
-    order = np.argsort(-best, kind="stable")[:PAIRS]
-    order = order[best[order] >= LEAST_PAIR_Z]
-    return np.union1d(others[order], z[:, order].argmax(axis=0))
+        for j, slope in enumerate(slopes):
+            mean[j] = 0.9 * mean[j] + 0.1 * slope
+            square[j] = 0.999 * square[j] + 0.001 * slope**2
+            params[j] = params[j] - rate * (mean[j] / (1 - 0.9**t)) / (np.sqrt(square[j] / (1 - 0.999**t)) + 1e-8)
+        params[2] = np.sign(params[2]) * np.maximum(np.abs(params[2]) - rate * VECTOR_SHRINK, 0)
+    share = n_pos / len(y)
+    w, v = np.zeros(n, np.float32), np.zeros((n, RANK), np.float32)
+    w[used], v[used] = params[1] * scale, params[2] * evenness[:, None]
+    return Machine(float(params[0][0] + np.log(prior / (1 - prior)) - np.log(share / (1 - share))), w, v)
 
 
 def _constant(rate: float) -> Machine:
     rate = min(max(rate, 1e-6), 1 - 1e-6)
-    return Machine(np.zeros(0, int), float(np.log(rate / (1 - rate))), np.zeros(0), np.zeros((0, RANK)))
+    return Machine(float(np.log(rate / (1 - rate))), np.zeros(BUCKETS, np.float32), np.zeros((BUCKETS, RANK), np.float32))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
@@ -162,8 +147,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     labels teach nothing, null texts are empty. Without both classes the machine
     gives the share of the class to every document (one millionth at least).
 
-    What reaches the driver are numbers of buckets, SELECTED + PAIRED at most, and
-    the machine.
+    What reaches the driver is the machine, five numbers for each of BUCKETS.
     """
     with scratch_scope(docs.sparkSession):
         return _trained(docs, labels, sample)
@@ -188,80 +172,48 @@ def _trained(docs: DataFrame, labels: DataFrame, sample: int) -> Machine:
             for x in batch.column(2):
                 words = set(_words((x.as_py() or "").lower()))
                 sets.append(sorted({b for w in words for b in buckets_of(w)}))
-            signs = pa.array([_signatures(np.array(at, np.int64)) for at in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(sets, pa.list_(pa.int32())), signs], names=["doc_id", "y", "at", "signs"]
-            )
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(sets, pa.list_(pa.int32()))], names=["doc_id", "y", "at"])
 
     # at most 2 x sample rows of two numbers: a proven bound
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id")
     single = texts.groupBy("doc_id", "y").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("least"))
     rows = written(
-        single.select("doc_id", "y", "least.text").mapInArrow(each, "doc_id long, y int, at array<int>, signs array<bigint>"),
+        single.select("doc_id", "y", "least.text").mapInArrow(each, "doc_id long, y int, at array<int>"),
         "toxicity",
     )
+    prior = totals[1] / (totals[0] + totals[1])
     n = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if not n.get(0) or not n.get(1):
-        return _constant(totals[1] / sum(totals.values()))
-    both, p, q = n[0] + n[1], F.col("pos") / n[1], F.col("neg") / n[0]
-    mid = (F.col("pos") + F.col("neg")) / both
-    z = F.abs(p - q) / F.sqrt(F.greatest(mid * (1 - mid), F.lit(1e-9)) * (1 / n[0] + 1 / n[1]))
-    counted = rows.select("y", F.explode("at").alias("bucket")).groupBy("bucket").agg(
-        F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg")
-    )
-    counted = written(counted.withColumn("z", z).withColumn("n", F.col("pos") + F.col("neg")), "toxicity-buckets")
-    best = counted.where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "bucket").limit(SELECTED)
-    frequent = counted.where(F.col("z") < LEAST_Z).where(F.col("n").between(LEAST_ROWS, 0.97 * both))
-    frequent = frequent.orderBy(F.desc("n"), "bucket").limit(PAIRED)
-    alone = np.array(sorted(r["bucket"] for r in best.select("bucket").collect()), int)
-    looked_at = np.union1d(alone, [r["bucket"] for r in frequent.select("bucket").collect()]).astype(int)
-    if not len(looked_at):
-        return _constant(totals[1] / sum(totals.values()))
-    prior = totals[1] / (totals[0] + totals[1])
+        return _constant(prior)
 
     def learn(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["doc_id", "y"])
-        x, y = np.zeros((len(part), len(looked_at)), np.uint8), part["y"].to_numpy(np.float32)
-        for i, at in enumerate(part["at"]):
-            x[i, np.searchsorted(looked_at, at)] = 1
-        own = np.isin(looked_at, alone)
-        once = _distinct_rows(part["signs"].tolist())
-        own[paired(x[once], y[once], own)] = True
-        x = x[:, own].astype(np.float32)
-        bias, w, v = fit(x, y, prior)
-        return pd.DataFrame({"bias": [bias], "buckets": [looked_at[own].tolist()], "w": [w.tolist()], "v": [v.ravel().tolist()]})
-
-    wanted = F.array(*[F.lit(int(b)) for b in looked_at])
-    narrow = rows.select("doc_id", "y", "signs", F.array_intersect("at", wanted).alias("at"))
-    got = narrow.groupBy().applyInPandas(learn, "bias double, buckets array<int>, w array<double>, v array<double>").first()
-    if not got["buckets"]:
-        return _constant(prior)
-    return Machine(np.array(got["buckets"]), got["bias"], np.array(got["w"]), np.array(got["v"]).reshape(-1, RANK))
+        made = fit([np.asarray(at, np.int64) for at in part["at"]], part["y"].to_numpy(), prior)
+        return pd.DataFrame({"bias": [made.bias], "w": [made.w.tobytes()], "v": [made.v.tobytes()]})
+
+    got = rows.groupBy().applyInPandas(learn, "bias double, w binary, v binary").first()
+    return Machine(got["bias"], np.frombuffer(got["w"], np.float32), np.frombuffer(got["v"], np.float32).reshape(-1, RANK))
 
 
 def score(docs: DataFrame, machine: Machine, out: str = "score") -> DataFrame:
     """``docs`` (doc_id, text, ...) with ``out``, 0 to 1, of every whole text; an
     empty or null text gets the score of no terms. A column of that name is
     replaced, all others stay."""
-    place = {int(b): i for i, b in enumerate(machine.buckets)}
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[str, tuple[int, ...]] = {}
-
-        def places(word: str) -> tuple[int, ...]:
-            found = tuple(place[b] for b in buckets_of(word) if b in place)
-            if len(kept) < KEPT_WORDS:
-                kept[word] = found
-            return found
-
         for batch in (b.slice(lo, 1000) for b in batches for lo in range(0, b.num_rows, 1000)):
             scores = []
             for x in batch.column(batch.schema.get_field_index("text")):
                 at: set[int] = set()
                 for word in set(_words((x.as_py() or "").lower())):
                     found = kept.get(word)
-                    at.update(places(word) if found is None else found)
-                scores.append(machine.score(np.array(sorted(at), int)))
+                    if found is None:
+                        found = buckets_of(word)
+                        if len(kept) < KEPT_WORDS:
+                            kept[word] = found
+                    at.update(found)
+                scores.append(machine.score(np.array(sorted(at), np.int64)))
             yield batch.append_column(out, pa.array(scores, pa.float64()))
 
     base = docs.drop(out)
