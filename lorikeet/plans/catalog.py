@@ -208,9 +208,10 @@ def rule_recommendations(d: Domain) -> DataFrame:
 
 
 def starter_activities(d: Domain) -> DataFrame:
-    """What a child without a roll-up is given: children whose attempts are all forgotten."""
-    none = _performance(d).limit(0)
-    rows = R.rule_recommendations(d.children, none, d.activity_categories, d.activity_items)
+    """What children start with who have no answers of the last ninety days."""
+    perf = P.performance_rollup(d.answers, G.in_window(d.therapy_sessions, AS_OF, 90))
+    new = d.children.join(perf.select("child_id"), "child_id", "left_anti")
+    rows = R.rule_recommendations(new, perf, d.activity_categories, d.activity_items)
     return _shown(rows).select("child_id", "next_activities", "encouragement")
 
 
@@ -353,10 +354,10 @@ def upserted_rollup(d: Domain) -> DataFrame:
 
 
 def deletable_items(d: Domain) -> DataFrame:
-    """Items that no spoken attempt without a verdict refers to, in the sessions of the first category."""
-    sessions = d.therapy_sessions.where("category_id = 0").select("session_id")
-    facts = d.answers.where("is_correct IS NULL AND response_type = 'verbal'").join(sessions, "session_id", "left_semi")
-    return W.deletable(d.activity_items, facts, "item_id").select("item_id", "name")
+    """Of all items and a draft beside each, those that no attempt refers to."""
+    items = d.activity_items.select("item_id", "name")
+    drafts = items.select((-F.col("item_id") - 1).alias("item_id"), F.concat(F.lit("draft of "), "name").alias("name"))
+    return W.deletable(items.unionByName(drafts), d.session_activities, "item_id")
 
 
 def owned_children(d: Domain) -> DataFrame:

@@ -289,7 +289,7 @@ ORACLES: dict[str, str] = {
          best AS strongest_category, worst AS weakest_category,
          CASE WHEN mean IS NULL THEN 'new_learner' WHEN g.x IS NOT NULL THEN 'praise' ELSE 'keep_practising' END AS encouragement
   FROM children c LEFT JOIN w USING (child_id) LEFT JOIN g USING (child_id) LEFT JOIN b USING (child_id)""",
-    "starter_activities": f"SELECT child_id, ({_STARTERS}) AS next_activities, 'new_learner' AS encouragement FROM children",
+    "starter_activities": f"SELECT child_id, ({_STARTERS}) AS next_activities, 'new_learner' AS encouragement FROM children WHERE child_id NOT IN (SELECT child_id FROM therapy_sessions JOIN session_activities USING (session_id) WHERE {_window(90)})",
     "suggested_items": """
   SELECT category_id, c.name AS category, CAST(row_number() OVER (PARTITION BY category_id ORDER BY item_id) AS INTEGER) AS rank,
          item_id, i.name FROM activity_items i JOIN activity_categories c USING (category_id)
@@ -328,9 +328,8 @@ ORACLES: dict[str, str] = {
   SELECT item_id, lower(trim(expected)) = lower(trim(actual)) AS is_correct, 'generic' AS response_type FROM utterances""",
     "upserted_rollup": f"SELECT {_PERF_COLS}, round(overall_score, 6) AS overall_score FROM child_performance",
     "deletable_items": """
-  SELECT item_id, name FROM activity_items WHERE item_id NOT IN (
-    SELECT item_id FROM session_activities JOIN therapy_sessions USING (session_id)
-    WHERE category_id = 0 AND is_correct IS NULL AND response_type = 'verbal')""",
+  SELECT item_id, name FROM (SELECT item_id, name FROM activity_items UNION ALL SELECT -item_id - 1, 'draft of ' || name FROM activity_items)
+  WHERE item_id NOT IN (SELECT item_id FROM session_activities WHERE item_id IS NOT NULL)""",
     "owned_children": "SELECT * FROM children WHERE caregiver_id = 7",
     "audio_addresses": "SELECT item_id, coalesce(audio_url, 'audio/' || lower(name) || '.mp3') AS audio_url FROM activity_items",
     "stored_gaze": _GAZE,
