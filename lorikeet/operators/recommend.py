@@ -374,22 +374,22 @@ def rule_recommendations(children: DataFrame, performance: DataFrame, categories
     three easy categories and their first three items."""
     named = performance.join(categories.select("category_id", "name", "difficulty_level"), "category_id")
 
-    def first(cond: Column, n: int, out: str) -> DataFrame:
-        order = Window.partitionBy("child_id").orderBy("category_id")
-        rows = named.where(cond).withColumn("place", F.row_number().over(order)).where(F.col("place") <= n)
-        pairs = F.array_sort(F.collect_list(F.struct("place", "name")))
-        return rows.groupBy("child_id").agg(F.transform(pairs, lambda x: x["name"]).alias(out))
+    def first(cond: Column, n: int, out: str) -> Column:
+        some = F.slice(F.array_sort(F.collect_list(F.when(cond, F.struct("category_id", "name")))), 1, n)
+        return F.transform(some, lambda x: x["name"]).alias(out)
 
+    # one grouping: a child has a row for each category that it has tried
     report = named.groupBy("child_id").agg(
         F.avg("overall_score").alias("average_score"),
         F.min(F.struct(-F.col("overall_score"), "name"))["name"].alias("strongest_category"),
         F.min(F.struct("overall_score", "name"))["name"].alias("weakest_category"),
+        first(F.col("overall_score") < 0.6, 3, "weak"),
+        first(F.col("overall_score") >= 0.8, 2, "strong"),
     )
     none = F.array().cast("array<string>")
     activity = "array<struct<category:string,items:array<string>>>"
     up = items_by_category(categories, suggested_items(categories, items))
-    weak = first(F.col("overall_score") < 0.6, 3, "weak")
-    placed = weak.select("child_id", F.posexplode("weak").alias("place", "category")).join(up, "category", "left")
+    placed = report.select("child_id", F.posexplode("weak").alias("place", "category")).join(up, "category", "left")
     following = placed.groupBy("child_id").agg(
         F.array_sort(F.collect_list(F.struct("place", "category", F.coalesce("items", none).alias("items")))).alias("x")
     ).select("child_id", F.transform("x", lambda x: F.struct(x["category"].alias("category"), x["items"].alias("items"))).alias("following"))
@@ -398,8 +398,6 @@ def rule_recommendations(children: DataFrame, performance: DataFrame, categories
         .join(following, "child_id", "left")
         .join(starter_activities(categories, items))
         .join(report, "child_id", "left")
-        .join(weak, "child_id", "left")
-        .join(first(F.col("overall_score") >= 0.8, 2, "strong"), "child_id", "left")
         .select(
             "child_id",
             F.coalesce("weak", none).alias("practice_more"),
