@@ -288,6 +288,36 @@ def conversation_stutter(d: Domain) -> DataFrame:
     return rows.select("conv_id", "turn", X.detect_stuttering("text").alias("s")).select("conv_id", "turn", "s.*")
 
 
+def echolalic_turns(d: Domain) -> DataFrame:
+    """B-04 of every turn of the conversations."""
+    rows = W.scan(d.spark, f"{d.sf_dir}/conversations.parquet", "conversations")
+    return rows.select("conv_id", "turn", F.coalesce(X.is_echolalic("text"), F.lit(False)).alias("is_echolalic"))
+
+
+def word_variants(d: Domain) -> DataFrame:
+    """B-05 of the distinct words that are expected or said."""
+    words = d.utterances.select(F.explode(F.concat(X.words_of("expected"), X.words_of("actual"))).alias("word")).distinct()
+    return words.select("word", listed(F.array_sort(X.phonetic_variants("word"))).alias("variants"))
+
+
+def stored_training(d: Domain) -> DataFrame:
+    """S-12: training rows added to a CSV folder in two parts and read again."""
+    rows = rounded(P.ml_features(d.children, _performance(d), d.therapy_sessions, d.activity_categories))
+    path = shared_folder(d.spark, "training")
+    for part in (0, 1):
+        W.append_training(rows.where(F.col("child_id") % 2 == part), path)
+    return W.read_training(d.spark, path, ", ".join(f"{c} {t}" for c, t in rows.dtypes))
+
+
+def appended_feedback(d: Domain) -> DataFrame:
+    """S-05: feedback added to a table in two parts, of ratings that are allowed."""
+    rows = W.with_constraints(d.caregiver_feedback.select("feedback_id", "session_id", "child_id", "rating", "created_at"), {"rating": (1, 5)})
+    path = shared_folder(d.spark, "feedback")
+    for part in (0, 1):
+        W.append(rows.where(F.col("feedback_id") % 2 == part), path)
+    return d.spark.read.schema(rows.schema).parquet(path)
+
+
 def sentence_scores(d: Domain) -> DataFrame:
     rows = C.score_sentences(d.utterances).drop("expected", "actual")
     return rounded(rows.withColumn("substitutions", F.to_json("substitutions")))
@@ -525,6 +555,10 @@ CATALOG: dict[str, Callable[[Domain], DataFrame]] = {
     "sentence_matches": sentence_matches,
     "graded_answers": graded_answers,
     "conversation_stutter": conversation_stutter,
+    "echolalic_turns": echolalic_turns,
+    "word_variants": word_variants,
+    "stored_training": stored_training,
+    "appended_feedback": appended_feedback,
     "sentence_scores": sentence_scores,
     "word_scores": word_scores,
     "attempt_facts": attempt_facts,

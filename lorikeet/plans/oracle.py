@@ -374,3 +374,6 @@ ORACLES["combined_recommendations"] = f"""
 # kept up to date batch by batch, they are what one pass gives
 ORACLES["maintained_rollup"] = ORACLES["performance_rollup"]
 ORACLES["maintained_adaptations"] = ORACLES["adaptations"]
+# what is written comes back
+ORACLES["stored_training"] = ORACLES["ml_features"]
+ORACLES["appended_feedback"] = "SELECT feedback_id, session_id, child_id, rating, created_at FROM caregiver_feedback WHERE rating BETWEEN 1 AND 5"

@@ -200,6 +200,15 @@ SCORING: dict[str, str] = {
   g AS (SELECT *, {_STUTTER} FROM t)
   SELECT conv_id, turn, repeated > 0 OR dragged > 0 AS has_stammering, CAST(repeated AS INTEGER) AS repetition_count,
          CAST(len(words) AS INTEGER) AS word_count FROM g""",
+    "echolalic_turns": """
+  WITH t AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '') AS words FROM conversations)
+  SELECT conv_id, turn, coalesce(len(words) > 1 AND len(list_distinct(words)) = 1, false) AS is_echolalic FROM t""",
+    "word_variants": f"""
+  WITH w AS (SELECT DISTINCT unnest(string_split(expected, ' ') || string_split(actual, ' ')) AS word FROM utterances),
+  l AS (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM w),
+  g AS (SELECT word, i, unnest({_GROUPS}) AS sounds FROM l),
+  v AS (SELECT DISTINCT word, substr(word, 1, i - 1) || unnest(sounds) || substr(word, i + 1) AS variant FROM g WHERE list_contains(sounds, substr(word, i, 1)))
+  SELECT word, coalesce(string_agg(variant, '|' ORDER BY variant), '') AS variants FROM w LEFT JOIN v USING (word) WHERE word <> '' GROUP BY word""",
     "adaptations": f"""
   WITH l AS (
     SELECT a.session_id, a.is_correct, a.response_type, lower(i.name) AS e, lower(u.actual) AS a
