@@ -93,11 +93,11 @@ def fit(sets: list[np.ndarray], y: np.ndarray, prior: float, n: int = BUCKETS, s
     n_pos, n_neg = y.sum(), (1 - y).sum()
     mid = (pos + neg) / len(y)
     z2 = (pos / n_pos - neg / n_neg) ** 2 / (np.maximum(mid * (1 - mid), 1e-9) * (1 / n_pos + 1 / n_neg))
-    scale = z2 / (z2 + HALF_Z**2)
+    scale = (z2 / (z2 + HALF_Z**2)).astype(np.float32)
     # in pairs a bucket that hardly any row has, or hardly any lacks, tells less
-    evenness = 2 * np.sqrt(mid * (1 - mid))
+    evenness = (2 * np.sqrt(mid * (1 - mid))).astype(np.float32)
     rng = np.random.default_rng(seed)
-    params = [np.zeros(1), np.zeros(k), rng.normal(0, 0.01, (k, RANK))]
+    params = [np.zeros(1, np.float32), np.zeros(k, np.float32), rng.normal(0, 0.01, (RANK, k)).astype(np.float32)]
     mean, square = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     order = np.zeros(0, int)
     for t in range(1, steps + 1):
@@ -108,26 +108,28 @@ def fit(sets: list[np.ndarray], y: np.ndarray, prior: float, n: int = BUCKETS, s
         seg = np.repeat(np.arange(len(rows)), sizes)
         i = flat[np.arange(sizes.sum()) + np.repeat(ends[rows] - (np.cumsum(sizes) - sizes), sizes)]
         bias, w, v = params
-        part = v[i] * evenness[i, None]
-        sums = np.stack([np.bincount(seg, part[:, f], len(rows)) for f in range(RANK)], axis=1)
-        squares = np.bincount(seg, (part**2).sum(axis=1), len(rows))
-        score = bias[0] + np.bincount(seg, w[i] * scale[i], len(rows)) + 0.5 * ((sums**2).sum(axis=1) - squares)
+        at_scale, at_even = scale[i], evenness[i]
+        part = v[:, i] * at_even
+        sums = np.stack([np.bincount(seg, x, len(rows)) for x in part])
+        squares = np.bincount(seg, (part**2).sum(axis=0), len(rows))
+        score = bias[0] + np.bincount(seg, w[i] * at_scale, len(rows)) + 0.5 * ((sums**2).sum(axis=0) - squares)
         g = (1 / (1 + np.exp(-np.clip(score, -30, 30))) - y[rows]) / len(rows)
-        gi, pull = g[seg], sums[seg] - part
+        gi, pull = g[seg], sums[:, seg] - part
         slopes = [
             g.sum(keepdims=True),
-            np.bincount(i, gi * scale[i], k) + WEIGHT_PENALTY / len(y) * w,
-            np.stack([np.bincount(i, gi * evenness[i] * pull[:, f], k) for f in range(RANK)], axis=1) + VECTOR_PENALTY / len(y) * v,
+            np.bincount(i, gi * at_scale, k) + WEIGHT_PENALTY / len(y) * w,
+            np.stack([np.bincount(i, gi * at_even * x, k) for x in pull]) + VECTOR_PENALTY / len(y) * v,
         ]
         rate = 0.03 * (1 - 0.9 * t / steps)
-        for j, slope in enumerate(slopes):
-            mean[j] = 0.9 * mean[j] + 0.1 * slope
-            square[j] = 0.999 * square[j] + 0.001 * slope**2
-            params[j] = params[j] - rate * (mean[j] / (1 - 0.9**t)) / (np.sqrt(square[j] / (1 - 0.999**t)) + 1e-8)
-        params[2] = np.sign(params[2]) * np.maximum(np.abs(params[2]) - rate * VECTOR_SHRINK, 0)
+        for value, slope, m, q in zip(params, slopes, mean, square):  # Adam, in place
+            m += 0.1 * (slope - m)
+            q += 0.001 * (slope * slope - q)
+            value -= (rate / (1 - 0.9**t)) * m / (np.sqrt(q / (1 - 0.999**t)) + 1e-8)
+        size = np.abs(v)
+        v *= np.maximum(size - rate * VECTOR_SHRINK, 0) / np.maximum(size, 1e-30)
     share = n_pos / len(y)
     w, v = np.zeros(n, np.float32), np.zeros((n, RANK), np.float32)
-    w[used], v[used] = params[1] * scale, params[2] * evenness[:, None]
+    w[used], v[used] = params[1] * scale, (params[2] * evenness).T
     return Machine(float(params[0][0] + np.log(prior / (1 - prior)) - np.log(share / (1 - share))), w, v)
 
 
