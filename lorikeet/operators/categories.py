@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lorikeet.operators.ranking import put_to_each
+
 
 def category_stats(
     children: DataFrame,
@@ -39,8 +41,8 @@ def category_stats(
         )
     )
     chosen = interests.select("child_id", "category_id").distinct().withColumn("chosen", F.lit(True))
-    every = wanted.join(counts, "category_id", "left").withColumn("one", F.lit(1))
-    grid = children.select("child_id", F.lit(1).alias("one")).join(every, "one").drop("one")
+    every = wanted.join(counts, "category_id", "left")
+    grid = put_to_each(children.select("child_id"), every, "child_id")
     joined = grid.join(chosen, ["child_id", "category_id"], "left").join(attempts, ["child_id", "category_id"], "left")
     selected = F.coalesce("chosen", F.lit(False))
     return joined.select(

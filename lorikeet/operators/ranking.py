@@ -1,4 +1,4 @@
-"""Row numbers within keys of any size."""
+"""Row numbers within keys of any size, and tables put to each row."""
 
 from __future__ import annotations
 
@@ -32,3 +32,15 @@ def numbered(df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence
     inside = Window.partitionBy(*by).orderBy(*order)
     placed = rows.withColumn(out, F.row_number().over(inside)).join(offsets, by)
     return placed.withColumn(out, (F.col(out) + F.col("__offset")).cast("long")).drop("__bucket", "__offset")
+
+
+def put_to_each(rows: DataFrame, small: DataFrame, key: str) -> DataFrame:
+    """Every row of ``rows`` beside every row of ``small``, where that is the result.
+
+    Both meet on a salt, so it is a join like any other: the planner broadcasts
+    ``small`` where its size is known to allow it, else rows are dealt to as many
+    salts as there are shuffle partitions, each of which has a copy of ``small``.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    copies = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    return rows.withColumn("__salt", F.pmod(F.xxhash64(key), F.lit(n)).cast("int")).join(copies, "__salt").drop("__salt")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lorikeet.functions.text import most_different_sound
 from lorikeet.operators.performance import difficulty_rank
-from lorikeet.operators.ranking import id_slice, numbered
+from lorikeet.operators.ranking import id_slice, numbered, put_to_each
 from lorikeet.operators.sessions import newest, recent_rate, success_so_far
 
 
@@ -27,9 +27,8 @@ def category_recommendations(children: DataFrame, categories: DataFrame, perform
     0.3, which is the key), by falling key, then category. New ones come last."""
     named = categories.select("category_id", "name", "difficulty_level")
     known = performance.select("child_id", "category_id", "overall_score").join(children.select("child_id"), "child_id", "left_semi")
-    # the categories that a child may start with are one row, put to each child; they are a part of the result
-    easy = named.where("difficulty_level = 'easy'").agg(F.collect_list(F.struct("category_id", "name", "difficulty_level")).alias("easy"))
-    start = children.select("child_id").join(easy).select("child_id", F.explode("easy").alias("c")).select("child_id", "c.*")
+    # the categories that a child may start with are a part of its result
+    start = put_to_each(children.select("child_id"), named.where("difficulty_level = 'easy'"), "child_id")
     start = start.join(known.select("child_id", "category_id"), ["child_id", "category_id"], "left_anti").withColumn("overall_score", F.lit(None).cast("double"))
     unknown = known.where("overall_score IS NULL").join(named.where("difficulty_level = 'easy'"), "category_id")
     room = 1 - F.col("overall_score")
@@ -170,11 +169,11 @@ def session_plan(
     for the child in that category, as an array of ids."""
     named = performance.where("category_id IS NOT NULL")
     lowest = named.groupBy("child_id").agg(F.min(F.struct("overall_score", "category_id"))["category_id"].alias("focus"))
-    easy = categories.where("difficulty_level = 'easy'").agg(F.min("category_id").alias("easy")).withColumn("one", F.lit(1))
+    easy = categories.where("difficulty_level = 'easy'").agg(F.min("category_id").alias("easy"))
     plans = (
-        children.select("child_id", F.lit(1).alias("one"))
+        children.select("child_id")
         .join(lowest, "child_id", "left")
-        .join(easy, "one", "left")
+        .join(F.broadcast(easy))  # one row
         .select("child_id", F.coalesce("focus", "easy").alias("category_id"), F.lit("adaptive").alias("current_level"))
     )
     pairs = plans.where("category_id IS NOT NULL").select("child_id", "category_id")

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorikeet.operators.ranking import numbered
+from lorikeet.session import kept
 
 VECTOR = ("verbal_attempts", "selection_attempts", "verbal_rate", "selection_rate", "avg_score", "n_categories")
 #: Vectors whose angles bound all others, and classes of a slice.
@@ -115,10 +116,12 @@ def similar_children(
     """(child_id, rank, similar_id, similarity): of each child in ``targets``
     (child_id), or of every child, the ``k`` others with the highest cosine; ties
     by id, undefined similarities (a zero vector) last. ``vectors`` has one row a
-    child; null components count as zero."""
+    child; null components count as zero. Vectors, classes and the best of each own
+    slice are written to the shared folder first, since they are used several times."""
     rows = vectors.select("child_id", *[F.coalesce(F.col(n).cast("double"), F.lit(0.0)).alias(n) for n in names])
-    classes = classes_of(rows, k, names)
-    placed = sliced(classes, names, pivots, slice_rows).withColumn("floor", F.lit(-2.0))
+    rows = kept(rows, "vectors")
+    classes = kept(classes_of(rows, k, names), "classes")
+    placed = kept(sliced(classes, names, pivots, slice_rows).withColumn("floor", F.lit(-2.0)), "slices")
     asked = placed
     if targets is not None:
         wanted = rows.join(targets.select("child_id"), "child_id", "left_semi")
@@ -128,7 +131,7 @@ def similar_children(
         wanted = rows
     members = placed.select("cell", "slice", "class", "ids", "norm", *names)
     same = (F.col("a.cell") == F.col("b.cell")) & (F.col("a.slice") == F.col("b.slice"))
-    own = _best(_scored(asked, members, same, names), k + 1)
+    own = kept(_best(_scored(asked, members, same, names), k + 1), "own")
     more = slices_to_compare(asked, placed, own, pivots, k)
     meets = (F.col("a.to_cell") == F.col("b.cell")) & (F.col("a.to_slice") == F.col("b.slice"))
     others = _best(_scored(more, members, meets, names), k + 1)

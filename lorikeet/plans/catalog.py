@@ -66,6 +66,11 @@ def similar(d: Domain) -> DataFrame:
     return similar_children(vectors, d.children.where("child_id % 50 = 0"))
 
 
+def similar_to_each(d: Domain) -> DataFrame:
+    """The neighbours of every child."""
+    return similar_children(P.skill_vector(d.children, _performance(d)))
+
+
 def ml_features(d: Domain) -> DataFrame:
     return rounded(P.ml_features(d.children, _performance(d), d.therapy_sessions, d.activity_categories))
 
@@ -511,6 +516,7 @@ CATALOG: dict[str, Callable[[Domain], DataFrame]] = {
     "item_performance": item_performance,
     "skill_vectors": skill_vectors,
     "similar_children": similar,
+    "similar_to_each": similar_to_each,
     "ml_features": ml_features,
     "child_profiles": child_profiles,
     "session_overview": session_overview,

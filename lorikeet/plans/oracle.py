@@ -371,6 +371,7 @@ ORACLES |= SCORING
 ORACLES["combined_recommendations"] = f"""
   SELECT r.*, m.ml_recommendation, c.confidence_score FROM ({ORACLES["rule_recommendations"]}) r
   JOIN ({ORACLES["fallback_recommendations"]}) m USING (child_id) JOIN ({ORACLES["ml_features"]}) c USING (child_id)"""
+ORACLES["similar_to_each"] = ORACLES["similar_children"].replace(" WHERE a.child_id % 50 = 0", "")
 # kept up to date batch by batch, they are what one pass gives
 ORACLES["maintained_rollup"] = ORACLES["performance_rollup"]
 ORACLES["maintained_adaptations"] = ORACLES["adaptations"]

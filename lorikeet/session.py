@@ -10,7 +10,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: UTC and ANSI semantics; the rest is left to adaptive execution.
 SETTINGS = {
@@ -58,6 +58,14 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once and read again, for results that are used several times;
+    its lineage ends there, and the planner knows its size."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _drop(spark: SparkSession, path: str) -> None:
     if spark.sparkContext._jsc is not None:
         at = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -131,6 +131,17 @@ def test_similar(make):
     assert by[1] == [(2, 1.0), (4, 0.8), (3, None)] and by[3] == [(1, None), (2, None), (4, None)]
 
 
+def test_a_table_is_put_to_each_row_without_a_cross_join(spark, make):
+    from lorikeet.operators.ranking import put_to_each
+
+    rows, small = make([(1,), (2,), (None,), (2,)], "id long"), make([("a",), ("b",), (None,)], "name string")
+    got = put_to_each(rows, small, "id")
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(((i, n) for i in (1, 2, None, 2) for n in ("a", "b", None)), key=repr)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert put_to_each(rows, small.limit(0), "id").count() == 0
+
+
 def test_numbers_within_a_hot_key(spark):
     from pyspark.sql import Window
 
