@@ -18,6 +18,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lorikeet.schemas import SCHEMAS
+from lorikeet.sources.keyed import KeyedTable
 
 OUT = (
     "connection_id string, session_id string, type string, scope string, item_id string, response string,"
@@ -113,13 +114,19 @@ def route(messages: DataFrame, silence_ms: int | None = SILENCE_MS) -> DataFrame
     return messages.groupBy("connection_id").applyInPandasWithState(routed, OUT, "session_id string", "append", timeout)
 
 
-def route_table(messages: DataFrame) -> DataFrame:
+def route_table(messages: DataFrame, opened: DataFrame | None = None) -> DataFrame:
     """The replies to a table of messages, as ``route`` gives them for a stream that
     brings the messages in order. Disconnects cut a connection's messages into
-    stretches; the first handshake of a stretch opens its session."""
+    stretches; the first handshake of a stretch opens its session. ``opened``
+    (connection_id, session_id): the sessions that were open before."""
+    messages = messages.withColumn("__carried", F.lit(False))
+    if opened is not None:
+        known = opened.select("connection_id", "session_id", F.lit("initialize_session").alias("type"), F.lit(True).alias("__carried"))
+        known = known.join(messages.select("connection_id").distinct(), "connection_id", "left_semi")
+        messages = messages.unionByName(known, allowMissingColumns=True)
     rank = F.when(F.col("type") == "initialize_session", 0).when(F.col("type") == "disconnect", 2).otherwise(1)
     ties = [F.asc_nulls_last(c) for c in ("session_id", "item_id", "command")]
-    order = [F.asc_nulls_last("ts"), rank, F.asc("type"), *ties]
+    order = [F.desc("__carried"), F.asc_nulls_last("ts"), rank, F.asc("type"), *ties]
     along = Window.partitionBy("connection_id").orderBy(*order)
     ends = F.count_if(F.col("type") == "disconnect").over(along.rowsBetween(Window.unboundedPreceding, -1))
     rows = messages.where(F.col("type").isin(*REPLIES)).withColumn("__at", F.row_number().over(along)).withColumn("__part", ends)
@@ -131,6 +138,7 @@ def route_table(messages: DataFrame) -> DataFrame:
     rows = rows.withColumn("__opened", opened).where(
         F.col("__opened").isNotNull() & (~opening | (F.col("__opened.at") == F.col("__at")))
     )
+    rows = rows.where(~F.col("__carried"))
     table = F.create_map(*[x for k, (kind, scope) in REPLIES.items() for x in (F.lit(k), F.struct(F.lit(kind).alias("kind"), F.lit(scope).alias("scope")))])
     of = lambda kind, value: F.when(F.col("type") == kind, value)
     return rows.select(
@@ -142,6 +150,39 @@ def route_table(messages: DataFrame) -> DataFrame:
     )
 
 
+def serve_messages(messages: DataFrame, path: str, checkpoint: str, buckets: int = 64, **trigger) -> StreamingQuery:
+    """D-01, D-02, D-04, D-06, D-07 for connections of any size: each trigger is
+    routed as a table, so its messages are sorted by Spark and held by no worker.
+
+    ``path``/replies holds the replies, a folder a trigger, ``path``/open the
+    sessions that are open. Replies are written before the table of open sessions
+    names the trigger as done, and a trigger that is done is not run again, so
+    after a failure nothing is lost or answered twice. A silent connection stays
+    open; ``route`` has a timeout.
+    """
+    table = KeyedTable(messages.sparkSession, f"{path}/open", "connection_id string, session_id string", ["connection_id"], buckets)
+
+    def serve(batch: DataFrame, number: int) -> None:
+        done = table.manifest()["last_batch"]
+        if done is not None and number <= done:
+            return
+        at = f"{path}/replies/trigger={number}"
+        route_table(batch, table.read()).write.mode("overwrite").parquet(at)
+        marks = batch.sparkSession.read.parquet(at).where("type IN ('session_initialized', 'disconnected')")
+        when = F.struct(F.col("ts").isNull().alias("late"), "ts", (F.col("type") == "disconnected").alias("left"))
+        last = marks.groupBy("connection_id").agg(F.max_by(F.struct("type", "session_id"), when).alias("m"))
+
+        def merged(old: DataFrame, changes: DataFrame) -> DataFrame:
+            open_ = changes.where("m.type = 'session_initialized'").select("connection_id", "m.session_id")
+            return old.join(changes, "connection_id", "left_anti").unionByName(open_)
+
+        table.change(last.where("connection_id IS NOT NULL"), merged, number)
+        table.vacuum(2)
+
+    out = messages.writeStream.foreachBatch(serve).option("checkpointLocation", checkpoint)
+    return out.trigger(**(trigger or {"processingTime": "1 second"})).start()
+
+
 def members(replies: DataFrame) -> DataFrame:
     """D-03, D-07: (session_id, connection_id) of the connections that are in a
     session by the replies so far: those that joined more often than they left, in

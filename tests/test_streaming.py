@@ -74,6 +74,40 @@ def test_odd_messages(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "out")).groupBy("scope").count().where("scope <> 'none'").count() == 2
 
 
+def test_triggers_routed_as_tables(spark, tmp_path, monkeypatch):
+    """Any cut into triggers, with a failure between the replies and the table of sessions."""
+    import random
+
+    from lorikeet.schemas import SCHEMAS
+    from lorikeet.sources.keyed import KeyedTable
+
+    rng, rows = random.Random(3), []
+    kinds = ["initialize_session"] * 2 + ["child_response"] * 4 + ["caregiver_command", "ping", "disconnect", "other"]
+    for t in range(120):
+        rows.append({"connection_id": rng.choice("aaaabc"), "type": rng.choice(kinds), "session_id": rng.choice(["s", "t", None]), "item_id": f"i{t}", "ts": f"2024-01-01T00:{t // 60:02d}:{t % 60:02d}Z"})
+    source = tmp_path / "in"
+    source.mkdir()
+
+    def serve():
+        stream = M.read_messages(spark, str(source), 1)
+        q = M.serve_messages(stream, str(tmp_path / "out"), str(tmp_path / "cp"), 4, availableNow=True)
+        assert q.awaitTermination(300)
+
+    for k, (lo, hi) in enumerate(((0, 50), (50, 51), (51, 120))):
+        send(source, f"{k}.json", rows[lo:hi])
+        if k == 2:
+            with monkeypatch.context() as m:
+                m.setattr(KeyedTable, "_commit", lambda self, manifest: 1 / 0)
+                try:
+                    serve()
+                except Exception as e:  # noqa: BLE001
+                    assert "division" in str(e)
+        serve()
+    got = spark.read.parquet(str(tmp_path / "out" / "replies")).drop("trigger")
+    want = M.route_table(spark.read.schema(SCHEMAS["messages"]).json(str(source)))
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.select(*got.columns).collect())) and got.count() > 50
+
+
 def test_silence_ends_a_session(spark, tmp_path):
     import time
 
