@@ -52,6 +52,23 @@ def item_performance(activities: DataFrame, sessions: DataFrame) -> DataFrame:
     )
 
 
+def attempt_counts(activities: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Counts by child, session category and item, from which both roll-ups follow."""
+    facts = activities.select("session_id", "item_id", "response_type", "is_correct").join(
+        sessions.select("session_id", "child_id", "category_id"), "session_id"
+    )
+    return facts.groupBy("child_id", "category_id", "item_id").agg(*modality_counts(), F.count("*").alias("total_attempts"))
+
+
+def rollups_of(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What ``performance_rollup`` and ``item_performance`` give, from ``attempt_counts``."""
+    sums = [F.sum(c).alias(c) for c in ("verbal_attempts", "verbal_success", "selection_attempts", "selection_success")]
+    rollup = counts.groupBy("child_id", "category_id").agg(*sums).withColumn("overall_score", overall_score())
+    by_item = counts.groupBy("child_id", "item_id").agg(*sums, F.sum("total_attempts").alias("total_attempts"))
+    rate = (F.col("verbal_success") + F.col("selection_success")) / F.col("total_attempts")
+    return rollup, by_item.withColumn("success_rate", rate)
+
+
 def skill_vector(children: DataFrame, performance: DataFrame) -> DataFrame:
     """A-08: six numbers for every child, zeros for one without a roll-up."""
     sums = performance.groupBy("child_id").agg(

@@ -25,7 +25,7 @@ from lorikeet.operators import sessions as S
 from lorikeet.operators.categories import category_stats
 from lorikeet.operators.similarity import similar_children
 from lorikeet.plans.oracle import ORACLES
-from lorikeet.session import shared_folder, ship
+from lorikeet.session import kept, shared_folder, ship
 from lorikeet.sources import tables as W
 from lorikeet.sources.domain import AS_OF, Domain, with_views
 from lorikeet.streaming import maintained as K
@@ -48,6 +48,11 @@ def _performance(d: Domain) -> DataFrame:
     return P.performance_rollup(d.answers, d.therapy_sessions)
 
 
+def _rollups(d: Domain) -> tuple[DataFrame, DataFrame]:
+    """The roll-ups by category and by item, of counts that are gathered once."""
+    return P.rollups_of(kept(P.attempt_counts(d.answers, d.therapy_sessions), "counts"))
+
+
 def performance_rollup(d: Domain) -> DataFrame:
     return rounded(_performance(d))
 
@@ -141,10 +146,7 @@ def category_recommendations(d: Domain) -> DataFrame:
 
 def _item_recommendations(d: Domain) -> DataFrame:
     pairs = d.therapy_sessions.select("child_id", "category_id").distinct()
-    perf = _performance(d)
-    return R.item_recommendations(
-        pairs, d.activity_items, d.activity_categories, perf, P.item_performance(d.answers, d.therapy_sessions)
-    )
+    return R.item_recommendations(pairs, d.activity_items, d.activity_categories, *_rollups(d))
 
 
 def _path(d: Domain) -> DataFrame:
@@ -163,8 +165,8 @@ def current_paths(d: Domain) -> DataFrame:
 
 
 def session_plans(d: Domain) -> DataFrame:
-    item_perf = P.item_performance(d.answers, d.therapy_sessions)
-    rows = R.session_plan(d.children, _performance(d), d.activity_categories, d.activity_items, item_perf)
+    perf, item_perf = _rollups(d)
+    rows = R.session_plan(d.children, perf, d.activity_categories, d.activity_items, item_perf)
     return rows.withColumn("item_ids", listed(F.col("item_ids").cast("array<string>")))
 
 
@@ -188,7 +190,7 @@ def next_items(d: Domain) -> DataFrame:
 
 
 def next_activities(d: Domain) -> DataFrame:
-    perf = _performance(d)
+    perf = kept(_performance(d), "rollup")
     return R.next_activity(
         d.therapy_sessions, d.answers, d.activity_items, d.activity_categories, perf, P.child_profile(d.children, perf)
     )
