@@ -122,6 +122,7 @@ def fit(sets: list[np.ndarray], y: np.ndarray, prior: float, n: int = BUCKETS, s
         ]
         rate = 0.03 * (1 - 0.9 * t / steps)
         for value, slope, m, q in zip(params, slopes, mean, square):  # Adam, in place
+            slope = slope.astype(np.float32)
             m += 0.1 * (slope - m)
             q += 0.001 * (slope * slope - q)
             value -= (rate / (1 - 0.9**t)) * m / (np.sqrt(q / (1 - 0.999**t)) + 1e-8)
