@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lorikeet.functions.sums import exact_avg
+
 VERBAL, NONVERBAL = "verbal", "nonverbal"
 #: Weights of spoken and of selected answers in a score.
 VERBAL_WEIGHT, SELECTION_WEIGHT = 0.7, 0.3
@@ -73,7 +75,7 @@ def skill_vector(children: DataFrame, performance: DataFrame) -> DataFrame:
     """A-08: six numbers for every child, zeros for one without a roll-up."""
     sums = performance.groupBy("child_id").agg(
         *[F.sum(c).alias(c) for c in ("verbal_attempts", "verbal_success", "selection_attempts", "selection_success")],
-        F.avg("overall_score").alias("avg_score"),
+        exact_avg("overall_score").alias("avg_score"),
         F.countDistinct("category_id").alias("n_categories"),
     )
     zero = F.lit(0)
@@ -95,7 +97,7 @@ def session_minutes(end: str = "end_time", start: str = "start_time") -> Column:
 def average_session_minutes(sessions: DataFrame) -> DataFrame:
     """A-16: mean length of the finished sessions of a child."""
     done = sessions.where("end_time IS NOT NULL")
-    return done.groupBy("child_id").agg(F.avg(session_minutes()).alias("avg_minutes"))
+    return done.groupBy("child_id").agg(exact_avg(session_minutes()).alias("avg_minutes"))
 
 
 def difficulty_rank(col: str = "difficulty_level", other: int = 4) -> Column:
@@ -140,7 +142,7 @@ def child_profile(children: DataFrame, performance: DataFrame) -> DataFrame:
     grouped = performance.groupBy("child_id").agg(
         F.array_sort(F.collect_list(F.when(score >= 0.7, F.col("category_id")))).alias("strengths"),
         F.array_sort(F.collect_list(F.when(score <= 0.3, F.col("category_id")))).alias("challenges"),
-        F.avg("overall_score").alias("avg_score"),
+        exact_avg("overall_score").alias("avg_score"),
         *[F.sum(c).alias(c) for c in ("verbal_attempts", "verbal_success", "selection_attempts", "selection_success")],
     )
     mean = F.coalesce("avg_score", F.lit(0.0))
