@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lorikeet.functions.sums import exact_avg, exact_sum
+
 
 def in_window(sessions: DataFrame, as_of: str, days: int) -> DataFrame:
     """P-04: sessions that start within the ``days`` up to ``as_of``, both included."""
@@ -14,10 +16,17 @@ def in_window(sessions: DataFrame, as_of: str, days: int) -> DataFrame:
 
 def session_scores(sessions: DataFrame, activities: DataFrame) -> DataFrame:
     """A-12: sum of the known pronunciation scores over all attempts of a session;
-    sessions without attempts have no row."""
-    means = activities.groupBy("session_id").agg(
-        (F.sum(F.coalesce("pronunciation_score", F.lit(0.0))) / F.count("*")).alias("score")
-    )
+    sessions without attempts have no row. Where attempts have a ``stored_at``
+    scores are added along it, as a reader of the table adds them; else their sum
+    is rounded once, so that either way it doesn't depend on how rows arrive."""
+    score = F.coalesce("pronunciation_score", F.lit(0.0))
+    if "stored_at" in activities.columns:
+        along = Window.partitionBy("session_id").orderBy("stored_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        sums = activities.select("session_id", "stored_at", F.sum(score).over(along).alias("so_far"))
+        total = F.max_by("so_far", "stored_at")
+    else:
+        sums, total = activities.select("session_id", score.alias("score")), exact_sum("score")
+    means = sums.groupBy("session_id").agg((total / F.count("*")).alias("score"))
     return sessions.join(means, "session_id").select("child_id", "session_id", "category_id", "start_time", "score")
 
 
@@ -30,7 +39,7 @@ def progress_trend(children: DataFrame, sessions: DataFrame, activities: DataFra
     """C-23: slope of the weekly means, (last - first) / number of weeks between,
     empty ones included; one week is insufficient, no session no data."""
     scores = session_scores(in_window(sessions, as_of, days), activities)
-    weekly = scores.groupBy("child_id", week_end("start_time").alias("week")).agg(F.avg("score").alias("mean"))
+    weekly = scores.groupBy("child_id", week_end("start_time").alias("week")).agg(exact_avg("score").alias("mean"))
     ends = weekly.groupBy("child_id").agg(
         F.min_by("mean", "week").alias("starting_score"),
         F.max_by("mean", "week").alias("current_score"),
@@ -71,6 +80,6 @@ def improvement_areas(
             "recent_challenges"
         )
     )
-    means = in_window(scores, as_of, long_days).groupBy("child_id", "category").agg(F.avg("score").alias("mean"))
+    means = in_window(scores, as_of, long_days).groupBy("child_id", "category").agg(exact_avg("score").alias("mean"))
     lowest = means.groupBy("child_id").agg(F.min_by("category", F.struct("mean", "category")).alias("long_term_focus"))
     return children.select("child_id").join(often, "child_id", "left").join(lowest, "child_id", "left")

@@ -120,8 +120,11 @@ class Domain:
     @cached_property
     def answers(self) -> DataFrame:
         """The attempts without their ids and times, which need an order among the
-        lines of a session; for operators that count or sum."""
-        return self._lines(self._read("lineitem"))
+        lines of a session; for operators that count or sum. ``stored_at`` is the
+        place of an attempt in the table's files, along which sums of doubles run."""
+        lines = self._read("lineitem")
+        place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+        return self._lines(lines.withColumn("stored_at", place), "stored_at")
 
     @cached_property
     def session_activities(self) -> DataFrame:
