@@ -1,20 +1,21 @@
 """Softmax gradient boosting over quantile histograms (C-20).
 
 Features are cut into bins once. Each round grows one tree for every class, level
-by level: gradients and hessians are summed by (class, node, feature, bin) in
-Spark, and from these sums alone, whose number the parameters bound, the driver
-picks the splits. Sums are of integers, so they and the trees don't depend on the
-order of rows. Trees are complete and stand in arrays; scoring walks them by
-expressions.
+by level: gradients and hessians are summed by (class, node, feature, bin), in each
+task and then in Spark, and from these sums alone, whose number the parameters
+bound, the driver picks the splits. Sums are of integers, so they and the trees don't depend on the
+order of rows. Trees are complete and stand in arrays; tasks walk them for a batch
+of rows at a time.
 """
 
 from __future__ import annotations
 
 import dataclasses
 import json
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
@@ -46,35 +47,25 @@ class Boosted:
         below = lambda name, cuts: F.coalesce(F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(name).cast("double"))), F.lit(0))
         return F.array(*[below(n, c) if c else F.lit(0) for n, c in zip(self.features, self.cuts)])
 
-    def scores(self, bins: Column) -> Column:
-        """array<double>: the sum of the leaves of each class."""
-        k = len(self.classes)
-        if not self.leaf:
-            return F.array(*[F.lit(0.0)] * k)
-        feature, split, leaf = (F.array(*map(F.lit, x)) for x in (self.feature, self.split, self.leaf))
 
-        def of(c: Column) -> Column:
-            tree = lambda r: r * k + c
-            value = lambda r: F.get(leaf, (tree(r) * (1 << self.depth) + _walk(bins, feature, split, tree(r), self.depth, self.depth)))
-            return F.aggregate(F.sequence(F.lit(0), F.lit(self.rounds - 1)), F.lit(0.0), lambda t, r: t + value(r))
+def predicted(rows: DataFrame, model: Boosted, key: str, out: str) -> DataFrame:
+    """(``key``, ``out``): the class with the highest score, the sum of its leaves;
+    of equal ones the first by name. Null features are below all cuts, NaN above."""
+    k = len(model.classes)
+    features, splits, leaf, depth = np.array(model.feature, np.int64), np.array(model.split, np.int64), np.array(model.leaf), model.depth
+    cuts, classes, rounds = [np.array(c) for c in model.cuts], np.array(model.classes, object), model.rounds
+    names = _names("f", len(cuts))
 
-        return F.transform(F.sequence(F.lit(0), F.lit(k - 1)), of)
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            bins = np.stack([np.searchsorted(c, batch[n].to_numpy()) for c, n in zip(cuts, names)], axis=1)
+            scores = np.zeros((len(batch), k))
+            for t in range(rounds * k):
+                scores[:, t % k] += leaf[(t << depth) + _places(bins, features, splits, t, depth, depth)]
+            yield pd.DataFrame({key: batch[key], out: classes[scores.argmax(axis=1)]})
 
-    def predicted(self) -> Column:
-        """The class with the highest score; of equal ones the first by name."""
-        scores = self.scores(self.bins())
-        best = F.transform(F.array(scores), lambda s: F.array_position(s, F.array_max(s)).cast("int"))
-        return F.element_at(F.array(*map(F.lit, self.classes)), F.element_at(best, 1))
-
-
-def _walk(bins: Column, feature: Column, split: Column, tree: Column, depth: int, steps: int) -> Column:
-    """The place within its level that a row reaches after some steps down a tree."""
-    at = F.lit(0)
-    for level in range(steps):
-        node = tree * ((1 << depth) - 1) + ((1 << level) - 1) + at
-        right = (F.get(bins, F.get(feature, node)) > F.get(split, node)).cast("int")
-        at = at * 2 + right
-    return at
+    values = [F.coalesce(F.col(f).cast("double"), F.lit(float("-inf"))).alias(n) for f, n in zip(model.features, names)]
+    return rows.select(key, *values).mapInPandas(each, f"{key} {rows.schema[key].dataType.simpleString()}, {out} string")
 
 
 def quantile_cuts(rows: DataFrame, features: Sequence[str], n_bins: int) -> tuple[tuple[float, ...], ...]:
@@ -84,33 +75,66 @@ def quantile_cuts(rows: DataFrame, features: Sequence[str], n_bins: int) -> tupl
     return tuple(tuple(sorted({c for c in found[f] or [] if c == c})) for f in features)
 
 
-def _softmax(scores: Column) -> Column:
-    e = lambda s: F.transform(s, lambda x: F.exp(x - F.array_max(s)))
-    shares = lambda e: F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda t, y: t + y))
-    return F.element_at(F.transform(F.transform(F.array(scores), e), shares), 1)
+def _softmax(scores: np.ndarray) -> np.ndarray:
+    e = np.exp(scores - scores.max(axis=1, keepdims=True))
+    return e / sum(e[:, c] for c in range(e.shape[1]))[:, None]
+
+
+def _places(bins: np.ndarray, feature: np.ndarray, split: np.ndarray, tree: int, depth: int, steps: int) -> np.ndarray:
+    """The places within its level that the rows of a batch reach after some steps down a tree."""
+    at = np.zeros(len(bins), np.int64)
+    for level in range(steps):
+        node = tree * ((1 << depth) - 1) + ((1 << level) - 1) + at
+        at = at * 2 + (bins[np.arange(len(bins)), feature[node]] > split[node])
+    return at
+
+
+def _names(letter: str, n: int) -> list[str]:
+    return [f"{letter}{i}" for i in range(n)]
 
 
 def _sums(state: DataFrame, n_classes: int, n_bins: int, n_features: int, depth: int, level: int, feature: list, split: list) -> np.ndarray:
-    """[g and h, class, node of the level, feature, bin]: integer sums, gathered in Spark."""
-    features, splits = (F.array(*map(F.lit, x)) for x in (feature, split))
-
-    def of(c: Column) -> Column:
-        p = F.get(F.col("p"), c)
-        return F.struct(
-            c.alias("c"),
-            _walk(F.col("bins"), features, splits, c, depth, level).alias("node"),
-            F.rint((p - (F.col("label") == c).cast("double")) * UNIT).cast("long").alias("g"),
-            F.greatest(F.rint(p * (1 - p) * UNIT), F.lit(1.0)).cast("long").alias("h"),
-        )
-
-    by_class = state.select("bins", F.explode(F.transform(F.sequence(F.lit(0), F.lit(n_classes - 1)), of)).alias("s"))
-    by_feature = by_class.select("s.*", F.posexplode("bins").alias("f", "bin"))
-    out = np.zeros((2, n_classes, 1 << level, n_features, n_bins), np.int64)
-    for c, node, f, b, g, h in by_feature.groupBy("c", "node", "f", "bin").agg(F.sum("g"), F.sum("h")).collect():
+    """[g and h, class, node of the level, feature, bin]: integer sums. A task adds
+    up its own rows, batch by batch, into an array of that shape; Spark adds these."""
+    features, splits, shape = np.array(feature), np.array(split), (2, n_classes, 1 << level, n_features, n_bins)
+    bin_names, score_names = _names("b", n_features), _names("s", n_classes)
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out = np.zeros(shape, np.int64)
+        for batch in batches:
+            bins, label = batch[bin_names].to_numpy(), batch["label"].to_numpy()
+            p = _softmax(batch[score_names].to_numpy())
+            for c in range(n_classes):
+                node = _places(bins, features, splits, c, depth, level) * n_bins
+                g = np.rint((p[:, c] - (label == c)) * UNIT)
+                h = np.maximum(np.rint(p[:, c] * (1 - p[:, c]) * UNIT), 1.0)
+                for f in range(n_features):
+                    for i, x in enumerate((g, h)):  # whole numbers below 2^53
+                        found = np.bincount(node + bins[:, f], x, n_bins << level)
+                        out[i, c, :, f] += found.astype(np.int64).reshape(-1, n_bins)
+        at = np.nonzero(out[1])
+        yield pd.DataFrame(dict(zip(("c", "node", "f", "bin"), at)) | {"g": out[0][at], "h": out[1][at]})
+
+    parts = state.mapInPandas(each, "c int, node int, f int, bin int, g long, h long")
+    out = np.zeros(shape, np.int64)
+    for c, node, f, b, g, h in parts.groupBy("c", "node", "f", "bin").agg(F.sum("g"), F.sum("h")).collect():
         out[:, c, node, f, b] = g, h
     return out
 
 
+def _raised(state: DataFrame, step: Boosted) -> DataFrame:
+    """``state`` with the leaves of one round's trees added to the scores."""
+    bin_names, score_names = _names("b", len(step.features)), _names("s", len(step.classes))
+    features, splits, leaf, depth = np.array(step.feature), np.array(step.split), np.array(step.leaf), step.depth
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            bins = batch[bin_names].to_numpy()
+            yield batch.assign(**{s: batch[s] + leaf[(c << depth) + _places(bins, features, splits, c, depth, depth)] for c, s in enumerate(score_names)})
+
+    return state.mapInPandas(each, state.schema)
+
+
 def _best_splits(sums: np.ndarray, penalty: float, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(feature, bin, leaves) of each class and node: the split with the greatest
     gain, of equal ones that of the first feature and lowest bin; a node without
@@ -151,11 +175,12 @@ def fit(
         raise ValueError("there are no labels to learn from")
     k, inner = len(classes), (1 << depth) - 1
     at = F.array_position(F.array(*map(F.lit, classes)), F.col(label).cast("string")).cast("int") - 1
-    base = rows.select(model.bins().alias("bins"), at.alias("label")).persist(StorageLevel.MEMORY_AND_DISK)
-    state, held = base.withColumn("scores", F.array(*[F.lit(0.0)] * k)), [base]
+    base = rows.select(model.bins().alias("bins"), at.alias("label"))
+    base = base.select("label", *[F.get("bins", F.lit(i)).alias(b) for i, b in enumerate(_names("b", len(features)))], *[F.lit(0.0).alias(n) for n in _names("s", k)])
+    state, held = base, []
     try:
         for _ in range(rounds):
-            state = state.withColumn("p", _softmax(F.col("scores"))).persist(StorageLevel.MEMORY_AND_DISK)
+            state = state.persist(StorageLevel.MEMORY_AND_DISK)
             held.append(state)
             feature, split, leaf = [0] * (k * inner), [n_bins] * (k * inner), [0.0] * (k << depth)
             for level in range(depth):
@@ -168,14 +193,13 @@ def fit(
                         if level == depth - 1:
                             leaf[(c << depth) + 2 * node : (c << depth) + 2 * node + 2] = (rate * leaves[c, node]).tolist()
             step = dataclasses.replace(model, feature=tuple(feature), split=tuple(split), leaf=tuple(leaf))
-            added = F.zip_with("scores", step.scores(F.col("bins")), lambda a, b: a + b)
-            state = state.select("bins", "label", added.alias("scores"))
+            state = _raised(state, step)
             model = dataclasses.replace(
                 model, feature=model.feature + step.feature, split=model.split + step.split, leaf=model.leaf + step.leaf
             )
-            for old in held[1:-1]:
+            for old in held[:-1]:
                 old.unpersist()
-            held = [base, held[-1]]
+            held = held[-1:]
     finally:
         for old in held:
             old.unpersist()

@@ -56,7 +56,7 @@ def boost(rows: DataFrame, label: str = "recommended_category", known: Sequence[
 
 def predict_boosted(features: DataFrame, model: boosting.Boosted) -> DataFrame:
     """(child_id, ml_recommendation) by boosted trees."""
-    return features.select("child_id", model.predicted().alias("ml_recommendation"))
+    return boosting.predicted(features, model, "child_id", "ml_recommendation")
 
 
 def predict_or_rule(features: DataFrame, path: str) -> DataFrame:

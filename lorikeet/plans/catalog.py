@@ -243,10 +243,16 @@ def learnt_recommendations(d: Domain) -> DataFrame:
 
 def _labelled_features(d: Domain) -> tuple[DataFrame, DataFrame]:
     """The features of all children, and those of children with a best category, with it."""
-    features = P.ml_features(d.children, _performance(d), d.therapy_sessions, d.activity_categories)
-    best = R.rule_recommendations(d.children, _performance(d), d.activity_categories, d.activity_items)
-    labels = best.where("strongest_category IS NOT NULL").select("child_id", F.col("strongest_category").alias("recommended_category"))
-    return features, features.join(labels, "child_id")
+    perf = kept(_performance(d), "rollup")
+    rules = R.rule_recommendations(d.children, perf, d.activity_categories, d.activity_items)
+    return _with_labels(d, perf, rules)
+
+
+def _with_labels(d: Domain, perf: DataFrame, rules: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both are written once, since fitting reads its rows many times."""
+    features = kept(P.ml_features(d.children, perf, d.therapy_sessions, d.activity_categories), "features")
+    labels = rules.where("strongest_category IS NOT NULL").select("child_id", F.col("strongest_category").alias("recommended_category"))
+    return features, kept(features.join(labels, "child_id"), "labelled")
 
 
 def child_reports(d: Domain) -> DataFrame:
@@ -349,11 +355,10 @@ def combined_recommendations(d: Domain) -> DataFrame:
 
 def model_recommendations(d: Domain) -> DataFrame:
     """The same with what a fitted model says."""
-    perf = _performance(d)
-    features = P.ml_features(d.children, perf, d.therapy_sessions, d.activity_categories)
+    perf = kept(_performance(d), "rollup")
     rules = R.rule_recommendations(d.children, perf, d.activity_categories, d.activity_items)
-    labels = rules.where("strongest_category IS NOT NULL").select("child_id", F.col("strongest_category").alias("recommended_category"))
-    model = classifier.train(features.join(labels, "child_id"))
+    features, rows = _with_labels(d, perf, rules)
+    model = classifier.train(rows)
     return _shown(R.combined_recommendations(rules, classifier.predict(features, model), features))
 
 

@@ -130,3 +130,12 @@ def test_no_labels(spark):
     _, df = table(spark, 5, 9)
     with pytest.raises(ValueError, match="no labels"):
         classifier.boost(df.limit(0))
+
+
+def test_scoring_reads_bins_once(spark):
+    """Scoring with many trees is a pass over batches; its plan doesn't grow with the trees."""
+    rows = spark.createDataFrame([(1, 0.5), (2, None), (3, float("nan")), (4, 2.0)], "child_id long, x double")
+    model = boosting.Boosted(("a", "b"), ("x",), ((1.0,),), 1, (0, 0) * 300, (0, 0) * 300, (0.0, 1.0, 1.0, 0.0) * 300)
+    got = boosting.predicted(rows, model, "child_id", "c")
+    assert dict(got.collect()) == {1: "b", 2: "b", 3: "a", 4: "a"}
+    assert len(got._jdf.queryExecution().executedPlan().toString()) < 2_000
