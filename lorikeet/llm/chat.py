@@ -1,11 +1,11 @@
 """Chat formatting by prefix-target expansion.
 
 Every assistant turn is exploded into an example of its own: all turns before it
-are the context and only that reply is trained on. An example's rows are the
-turns that are new in its context, since the reply before, and its reply; what
-came earlier it shares with the examples before it, and names by its end. So the
-volume is linear in the turns, whatever the length of a conversation;
-``example_texts`` spells whole texts out where that is wanted.
+are the context and only that reply is trained on. ``expand`` deals the turns to
+the examples in which they are new, and ``whole_examples`` puts each example's
+whole prefix before its reply. Whole texts grow with the square of a conversation's
+turns, so they are made where a conversation lies sorted and are read row by row:
+what is shuffled and sorted are turns.
 
 The template writes a turn as ``<|turn|>role``, a line end, the text and
 ``<|end|>`` with a line end. Inside roles and texts, a backslash is doubled and
@@ -97,8 +97,8 @@ def expand(formatted: DataFrame) -> DataFrame:
     row of its example, whose context ends at context_end, and it is a row of the
     next example's context; any other turn is a row of the next example's context
     only. An example's whole context is the context rows of its own and of all
-    examples before it, in order of place. Turns after the last reply are the
-    context of an example that has no reply yet.
+    examples before it, in order of place (``whole_examples``). Turns after the last
+    reply are the context of an example that has no reply yet.
     """
     reply = F.col("example").isNotNull()
     parts = F.when(reply, F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False)))
@@ -129,61 +129,108 @@ def example_texts(formatted: DataFrame) -> DataFrame:
     )
 
 
+def whole_examples(parts: DataFrame) -> DataFrame:
+    """(conv_id, place, trainable, example, text, known, loss_start, loss_end), from
+    ``expand``'s output: a trainable row for every example, whose text is its whole
+    prefix, from the first turn on, and its reply, of which loss_start and loss_end
+    are the span in the text; and for every conversation a last row that isn't
+    trainable, with the text that follows the last reply. known is where the reply
+    of the example before ends, up to which the two texts are to be the same.
+
+    A text is one string, so a conversation of more than 2 GB can't be spelt.
+    """
+    # of a reply's two rows the trainable one comes first, so its prefix doesn't hold it
+    order = Window.partitionBy("conv_id").orderBy("place", F.desc("trainable"))
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    rows = parts.select(
+        "conv_id", "place", "trainable", "example", "formatted", "start", "loss_start", "loss_end",
+        F.collect_list(F.when(~F.col("trainable"), F.col("formatted"))).over(before).alias("__turns"),
+        F.coalesce(F.max("loss_end").over(before), F.lit(0)).cast("int").alias("known"),
+        F.lead("place").over(order).isNull().alias("__last"),
+    )
+    prefix = F.array_join("__turns", "")
+    reply = F.substring("formatted", F.lit(1), (F.col("loss_end") - F.col("start")).cast("int"))
+    rest = F.substring(F.concat(prefix, F.col("formatted")), F.col("known") + 1, F.lit(2**31 - 1))
+    return rows.where("trainable OR __last").select(
+        "conv_id", "place", "trainable", "example",
+        F.when(F.col("trainable"), F.concat(prefix, reply)).otherwise(rest).alias("text"),
+        "known", "loss_start", "loss_end",
+    )
+
+
 class _Conversation:
-    """What is read back of one conversation, row after row of its examples."""
+    """What is read back of one conversation, example after example."""
 
     def __init__(self, conv_id):
-        self.conv_id, self.turns, self.at, self.formatted, self.tail = conv_id, 0, 0, 0, 0
+        self.conv_id, self.turns, self.at, self.formatted, self.text_id = conv_id, 0, 0, 0, None
         self.all, self.loss, self.loss_chars = hashlib.sha256(), hashlib.sha256(), 0
 
-    def reply(self, formatted: str, context_end: float, loss_start: float, loss_end: float) -> None:
-        """The trainable row of an example, whose context is all that was read so far."""
-        if int(context_end) != self.at:
-            raise ValueError(f"the context of an example of {self.conv_id} doesn't end where its reply starts")
-        masked = unescape(formatted[int(loss_start) - self.at : int(loss_end) - self.at])
-        self.loss_chars += len(masked)
-        self.loss.update(masked.encode("utf-8", "surrogatepass"))
-        self.formatted += int(loss_end)
-        self.tail = int(loss_end)
-
-    def context(self, formatted: str) -> None:
-        head = _HEAD.match(formatted)
-        role, text = unescape(head[1]), unescape(formatted[head.end() : -len(END)])
+    def _turn(self, role: str, text: str) -> None:
         self.turns += 1
-        self.all.update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
-        self.at += len(formatted)
+        self.all.update(f"{unescape(role)}\n{text}\n".encode("utf-8", "surrogatepass"))
+
+    def _whole_turns(self, text: str) -> int:
+        """Read the turns that are whole; the place after the last."""
+        at = len(END) if self.text_id is not None and text.startswith(END) else 0  # of the reply before
+        while (head := _HEAD.match(text, at)) and (end := text.find(END, head.end())) >= 0:
+            self._turn(head[1], unescape(text[head.end() : end]))
+            at = end + len(END)
+        return at
+
+    def example(self, text: str, masked: str, known_id: str, text_id: str, spans: tuple[float, float, float]) -> None:
+        """An example by what its text has beyond the example before, and its mask."""
+        known, loss_start, loss_end = (int(x) for x in spans)
+        if known != self.at or (self.text_id is not None and known_id != self.text_id):
+            raise ValueError(f"an example of {self.conv_id} doesn't begin with the one before")
+        head = _HEAD.match(text, self._whole_turns(text))
+        if not head or head.end() + known != loss_start or text[head.end() :] != masked:
+            raise ValueError(f"an example of {self.conv_id} doesn't end with the reply under its mask")
+        reply = unescape(masked)
+        self._turn(head[1], reply)
+        self.loss_chars += len(reply)
+        self.loss.update(reply.encode("utf-8", "surrogatepass"))
+        self.at, self.text_id = loss_end, text_id
+        self.formatted += loss_end
+
+    def rest(self, text: str) -> None:
+        if self._whole_turns(text) != len(text):
+            raise ValueError(f"what follows the last reply of {self.conv_id} isn't whole turns")
+        self.formatted += len(text)
 
     def row(self) -> tuple:
-        chars = self.formatted + self.at - self.tail
-        return self.conv_id, self.turns, self.all.hexdigest(), self.loss_chars, self.loss.hexdigest(), chars
+        return self.conv_id, self.turns, self.all.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.formatted
 
 
 DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
 
 def read_back(examples: DataFrame) -> DataFrame:
-    """A row for each conversation, parsed from the rows of its examples (``expand``):
+    """A row for each conversation, parsed from its whole examples (``whole_examples``):
     its turns, their digest, length and digest of all text under the loss mask, and
     formatted_chars, the length of its examples' texts (context and reply) and of
-    what follows the last reply. A digest is a chain, so a conversation is read in
-    order by one task; it streams, and only hash states are held."""
+    what follows the last reply.
+
+    Each text is read whole: by its hash up to the reply of the example before, which
+    must be that of the example before, and by its turns from there on. A digest is a
+    chain, so a conversation is read in order by one task; it streams, and only hash
+    states are held."""
     names = [f.split()[0] for f in DIGEST.split(", ")]
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, known = None, False
         for batch in batches:
             done = []
-            columns = [batch[c] for c in ("conv_id", "trainable", "formatted", "context_end", "loss_start", "loss_end")]
-            for null, conv_id, trainable, text, *spans in zip(batch["conv_id"].isna(), *columns):
+            columns = [batch[c] for c in ("conv_id", "trainable", "new", "masked", "known_id", "text_id", "known", "loss_start", "loss_end")]
+            for null, conv_id, trainable, text, masked, known_id, text_id, *spans in zip(batch["conv_id"].isna(), *columns):
                 key = None if null else int(conv_id)
                 if not known or key != now.conv_id:
                     if known:
                         done.append(now.row())
                     now, known = _Conversation(key), True
                 if trainable:
-                    now.reply(text, *spans)
+                    now.example(text, masked, known_id, text_id, spans)
                 else:
-                    now.context(text)
+                    now.rest(text)
             yield _frame(done)
         if known:
             yield _frame([now.row()])
@@ -191,10 +238,17 @@ def read_back(examples: DataFrame) -> DataFrame:
     def _frame(rows: list[tuple]) -> pd.DataFrame:
         return pd.DataFrame(rows, columns=names).astype({"conv_id": "Int64"})
 
-    spans = [F.col(c).cast("double").alias(c) for c in ("context_end", "loss_start", "loss_end")]
-    rows = examples.select(F.col("conv_id").cast("long").alias("conv_id"), "place", "trainable", "formatted", *spans)
-    order = ["conv_id", "place", F.desc("trainable")]
-    return rows.repartition("conv_id").sortWithinPartitions(*order).mapInPandas(each, DIGEST)
+    start, end = F.col("loss_start").cast("int"), F.col("loss_end").cast("int")
+    beyond = F.when(F.col("trainable"), F.substring("text", F.col("known") + 1, end - F.col("known"))).otherwise(F.col("text"))
+    rows = examples.select(
+        F.col("conv_id").cast("long").alias("conv_id"), "place", "trainable", beyond.alias("new"),
+        F.substring("text", start + 1, end - start).alias("masked"),
+        F.hex(F.xxhash64(F.when(F.col("trainable"), F.substring("text", F.lit(1), F.col("known"))))).alias("known_id"),
+        F.hex(F.xxhash64("text")).alias("text_id"),
+        *[F.col(c).cast("double").alias(c) for c in ("known", "loss_start", "loss_end")],
+    )
+    # whole_examples leaves rows dealt and ordered so: no text is shuffled or sorted
+    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "place", F.desc("trainable")).mapInPandas(each, DIGEST)
 
 
 def op5_chat(conversations: DataFrame) -> DataFrame:
@@ -207,7 +261,7 @@ def op5_chat(conversations: DataFrame) -> DataFrame:
         [(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string"
     )
     rows = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
-    return read_back(expand(format_turns(rows.unionByName(own))))
+    return read_back(whole_examples(expand(format_turns(rows.unionByName(own)))))
 
 
 def _escaped_sql(column: str) -> str:

@@ -469,6 +469,27 @@ def test_examples_have_their_prefixes(spark):
         assert r["reply"] == stream[s["loss_start"] : s["loss_end"]]
 
 
+def test_op5_reads_examples_with_whole_prefixes(spark):
+    roles = ["user", "assistant", "user", "user", "assistant", "assistant", "user"]
+    rows = spark.createDataFrame([(1, i, role, f"t{i} <s>") for i, role in enumerate(roles)] + [(2, 0, "user", "alone"), (None, 0, "assistant", "x")], "conv_id long, turn long, role string, text string")
+    formatted = chat.format_turns(rows)
+    stream = "".join(r["formatted"] for r in formatted.where("conv_id = 1").orderBy("place").collect())
+    examples = chat.whole_examples(chat.expand(formatted))
+    of = lambda c: examples.where(F.col("conv_id").eqNullSafe(F.lit(c))).orderBy("place", F.desc("trainable")).collect()
+    *whole, rest = of(1)
+    assert [(r["place"], r["example"], r["trainable"]) for r in whole] == [(1, 0, True), (4, 1, True), (5, 2, True)]
+    assert [r["text"] for r in whole] == [stream[: r["loss_end"]] for r in whole]
+    assert [chat.unescape(r["text"][r["loss_start"] :]) for r in whole] == ["t1 <s>", "t4 <s>", "t5 <s>"]
+    assert not rest["trainable"] and rest["text"] == stream[whole[-1]["loss_end"] :]
+    assert [r["text"] for r in of(2)] == ["<|turn|>user\nalone<|end|>\n"] and len(of(None)) == 2
+    got = {r["conv_id"]: r["formatted_chars"] for r in chat.read_back(examples).collect()}
+    assert got[1] == sum(len(r["text"]) for r in of(1)) and set(got) == {1, 2, None}
+    # a prefix that isn't the conversation's is noticed
+    wrong = examples.withColumn("text", F.when(F.col("place") == 4, F.regexp_replace("text", "t0", "t9")).otherwise(F.col("text")))
+    with pytest.raises(Exception, match="doesn't begin with the one before"):
+        chat.read_back(wrong).collect()
+
+
 # 6: sharding
 
 
