@@ -481,12 +481,14 @@ def maintained_rollup(d: Domain) -> DataFrame:
 
 
 def maintained_adaptations(d: Domain) -> DataFrame:
-    """Adaptations from three batches of answers that cut through sessions."""
+    """Adaptations from three batches of answers that cut through sessions. The
+    answers are made once: a batch is a filter, which would make them all again."""
     said = d.session_activities.join(d.utterances.select("item_id", F.col("actual").alias("response_text")), "item_id", "left")
-    kept = K.Adaptations(d.spark, shared_folder(d.spark, "adaptations"), 8)
+    said = kept(said.select(*K.Adaptations.COLUMNS), "answers")
+    live = K.Adaptations(d.spark, shared_folder(d.spark, "adaptations"), 8)
     for k in range(3):
-        kept.add(said.where(F.col("activity_id") % 3 == k), k)
-    return rounded(kept.read(d.activity_items))
+        live.add(said.where(F.col("activity_id") % 3 == k), k)
+    return rounded(live.read(d.activity_items))
 
 
 def phoneme_comparisons(d: Domain) -> DataFrame:

@@ -19,8 +19,10 @@ from pyspark.storagelevel import StorageLevel
 
 from lorikeet.sources.tables import upserted
 
-#: The column that names the folders of buckets.
-_BUCKET = "lorikeet_bucket"
+#: The column that names the folders of buckets, and the one that parts a bucket's keys.
+_BUCKET, _PART = "lorikeet_bucket", "lorikeet_part"
+#: What ``KeyedTable.dealt`` adds; groups and windows of a key that name it first need no other shuffle.
+DEAL = (_BUCKET, _PART)
 
 
 class ConflictError(RuntimeError):
@@ -81,11 +83,23 @@ class KeyedTable:
     def _bucket(self, n: int) -> Column:
         return F.pmod(F.xxhash64(*[F.struct(k) for k in self.keys]), F.lit(n)).cast("int").alias(_BUCKET)
 
-    def change(self, changes: DataFrame, merge: Callable[[DataFrame, DataFrame], DataFrame], batch: int | None = None) -> int | None:
+    def dealt(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with the columns of ``DEAL``, shuffled by them: all rows of a key
+        lie in one task, those of a bucket in so many that tasks are as many as shuffle
+        partitions. For a merge that keeps them so, whose result isn't shuffled again."""
+        n = self.manifest()["buckets"]
+        parts = -(-int(self.spark.conf.get("spark.sql.shuffle.partitions")) // n)
+        part = F.pmod(F.xxhash64(F.lit(_PART), *[F.struct(k) for k in self.keys]), F.lit(parts)).cast("int")
+        return rows.withColumns({_BUCKET: self._bucket(n), _PART: part}).repartition(*DEAL)
+
+    def change(
+        self, changes: DataFrame, merge: Callable[[DataFrame, DataFrame], DataFrame], batch: int | None = None, dealt: bool = False
+    ) -> int | None:
         """Put ``merge(rows of the buckets touched, changes)`` in place of these
         buckets. ``changes`` holds the keys; merge gives the columns of the table
         and leaves the keys of other rows as they are. With ``batch``, numbers must
-        rise: one that was applied before, or is lower, changes nothing (None).
+        rise: one that was applied before, or is lower, changes nothing (None). A merge
+        of ``dealt`` rows leaves them where they are, and they are written there.
 
         The driver sees the numbers of the buckets touched."""
         was = self.manifest()
@@ -97,7 +111,8 @@ class KeyedTable:
             touched = {str(r[0]) for r in changes.select(bucket).distinct().collect()}
             rows = merge(self._load(was, touched), changes).select(*self.schema.names)
             folder = uuid.uuid4().hex
-            rows.withColumn(_BUCKET, bucket).repartition(_BUCKET).write.partitionBy(_BUCKET).parquet(f"{self.path}/data/{folder}")
+            rows = rows.withColumn(_BUCKET, bucket)
+            (rows if dealt else rows.repartition(_BUCKET)).write.partitionBy(_BUCKET).parquet(f"{self.path}/data/{folder}")
         finally:
             changes.unpersist()
         made = {n.partition("=")[2]: f"{folder}/{n}" for n in self._names(f"{self.path}/data/{folder}") if n.startswith(f"{_BUCKET}=")}

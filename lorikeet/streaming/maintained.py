@@ -9,7 +9,7 @@ and in any order; after any split into batches the table is that of all facts.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,7 +18,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 from lorikeet.operators.performance import modality_counts, overall_score
 from lorikeet.operators.recommend import adaptation
 from lorikeet.operators.scoring import attempt_rows
-from lorikeet.sources.keyed import KeyedTable
+from lorikeet.sources.keyed import DEAL, KeyedTable
 
 COUNTS = ("verbal_attempts", "verbal_success", "selection_attempts", "selection_success")
 ROLLUP = "child_id long, category_id int, " + ", ".join(f"{c} long" for c in COUNTS)
@@ -57,19 +57,24 @@ class Adaptations:
     """C-15, C-16, A-23 while sessions run: of each session the newest answers by
     event time, ``n`` of them at most; a late answer takes its place among them."""
 
+    #: What is kept of an answer.
+    COLUMNS = tuple(c.split()[0] for c in NEWEST.split(", "))
+
     def __init__(self, spark, path: str, buckets: int = 64, n: int = 5):
         self.table, self.n = KeyedTable(spark, path, NEWEST, ["session_id"], buckets), n
 
     def add(self, answers: DataFrame, batch: int | None = None) -> int | None:
-        """Take in ``answers``; those with an activity_id that is there already are
-        the same answer, of which the largest row counts."""
-        newest_first = Window.partitionBy("session_id").orderBy(F.desc_nulls_last("created_at"), F.desc("activity_id"))
+        """Take in ``answers``; those with an activity_id that their session has already
+        are the same answer, of which the largest row counts. Old and new rows are
+        shuffled once, and written where they were merged."""
+        newest_first = Window.partitionBy(*DEAL, "session_id").orderBy(F.desc_nulls_last("created_at"), F.desc("activity_id"))
 
         def merged(old: DataFrame, changes: DataFrame) -> DataFrame:
-            rows = _once(old.unionByName(changes.select(*old.columns)), "activity_id")
+            rows = self.table.dealt(old.unionByName(changes.select(*old.columns)))
+            rows = _once(rows, "activity_id", [*DEAL, "session_id"])
             return rows.withColumn("__n", F.row_number().over(newest_first)).where(F.col("__n") <= self.n).drop("__n")
 
-        return self.table.change(answers.where("session_id IS NOT NULL"), merged, batch)
+        return self.table.change(answers.where("session_id IS NOT NULL").select(*self.COLUMNS), merged, batch, dealt=True)
 
     def read(self, items: DataFrame) -> DataFrame:
         """The rows of ``adaptation``, as of the last batch."""
@@ -96,11 +101,13 @@ class Attempts:
         return attempt_rows(self.table.read(), items)
 
 
-def _once(rows: DataFrame, key: str) -> DataFrame:
-    """One row for each ``key``, the largest; rows without one stay as they are."""
-    rest = [c for c in rows.columns if c != key]
-    known = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(F.struct(*rest)).alias("__r")).select(key, "__r.*")
-    return known.select(*rows.columns).unionByName(rows.where(F.col(key).isNull()))
+def _once(rows: DataFrame, key: str, within: Sequence[str] = ()) -> DataFrame:
+    """One row for each ``key`` (of each ``within``), the largest; rows without one
+    stay as they are."""
+    by = [*within, key]
+    rest = [c for c in rows.columns if c not in by]
+    largest = Window.partitionBy(*by).orderBy(*[F.desc(c) for c in rest])
+    return rows.withColumn("__once", F.row_number().over(largest)).where((F.col("__once") == 1) | F.col(key).isNull()).drop("__once")
 
 
 def follow(stream: DataFrame, add: Callable[[DataFrame, int], object], table: KeyedTable, checkpoint: str, **trigger) -> StreamingQuery:

@@ -11,9 +11,10 @@ from lorikeet.operators import performance as P
 from lorikeet.operators import recommend as R
 from lorikeet.operators import scoring as C
 from lorikeet.operators import sessions as S
+from lorikeet.plans.catalog import CATALOG
 from lorikeet.sources import keyed, tables
 from lorikeet.sources.domain import Domain
-from lorikeet.sources.keyed import ConflictError, KeyedTable
+from lorikeet.sources.keyed import DEAL, ConflictError, KeyedTable
 from lorikeet.streaming import maintained as K
 
 SCHEMA = "id long, kind string, value double"
@@ -161,3 +162,30 @@ def test_attempt_numbers_of_shuffled_repeated_attempts(spark, domain, tmp_path):
     want = C.attempt_rows(attempts, domain.activity_items)
     assert rows(kept.read(domain.activity_items)) == rows(want)
     assert want.agg(F.max("attempt_number")).first()[0] > 3
+
+
+def test_a_batch_of_adaptations_is_shuffled_once(spark, sf_dir, monkeypatch):
+    """Answers are made before the batches, and old and new rows meet in one shuffle."""
+    plans, change = [], KeyedTable.change
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+
+    def watched(table, changes, merge, batch=None, **how):
+        plans.append((plan(changes), plan(merge(table.read(), changes))))
+        return change(table, changes, merge, batch, **how)
+
+    monkeypatch.setattr(KeyedTable, "change", watched)
+    got = CATALOG["maintained_adaptations"](Domain(spark, sf_dir))
+    assert len(plans) == 3
+    for changes, merged in plans:
+        assert "Window" not in changes and "Join" not in changes and merged.count("Exchange") == 1
+    assert rows(got) == rows(CATALOG["adaptations"](Domain(spark, sf_dir)))
+
+
+def test_dealt_rows_are_written_where_they_were_merged(spark, tmp_path):
+    table = KeyedTable(spark, str(tmp_path / "t"), "id long, x string, v double", ["id"], 3)
+    one = lambda old, new: table.dealt(old.unionByName(new)).groupBy(*DEAL, "id").agg(F.max("x").alias("x"), F.sum("v").alias("v"))
+    facts = [(i % 40 if i % 7 else None, "xy"[i % 2], float(i)) for i in range(200)]
+    for k in range(2):
+        table.change(spark.createDataFrame(facts[k::2], "id long, x string, v double"), one, k, dealt=True)
+    want = {i: (max(x for j, x, _ in facts if j == i), sum(v for j, _, v in facts if j == i)) for i, _, _ in facts}
+    assert {r["id"]: (r["x"], r["v"]) for r in table.read().collect()} == want
