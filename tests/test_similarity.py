@@ -91,3 +91,33 @@ def test_few_slices_are_compared(spark):
     share = (pairs + 2000 * 32) / 2000**2
     print("share of pairs compared", share)
     assert share < 0.2
+
+
+def met_by_each(spark, n):
+    """How many classes each is compared with, of ``n`` made roll-ups: two counts,
+    and small parts beside them, so that all lie near one arc of the sphere."""
+    rng, names = random.Random(7), [*NAMES, "e"]
+    made_ = [(i, float(rng.randint(5, 40)), float(rng.randint(5, 40)), rng.random(), rng.random(), float(rng.randint(1, 6))) for i in range(n)]
+    df = spark.createDataFrame(made_, "child_id long, a double, b double, c double, d double, e double")
+    placed = N.sliced(N.classes_of(df, 5, names), names, 16, 32).withColumn("floor", F.lit(-2.0)).cache()
+    members = placed.select("cell", "slice", "class", "ids", "norm", *names)
+    same = (F.col("a.cell") == F.col("b.cell")) & (F.col("a.slice") == F.col("b.slice"))
+    own = N._best(N._scored(placed, members, same, names), 6).cache()
+    more = N.slices_to_compare(placed, placed, own, 16, 5)
+    sizes = placed.groupBy(F.col("cell").alias("to_cell"), F.col("slice").alias("to_slice")).agg(F.count("*").alias("n"))
+    return more.drop("n").join(sizes, ["to_cell", "to_slice"]).agg(F.sum("n")).first()[0] / n
+
+
+def test_few_classes_are_met_along_an_arc(spark):
+    """Rings around far pivots would leave 302 of 6000 to be compared."""
+    met = met_by_each(spark, 6000)
+    print("classes met by each of 6000", met)
+    assert met < 150
+
+
+def test_rounding_is_that_of_spark(spark):
+    import numpy as np
+
+    x = [0.1234567885, 0.9999999995, -0.1234567885, 0.5, -1e-12, 1.0, 0.12345678949999, 0.0000000005]
+    want = [r[0] for r in spark.createDataFrame([(v,) for v in x], "x double").select(F.round("x", 9)).collect()]
+    assert N._rounded(np.array(x)).tolist() == want
