@@ -1,15 +1,17 @@
-"""Shared helpers: scratch tables, prefix sums, null-safe keys."""
+"""Shared helpers: scratch tables, prefix sums, null-safe keys, memory of Python workers."""
 
 from __future__ import annotations
 
 import atexit
 import contextlib
 import contextvars
+import ctypes
 import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -106,6 +108,44 @@ def drop_path(spark: SparkSession, path: str) -> None:
             scope.remove(path)
 
 
+#: What empties the caches that a Python worker keeps from task to task.
+_caches: list[Callable[[], None]] = []
+
+
+def kept_in_worker(clear: Callable[[], None]) -> None:
+    """``clear`` empties a cache that outlives its task; tasks of other operators call it."""
+    _caches.append(clear)
+
+
+def _forget_others(own: Callable[[], None] | None) -> None:
+    for clear in _caches:
+        if clear is not own:
+            clear()
+
+
+def give_back() -> None:
+    """Memory that this process has freed goes back to the system, where Arrow and
+    the C library would keep it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other libraries have no malloc_trim
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def frugal(each: Callable[[Iterator], Iterator], own: Callable[[], None] | None = None) -> Callable[[Iterator], Iterator]:
+    """``each``, for workers that an executor uses for one operator after another:
+    what others keep there goes before a task (all but the cache that ``own``
+    empties), and what the task has freed goes back when it ends."""
+
+    def run(batches: Iterator) -> Iterator:
+        _forget_others(own)
+        try:
+            yield from each(batches)
+        finally:
+            give_back()
+
+    return run
+
+
 def null_key(col: Column | str) -> Column:
     """A string that differs for every value and for null, so that plain
     equality joins, groupings and windows share one partitioning."""

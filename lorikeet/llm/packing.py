@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorikeet.llm.common import sum_before, written
+from lorikeet.llm.common import frugal, kept_in_worker, sum_before, written
 
 #: Tokens in a sequence.
 CAPACITY = 4096
@@ -179,6 +179,13 @@ def _tokenizer(path: str, kept_words: int = KEPT_WORDS) -> WordTokenizer | Plain
     return WordTokenizer(path, kept_words) if _cuts_words(path) else PlainTokenizer(path)
 
 
+def _forget() -> None:
+    _tokenizer.cache_clear()
+
+
+kept_in_worker(_forget)
+
+
 def tokenized_pieces(
     docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, kept_words: int = KEPT_WORDS
 ) -> DataFrame:
@@ -207,7 +214,7 @@ def tokenized_pieces(
             )
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(each, PIECES)
+    return rows.mapInArrow(frugal(each, _forget), PIECES)
 
 
 def fullest(counts: dict[int, int], capacity: int) -> dict[int, int]:
@@ -289,9 +296,16 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     found: dict[int, list[tuple]] = {}
     for length, *slot in slots(counts, capacity):
         found.setdefault(length, []).append(tuple(slot))
+    names = ("first_rank", "times", "first_sequence", "first_offset")
+    slot_type = pa.list_(pa.struct([(name, pa.int64()) for name in names]))
+    # as Arrow: plain rows would start further Python workers on the executors
     table = spark.createDataFrame(
-        [(k, v) for k, v in found.items()],
-        "length long, slots array<struct<first_rank:long,times:long,first_sequence:long,first_offset:long>>",
+        pa.table(
+            {
+                "length": pa.array(list(found), pa.int64()),
+                "slots": pa.array([[dict(zip(names, slot)) for slot in v] for v in found.values()], slot_type),
+            }
+        )
     )
     ranked = sum_before(
         pieces.withColumn("__slice", F.expr("pmod(xxhash64(doc_id, piece, 'pack'), 256)")).withColumn("__one", F.lit(1)),

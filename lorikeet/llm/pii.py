@@ -32,6 +32,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lorikeet.llm.common import frugal
+
 ROUNDS = 10
 KEY_SETTING = "spark.lorikeet.pii.key"
 _own_key = secrets.token_bytes(32)
@@ -368,7 +370,7 @@ def pseudonymise(docs: DataFrame, key: bytes | None = None, back: bool = False,
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, *([count] if count else [])])
 
     own = [T.StructField(count, T.IntegerType())] if count else []
-    return base.mapInArrow(each, T.StructType([*base.schema.fields, *own]))
+    return base.mapInArrow(frugal(each), T.StructType([*base.schema.fields, *own]))
 
 
 def op10_pii(docs: DataFrame) -> DataFrame:

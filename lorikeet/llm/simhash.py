@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorikeet.llm.common import written, written_alone
+from lorikeet.llm.common import frugal, written, written_alone
 from lorikeet.llm.graph import connected_components
 
 #: Differing bits up to which two fingerprints link.
@@ -276,7 +276,7 @@ def _by_cell(cells: DataFrame, treat: Callable[[pd.DataFrame], pd.DataFrame], ke
         if held is not None:
             yield treat(held)
 
-    return cells.repartition(*key).sortWithinPartitions(*key, "rep").mapInPandas(each, schema)
+    return cells.repartition(*key).sortWithinPartitions(*key, "rep").mapInPandas(frugal(each), schema)
 
 
 def link_edges(points: DataFrame, threshold: int = THRESHOLD, cell: int = CELL, unlike: int | None = None) -> DataFrame:
@@ -362,7 +362,7 @@ def _sets_of(members: DataFrame, shingle: int) -> DataFrame:
                 sets.append(np.unique(np.frombuffer(b"".join(digests), "<u8")).tobytes())
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(sets, pa.binary())], names=["rep", "comp", "shingles"])
 
-    return members.select("rep", "comp", "text").mapInArrow(each, "rep long, comp long, shingles binary")
+    return members.select("rep", "comp", "text").mapInArrow(frugal(each), "rep long, comp long, shingles binary")
 
 
 def _verify(part: pd.DataFrame, similarity: float) -> pd.DataFrame:
@@ -471,7 +471,7 @@ def _labelled(rows: DataFrame, shingle: int, similarity: float, cell: int) -> Da
             )
 
     schema = "row long, doc_id long, same binary, keys array<bigint>, sketch array<bigint>, bands array<bigint>"
-    prints = written(rows.select("row", "doc_id", "text").mapInArrow(each, schema), "simhash-sets")
+    prints = written(rows.select("row", "doc_id", "text").mapInArrow(frugal(each), schema), "simhash-sets")
     reps = prints.groupBy("same").agg(F.min("row").alias("rep"))
     every = prints.select(F.col("row").alias("rep"), "keys", "sketch", "bands")
     points = written(every.join(reps.select("rep"), "rep"), "simhash-points")

@@ -23,13 +23,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lorikeet.llm.common import scratch_scope, written
+from lorikeet.llm.common import frugal, give_back, scratch_scope, written
 
 #: Buckets that terms are hashed into, and lengths of the beginnings of words.
 BUCKETS, PREFIXES = 1 << 18, (4, 5, 6)
@@ -81,15 +80,27 @@ def fit(sets: list[np.ndarray], y: np.ndarray, prior: float, n: int = BUCKETS, s
     """The machine for rows with the buckets ``sets`` (below ``n``) and classes ``y``
     (0 and 1, both there), by Adam on the logistic loss in steps that shrink.
 
-    Only the buckets of a step's rows are read, all of them. ``prior``: the share of
+    Only the buckets of a step's rows are read, all of them; beside ``sets`` four
+    bytes are held for each bucket of each row. ``prior``: the share of
     the class among all labelled rows, to which the bias is corrected from the
     share in the sample.
     """
     ends = np.cumsum([0, *map(len, sets)])
-    used, flat = np.unique(np.concatenate([*sets, np.zeros(0, np.int64)]), return_inverse=True)
-    k, y = len(used), np.asarray(y, np.float64)
-    of = np.repeat(y, np.diff(ends))
-    pos, neg = np.bincount(flat, of, k), np.bincount(flat, 1 - of, k)
+    y, flat, seen = np.asarray(y, np.float64), np.zeros(ends[-1], np.int32), np.zeros(n, bool)
+    for at in sets:
+        seen[at] = True
+    used = np.flatnonzero(seen)
+    k = len(used)
+    place = np.zeros(n, np.int32)
+    place[used] = np.arange(k)
+    pos, neg = np.zeros(k), np.zeros(k)
+    for lo in range(0, len(sets), ROWS):  # by a few rows, so that no wide copy of all is made
+        part = np.concatenate(sets[lo : lo + ROWS])
+        part = place[part.astype(np.int64)]
+        of = np.repeat(y[lo : lo + ROWS], np.diff(ends[lo : lo + ROWS + 1]))
+        flat[ends[lo] : ends[lo] + len(part)] = part
+        pos += np.bincount(part, of, k)
+        neg += np.bincount(part, 1 - of, k)
     n_pos, n_neg = y.sum(), (1 - y).sum()
     mid = (pos + neg) / len(y)
     z2 = (pos / n_pos - neg / n_neg) ** 2 / (np.maximum(mid * (1 - mid), 1e-9) * (1 / n_pos + 1 / n_neg))
@@ -106,7 +117,7 @@ def fit(sets: list[np.ndarray], y: np.ndarray, prior: float, n: int = BUCKETS, s
         rows, order = order[:ROWS], order[ROWS:]
         sizes = ends[rows + 1] - ends[rows]
         seg = np.repeat(np.arange(len(rows)), sizes)
-        i = flat[np.arange(sizes.sum()) + np.repeat(ends[rows] - (np.cumsum(sizes) - sizes), sizes)]
+        i = flat[np.arange(sizes.sum()) + np.repeat(ends[rows] - (np.cumsum(sizes) - sizes), sizes)].astype(np.int64)
         bias, w, v = params
         at_scale, at_even = scale[i], evenness[i]
         part = v[:, i] * at_even
@@ -139,6 +150,15 @@ def _constant(rate: float) -> Machine:
     return Machine(float(np.log(rate / (1 - rate))), np.zeros(BUCKETS, np.float32), np.zeros((BUCKETS, RANK), np.float32))
 
 
+def _in_order(part: pa.Table) -> tuple[list[np.ndarray], np.ndarray]:
+    """The buckets and classes of rows (doc_id, y, at), by doc_id and y; the buckets
+    are views of the table's own memory."""
+    sets = [x for c in part["at"].chunks for x in np.split(c.flatten().to_numpy(), c.value_lengths().to_numpy().cumsum()[:-1]) if len(c)]
+    y = part["y"].to_numpy()
+    order = np.lexsort((y, part["doc_id"].to_numpy()))
+    return [sets[k] for k in order], y[order]
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     """The machine for ``labels`` (doc_id, toxic) of ``docs`` (doc_id, text).
 
@@ -181,7 +201,7 @@ def _trained(docs: DataFrame, labels: DataFrame, sample: int) -> Machine:
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id")
     single = texts.groupBy("doc_id", "y").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("least"))
     rows = written(
-        single.select("doc_id", "y", "least.text").mapInArrow(each, "doc_id long, y int, at array<int>"),
+        single.select("doc_id", "y", "least.text").mapInArrow(frugal(each), "doc_id long, y int, at array<int>"),
         "toxicity",
     )
     prior = totals[1] / (totals[0] + totals[1])
@@ -189,12 +209,12 @@ def _trained(docs: DataFrame, labels: DataFrame, sample: int) -> Machine:
     if not n.get(0) or not n.get(1):
         return _constant(prior)
 
-    def learn(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["doc_id", "y"])
-        made = fit([np.asarray(at, np.int64) for at in part["at"]], part["y"].to_numpy(), prior)
-        return pd.DataFrame({"bias": [made.bias], "w": [made.w.tobytes()], "v": [made.v.tobytes()]})
+    def learn(part: pa.Table) -> pa.Table:
+        made = fit(*_in_order(part), prior)
+        give_back()
+        return pa.table({"bias": [made.bias], "w": [made.w.tobytes()], "v": [made.v.tobytes()]})
 
-    got = rows.groupBy().applyInPandas(learn, "bias double, w binary, v binary").first()
+    got = rows.groupBy().applyInArrow(learn, "bias double, w binary, v binary").first()
     return Machine(got["bias"], np.frombuffer(got["w"], np.float32), np.frombuffer(got["v"], np.float32).reshape(-1, RANK))
 
 
@@ -220,7 +240,7 @@ def score(docs: DataFrame, machine: Machine, out: str = "score") -> DataFrame:
             yield batch.append_column(out, pa.array(scores, pa.float64()))
 
     base = docs.drop(out)
-    return base.mapInArrow(each, T.StructType([*base.schema.fields, T.StructField(out, T.DoubleType())]))
+    return base.mapInArrow(frugal(each), T.StructType([*base.schema.fields, T.StructField(out, T.DoubleType())]))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
