@@ -36,7 +36,16 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    """Doubles are scaled, rounded to whole numbers and scaled back, as the SQL's
+    ``round`` does. ``F.round`` goes by a double's shortest decimal form, which gives
+    other digits next to a half: 0.0640625 is 0.064062 by the SQL, not 0.064063."""
+    unit = 10.0**digits
+
+    def value(name: str) -> Column:
+        scaled = F.round(F.col(name) * unit) / unit
+        return F.when(F.abs(scaled) < float("inf"), scaled).otherwise(F.col(name))
+
+    return df.select(*[value(c).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 def listed(column: str | Column) -> Column:
